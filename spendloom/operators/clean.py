@@ -24,9 +24,12 @@ def trim_texts(
     return df.withColumns(columns) if columns else df
 
 
-def drop_empty_rows(df: DataFrame, *, order_by: str = "txn_id") -> DataFrame:
-    """Drop rows in which every column but the order key is null."""
-    return df.na.drop(how="all", subset=[c for c in df.columns if c != order_by])
+def drop_empty_rows(
+    df: DataFrame, *, order_by: str = "txn_id", scope: Sequence[str] = ()
+) -> DataFrame:
+    """Drop rows in which every column but the order key and scope is null."""
+    subset = [c for c in df.columns if c != order_by and c not in scope]
+    return df.na.drop(how="all", subset=subset) if subset else df
 
 
 def parse_amount(df: DataFrame) -> DataFrame:
