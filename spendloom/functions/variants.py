@@ -37,3 +37,13 @@ def items_of(value: Column) -> Column:
 def text_of(value: Column) -> Column:
     """A scalar as plain text, a list or object as JSON, JSON null as null."""
     return F.try_variant_get(value, "$", "string")
+
+
+def texts_of_fields(value: Column) -> Column:
+    """Fields of an object as texts; null for anything else."""
+    return F.try_variant_get(value, "$", "map<string,string>")
+
+
+def texts_of_items(value: Column) -> Column:
+    """Items of a list as texts; null for anything else."""
+    return F.try_variant_get(value, "$", "array<string>")

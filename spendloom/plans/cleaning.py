@@ -81,12 +81,16 @@ def run(
         # Copies in all columns agree in merchant and amount too, so the near
         # step alone keeps the same rows, and only its narrow columns are
         # shuffled before the survivors are known.
-        survivors = write_shared(
-            near_duplicate_survivors(
-                rows, threshold=config.duplicate_threshold, order_by=order_by, scope=scope
-            ),
-            "survivors",
-        )
+        options = {"threshold": config.duplicate_threshold, "order_by": order_by, "scope": scope}
+        if "has_amount" in rows.columns:
+            whole, bare = rows.filter("has_amount"), rows.filter("not has_amount")
+            exact = drop_exact_duplicates(bare, order_by=order_by)
+            found = near_duplicate_survivors(whole, **options).unionByName(
+                exact.select(*scope, order_by, "amount")
+            )
+        else:
+            found = near_duplicate_survivors(rows, **options)
+        survivors = write_shared(found, "survivors")
         kept = survivors.select(*scope, order_by)
         rows = rows.join(kept, [*scope, order_by], "left_semi")
     else:
@@ -142,9 +146,9 @@ def _possible_steps(config: CleanConfig, columns: Sequence[str]) -> CleanConfig:
 
 
 def without_amount_marked(rows: DataFrame) -> DataFrame:
-    """Rows whose payload has no amounts take no part in duplicates and outliers.
+    """Give rows whose payload has no amounts NaN, which becomes 0 at the end.
 
-    They carry NaN until the end, where it becomes 0.
+    They take no part in near duplicates, categories and outliers.
     """
     if not {"has_amount", "amount"} <= set(rows.columns):
         return rows

@@ -15,7 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendloom.functions import fixed
-from spendloom.functions.variants import fields_of, items_of, let, strict_json, text_of
+from spendloom.functions.variants import (
+    fields_of,
+    items_of,
+    let,
+    strict_json,
+    text_of,
+    texts_of_fields,
+    texts_of_items,
+)
 
 KNOWN = ("merchant", "amount", "description", "memo", "category")
 # Values of columns that no record of a payload has.
@@ -29,10 +37,14 @@ def transactions(payloads: DataFrame) -> DataFrame:
     payload of columns brings no amounts at all.  Further fields are in
     ``extra``, as texts.
     """
+    # The outer form keeps Spark from copying the reading into a filter of its
+    # own, which would read every payload twice.
     return (
         _read(payloads)
-        .filter(F.col("_read.reason").isNull())
-        .select("payload_id", "request_id", F.posexplode("_read.rows").alias("position", "_row"))
+        .select(
+            "payload_id", "request_id", F.posexplode_outer("_read.rows").alias("position", "_row")
+        )
+        .filter(F.col("position").isNotNull())
         .select("payload_id", "request_id", F.col("position").cast("long"), "_row.*")
     )
 
@@ -41,8 +53,10 @@ def rejects(payloads: DataFrame) -> DataFrame:
     """The other payloads with the reason: ``payload_id, request_id, reason``."""
     return (
         _read(payloads)
-        .filter(F.col("_read.reason").isNotNull())
-        .select("payload_id", "request_id", F.col("_read.reason").alias("reason"))
+        .select(
+            "payload_id", "request_id", F.explode_outer(F.array("_read.reason")).alias("reason")
+        )
+        .filter(F.col("reason").isNotNull())
     )
 
 
@@ -56,7 +70,7 @@ def _read(payloads: DataFrame) -> DataFrame:
     read = let(strict_json(F.col("body")), _split_envelope)
     return payloads.select(
         "payload_id",
-        F.concat(F.lit("req-"), F.substring(F.md5("body"), 1, 8)).alias("request_id"),
+        F.concat(F.lit("req-"), F.substring(F.md5(F.coalesce("body", F.lit(""))), 1, 8)).alias("request_id"),
         F.coalesce(read, _reject(fixed.REJECT_NOT_JSON)).alias("_read"),
     )
 
@@ -96,50 +110,50 @@ def _split_envelope(body: Column) -> Column:
 
 
 def _read_list(items: Column) -> Column:
-    return let(F.transform(items, fields_of), _read_records)
+    return let(F.transform(items, texts_of_fields), _read_records)
 
 
 def _read_object(fields: Column) -> Column:
-    merchant = fields["merchant"]
-    as_lists = F.transform_values(fields, lambda _, v: items_of(v))
+    return let(
+        F.transform_values(fields, lambda _, v: texts_of_items(v)),
+        lambda lists: _read_fields(fields, lists),
+    )
+
+
+def _read_fields(fields: Column, lists: Column) -> Column:
+    """An object, with the texts of those of its fields that are lists."""
     sizes = F.array_distinct(
-        F.transform(
-            F.filter(F.map_values(as_lists), lambda v: v.isNotNull()), lambda v: F.size(v)
-        )
+        F.transform(F.filter(F.map_values(lists), lambda v: v.isNotNull()), lambda v: F.size(v))
     )
-    named = [items_of(fields[name]) for name in ("data", "transactions")]
+    is_list = {name: lists[name].isNotNull() for name in ("merchant", "data", "transactions")}
     return (
-        F.when(
-            items_of(merchant).isNotNull() & (F.size(sizes) <= 1),
-            _read_columns(fields, F.size(items_of(merchant))),
-        )
-        .when(named[0].isNotNull(), let(named[0], _read_list))
-        .when(named[1].isNotNull(), let(named[1], _read_list))
+        F.when(is_list["merchant"] & (F.size(sizes) <= 1), _read_columns(fields, lists))
+        .when(is_list["data"], _read_list(items_of(fields["data"])))
+        .when(is_list["transactions"], _read_list(items_of(fields["transactions"])))
         .when(
-            F.map_contains_key(fields, "merchant") & items_of(merchant).isNull(),
-            _read_records(F.array(fields)),
+            F.map_contains_key(fields, "merchant") & ~is_list["merchant"],
+            let(F.array(F.transform_values(fields, lambda _, v: text_of(v))), _read_records),
         )
         .otherwise(_reject(fixed.REJECT_SHAPE))
     )
 
 
-def _read_columns(fields: Column, n_rows: Column) -> Column:
+def _read_columns(fields: Column, lists: Column) -> Column:
     """Columns to rows.  Columns that are not there stay null."""
+    n_rows = F.size(lists["merchant"])
     columns = F.transform_values(
-        fields, lambda _, v: F.coalesce(items_of(v), F.array_repeat(v, n_rows))
+        fields, lambda k, v: F.coalesce(lists[k], F.array_repeat(text_of(v), n_rows))
     )
 
     def rows(table: Column) -> Column:
         others = F.array_except(F.map_keys(table), F.array(*map(F.lit, KNOWN)))
-        indexes = F.filter(
-            F.sequence(F.lit(0), F.greatest(n_rows - 1, F.lit(0))), lambda i: i < n_rows
-        )
+        # One row per merchant.
         return F.transform(
-            indexes,
-            lambda i: F.struct(
-                *[text_of(F.get(table[c], i)).alias(c) for c in KNOWN],
+            table["merchant"],
+            lambda _, i: F.struct(
+                *[F.get(table[c], i).alias(c) for c in KNOWN],
                 F.map_from_arrays(
-                    others, F.transform(others, lambda k: text_of(F.get(table[k], i)))
+                    others, F.transform(others, lambda k: F.get(table[k], i))
                 ).alias("extra"),
                 F.map_contains_key(table, "amount").alias("has_amount"),
             ),
@@ -153,7 +167,7 @@ def _read_records(records: Column) -> Column:
 
     def value(record: Column, key: Column, names: Column, default: str | None) -> Column:
         return (
-            F.when(F.map_contains_key(record, key), text_of(record[key]))
+            F.when(F.map_contains_key(record, key), record[key])
             .when(F.array_contains(names, key), F.lit(""))
             .otherwise(F.lit(default))
         )
