@@ -12,9 +12,9 @@ set in row order, found here with joins:
    merchants, two rows must also share one of their rarest two-letter pieces;
    the number of pieces looked at is chosen so that no pair above the threshold
    can be missed.
-3. Bounds that Spark evaluates itself (length, shared pieces, edit distance)
-   drop pairs before the exact similarity runs in Python.
-4. If cells are large, rows are taken in order in batches of doubling size.  A
+3. Bounds that Spark evaluates itself (length, letters, shared pieces, edit
+   distance) drop pairs before the exact similarity runs in Python.
+4. If cells are large, rows are taken in order in batches of growing size.  A
    batch is first compared with the rows kept so far, so a large group of
    similar rows is removed by its first rows and never paired with itself.
 5. Inside a batch the greedy rule is applied to the matching pairs in rounds.
@@ -36,9 +36,12 @@ from pyspark.sql import types as T
 
 from spendloom.functions.similarity import similarity
 from spendloom.functions.text import compare_name, is_finite
+from spendloom.functions.variants import let
 from spendloom.session import write_shared
 
 _SLOTS = 4096
+# Each batch ends at this many times the rows where the one before it ended.
+_GROWTH = 4.0
 
 
 @dataclass(frozen=True)
@@ -46,7 +49,9 @@ class NearDupSizes:
     """Sizes that steer the plan.  They change the speed, never the result."""
 
     # A cell with more merchants than this is split by the pieces of the names.
-    split_cell: int = 32
+    split_cell: int = 200
+    # Rows that share a piece beyond this number are spread over several tasks.
+    hot_piece: int = 2000
     # Rows of the largest cell in the first batch.
     first_batch: int = 512
     # Matching pairs that one task may resolve; more are resolved in rounds.
@@ -168,11 +173,13 @@ def similar_name_pairs(
     df: DataFrame, name: str, *, threshold: float = 0.85, sizes: NearDupSizes = NearDupSizes()
 ) -> DataFrame:
     """Pairs of distinct lower-cased names above the threshold, in text order."""
+    distinct = df.select(compare_name(F.col(name)).alias("_name")).distinct()
     names = write_shared(
-        df.select(compare_name(F.col(name)).alias("_name"))
-        .distinct()
-        .select(
-            F.col("_name").alias("_id"), "_name", F.lit(0.0).alias("_amount")
+        distinct.select(
+            F.col("_name").alias("_id"),
+            "_name",
+            F.lit(0.0).alias("_amount"),
+            _letter_bits(F.col("_name")).alias("_bits"),
         ),
         "names",
     )
@@ -210,7 +217,8 @@ def _resolve(
     rows = write_shared(
         _rows(df, order_by, scope)
         .groupBy(*scope, "_name", "_amount", "_lone")
-        .agg(F.min("_id").alias("_id")),
+        .agg(F.min("_id").alias("_id"))
+        .withColumn("_bits", _letter_bits(F.col("_name"))),
         "earliest-rows",
     )
     id_type = rows.schema["_id"].dataType
@@ -243,12 +251,12 @@ def _resolve(
 
 
 def _batches(nodes: DataFrame, largest_cell: int, sizes: NearDupSizes) -> Iterator[DataFrame]:
-    """Rows in order, in batches that double, starting small if a cell is large."""
-    doublings = max(0, math.ceil(math.log2(max(1, largest_cell) / sizes.first_batch)))
-    if not doublings:
+    """Rows in order, in growing batches, starting small if a cell is large."""
+    steps = max(0, math.ceil(math.log(max(1, largest_cell) / sizes.first_batch, _GROWTH)))
+    if not steps:
         yield nodes
         return
-    shares = [0.5**k for k in range(doublings, 0, -1)]
+    shares = [_GROWTH**-k for k in range(steps, 0, -1)]
     # Any bounds are right; approximate ones only make uneven batches.
     bounds = nodes.agg(F.percentile_approx("_id", shares)).first()[0]
     previous = None
@@ -334,6 +342,13 @@ class _Matcher:
         self.split = write_shared(cells.filter(F.col("count") > sizes.split_cell), "split-cells")
         self.largest_cell = self.split.agg(F.max("count")).first()[0] or 0
         self.rank = self._piece_ranks(nodes) if self.largest_cell else None
+        self.hot = None
+        if self.largest_cell > sizes.hot_piece:
+            met = [*scope, "_cell", "_key"]
+            keyed = self._keyed(nodes.withColumn("_cell", _cell(F.col("_amount"))), longer_side=False)
+            counts = keyed.groupBy(*met).count().filter(F.col("count") > sizes.hot_piece)
+            shares = F.ceil(F.col("count") / sizes.hot_piece).cast("int")
+            self.hot = write_shared(counts.select(*met, shares.alias("_shares")), "hot-pieces")
 
     def pairs(self, shorter: DataFrame, longer: DataFrame) -> DataFrame:
         """Matches of rows of ``shorter`` with longer (or equal) names of ``longer``.
@@ -351,18 +366,25 @@ class _Matcher:
             ),
             longer_side=True,
         )
-        on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*self.scope, "_cell", "_key")]
+        met = [*self.scope, "_cell", "_key", "_share"]
+        # Few bytes can be much work here, so the number of tasks is given.
+        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = self._shared_out(left, copy=True).repartition(tasks, *met)
+        right = self._shared_out(right, copy=False).repartition(tasks, *met)
+        on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in met]
         l_len, r_len = F.length("l._name"), F.length("r._name")
         total = l_len + r_len
+        # Letters that are not part of the match; more than this is too many.
+        unmatched = (1 - t) * total + 1e-9
+        most_edits = F.ceil(unmatched).cast("int") - 1
         on += [
-            (l_len < r_len) | ((l_len == r_len) & (F.col("l._id") < F.col("r._id"))),
             F.col("l._id") != F.col("r._id"),
+            F.bit_count(F.col("l._bits").bitwiseXOR(F.col("r._bits"))) < unmatched,
+            (l_len < r_len) | ((l_len == r_len) & (F.col("l._id") < F.col("r._id"))),
             F.abs(F.col("l._amount") - F.col("r._amount")) < 0.01,
-            # What the names have in common is at most the shorter one, and
-            # whatever they do not have in common costs at least one edit.
             2 * l_len + 1e-9 > t * total,
             *self._meet(l_len, r_len),
-            F.levenshtein("l._name", "r._name") < (1 - t) * total + 1e-9,
+            F.call_function("levenshtein", "l._name", "r._name", most_edits) >= 0,
         ]
         l_first = F.col("l._id") < F.col("r._id")
         first, second = F.struct("l._id", "l._name"), F.struct("r._id", "r._name")
@@ -377,8 +399,6 @@ class _Matcher:
             .select(*self.scope, "_a._id", "_a._name", "_b._id", "_b._name")
             .toDF(*self.scope, "_src", "_src_name", "_dst", "_dst_name")
         )
-        # The candidates are few bytes but much work, so spread them by number.
-        tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return (
             candidates.repartition(tasks, *self.scope, "_src", "_dst")
             .withColumn("_score", similarity("_src_name", "_dst_name"))
@@ -403,6 +423,15 @@ class _Matcher:
         whole_cell = F.array(F.lit(0))
         return rows.select("*", F.posexplode(F.coalesce("_rare", whole_cell)).alias("_at", "_key"))
 
+    def _shared_out(self, rows: DataFrame, *, copy: bool) -> DataFrame:
+        """Give each row of a hot piece one of its shares, or a copy in every share."""
+        if self.hot is None:
+            return rows.withColumn("_share", F.lit(0))
+        rows = rows.join(self.hot, [*self.scope, "_cell", "_key"], "left")
+        shares = F.coalesce("_shares", F.lit(1))
+        share = F.explode(F.sequence(F.lit(0), shares - 1)) if copy else F.pmod(F.hash("_id"), shares)
+        return rows.withColumn("_share", share).drop("_shares")
+
     def _meet(self, l_len: Column, r_len: Column) -> list[Column]:
         """Conditions on two rows that share a piece of their names."""
         if self.rank is None:
@@ -415,36 +444,16 @@ class _Matcher:
         first = F.get(F.array_intersect("l._rare", "r._rare"), F.lit(0)) == F.col("l._key")
         return [whole_cell | enough, whole_cell | first]
 
-    def _slots(self, name: Column) -> Column:
-        """The pieces of a name, each as one of a fixed number of slots."""
-        start = "\u0001" * self.piece
-        marked = F.concat(F.lit(start), name, F.lit("\u0002"))
-        return F.transform(
-            F.sequence(F.lit(1), F.length(name) + 2),
-            lambda i: F.pmod(F.hash(F.substring(marked, i, F.lit(self.piece))), F.lit(_SLOTS)),
-        )
-
     def _rare_pieces(self, name: Column) -> Column:
         """Pieces from rare to frequent; the n-th copy of a piece is its own."""
-        in_order = F.array_sort(
-            F.transform(self._slots(name), lambda s: F.element_at(self.rank, s + 1))
-        )
-        # Wrapped in a list of one, so that the sorted ranks are computed once.
-        return F.get(
-            F.transform(
-                F.array(in_order),
-                lambda ranks: F.transform(
-                    ranks,
-                    lambda r, i: r + _SLOTS * (i + 1 - F.array_position(ranks, r)).cast("int"),
-                ),
-            ),
-            F.lit(0),
+        return _numbered_copies(
+            F.transform(_slots(name, self.piece), lambda s: F.element_at(self.rank, s + 1))
         )
 
     def _piece_ranks(self, nodes: DataFrame) -> Column:
         """Rank of each slot by how often it occurs: at most ``_SLOTS`` numbers."""
         counts = (
-            nodes.select(F.explode(self._slots(F.col("_name"))).alias("slot"))
+            nodes.select(F.explode(_slots(F.col("_name"), self.piece)).alias("slot"))
             .groupBy("slot")
             .count()
         )
@@ -459,3 +468,37 @@ class _Matcher:
 def _cell(amount: Column) -> Column:
     """Cells two cents wide, with borders between whole cents."""
     return F.floor(amount * 50 + 0.25)
+
+
+def _slots(name: Column, piece: int) -> Column:
+    """The pieces of a name with marked ends, each as one of a fixed number of slots."""
+    marked = F.concat(F.lit("\u0001" * piece), name, F.lit("\u0002"))
+    return F.transform(
+        F.sequence(F.lit(1), F.length(name) + 2),
+        lambda i: F.pmod(F.hash(F.substring(marked, i, F.lit(piece))), F.lit(_SLOTS)),
+    )
+
+
+def _numbered_copies(slots: Column) -> Column:
+    """Sorted slots, where the n-th copy of a slot is a number of its own."""
+    return let(
+        F.array_sort(slots),
+        lambda ranks: F.transform(
+            ranks, lambda r, i: r + _SLOTS * (i + 1 - F.array_position(ranks, r)).cast("int")
+        ),
+    )
+
+
+def _letter_bits(name: Column) -> Column:
+    """Letters with their copies as 64 bits.
+
+    A bit in which two names differ stands for at least one letter that has no
+    partner in the other name.
+    """
+    return F.aggregate(
+        _numbered_copies(_slots(name, 1)),
+        F.lit(0).cast("long"),
+        lambda bits, letter: bits.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(letter), F.lit(64)))
+        ),
+    )

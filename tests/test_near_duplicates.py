@@ -15,7 +15,7 @@ from spendloom.operators.dedup import (
 )
 
 SCHEMA = "txn_id long, merchant string, amount double"
-TINY = NearDupSizes(split_cell=2, first_batch=60, tail_pairs=10)
+TINY = NearDupSizes(split_cell=2, hot_piece=5, first_batch=40, tail_pairs=10)
 ROUNDS = NearDupSizes(split_cell=8, first_batch=1000, tail_pairs=0)
 
 
