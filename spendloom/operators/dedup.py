@@ -49,7 +49,7 @@ class NearDupSizes:
     """Sizes that steer the plan.  They change the speed, never the result."""
 
     # A cell with more merchants than this is split by the pieces of the names.
-    split_cell: int = 200
+    split_cell: int = 100
     # Rows that share a piece beyond this number are spread over several tasks.
     hot_piece: int = 2000
     # Rows of the largest cell in the first batch.
@@ -179,11 +179,12 @@ def similar_name_pairs(
             F.col("_name").alias("_id"),
             "_name",
             F.lit(0.0).alias("_amount"),
-            _letter_bits(F.col("_name")).alias("_bits"),
         ),
         "names",
     )
-    pairs = _Matcher(names, threshold, (), sizes).pairs(names, names)
+    matcher = _Matcher(names, threshold, (), sizes)
+    names = matcher.prepare(names)
+    pairs = matcher.pairs(names, names)
     return pairs.select(
         F.col("_src").alias("first_name"),
         F.col("_dst").alias("second_name"),
@@ -217,13 +218,13 @@ def _resolve(
     rows = write_shared(
         _rows(df, order_by, scope)
         .groupBy(*scope, "_name", "_amount", "_lone")
-        .agg(F.min("_id").alias("_id"))
-        .withColumn("_bits", _letter_bits(F.col("_name"))),
+        .agg(F.min("_id").alias("_id")),
         "earliest-rows",
     )
     id_type = rows.schema["_id"].dataType
     nodes = rows.filter(F.col("_lone").isNull()).drop("_lone")
     matcher = _Matcher(nodes, threshold, scope, sizes)
+    nodes = matcher.prepare(nodes)
 
     id_fields = [rows.schema[c] for c in scope] + [T.StructField("_id", id_type)]
     pair_fields = id_fields[:-1] + [T.StructField("_src", id_type), T.StructField("_dst", id_type)]
@@ -330,6 +331,7 @@ class _Matcher:
     ) -> None:
         self.threshold = threshold
         self.scope = scope
+        self.sizes = sizes
         # Pieces of two letters need a threshold above 2/3 to bind; below it,
         # single letters are used.
         self.piece = 2 if threshold > 2 / 3 else 1
@@ -343,12 +345,31 @@ class _Matcher:
         self.largest_cell = self.split.agg(F.max("count")).first()[0] or 0
         self.rank = self._piece_ranks(nodes) if self.largest_cell else None
         self.hot = None
-        if self.largest_cell > sizes.hot_piece:
-            met = [*scope, "_cell", "_key"]
-            keyed = self._keyed(nodes.withColumn("_cell", _cell(F.col("_amount"))), longer_side=False)
-            counts = keyed.groupBy(*met).count().filter(F.col("count") > sizes.hot_piece)
-            shares = F.ceil(F.col("count") / sizes.hot_piece).cast("int")
-            self.hot = write_shared(counts.select(*met, shares.alias("_shares")), "hot-pieces")
+
+    def prepare(self, nodes: DataFrame) -> DataFrame:
+        """Compute once what every comparison in a split cell needs of a name."""
+        if self.rank is None:
+            return nodes
+        name = F.col("_name")
+        rows = self._with_split(nodes.withColumn("_cell", _cell(F.col("_amount"))))
+        nodes = write_shared(
+            rows.withColumn("_pieces", F.when(F.col("_split"), self._rare_pieces(name)))
+            .withColumn("_bits", F.when(F.col("_split"), _letter_bits(name)))
+            .drop("_cell", "_split"),
+            "prepared",
+        )
+        if self.largest_cell > self.sizes.hot_piece:
+            met = [*self.scope, "_cell", "_key"]
+            cells = nodes.withColumn("_cell", _cell(F.col("_amount")))
+            counts = self._keyed(cells, longer_side=False).groupBy(*met).count()
+            hot = counts.filter(F.col("count") > self.sizes.hot_piece)
+            shares = F.ceil(F.col("count") / self.sizes.hot_piece).cast("int")
+            self.hot = write_shared(hot.select(*met, shares.alias("_shares")), "hot-pieces")
+        return nodes
+
+    def _with_split(self, rows: DataFrame) -> DataFrame:
+        split = self.split.select(*self.scope, "_cell", F.lit(True).alias("_split"))
+        return rows.join(split, [*self.scope, "_cell"], "left")
 
     def pairs(self, shorter: DataFrame, longer: DataFrame) -> DataFrame:
         """Matches of rows of ``shorter`` with longer (or equal) names of ``longer``.
@@ -372,14 +393,14 @@ class _Matcher:
         left = self._shared_out(left, copy=True).repartition(tasks, *met)
         right = self._shared_out(right, copy=False).repartition(tasks, *met)
         on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in met]
-        l_len, r_len = F.length("l._name"), F.length("r._name")
+        l_len, r_len = F.col("l._length"), F.col("r._length")
         total = l_len + r_len
         # Letters that are not part of the match; more than this is too many.
         unmatched = (1 - t) * total + 1e-9
         most_edits = F.ceil(unmatched).cast("int") - 1
         on += [
             F.col("l._id") != F.col("r._id"),
-            F.bit_count(F.col("l._bits").bitwiseXOR(F.col("r._bits"))) < unmatched,
+            *self._letters_meet(unmatched),
             (l_len < r_len) | ((l_len == r_len) & (F.col("l._id") < F.col("r._id"))),
             F.abs(F.col("l._amount") - F.col("r._amount")) < 0.01,
             2 * l_len + 1e-9 > t * total,
@@ -408,18 +429,20 @@ class _Matcher:
 
     def _keyed(self, rows: DataFrame, *, longer_side: bool) -> DataFrame:
         """One row per key: the cell alone, or the cell and a rare piece."""
+        length = F.length("_name")
+        rows = rows.withColumn("_length", length)
         if self.rank is None:
             return rows.withColumn("_key", F.lit(0))
-        split = self.split.select(*self.scope, "_cell", F.lit(True).alias("_split"))
-        rows = rows.join(split, [*self.scope, "_cell"], "left")
+        rows = self._with_split(rows)
         share = self._share / (2 - self.threshold) if longer_side else self._share
-        length = F.length("_name")
         # Fewest pieces in common with any partner above the threshold; one of
         # them is among the first pieces of both names.
         common = F.floor(F.lit(share) * length + 2 - 1e-9) + 1
         taken = (length + 2 - common + 1).cast("int")
-        rare = F.slice(self._rare_pieces(F.col("_name")), 1, taken)
-        rows = rows.withColumn("_rare", F.when(F.col("_split"), rare))
+        # A row next to a split cell was not prepared.
+        pieces = F.coalesce("_pieces", self._rare_pieces(F.col("_name")))
+        rare = F.when(F.col("_split"), F.slice(pieces, 1, taken))
+        rows = rows.withColumn("_rare", rare).drop("_pieces")
         whole_cell = F.array(F.lit(0))
         return rows.select("*", F.posexplode(F.coalesce("_rare", whole_cell)).alias("_at", "_key"))
 
@@ -432,6 +455,12 @@ class _Matcher:
         share = F.explode(F.sequence(F.lit(0), shares - 1)) if copy else F.pmod(F.hash("_id"), shares)
         return rows.withColumn("_share", share).drop("_shares")
 
+    def _letters_meet(self, unmatched: Column) -> list[Column]:
+        if self.rank is None:
+            return []
+        differing = F.bit_count(F.col("l._bits").bitwiseXOR(F.col("r._bits")))
+        return [F.coalesce(differing < unmatched, F.lit(True))]
+
     def _meet(self, l_len: Column, r_len: Column) -> list[Column]:
         """Conditions on two rows that share a piece of their names."""
         if self.rank is None:
@@ -482,7 +511,7 @@ def _slots(name: Column, piece: int) -> Column:
 def _numbered_copies(slots: Column) -> Column:
     """Sorted slots, where the n-th copy of a slot is a number of its own."""
     return let(
-        F.array_sort(slots),
+        F.sort_array(slots),
         lambda ranks: F.transform(
             ranks, lambda r, i: r + _SLOTS * (i + 1 - F.array_position(ranks, r)).cast("int")
         ),

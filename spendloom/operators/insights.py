@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendloom.operators.quality import completeness
 from spendloom.session import write_shared
 
-LONG_SCHEMA = "section string, name string, value double"
-
 
 def exact_median(df: DataFrame, column: str = "amount", *, max_values: int = 1_000_000):
     """The interpolated median, or None without values.
@@ -65,11 +63,15 @@ def exact_median(df: DataFrame, column: str = "amount", *, max_values: int = 1_0
 
 def amount_summary(df: DataFrame, *, approximate_median: bool = False) -> DataFrame:
     """One row: count, total, mean, median, extremes and sample deviation."""
+    return df.agg(*_amount_columns(df, approximate_median))
+
+
+def _amount_columns(df: DataFrame, approximate_median: bool = False) -> list[Column]:
     if approximate_median:
         median = F.percentile_approx("amount", 0.5)
     else:
         median = F.lit(exact_median(df)).cast("double")
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("total_rows"),
         F.sum("amount").alias("total_amount"),
         F.avg("amount").alias("average_amount"),
@@ -77,7 +79,7 @@ def amount_summary(df: DataFrame, *, approximate_median: bool = False) -> DataFr
         F.min("amount").alias("min_amount"),
         F.max("amount").alias("max_amount"),
         F.stddev_samp("amount").alias("std_amount"),
-    )
+    ]
 
 
 def top_vendors(df: DataFrame, n: int = 10) -> DataFrame:
@@ -104,12 +106,15 @@ def category_breakdown(df: DataFrame) -> DataFrame:
 
 
 def outlier_summary(df: DataFrame) -> DataFrame:
-    flagged = F.count_if("is_outlier")
-    rows = F.count(F.lit(1))
-    return df.agg(
+    return df.agg(*_outlier_columns())
+
+
+def _outlier_columns() -> list[Column]:
+    flagged, rows = F.count_if("is_outlier"), F.count(F.lit(1))
+    return [
         flagged.alias("outlier_count"),
         (flagged / F.when(rows > 0, rows) * 100).alias("outlier_percentage"),
-    )
+    ]
 
 
 def insights(df: DataFrame, counters: DataFrame | None = None) -> DataFrame:
@@ -120,24 +125,32 @@ def insights(df: DataFrame, counters: DataFrame | None = None) -> DataFrame:
     The long form keeps categories, whose number is not bounded, out of a
     single row.
     """
-    parts = []
-    amounts = amount_summary(df) if "amount" in df.columns else df.agg(
-        F.count(F.lit(1)).alias("total_rows")
-    )
-    parts.append(_long(amounts))
-    parts.append(_long(df.agg(completeness(df).alias("data_quality_score"))))
+    columns = _amount_columns(df) if "amount" in df.columns else [F.count(F.lit(1)).alias("total_rows")]
+    if "merchant" in df.columns:
+        columns.append(F.count_distinct("merchant").alias("unique_vendors"))
+    if "is_outlier" in df.columns:
+        columns += _outlier_columns()
+    summary = df.agg(*columns, completeness(df).alias("data_quality_score"))
+    # An empty table has a count and a score, nothing else.
+    always = ("total_rows", "data_quality_score")
+    parts = [
+        _long(
+            summary.select(
+                *[
+                    F.col(c) if c in always else F.when(F.col("total_rows") > 0, F.col(c)).alias(c)
+                    for c in summary.columns
+                ]
+            )
+        )
+    ]
     if "merchant" in df.columns:
-        parts.append(_long(unique_vendors(df).filter("unique_vendors > 0")))
         parts.append(_section(top_vendors(df), "top_vendors", "merchant"))
     if "category" in df.columns:
         parts.append(_section(category_breakdown(df), "category_breakdown", "category"))
-    if "is_outlier" in df.columns:
-        parts.append(
-            _long(outlier_summary(df).filter(F.col("outlier_percentage").isNotNull()))
-        )
     if counters is not None:
         names = counters.columns
-        parts = [p.filter((F.col("section") != "summary") | ~F.col("name").isin(names)) for p in parts]
+        replaced = (F.col("section") == "summary") & F.col("name").isin(names)
+        parts = [p.filter(~replaced) for p in parts]
         parts.append(_long(counters))
     return reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull())
 
@@ -151,5 +164,7 @@ def _long(one_row: DataFrame) -> DataFrame:
 
 def _section(counts: DataFrame, section: str, name: str) -> DataFrame:
     return counts.select(
-        F.lit(section).alias("section"), F.col(name).alias("name"), F.col("n_rows").cast("double").alias("value")
+        F.lit(section).alias("section"),
+        F.col(name).alias("name"),
+        F.col("n_rows").cast("double").alias("value"),
     )

@@ -70,6 +70,17 @@ def trim_cache(cache: DataFrame, *, size: int = 1000, parts: int = 64) -> DataFr
     )
 
 
+def store_replies(cache: DataFrame, replies: DataFrame, *, size: int = 1000) -> DataFrame:
+    """The cache with the new replies as its newest entries, trimmed to ``size``.
+
+    Failed requests and analyses are not stored.
+    """
+    newest = F.coalesce(cache.agg(F.max("seq")).scalar(), F.lit(0))
+    fresh = replies.filter(~F.col("cached") & F.col("reply").isNotNull())
+    fresh = fresh.filter(F.col("kind") != "analysis").withColumn("seq", newest + 1)
+    return trim_cache(cache.unionByName(fresh.select(*cache.columns)), size=size)
+
+
 def ask(asked: DataFrame, make_model: MakeModel, kind: str, *, batch: int = 64) -> DataFrame:
     """Replies to distinct requests, written once so that no retry asks again.
 
@@ -110,7 +121,7 @@ def replies_for(
 ) -> DataFrame:
     """``kind, key, reply, error, cached`` for every distinct request of ``df``."""
     asked = requests(df, kind)
-    if cache is None:
+    if cache is None or kind == "analysis":
         return ask(asked, make_model, kind).withColumn("cached", F.lit(False))
     hits = cache_hits(asked, cache).withColumn("error", F.lit(None).cast("string"))
     fresh = ask(cache_misses(asked, cache), make_model, kind)

@@ -86,6 +86,19 @@ def test_cache(spark, rows):
     }
 
 
+def test_store(spark, rows):
+    cache = spark.createDataFrame([("vendor", "k", "Old", 4)], "kind string, key string, reply string, seq long")
+    replies = m.replies_for(rows, "vendor", upper_model(), cache)
+    stored = m.store_replies(cache, replies)
+    assert {(r.reply, r.seq) for r in stored.collect()} == {("Old", 4), ("AAA", 5), ("BBB", 5), ("GOOGLE X", 5)}
+    assert {r.reply for r in m.store_replies(cache, replies, size=3).collect()} == {"AAA", "BBB", "GOOGLE X"}
+    again = m.replies_for(rows, "vendor", upper_model(), stored)
+    assert {(r.reply, r.cached) for r in again.collect()} == {
+        ("AAA", True), ("BBB", True), ("GOOGLE X", True), (None, False)
+    }
+    assert m.store_replies(cache.filter("false"), replies).count() == 3
+
+
 @pytest.mark.parametrize("size", [1, 7, 1500])
 def test_trim_cache(spark, size):
     cache = spark.range(4000).select(
