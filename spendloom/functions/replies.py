@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spendloom.functions import fixed
-from spendloom.functions.text import _NUMBER, strip
+from spendloom.functions.text import NUMBER, strip
 from spendloom.functions.variants import fields_of, let, strict_json, text_of
 
 
@@ -63,7 +63,7 @@ def _confidence(fields: Column) -> Column:
     text = text_of(value)
     number = (
         F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "double"))
-        .when(text.rlike(_NUMBER), text.try_cast("double"))
+        .when(text.rlike(NUMBER), text.try_cast("double"))
     )
     return F.when(F.map_contains_key(fields, "confidence"), number).when(
         fields.isNotNull(), F.lit(0.0)

@@ -10,7 +10,7 @@ from spendloom.functions.fixed import WHITE_SPACE
 
 # Digits with an optional point, sign and exponent.  Needed because a cast
 # alone also accepts '1f', '0x1p3' and 'Infinity'.
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def strip(text: Column) -> Column:
@@ -24,7 +24,7 @@ def money(value: Column, data_type: T.DataType) -> Column:
         number = value.cast("double")
     else:
         plain = F.translate(value.cast("string"), "$,", "")
-        number = F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+        number = F.when(plain.rlike(NUMBER), plain.try_cast("double"))
     return F.when(is_finite(number), number).otherwise(F.lit(0.0))
 
 

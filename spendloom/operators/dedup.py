@@ -243,10 +243,10 @@ def _resolve(
         found = write_shared(matcher.pairs(batch, batch).select(pairs.columns), "pairs")
         pairs = pairs.unionByName(found)
         gone = _greedy(found, scope, sizes.tail_pairs)
+        staying = batch.join(gone, [*scope, "_id"], "left_anti")
         if len(batches) > 1:
-            gone = write_shared(gone, "removed")
+            gone, staying = write_shared(gone, "removed"), write_shared(staying, "kept")
         removed = removed.unionByName(gone)
-        staying = batch.join(gone, [*scope, "_id"], "left_anti")
         kept = staying if kept is None else kept.unionByName(staying)
     return rows, removed, pairs
 
@@ -387,7 +387,10 @@ class _Matcher:
             ),
             longer_side=True,
         )
-        met = [*self.scope, "_cell", "_key", "_share"]
+        # Keys that are the same for all rows would cost a second shuffle.
+        met = [*self.scope, "_cell"]
+        met += ["_key"] if self.rank is not None else []
+        met += ["_share"] if self.hot is not None else []
         # Few bytes can be much work here, so the number of tasks is given.
         tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         left = self._shared_out(left, copy=True).repartition(tasks, *met)
@@ -399,7 +402,6 @@ class _Matcher:
         unmatched = (1 - t) * total + 1e-9
         most_edits = F.ceil(unmatched).cast("int") - 1
         on += [
-            F.col("l._id") != F.col("r._id"),
             *self._letters_meet(unmatched),
             (l_len < r_len) | ((l_len == r_len) & (F.col("l._id") < F.col("r._id"))),
             F.abs(F.col("l._amount") - F.col("r._amount")) < 0.01,

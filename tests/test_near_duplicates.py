@@ -121,6 +121,20 @@ def test_plan_has_no_pair_loop(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("sizes", [NearDupSizes(), NearDupSizes(split_cell=2), TINY])
+def test_candidates_are_shuffled_once_per_side(spark, sizes):
+    from spendloom.operators import dedup
+
+    rows = random_rows(5, 200, spellings(5, 9, 9, 3), [0.0, 1.0])
+    nodes = spark.createDataFrame(rows, "_id long, _name string, _amount double").na.fill("none")
+    matcher = dedup._Matcher(nodes, 0.85, (), sizes)
+    nodes = matcher.prepare(nodes)
+    plan = matcher.pairs(nodes, nodes)._jdf.queryExecution().executedPlan().toString()
+    joins = plan.count("SortMergeJoin")
+    # One for each side, and one that spreads the candidates.
+    assert joins == 1 and plan.count("Exchange hashpartitioning") == 3
+
+
 def test_exact_duplicates(spark):
     rows = [(3, "a", None, {"k": "1"}), (1, "a", None, {"k": "1"}), (2, "a", "x", {"k": "1"}),
             (4, "a", None, {"k": "2"})]
