@@ -713,10 +713,11 @@ SELECT txn_id, merchant, amount, coalesce(description,'No description') AS descr
  coalesce(category,'Other') AS category, abs((amount - m) / s) > 3 AS is_outlier FROM kept, s""",
         "insights_all": _finished_sql() + """, v AS (
 SELECT 'summary' AS section, unnest(['total_rows','data_quality_score','total_amount','average_amount','median_amount',
-  'min_amount','max_amount','std_amount','unique_vendors','outlier_count','outlier_percentage','ai_requests','ai_cost','cache_hits']) AS name,
+  'min_amount','max_amount','std_amount','unique_vendors','outlier_count','outlier_percentage','ai_requests','ai_cost','cache_hits',
+  'rows_processed','outliers_flagged']) AS name,
  unnest([count(*), 1.0, sum(amount), avg(amount), median(amount), min(amount), max(amount), stddev_samp(amount),
   count(DISTINCT merchant), count(*) FILTER (WHERE is_outlier), count(*) FILTER (WHERE is_outlier) / count(*) * 100,
-  2 * count(*), 0.02 * count(*), 0.0]::DOUBLE[]) AS value FROM done
+  2 * count(*), 0.02 * count(*), 0.0, (SELECT count(*) FROM t), count(*) FILTER (WHERE is_outlier)]::DOUBLE[]) AS value FROM done
 UNION ALL (SELECT 'top_vendors', merchant, CAST(count(*) AS DOUBLE) AS n FROM done GROUP BY merchant ORDER BY n DESC, merchant LIMIT 10)
 UNION ALL SELECT 'category_breakdown', category, CAST(count(*) AS DOUBLE) FROM done GROUP BY category)
 SELECT section, name, round(value, 2) AS value FROM v""",

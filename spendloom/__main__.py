@@ -16,6 +16,7 @@ from spendloom.config import CleanConfig
 from spendloom.operators.insights import insights
 from spendloom.operators.order import add_txn_id
 from spendloom.plans.cleaning import run
+from spendloom.session import temporary_tables
 from spendloom.sources import payloads, tables
 
 
@@ -30,7 +31,11 @@ def main(arguments: list[str] | None = None) -> None:
     options = parser.parse_args(arguments)
     config = CleanConfig.from_dict(json.loads(options.config))
     spark = SparkSession.builder.appName("spendloom").getOrCreate()
+    with temporary_tables(spark):
+        _work(spark, options, config)
 
+
+def _work(spark: SparkSession, options: argparse.Namespace, config: CleanConfig) -> None:
     if options.payloads:
         source = spark.read.format(options.format).load(options.input)
         payloads.rejects(source).write.mode("overwrite").parquet(f"{options.output}/rejects")
@@ -43,7 +48,7 @@ def main(arguments: list[str] | None = None) -> None:
     target = f"{options.output}/rows"
     result.rows.write.mode("overwrite").format(options.output_format).save(target)
     written = spark.read.format(options.output_format).schema(result.rows.schema).load(target)
-    found = insights(written, result.usage.select("ai_requests", "ai_cost"))
+    found = insights(written, result.usage.drop("cleaner_version"))
     found.write.mode("overwrite").format(options.output_format).save(f"{options.output}/insights")
 
 

@@ -131,6 +131,8 @@ def insights(df: DataFrame, counters: DataFrame | None = None) -> DataFrame:
     if "is_outlier" in df.columns:
         columns += _outlier_columns()
     summary = df.agg(*columns, completeness(df).alias("data_quality_score"))
+    if counters is not None and "is_outlier" in df.columns:
+        summary = summary.withColumn("outliers_flagged", F.col("outlier_count"))
     # An empty table has a count and a score, nothing else.
     always = ("total_rows", "data_quality_score")
     parts = [

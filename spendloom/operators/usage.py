@@ -42,12 +42,16 @@ def run_usage(
         if enabled:
             requests, cost = requests + count, cost + count * cents[kind]
     processed = rows_in.agg(F.count(F.lit(1))).scalar()
-    return (
+    report = (
         rows_kept.agg(requests.alias("ai_requests"), (cost / 100).alias("ai_cost"))
         .withColumn("cleaner_version", F.lit(fixed.REPORT_VERSION))
         .withColumn("rows_processed", processed)
         .select("cleaner_version", "rows_processed", "ai_requests", "ai_cost")
     )
+    if config.chunked:
+        chunks = F.ceil(F.col("rows_processed") / config.chunk_size)
+        report = report.withColumn("chunks_processed", chunks)
+    return report
 
 
 def client_usage(log: DataFrame) -> DataFrame:

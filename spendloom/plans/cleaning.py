@@ -180,5 +180,5 @@ def clean_and_summarise(
     else:
         result.rows.write.mode("overwrite").parquet(path)
         rows = df.sparkSession.read.schema(result.rows.schema).parquet(path)
-    counters = result.usage.select("ai_requests", "ai_cost", F.lit(0).alias("cache_hits"))
+    counters = result.usage.drop("cleaner_version").withColumn("cache_hits", F.lit(0))
     return rows, insights(rows, counters)

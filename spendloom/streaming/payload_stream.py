@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spendloom.config import CleanConfig
 from spendloom.plans.cleaning import run
-from spendloom.session import write_shared
+from spendloom.session import temporary_tables, write_shared
 from spendloom.sources import payloads as payload_source
 
 
@@ -43,12 +43,13 @@ def clean_stream(
         def save(df: DataFrame, table: str) -> None:
             df.write.mode("overwrite").parquet(f"{out_dir}/{table}/batch_id={batch_id}")
 
-        # Parsed once; the steps below read it several times.
-        rows = write_shared(payload_source.transactions(batch), "stream-rows")
-        result = run(rows, config, order_by="position", scope=["payload_id"])
-        save(result.rows, "rows")
-        save(payload_source.rejects(batch), "rejects")
-        save(result.usage.withColumn("ts", F.current_timestamp()), "usage")
+        with temporary_tables(batch.sparkSession):
+            # Parsed once; the steps below read it several times.
+            rows = write_shared(payload_source.transactions(batch), "stream-rows")
+            result = run(rows, config, order_by="position", scope=["payload_id"])
+            save(result.rows, "rows")
+            save(payload_source.rejects(batch), "rejects")
+            save(result.usage.withColumn("ts", F.current_timestamp()), "usage")
 
     writer = payloads.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,6 +1,20 @@
+import os
+
 from pyspark.sql import functions as F
 
 from spendloom.__main__ import main
+from spendloom.session import shared_dir, temporary_tables, write_shared
+
+
+def test_temporary_tables(spark):
+    before = write_shared(spark.range(3), "outer")
+    with temporary_tables(spark):
+        inside = write_shared(spark.range(4), "inner")
+        folder = inside.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert inside.count() == 4 and os.path.isdir(folder)
+    assert not os.path.isdir(folder)
+    assert before.count() == 3
+    assert "inner" not in " ".join(os.listdir(shared_dir(spark).removeprefix("file:")))
 
 
 def test_table_job(spark, tmp_path):

@@ -105,6 +105,7 @@ def test_chunks_are_cleaned_on_their_own(spark):
         part = df.filter((F.col("txn_id") >= start) & (F.col("txn_id") < start + 30))
         apart |= {tuple(r) for r in clean_transactions(part).collect()}
     assert together == apart
+    assert run(df, config).usage.first().chunks_processed == 4
     assert len(together) > clean_transactions(df).count()
 
 
