@@ -31,7 +31,7 @@ from spendloom.operators import (
     usage,
     vendors,
 )
-from spendloom.plans import cleaning
+from spendloom.plans import cleaning, payload_configs
 from spendloom.session import shared_dir, write_shared
 from spendloom.sources import payloads, tables
 from spendloom.streaming import payload_stream
@@ -472,6 +472,13 @@ def q_stream_clean_batches(spark, sf):
     )
 
 
+def q_clean_payloads(spark, sf):
+    rows, _ = payload_configs.clean_payloads_by_config(_derive(spark, sf, sql.PAYLOADS))
+    return rows.select(
+        "payload_id", "position", "merchant", "amount", "description", "memo", "category", "is_outlier"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         name.removeprefix("q_"): function
@@ -734,6 +741,16 @@ SELECT section, name, round(value, 2) AS value FROM v""",
 FROM log""",
         "usage_by_chunk": f"""{_LOG} SELECT run_id, count(*) AS ai_requests, round(sum(cents) / 100, 6) AS ai_cost,
  count(*) FILTER (WHERE cached) AS cache_hits FROM log GROUP BY run_id""",
+        "clean_payloads": f"""
+SELECT o_orderkey AS payload_id, CAST(0 AS BIGINT) AS position,
+ CASE WHEN {shape} = 5 THEN {shop} ELSE 'Unknown Vendor' END AS merchant,
+ CASE {shape} WHEN 2 THEN 0.0 WHEN 5 THEN 1234.5 WHEN 12 THEN 1.0 ELSE {price} END AS amount,
+ CASE WHEN {shape} IN (0,2,3,4) THEN '' ELSE 'No description' END AS description,
+ CASE WHEN {shape} IN (4,12) THEN o_orderstatus END AS memo, 'Other' AS category, false AS is_outlier
+FROM orders WHERE {shape} IN (0,1,2,3,4,5,12)
+UNION ALL SELECT o_orderkey, 1, 'Unknown Vendor', CASE {shape} WHEN 0 THEN 0.0 WHEN 1 THEN 25.0 ELSE 2.0 END,
+ CASE WHEN {shape} = 0 THEN '' ELSE 'No description' END, CASE WHEN {shape} = 12 THEN o_orderstatus END, 'Other', false
+FROM orders WHERE {shape} IN (0,1,12)""",
         "stream_clean_batches": f"""SELECT payload_id, CAST(i AS BIGINT) AS position, 'Amazon' AS merchant,
  CASE WHEN i = 0 THEN c / 100 WHEN i = 1 THEN 7.0 ELSE 8.0 END AS amount, '' AS description,
  'Office Supplies & Equipment' AS category, false AS is_outlier

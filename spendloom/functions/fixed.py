@@ -59,6 +59,8 @@ REJECT_SHAPE = "Unrecognized data format"
 REJECT_EMPTY = "No transactions provided"
 REJECT_ITEM = "All transaction items must be objects"
 REJECT_MERCHANT = "All transactions must have a 'merchant' field"
+# Not a fixed value: our own reason for options that are not valid.
+REJECT_CONFIG = "Config is not valid"
 
 # Every character that counts as white space around a text.
 WHITE_SPACE = (

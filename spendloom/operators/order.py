@@ -36,15 +36,16 @@ def add_chunk(
     numbered inside their range and shifted by the rows of earlier ranges, so
     no task sorts the whole table.  Any cut points give the same numbers.
     """
-    parts = min(2000, df.count() // rows_per_part)
+    parts = min(20_000, df.count() // rows_per_part)
     cuts = []
     if parts > 1:
         shares = [k / parts for k in range(1, parts)]
-        cuts = sorted(set(df.agg(F.percentile_approx(order_by, shares)).first()[0]))
+        found = F.percentile_approx(order_by, shares, max(10_000, 50 * parts))
+        cuts = sorted(set(df.agg(found).first()[0]))
     part = _range_of(cuts)(F.col(order_by)) if cuts else F.lit(0)
     rows = df.withColumn("_part", part)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 2000 ranges, whatever the size of the table.
+    # At most 20,000 ranges, whatever the size of the table.
     shift = (
         rows.groupBy("_part")
         .count()

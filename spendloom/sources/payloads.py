@@ -62,15 +62,26 @@ def rejects(payloads: DataFrame) -> DataFrame:
 
 def configs(payloads: DataFrame) -> DataFrame:
     """The ``config`` object that came with a payload, as JSON text."""
-    config = fields_of(strict_json(F.col("body")))["config"]
-    return payloads.select("payload_id", text_of(config).alias("config")).filter("config is not null")
+    found = payloads.select("payload_id", F.explode_outer(F.array(config_text())).alias("config"))
+    return found.filter("config is not null")
+
+
+def config_text() -> Column:
+    """The ``config`` of a body, null without one."""
+    return text_of(fields_of(strict_json(F.col("body")))["config"])
+
+
+def request_tag() -> Column:
+    """The same body always has the same tag."""
+    digest = F.md5(F.coalesce("body", F.lit("")))
+    return F.concat(F.lit("req-"), F.substring(digest, 1, 8))
 
 
 def _read(payloads: DataFrame) -> DataFrame:
     read = let(strict_json(F.col("body")), _split_envelope)
     return payloads.select(
         "payload_id",
-        F.concat(F.lit("req-"), F.substring(F.md5(F.coalesce("body", F.lit(""))), 1, 8)).alias("request_id"),
+        request_tag().alias("request_id"),
         F.coalesce(read, _reject(fixed.REJECT_NOT_JSON)).alias("_read"),
     )
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendloom.functions import fixed
+from spendloom.plans.payload_configs import clean_payloads_by_config
 from spendloom.sources import payloads
 
 X = {"merchant": "X", "amount": "50", "description": ""}
@@ -84,6 +85,34 @@ def test_reading_needs_no_shuffle(spark):
         assert "Exchange" not in out._jdf.queryExecution().toString()
 
 
+def test_own_configs(spark):
+    records = '[{"merchant":"Amazon","amount":5},{"merchant":"amazon.","amount":5}]'
+    bodies = [
+        (1, records),
+        (2, '{"data":%s,"config":{"enable_ai":false}}' % records),
+        (3, '{"data":%s,"config":{"duplicate_threshold":"0.99","enable_ai":false}}' % records),
+        (4, '{"data":%s,"config":{"enable_ai":"no"}}' % records),
+        (5, '{"data":%s,"config":5}' % records),
+        (6, "[]"),
+    ]
+    df = spark.createDataFrame(bodies, "payload_id long, body string")
+    rows, rejects = clean_payloads_by_config(df)
+    found = sorted((r.payload_id, r.position, r.merchant, r.category) for r in rows.collect())
+    assert found == [
+        (1, 0, "Amazon", "Office Supplies & Equipment"),
+        (2, 0, "Amazon", "Other"),
+        (3, 0, "Amazon", "Other"),
+        (3, 1, "amazon.", "Other"),
+    ]
+    assert {r.payload_id: r.reason for r in rejects.collect()} == {
+        4: fixed.REJECT_CONFIG, 5: fixed.REJECT_CONFIG, 6: fixed.REJECT_EMPTY
+    }
+    with pytest.raises(ValueError):
+        clean_payloads_by_config(df, most_configs=2)
+    nothing, rejects = clean_payloads_by_config(df.filter("payload_id > 3"))
+    assert nothing.count() == 0 and rejects.count() == 3
+
+
 def test_long_payload(spark):
     df = spark.range(1).select(
         F.lit(1).alias("payload_id"),
