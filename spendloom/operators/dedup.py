@@ -55,7 +55,7 @@ class NearDupSizes:
     # Rows of the largest cell in the first batch.
     first_batch: int = 512
     # Matching pairs that one task may resolve; more are resolved in rounds.
-    tail_pairs: int = 100_000
+    tail_pairs: int = 500_000
 
 
 def drop_exact_duplicates(df: DataFrame, *, order_by: str = "txn_id") -> DataFrame:
@@ -275,26 +275,38 @@ def _greedy(pairs: DataFrame, scope: tuple[str, ...], tail_pairs: int) -> DataFr
     """Ids removed by the greedy rule, from pairs ``_src`` earlier than ``_dst``.
 
     Each round settles the rows that no open row precedes: they stay, and what
-    they match goes.  Every round settles at least one row, so this ends.
+    they match goes.  Long chains of rows in order would need as many rounds,
+    so after a round that settles little, the earliest pairs are read in order
+    by one task, up to ``tail_pairs`` of them.
     """
     src = [*scope, "_src"]
     dst = [*scope, "_dst"]
     settled = []
+
+    def without(open_pairs: DataFrame, gone: DataFrame) -> DataFrame:
+        settled.append(gone.withColumnRenamed("_dst", "_id"))
+        rest = open_pairs.join(gone, dst, "left_anti").join(
+            gone.withColumnRenamed("_dst", "_src"), src, "left_anti"
+        )
+        return write_shared(rest, "open-pairs")
+
     open_pairs, n_open = pairs, pairs.count()
     while n_open > tail_pairs:
         later = open_pairs.select(*scope, F.col("_dst").alias("_src")).distinct()
         first = open_pairs.select(*src).distinct().join(later, src, "left_anti")
-        gone = write_shared(
-            open_pairs.join(first, src, "left_semi").select(*dst).distinct(), "removed"
-        )
-        settled.append(gone.withColumnRenamed("_dst", "_id"))
-        open_pairs = write_shared(
-            open_pairs.join(gone, dst, "left_anti").join(
-                gone.withColumnRenamed("_dst", "_src"), src, "left_anti"
-            ),
-            "open-pairs",
-        )
-        n_open = open_pairs.count()
+        gone = open_pairs.join(first, src, "left_semi").select(*dst).distinct()
+        open_pairs = without(open_pairs, write_shared(gone, "removed"))
+        before, n_open = n_open, open_pairs.count()
+        if tail_pairs and n_open > max(tail_pairs, 0.8 * before):
+            share = F.percentile_approx("_src", tail_pairs / n_open)
+            bound = open_pairs.agg(share).first()[0]
+            early = F.col("_src") <= bound
+            # Rows with many pairs can put more pairs below the bound.
+            if open_pairs.filter(early).count() <= 2 * tail_pairs:
+                gone = _greedy_in_one_task(open_pairs.filter(early), scope)
+                gone = write_shared(gone.withColumnRenamed("_id", "_dst"), "removed")
+                open_pairs = without(open_pairs.filter(~early), gone)
+                n_open = open_pairs.count()
     settled.append(_greedy_in_one_task(open_pairs, scope))
     return reduce(DataFrame.unionByName, settled)
 

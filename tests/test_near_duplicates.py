@@ -115,6 +115,15 @@ def test_hot_group_of_similar_rows_is_not_paired_with_itself(spark):
     assert kept == {r[0] for r in rows} - set(near_duplicate_removers(rows))
 
 
+@pytest.mark.parametrize("tail_pairs", [60, 100])
+def test_long_chain_in_order(spark, tail_pairs):
+    """Each row matches the next one only, so rounds settle one row each."""
+    rows = [(i, "Meter reading", round(i * 0.006, 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    expected = {r[0] for r in rows} - set(near_duplicate_removers(rows))
+    assert survivors(df, sizes=NearDupSizes(tail_pairs=tail_pairs)) == expected
+
+
 def test_plan_has_no_pair_loop(spark):
     df = spark.createDataFrame(random_rows(5, 100, spellings(5, 5, 5, 3), [0.0, 1.0]), SCHEMA)
     plan = drop_near_duplicates(df, sizes=TINY)._jdf.queryExecution().toString()
