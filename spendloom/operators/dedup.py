@@ -52,6 +52,8 @@ class NearDupSizes:
     split_cell: int = 100
     # Rows that share a piece beyond this number are spread over several tasks.
     hot_piece: int = 2000
+    # Longer names are compared without carrying their text along.
+    long_name: int = 200
     # Rows of the largest cell in the first batch.
     first_batch: int = 512
     # Matching pairs that one task may resolve; more are resolved in rounds.
@@ -357,6 +359,7 @@ class _Matcher:
         self.largest_cell = self.split.agg(F.max("count")).first()[0] or 0
         self.rank = self._piece_ranks(nodes) if self.largest_cell else None
         self.hot = None
+        self.has_long = False
 
     def prepare(self, nodes: DataFrame) -> DataFrame:
         """Compute once what every comparison in a split cell needs of a name."""
@@ -370,6 +373,8 @@ class _Matcher:
             .drop("_cell", "_split"),
             "prepared",
         )
+        longest = nodes.agg(F.max(F.length("_name"))).first()[0]
+        self.has_long = longest > self.sizes.long_name
         if self.largest_cell > self.sizes.hot_piece:
             met = [*self.scope, "_cell", "_key"]
             cells = nodes.withColumn("_cell", _cell(F.col("_amount")))
@@ -389,58 +394,97 @@ class _Matcher:
         Pass one table twice for the matches within it, and two tables in both
         orders for the matches between them.
         """
-        t = self.threshold
-        near = F.col("_amount")
-        reach = F.when(F.abs(near) < 2.0**47, 0.0125 + F.abs(near) * 2.0**-50).otherwise(0.0)
-        left = self._keyed(shorter.withColumn("_cell", _cell(near)), longer_side=False)
-        right = self._keyed(
-            longer.withColumn(
-                "_cell", F.explode(F.sequence(_cell(near - reach), _cell(near + reach)))
-            ),
-            longer_side=True,
-        )
-        # Keys that are the same for all rows would cost a second shuffle.
-        met = [*self.scope, "_cell"]
-        met += ["_key"] if self.rank is not None else []
-        met += ["_share"] if self.hot is not None else []
+        if not self.has_long:
+            return self._verified(self._candidates(shorter, longer))
+        length = F.length("_name")
+        limit = self.sizes.long_name
+        least = self.threshold / (2 - self.threshold) * limit - 1
+        within = self._candidates(shorter.filter(length <= limit), longer.filter(length <= limit))
+        beyond = self._long_candidates(shorter.filter(length > least), longer.filter(length > limit))
+        return self._verified(within.unionByName(beyond))
+
+    def _verified(self, candidates: DataFrame) -> DataFrame:
+        """The candidates above the threshold.  The earlier row is ``_src``."""
+        names = ["_src", "_src_name", "_dst", "_dst_name"]
+
+        def pair(*columns: str) -> Column:
+            return F.struct(*[F.col(c).alias(n) for c, n in zip(columns, names)])
+
+        in_order = F.when(F.col("_l") < F.col("_r"), pair("_l", "_l_name", "_r", "_r_name"))
+        in_order = in_order.otherwise(pair("_r", "_r_name", "_l", "_l_name"))
         # Few bytes can be much work here, so the number of tasks is given.
-        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = self._shared_out(left, copy=True).repartition(tasks, *met)
-        right = self._shared_out(right, copy=False).repartition(tasks, *met)
-        on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in met]
-        l_len, r_len = F.col("l._length"), F.col("r._length")
-        total = l_len + r_len
-        # Letters that are not part of the match; more than this is too many.
-        unmatched = (1 - t) * total + 1e-9
-        most_edits = F.ceil(unmatched).cast("int") - 1
-        on += [
-            *self._letters_meet(unmatched),
-            (l_len < r_len) | ((l_len == r_len) & (F.col("l._id") < F.col("r._id"))),
-            F.abs(F.col("l._amount") - F.col("r._amount")) < 0.01,
-            2 * l_len + 1e-9 > t * total,
-            *self._meet(l_len, r_len),
-            F.call_function("levenshtein", "l._name", "r._name", most_edits) >= 0,
-        ]
-        l_first = F.col("l._id") < F.col("r._id")
-        first, second = F.struct("l._id", "l._name"), F.struct("r._id", "r._name")
-        candidates = (
-            left.alias("l")
-            .join(right.alias("r").hint("merge"), reduce(Column.__and__, on))
-            .select(
-                *[F.col(f"l.{c}").alias(c) for c in self.scope],
-                F.when(l_first, first).otherwise(second).alias("_a"),
-                F.when(l_first, second).otherwise(first).alias("_b"),
-            )
-            .select(*self.scope, "_a._id", "_a._name", "_b._id", "_b._name")
-            .toDF(*self.scope, "_src", "_src_name", "_dst", "_dst_name")
-        )
         return (
-            candidates.repartition(tasks, *self.scope, "_src", "_dst")
+            candidates.select(*self.scope, in_order.alias("_pair"))
+            .select(*self.scope, "_pair.*")
+            .repartition(self._tasks(candidates), *self.scope, "_src", "_dst")
             .withColumn("_score", similarity("_src_name", "_dst_name"))
-            .filter(F.col("_score") > t)
+            .filter(F.col("_score") > self.threshold)
             .select(*self.scope, "_src", "_dst", "_score")
         )
 
+    def _candidates(self, shorter: DataFrame, longer: DataFrame) -> DataFrame:
+        """Pairs that pass all bounds, with their names."""
+        left, right = self._sides(shorter, longer)
+        met = self._meet(F.col("l._length"), F.col("r._length"))
+        close = self._few_edits(F.col("l._name"), F.col("r._name"))
+        return self._joined(left, right, [*met, *self._first_meeting(), close]).select(
+            *[F.col(f"l.{c}").alias(c) for c in self.scope],
+            *[F.col(f"{side}.{c}").alias(f"_{side}{c.removeprefix('_id')}")
+              for side in "lr" for c in ("_id", "_name")],
+        )
+
+    def _long_candidates(self, shorter: DataFrame, longer: DataFrame) -> DataFrame:
+        """The same for long names, which have many pieces: their rows carry no text.
+
+        A pair can meet more than once; the names are fetched for the pairs left.
+        """
+        left, right = self._sides(shorter, longer)
+        left, right = (side.drop("_name", "_rare") for side in (left, right))
+        met = self._meet(F.col("l._length"), F.col("r._length"))
+        pairs = (
+            self._joined(left, right, met)
+            .select(
+                *[F.col(f"l.{c}").alias(c) for c in self.scope],
+                F.col("l._id").alias("_l"),
+                F.col("r._id").alias("_r"),
+            )
+            .distinct()
+        )
+        for side, table in (("_l", shorter), ("_r", longer)):
+            names = table.select(
+                *self.scope, F.col("_id").alias(side), F.col("_name").alias(f"{side}_name")
+            )
+            pairs = pairs.join(names, [*self.scope, side])
+        return pairs.filter(self._few_edits(F.col("_l_name"), F.col("_r_name")))
+
+    def _sides(self, shorter: DataFrame, longer: DataFrame) -> tuple[DataFrame, DataFrame]:
+        near = F.col("_amount")
+        reach = F.when(F.abs(near) < 2.0**47, 0.0125 + F.abs(near) * 2.0**-50).otherwise(0.0)
+        around = F.explode(F.sequence(_cell(near - reach), _cell(near + reach)))
+        left = self._keyed(shorter.withColumn("_cell", _cell(near)), longer_side=False)
+        right = self._keyed(longer.withColumn("_cell", around), longer_side=True)
+        return self._shared_out(left, copy=True), self._shared_out(right, copy=False)
+
+    def _joined(self, left: DataFrame, right: DataFrame, conditions: list[Column]) -> DataFrame:
+        """Rows ``l`` and ``r`` of the same keys that meet the conditions."""
+        # Keys that are the same for all rows would cost a second shuffle.
+        keys = [*self.scope, "_cell"]
+        keys += ["_key"] if self.rank is not None else []
+        keys += ["_share"] if self.hot is not None else []
+        left, right = (side.repartition(self._tasks(side), *keys) for side in (left, right))
+        on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in keys] + conditions
+        return left.alias("l").join(right.alias("r").hint("merge"), reduce(Column.__and__, on))
+
+    @staticmethod
+    def _tasks(df: DataFrame) -> int:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def _few_edits(self, first: Column, second: Column) -> Column:
+        """Edit distance within the letters that may be left unmatched."""
+        unmatched = (1 - self.threshold) * (F.length(first) + F.length(second)) + 1e-9
+        most = F.ceil(unmatched).cast("int") - 1
+        return F.call_function("levenshtein", first, second, most) >= 0
+
     def _keyed(self, rows: DataFrame, *, longer_side: bool) -> DataFrame:
         """One row per key: the cell alone, or the cell and a rare piece."""
         length = F.length("_name")
@@ -469,23 +513,29 @@ class _Matcher:
         share = F.explode(F.sequence(F.lit(0), shares - 1)) if copy else F.pmod(F.hash("_id"), shares)
         return rows.withColumn("_share", share).drop("_shares")
 
-    def _letters_meet(self, unmatched: Column) -> list[Column]:
+    def _meet(self, l_len: Column, r_len: Column) -> list[Column]:
+        """Bounds that need no text, the cheapest and most selective first."""
+        total = l_len + r_len
+        rules = [
+            (l_len < r_len) | ((l_len == r_len) & (F.col("l._id") < F.col("r._id"))),
+            F.abs(F.col("l._amount") - F.col("r._amount")) < 0.01,
+            2 * l_len + 1e-9 > self.threshold * total,
+        ]
         if self.rank is None:
-            return []
+            return rules
         differing = F.bit_count(F.col("l._bits").bitwiseXOR(F.col("r._bits")))
-        return [F.coalesce(differing < unmatched, F.lit(True))]
+        letters = F.coalesce(differing < (1 - self.threshold) * total + 1e-9, F.lit(True))
+        # Pieces that can still be shared, counted from this one on.
+        left = F.least(l_len - F.col("l._at"), r_len - F.col("r._at")) + 2
+        enough = left > F.lit(self._share / 2) * total + 2 - 1e-9
+        return [letters, *rules, F.col("l._split").isNull() | enough]
 
-    def _meet(self, l_len: Column, r_len: Column) -> list[Column]:
-        """Conditions on two rows that share a piece of their names."""
+    def _first_meeting(self) -> list[Column]:
+        """A pair shares many pieces; take it at the first one only."""
         if self.rank is None:
             return []
-        whole_cell = F.col("l._split").isNull()
-        # Pieces that can still be shared, counted from this one on.
-        left = F.least(l_len - F.col("l._at"), r_len - F.col("r._at")) + 2
-        enough = left > F.lit(self._share / 2) * (l_len + r_len) + 2 - 1e-9
-        # A pair shares many pieces; take it at the first one only.
         first = F.get(F.array_intersect("l._rare", "r._rare"), F.lit(0)) == F.col("l._key")
-        return [whole_cell | enough, whole_cell | first]
+        return [F.col("l._split").isNull() | first]
 
     def _rare_pieces(self, name: Column) -> Column:
         """Pieces from rare to frequent; the n-th copy of a piece is its own."""

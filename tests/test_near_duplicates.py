@@ -16,6 +16,7 @@ from spendloom.operators.dedup import (
 
 SCHEMA = "txn_id long, merchant string, amount double"
 TINY = NearDupSizes(split_cell=2, hot_piece=5, first_batch=40, tail_pairs=10)
+LONG = NearDupSizes(split_cell=2, long_name=9, hot_piece=20)
 ROUNDS = NearDupSizes(split_cell=8, first_batch=1000, tail_pairs=0)
 
 
@@ -65,7 +66,7 @@ def spellings(seed, bases, per_base, edits):
     return [*names, None, "", "nan"]
 
 
-@pytest.mark.parametrize("sizes", [NearDupSizes(), TINY, ROUNDS], ids=["default", "tiny", "rounds"])
+@pytest.mark.parametrize("sizes", [NearDupSizes(), TINY, ROUNDS, LONG], ids=["default", "tiny", "rounds", "long"])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_same_as_greedy_scan(spark, sizes, seed):
     names = spellings(seed, 12, 12, 5)
