@@ -36,6 +36,12 @@ from spendloom.session import shared_dir, write_shared
 from spendloom.sources import payloads, tables
 from spendloom.streaming import payload_stream
 
+try:  # the training-data operators are an optional part
+    import corpus_pipeline
+    from spendloom.llm import entry as llm_entry
+except ImportError:
+    llm_entry = None
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """The cleaned transactions of the smallest test tables."""
@@ -486,6 +492,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         if name.startswith("q_")
     }
     found |= {f"prompt_{kind}": _prompt(kind) for kind in PROMPTS}
+    if llm_entry:
+        found |= llm_entry.queries() | {"pipeline": corpus_pipeline.run}
     return found
 
 
@@ -572,6 +580,14 @@ def _prompt_sql(before: str, amount: bool) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _own_sql()
+    if llm_entry:
+        found |= llm_entry.oracle_sql()
+        found |= {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return found
+
+
+def _own_sql() -> dict[str, str]:
     shop, order_id = "'Shop ' || CAST(o_custkey AS VARCHAR)", "CAST(o_orderkey AS VARCHAR)"
     price = "round(o_totalprice*100)/100"
     shape = "o_orderkey % 14"

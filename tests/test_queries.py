@@ -16,10 +16,13 @@ def con():
     return connect(SF_DIR)
 
 
-def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+OWN = sorted(n for n in entry.queries() if n != "pipeline" and not n.startswith("op"))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_every_own_query_has_sql():
+    assert set(OWN) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, con, name):
     assert compare(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name]) is None
