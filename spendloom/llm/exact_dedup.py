@@ -141,8 +141,8 @@ def _merger(keep: str):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            merged = _merge_equal(held.to_batches()[0], keep)
+            batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)  # without "not null"
+            merged = _merge_equal(batch if held is None else pa.concat_batches([held, batch]), keep)
             if merged.num_rows > 1:
                 yield merged.slice(0, merged.num_rows - 1)
             held = merged.slice(merged.num_rows - 1)
@@ -168,4 +168,5 @@ def _merge_equal(batch: pa.RecordBatch, keep: str) -> pa.RecordBatch:
     best = order[np.append(np.flatnonzero(np.diff(group[order])), len(order) - 1)]
     copies = np.add.reduceat(batch.column("copies").to_numpy(), starts)
     taken = batch.take(pa.array(best))
-    return taken.set_column(taken.schema.get_field_index("copies"), "copies", pa.array(copies, pa.int64()))
+    columns = [pa.array(copies, pa.int64()) if n == "copies" else taken.column(n) for n in taken.schema.names]
+    return pa.RecordBatch.from_arrays(columns, taken.schema.names)
