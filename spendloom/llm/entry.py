@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import exact_dedup, packing, pii, simhash_dedup, toxicity
+from spendloom.llm import exact_dedup, html_text, packing, pii, piece_tokens, simhash_dedup, topk, toxicity
 
 #: Surrogates are drawn with this key unless a caller brings a secret one.
 PII_KEY = b"spendloom"
@@ -26,6 +26,10 @@ def op1_toxicity(spark, sf):
     return found.withColumn("toxic", F.col("severity") >= 0.5)
 
 
+def op2_html_text(spark, sf):
+    return html_text.extract(_table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_best_fit_packing(spark, sf):
     return packing.pack_documents(_docs(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,6 +49,20 @@ def op6_exact_dedup(spark, sf):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_exact_top_k(spark, sf):
+    vectors = topk.weights(_table(spark, sf, "embeddings"))
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+def op9_sentencepiece(spark, sf):
+    """Ids of each text, and whether decoding them gives the text back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = piece_tokens.encode(_docs(spark, sf).select("doc_id", "text"), model)
+    found = piece_tokens.decode(found, model, to="back")
+    exact = F.col("back") == F.coalesce("text", F.lit(""))
+    return found.select("doc_id", "ids", F.size("ids").alias("n_ids"), exact.alias("exact"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -52,8 +70,18 @@ def queries():
 _LOWER = "translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_TOP_K = """WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS w
+ FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+q AS (SELECT vec_id AS query_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM v WHERE vec_id % 100 = 0),
+c AS (SELECT vec_id, unnest(w) AS y, generate_subscripts(w, 1) AS i FROM v),
+s AS (SELECT query_id, vec_id, CAST(sum(x * y) AS BIGINT) AS score FROM q JOIN c USING (i) WHERE vec_id <> query_id GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+QUALIFY rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_exact_top_k": _TOP_K,
         "op6_exact_dedup": f"""WITH t AS (SELECT doc_id, {_LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
  sha256(t) AS text_sha256 FROM t WINDOW w AS (PARTITION BY t)""",
