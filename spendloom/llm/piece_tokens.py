@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import array
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import sentencepiece
@@ -148,7 +148,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", to: str = "ids")
     """``docs`` with a column ``to`` of the ids of its texts; a null or empty text has none."""
 
     @F.arrow_udf("array<int>")
-    def run(columns):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = Pieces(model)
         for column in columns:
             found = []
@@ -171,7 +171,7 @@ def decode(docs: DataFrame, model: str, ids_col: str = "ids", to: str = "text")
     """
 
     @F.arrow_udf("string")
-    def run(columns):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = Pieces(model)
         for column in columns:
             yield pa.array([pieces.decode(ids or ()) for ids in column.to_pylist()], pa.string())
