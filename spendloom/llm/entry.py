@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import exact_dedup, html_text, packing, pii, piece_tokens, simhash_dedup, topk, toxicity
+from spendloom.llm import debruijn_dedup, exact_dedup, html_text, packing, pii, piece_tokens, simhash_dedup, topk, toxicity
 
 #: Surrogates are drawn with this key unless a caller brings a secret one.
 PII_KEY = b"spendloom"
@@ -49,6 +49,10 @@ def op6_exact_dedup(spark, sf):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_debruijn_dedup(spark, sf):
+    return debruijn_dedup.remove_repeats(_docs(spark, sf)).drop("spans")
+
+
 def op8_exact_top_k(spark, sf):
     vectors = topk.weights(_table(spark, sf, "embeddings"))
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -70,6 +74,18 @@ def queries():
 _LOWER = "translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_WINDOWS = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+ FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS s FROM
+ (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY s) AS gone FROM k),
+c AS (SELECT DISTINCT doc_id, i + j AS i FROM m, generate_series(0, 12) g(j) WHERE gone),
+r AS (SELECT p.doc_id, p.i, word, c.i IS NOT NULL AS gone FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i)
+SELECT d.doc_id, len(w) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+ sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY ALL"""
+
 _TOP_K = """WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS w
  FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 q AS (SELECT vec_id AS query_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM v WHERE vec_id % 100 = 0),
@@ -81,6 +97,7 @@ QUALIFY rank <= 10"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_debruijn_dedup": _WINDOWS,
         "op8_exact_top_k": _TOP_K,
         "op6_exact_dedup": f"""WITH t AS (SELECT doc_id, {_LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
