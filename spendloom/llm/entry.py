@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import debruijn_dedup, exact_dedup, html_text, packing, pii, piece_tokens, simhash_dedup, topk, toxicity
+from spendloom.llm import debruijn_dedup, exact_dedup, html_text, packing, pii, piece_tokens, simhash_dedup, suffix_dedup, topk, toxicity
 
 #: Surrogates are drawn with this key unless a caller brings a secret one.
 PII_KEY = b"spendloom"
@@ -67,6 +67,10 @@ def op9_sentencepiece(spark, sf):
     return found.select("doc_id", "ids", F.size("ids").alias("n_ids"), exact.alias("exact"))
 
 
+def op10_suffix_dedup(spark, sf):
+    return suffix_dedup.remove_repeats(_docs(spark, sf)).drop("spans")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
