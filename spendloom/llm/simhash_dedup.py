@@ -137,11 +137,12 @@ def _compare(radius: int):
         for batch in batches:
             found = []
             left, right = batch.column("left"), batch.column("prints")
-            lv, lo = left.values.to_numpy(), left.offsets.to_numpy()
-            rv, ro = right.values.to_numpy(), right.offsets.to_numpy()
+            # Unsigned, as bits of negative numbers are not counted as they are stored.
+            lv, lo = left.values.to_numpy().view(np.uint64), left.offsets.to_numpy()
+            rv, ro = right.values.to_numpy().view(np.uint64), right.offsets.to_numpy()
             for i in range(batch.num_rows):
                 found.append(_tile_links(lv[lo[i] : lo[i + 1]], rv[ro[i] : ro[i + 1]], radius))
-            a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            a, b = (np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return compare
@@ -157,7 +158,7 @@ def _tile_links(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     a, b = np.concatenate(a), np.concatenate(b)
     other = a != b
     if not other.any():
-        return np.zeros((2, 0), np.int64)
+        return np.zeros((2, 0), np.uint64)
     nodes, at = np.unique(np.concatenate([a[other], b[other]]), return_inverse=True)
     a, b = at.reshape(2, -1)
     label = np.arange(len(nodes))
