@@ -78,8 +78,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Seve
     """Fit a model to the labelled documents.
 
     Documents labelled as not toxic have grade 0.  The labels do not say how
-    bad a toxic one is, so the toxic ones are divided at the median of their
-    share of telling words: grade 1 below, 2 above.
+    bad a toxic one is, so the toxic ones are divided at the median of how much
+    they have of the telling words: grade 1 below, 2 above.
     """
     examples = labelled_texts(docs, labels, most)
     known = telling_words(examples)
@@ -88,10 +88,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Seve
 
 def graded(examples: list[tuple[str, int]], known: list[str]) -> list[tuple[str, int]]:
     telling = dict.fromkeys(known, 0.0)
-    share = [features(t, telling).total() / max(1, len(t)) for t, _ in examples]
-    toxic = [s for s, (_, y) in zip(share, examples) if y]
+    much = [sum(math.log1p(n) for n in features(t, telling).values()) for t, _ in examples]
+    toxic = [m for m, (_, y) in zip(much, examples) if y]
     middle = float(np.median(toxic)) if toxic else 0.0
-    return [(t, 0 if not y else 1 + (s > middle)) for s, (t, y) in zip(share, examples)]
+    return [(t, 0 if not y else 1 + (m > middle)) for m, (t, y) in zip(much, examples)]
 
 
 def telling_words(examples: list[tuple[str, int]]) -> list[str]:
@@ -111,7 +111,7 @@ def telling_words(examples: list[tuple[str, int]]) -> list[str]:
     return sorted(w for w, k in bad_docs.items() if k * total > docs[w] * bad and g2(docs[w], k) >= LEAST_G2)
 
 
-def fit(examples: list[tuple[str, int]], known: list[str], steps: int = 300, rate: float = 0.05, penalty: float = 1e-4) -> Severity:
+def fit(examples: list[tuple[str, int]], known: list[str], steps: int = 600, rate: float = 0.05, penalty: float = 1e-5) -> Severity:
     """Fit weights of the ``known`` features and thresholds to (text, grade) pairs by full-gradient Adam.
 
     Without examples of at least two grades the model calls everything clean.
@@ -130,13 +130,12 @@ def fit(examples: list[tuple[str, int]], known: list[str], steps: int = 300, rat
     parameters[len(known)] = 2.0
     m = v = np.zeros_like(parameters)
     above = (grades[:, None] > np.arange(levels)[None, :]).astype(float)
-    share = np.where(above > 0, 1 / np.maximum(1, above.sum(0)), 1 / np.maximum(1, (1 - above).sum(0))) / levels
     for step in range(1, steps + 1):
         w, first, gaps = parameters[: len(known)], parameters[len(known)], parameters[len(known) + 1 :]
         thresholds = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         score = np.bincount(row, w[col] * val, len(counts))
         p = 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds[None, :], -60, 60)))
-        slope = (p - above) * share
+        slope = (p - above) / len(examples)
         gradient = np.empty_like(parameters)
         gradient[: len(known)] = np.bincount(col, slope.sum(1)[row] * val, len(known)) + penalty * w
         gradient[len(known)] = -slope.sum()
