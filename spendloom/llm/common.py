@@ -35,11 +35,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (long columns a, b) as rows (node, root).
 
-    root is the smallest node of the component.  Large-star and small-star
+    root is the smallest node of the component and gives no row itself.  Large-star and small-star
     rounds: each is two grouped minima and two plain joins, so a node with very
     many links is pre-aggregated and split like any skewed join key.  The rounds
     end when the table no longer changes; each is written to the shared folder.
-    Nodes without a link to another node are left out; no links give no rows.
+    No links give no rows.
     """
     stars = write_shared(_ordered(links), "links")
     state = _state(stars)
