@@ -15,7 +15,7 @@ import numpy as np
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Longer inputs are hashed in parts of so many units.
-PART = 1 << 21
+PART = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -30,8 +30,9 @@ from spendloom.session import write_shared
 #: Stands for a null id: larger than any other.
 NO_ID = np.iinfo(np.int64).max
 SETTLED, OPEN = 1, 2
-_SLICE = 2 << 20
-_HELD = 1 << 20  # entries a map task holds before it sends them
+_SLICE = 1 << 19  # bytes of text hashed at once
+_TEXTS = 8 << 20  # bytes of text packed at once
+_HELD = 1 << 19  # entries a map task holds before it sends them
 _SHARE = 16 << 20  # bytes of text per bucket and per group
 
 
@@ -164,7 +165,7 @@ def text_rows(rows: DataFrame, groups: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for part in slices(batch, "text", 4 * _SLICE):
+            for part in slices(batch, "text", _TEXTS):
                 texts, ids = as_bytes(part.column("text")), part.column("id").to_numpy()
                 found = []
                 for group, at in cut(group_of(ids, groups), np.arange(len(ids))):

@@ -31,6 +31,8 @@ from spendloom.llm.grams import Prefix, byte_units, covered, mix, pieces, spread
 from spendloom.llm.repeats import NO_ID, OPEN, SETTLED, Answers
 
 LENGTH, STEP, MOST_KINDS = 400, 80, 1000
+#: Suffix sorts per bucket of hashes, as their pieces come with their bytes.
+SORTS = 4
 _STEP_MIX = np.uint64(0xD6E8FEB86659FD93)
 _PIECE = "bucket int, id binary, whole binary, shape binary, data binary"
 _RESULT = (
@@ -67,7 +69,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             owner = ids[found.text]
             code = answers.code(owner, found.whole)
             sort = np.flatnonzero(code & OPEN)
-            bucket = (found.key[sort] >> np.uint64(32)).astype(np.int64) % parts
+            bucket = (found.key[sort] >> np.uint64(32)).astype(np.int64) % (SORTS * parts)
             for to, at in repeats.cut(bucket, sort):
                 place, _ = spread(found.first[at], found.windows[at] + length - 1)
                 shape = np.stack([found.windows[at], found.left[at]], axis=1).astype("<i4")
