@@ -56,7 +56,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             key = mix(Prefix(units).of(first, first + words))
             bucket = (key >> np.uint64(40)).astype(np.int64) % parts
             out += repeats.cut(bucket, key, ids[found.text[opened]][piece])
-        return pa.Table.from_batches([repeats.packed(["bucket", "key", "id"], out)])
+        return pa.Table.from_batches([repeats.packed(["bucket", "key", "id"], list(repeats.together(out)))])
 
     edges = repeats.with_answers(texts, told, open_windows, "bucket int, key binary, id binary")
     single = repeats.keep_table(repeats.answers(edges, repeats.decide_windows(True), parts), "windows")

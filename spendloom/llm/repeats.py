@@ -178,17 +178,32 @@ def text_rows(rows: DataFrame, groups: int) -> DataFrame:
 
 
 def texts_of(table: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Ids and texts of a group, some megabytes at a time."""
+    """Ids and texts of a group, about ``_SLICE`` bytes at a time."""
+    ids, texts, many = [], [], 0
+    unpack = zstandard.ZstdDecompressor()
     for row in table.to_pylist():
-        ids, sizes = np.frombuffer(row["id"], "<i8"), np.frombuffer(row["size"], "<i8")
-        data = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=int(sizes.sum()) or 1) if sizes.sum() else b""
-        ends = np.cumsum(sizes)
-        start = 0
-        while start < len(ids):
-            base = int(ends[start] - sizes[start])
-            end = max(start + 1, int(np.searchsorted(ends, base + _SLICE, side="right")))
-            yield ids[start:end], [data[e - s : e] for e, s in zip(ends[start:end].tolist(), sizes[start:end].tolist())]
-            start = end
+        sizes = np.frombuffer(row["size"], "<i8")
+        total = int(sizes.sum())
+        data = unpack.decompress(row["data"], max_output_size=total) if total else b""
+        at = 0
+        for doc_id, size in zip(np.frombuffer(row["id"], "<i8").tolist(), sizes.tolist()):
+            ids.append(doc_id)
+            texts.append(data[at : at + size])
+            at, many = at + size, many + size
+            if many >= _SLICE:
+                yield np.array(ids, np.int64), texts
+                ids, texts, many = [], [], 0
+    if ids:
+        yield np.array(ids, np.int64), texts
+
+
+def together(rows: list[tuple]) -> Iterator[tuple]:
+    """Rows of a part number and arrays, with those of one number joined."""
+    by_part: dict[int, list[tuple]] = {}
+    for part, *arrays in rows:
+        by_part.setdefault(part, []).append(arrays)
+    for part, found in sorted(by_part.items()):
+        yield (part, *map(np.concatenate, zip(*found)))
 
 
 class Answers:

@@ -60,8 +60,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def open_pieces(texts: pa.Table, told: pa.Table) -> pa.Table:
         """Rows for the suffix sort (with data) and rows of single windows (with shape empty)."""
-        answers, out = Answers(told), []
-        nothing = np.zeros(0, np.uint8)
+        answers, out, windows = Answers(told), [], []
         for ids, own in repeats.texts_of(texts):
             data = np.frombuffer(b"".join(own), np.uint8)
             units, counts = byte_units(own)
@@ -79,8 +78,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 first, piece = spread(found.first[single], found.windows[single])
                 key = mix(Prefix(units).of(first, first + length))
                 bucket = (key >> np.uint64(40)).astype(np.int64) % parts
-                out += [(to, *x, nothing, nothing) for to, *x in repeats.cut(bucket, owner[single][piece], key)]
-        return pa.Table.from_batches([repeats.packed(["bucket", "id", "whole", "shape", "data"], out)])
+                windows += repeats.cut(bucket, owner[single][piece], key)
+        nothing = np.zeros(0, np.uint8)
+        rows = [*repeats.together(out), *((*row, nothing, nothing) for row in repeats.together(windows))]
+        return pa.Table.from_batches([repeats.packed(["bucket", "id", "whole", "shape", "data"], rows)])
 
     opened = repeats.keep_table(repeats.with_answers(texts, told, open_pieces, _PIECE), "opened")
     sorted_ = repeats.answers(opened.filter("octet_length(shape) > 0"), lambda table: decide_suffixes(table, length), parts)
