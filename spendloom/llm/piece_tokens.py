@@ -34,7 +34,7 @@ _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 class Pieces:
     """A SentencePiece BPE model: identity normaliser, dummy prefix, byte fallback."""
 
-    def __init__(self, path: str, most_words: int = 500_000) -> None:
+    def __init__(self, path: str, most_words: int = 150_000) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         if model.normalize("ﬁ  x") != f"{MARK}ﬁ{MARK}{MARK}x":
             raise ValueError("only models that leave a text as it is, with a dummy prefix")
@@ -102,7 +102,7 @@ class Pieces:
                         break
                     ok = stands.get((left, piece))
                     if ok is None:
-                        if len(stands) > 1_000_000:
+                        if len(stands) > 200_000:
                             stands.clear()
                         ok = stands[left, piece] = self.merge(left + piece) == [left, piece]
                     if ok:
@@ -116,7 +116,7 @@ class Pieces:
                 path.append(last[at])
                 at -= len(last[at])
             self._memory[word] = self._ids(reversed(path))
-            if len(whole) > 1_000_000:
+            if len(whole) > 200_000:
                 whole.clear()
 
     def _ids(self, path: Iterable[str]) -> bytes:
@@ -174,6 +174,9 @@ def decode(docs: DataFrame, model: str, ids_col: str = "ids", to: str = "text")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = Pieces(model)
         for column in columns:
-            yield pa.array([pieces.decode(ids or ()) for ids in column.to_pylist()], pa.string())
+            values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+            known = column.is_valid().to_pylist()
+            spans = zip(offsets[:-1].tolist(), offsets[1:].tolist(), known)
+            yield pa.array([pieces.decode(values[a:b].tolist() if k else ()) for a, b, k in spans], pa.string())
 
     return docs.withColumn(to, run(F.col(ids_col)))
