@@ -147,13 +147,16 @@ def q_scan_transactions(spark, sf):
 
 
 def q_sink_json_rows(spark, sf):
-    return tables.as_json_rows(_transactions(spark, sf).select("txn_id", "memo", "category"))
+    """Whole records, written as JSON lines and read back."""
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    tables.as_json_rows(_transactions(spark, sf)).write.text(path)
+    return spark.read.text(path).withColumnRenamed("value", "json")
 
 
 def q_union_chunks(spark, sf):
     rows = _transactions(spark, sf)
     late, early = rows.filter("memo = 'O'"), rows.filter("memo <> 'O'").drop("category")
-    return tables.stack([early, late]).select("txn_id", "merchant", "memo", "category")
+    return tables.stack([early, late])
 
 
 def q_outlier_by_chunk(spark, sf):
@@ -165,14 +168,15 @@ def q_outlier_by_chunk(spark, sf):
 
 
 def q_clean_text(spark, sf):
-    rows = _transactions(spark, sf).select(
-        "txn_id", F.concat(F.lit("\t \n"), "merchant", F.lit("  \r")).alias("merchant")
-    )
-    return clean.trim_texts(rows)
+    rows = _transactions(spark, sf)
+    texts = [c for c, kind in rows.dtypes if kind == "string"]
+    return clean.trim_texts(rows.withColumns({c: F.concat(F.lit("\t \n"), c, F.lit("  \r")) for c in texts}))
 
 
 def q_drop_empty_rows(spark, sf):
-    return clean.drop_empty_rows(_transactions(spark, sf).select("txn_id", "merchant", "category"))
+    rows = _transactions(spark, sf)
+    gone = F.col("txn_id") % 10 == 3
+    return clean.drop_empty_rows(rows.withColumns({c: F.when(~gone, F.col(c)) for c in rows.columns if c != "txn_id"}))
 
 
 def q_parse_amount(spark, sf):
@@ -185,7 +189,7 @@ def q_fill_blanks(spark, sf):
 
 
 def q_validate_schema(spark, sf):
-    return clean.complete_columns(_transactions(spark, sf).drop("amount").select("txn_id", "merchant"))
+    return clean.complete_columns(_transactions(spark, sf).drop("merchant"))
 
 
 # --- duplicates ------------------------------------------------------------
@@ -213,6 +217,16 @@ def q_similar_vendor_pairs(spark, sf):
     )
 
 
+def q_dedup_near_hot_cell(spark, sf):
+    """No row has an amount, so all names are in one cell."""
+    return dedup.drop_near_duplicates(_derive(spark, sf, sql.HOT_CELL).select("txn_id", "merchant", "amount"))
+
+
+def q_dedup_near_chain(spark, sf):
+    """Each row only matches its two neighbours in order."""
+    return dedup.drop_near_duplicates(_derive(spark, sf, sql.CHAIN))
+
+
 def q_text_similarity(spark, sf):
     rows = _derive(spark, sf, sql.SPELLINGS)
     score = similarity(F.lower("name"), F.lower("merchant"))
@@ -342,6 +356,48 @@ def q_cache_misses(spark, sf):
     return model_requests.cache_misses(asked, _cache(spark, sf)).select("kind", "key")
 
 
+def q_cache_store(spark, sf):
+    """The same replies stored twice, as by a job that is run again."""
+    replies = model_requests.replies_for(_tidy(spark, sf), "vendor", _upper_model())
+    empty = _cache(spark, sf).limit(0)
+    return model_requests.store_replies(model_requests.store_replies(empty, replies), replies)
+
+
+def _worn_cache(spark, sf):
+    """The cache with an older reply for each of its keys."""
+    cache = _cache(spark, sf)
+    return cache.unionByName(cache.withColumns({"reply": F.lit("Old"), "seq": F.col("seq") - 1000000}))
+
+
+def q_resolve_with_cache(spark, sf):
+    config = CleanConfig(ai_category_enabled=False, duplicate_threshold=1.0)
+    rows = _tidy(spark, sf)
+    result = cleaning.run(rows, config, models={"vendor": _upper_model()}, cache=_worn_cache(spark, sf))
+    return result.rows.select("txn_id", "merchant")
+
+
+def q_cache_grown(spark, sf):
+    """The cache that a run with a model gives back."""
+    config = CleanConfig(ai_category_enabled=False, duplicate_threshold=1.0)
+    rows = _tidy(spark, sf)
+    result = cleaning.run(rows, config, models={"vendor": _upper_model()}, cache=_worn_cache(spark, sf))
+    return result.cache.select("kind", "key", "reply")
+
+
+def q_usage_with_cache(spark, sf):
+    config = CleanConfig(ai_category_enabled=False, duplicate_threshold=1.0)
+    rows = _tidy(spark, sf)
+    result = cleaning.run(rows, config, models={"vendor": _upper_model()}, cache=_worn_cache(spark, sf))
+    return result.usage.withColumn("ai_cost", F.round("ai_cost", 2))
+
+
+def q_vendor_unmatched_cached(spark, sf):
+    found = model_requests.resolve_unmatched(
+        _tidy(spark, sf), rules.keyword_vendor, _upper_model(), _worn_cache(spark, sf)
+    )
+    return found.select("txn_id", "merchant")
+
+
 def q_cache_trim_fifo(spark, sf):
     entries = _tidy(spark, sf).select(
         F.when(F.col("memo") == "O", "vendor").otherwise("category").alias("kind"),
@@ -478,11 +534,54 @@ def q_stream_clean_batches(spark, sf):
     )
 
 
+_PAYLOAD_ROW = ("payload_id", "position", "merchant", "amount", "description", "memo", "category", "is_outlier")
+
+
+def q_stream_insights(spark, sf):
+    """The insights of each payload of a stream, from all micro-batches."""
+    source = _derive(spark, sf, sql.STREAM_PAYLOADS).select("payload_id", "body")
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source.repartition(2, "payload_id").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    payload_stream.clean_stream(stream, f"{root}/out", f"{root}/progress").awaitTermination()
+    found = spark.read.parquet(f"{root}/out/insights").select("payload_id", "section", "name", "value")
+    return found.withColumn("value", F.round("value", 4))
+
+
 def q_clean_payloads(spark, sf):
-    rows, _ = payload_configs.clean_payloads_by_config(_derive(spark, sf, sql.PAYLOADS))
-    return rows.select(
-        "payload_id", "position", "merchant", "amount", "description", "memo", "category", "is_outlier"
-    )
+    return payload_configs.clean_payloads(_derive(spark, sf, sql.PAYLOADS)).rows.select(*_PAYLOAD_ROW)
+
+
+def _own_configs(spark, sf):
+    return payload_configs.clean_payloads(_derive(spark, sf, sql.CONFIG_PAYLOADS).select("payload_id", "body"))
+
+
+def q_clean_payloads_own_config(spark, sf):
+    """Options differ from customer to customer."""
+    return _own_configs(spark, sf).rows.select(*_PAYLOAD_ROW)
+
+
+def q_config_rejects(spark, sf):
+    return _own_configs(spark, sf).rejects.select("payload_id", "reason")
+
+
+def q_usage_by_payload(spark, sf):
+    return _rounded(_own_configs(spark, sf).usage, "ai_cost")
+
+
+def q_insights_by_payload(spark, sf):
+    result = _own_configs(spark, sf)
+    found = payload_configs.payload_insights(write_shared(result.rows, "rows"), result.usage)
+    return found.withColumn("value", F.round("value", 4))
+
+
+def q_clean_payloads_by_chunk(spark, sf):
+    return payload_configs.clean_payloads(_derive(spark, sf, sql.CHUNK_PAYLOADS)).rows.select(*_PAYLOAD_ROW)
+
+
+def q_clean_payload_extras(spark, sf):
+    found = payload_configs.clean_payloads(_derive(spark, sf, sql.EXTRA_PAYLOADS)).rows
+    return found.select("payload_id", "position", "merchant", "amount", F.col("extra")["note"].alias("note"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -579,6 +678,29 @@ def _prompt_sql(before: str, amount: bool) -> str:
     )
 
 
+#: done: the rows of payloads with options of their own; used: their requests.
+_OWN = f"""WITH p AS (SELECT *, cust % 5 <> 0 AS ai, cust % 7 <> 0 AS gate FROM ({sql.CONFIG_PAYLOADS}) c WHERE cust % 11 <> 0),
+done AS (SELECT payload_id, CAST(i AS BIGINT) AS position, ai, gate,
+ CASE WHEN ai THEN CASE WHEN i < 2 THEN 'Amazon' ELSE 'Unknown Vendor' END WHEN i = 0 THEN name WHEN i = 1 THEN name || '.' ELSE slack END AS merchant,
+ CASE WHEN i < 2 THEN c / 100 ELSE (c + 10000) / 100 END AS amount,
+ CASE WHEN ai AND gate AND i < 2 THEN 'Office Supplies & Equipment' ELSE 'Other' END AS category, cust % 3 = 0 AS is_outlier
+ FROM p, (VALUES (0),(1),(2)) v(i) WHERE i <> 1 OR cust % 2 = 1),
+used AS (SELECT payload_id, CASE WHEN any_value(ai) THEN count(*) * CASE WHEN any_value(gate) THEN 2 ELSE 1 END ELSE 0 END AS requests
+ FROM done GROUP BY payload_id)"""
+
+
+def _by_payload_sql(counters: str) -> str:
+    return f""", v AS (SELECT payload_id, 'summary' AS section, unnest(['total_rows','data_quality_score','total_amount','average_amount',
+  'median_amount','min_amount','max_amount','std_amount','unique_vendors','outlier_count','outlier_percentage','outliers_flagged']) AS name,
+ unnest([count(*), 1.0, sum(amount), avg(amount), median(amount), min(amount), max(amount), stddev_samp(amount),
+  count(DISTINCT merchant), count(*) FILTER (WHERE is_outlier), count(*) FILTER (WHERE is_outlier) / count(*) * 100,
+  count(*) FILTER (WHERE is_outlier)]::DOUBLE[]) AS value FROM done GROUP BY payload_id
+UNION ALL SELECT payload_id, 'top_vendors', merchant, CAST(count(*) AS DOUBLE) FROM done GROUP BY ALL
+UNION ALL SELECT payload_id, 'category_breakdown', category, CAST(count(*) AS DOUBLE) FROM done GROUP BY ALL
+{counters})
+SELECT payload_id, section, name, round(value, 4) AS value FROM v WHERE value IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     found = _own_sql()
     if llm_entry:
@@ -631,21 +753,38 @@ SELECT o_orderkey AS payload_id, CAST(i AS BIGINT) AS position,
  CASE WHEN i = 1 THEN o_orderstatus ELSE '' END AS tag
 FROM orders, (VALUES (0),(1),(2)) v(i)""",
         "scan_transactions": sql.TRANSACTIONS,
-        "sink_json_rows": f"""{_RAW} SELECT '{{"txn_id":' || txn_id || ',"memo":"' || memo || '","category":' ||
- CASE WHEN category IS NULL THEN 'null' ELSE '"' || category || '"' END || '}}' AS json FROM t""",
-        "union_chunks": f"""{_RAW} SELECT txn_id, merchant, memo,
- CASE WHEN memo = 'O' THEN category END AS category FROM t""",
+        "sink_json_rows": f"""{_RAW} SELECT '{{"txn_id":' || txn_id || {" || ".join(
+            f"""',"{c}":' || coalesce('"' || {c} || '"', 'null')""" for c in ("merchant", "amount", "description", "memo", "category")
+        )} || '}}' AS json FROM t""",
+        "union_chunks": f"""{_RAW} SELECT * REPLACE (CASE WHEN memo = 'O' THEN category END AS category) FROM t""",
         "outlier_by_chunk": f"""{_TIDY}, c AS (SELECT txn_id, amount, {_CHUNK} AS chunk_id FROM tidy),
 s AS (SELECT chunk_id, avg(amount) AS m, stddev_pop(amount) AS s FROM c GROUP BY chunk_id)
 SELECT txn_id, amount, chunk_id, CASE WHEN s > 0 THEN abs((amount - m) / s) > 1.5 ELSE false END AS is_outlier
 FROM c JOIN s USING (chunk_id)""",
-        "clean_text": f"{_RAW} SELECT txn_id, trim(merchant) AS merchant FROM t",
-        "drop_empty_rows": f"""{_RAW} SELECT txn_id, merchant, category FROM t
-WHERE merchant IS NOT NULL OR category IS NOT NULL""",
+        "clean_text": f"{_RAW} SELECT * REPLACE (trim(merchant) AS merchant) FROM t",
+        "drop_empty_rows": f"{_RAW} SELECT * FROM t WHERE txn_id % 10 <> 3",
         "parse_amount": f"{_RAW} SELECT txn_id, amount AS raw, {_AMOUNT} AS amount FROM t",
         "fill_blanks": f"""{_RAW} SELECT txn_id, coalesce(description,'No description') AS description,
  coalesce(category,'Other') AS category FROM t""",
-        "validate_schema": f"{_RAW} SELECT txn_id, merchant, CAST(0 AS DOUBLE) AS amount FROM t",
+        "validate_schema": f"{_RAW} SELECT * REPLACE ('' AS merchant, {_AMOUNT} AS amount) FROM t",
+        "dedup_near_hot_cell": f"""WITH d AS ({sql.HOT_CELL}), m AS (SELECT min(txn_id) AS txn_id FROM d GROUP BY family)
+SELECT txn_id, merchant, amount FROM d JOIN m USING (txn_id)""",
+        "dedup_near_chain": f"WITH d AS ({sql.CHAIN}) SELECT * FROM d WHERE txn_id % 2 = 0",
+        "cache_store": f"""{_TIDY} SELECT DISTINCT 'vendor' AS kind, {_VKEY} AS key,
+ ' ' || upper(coalesce(merchant,'')) || ' ' AS reply, 2 AS seq FROM tidy WHERE NOT contains(coalesce(merchant,''), 'ZOOM')""",
+        "resolve_with_cache": f"""{_TIDY} SELECT min(txn_id) AS txn_id, CASE WHEN memo = 'F' THEN coalesce(merchant, 'Old')
+ WHEN contains(merchant, 'ZOOM') THEN 'Unknown Vendor' ELSE upper(coalesce(merchant,'')) END AS merchant
+FROM tidy GROUP BY tidy.merchant, amount, description, memo, category""",
+        "vendor_unmatched_cached": f"""{_TIDY} SELECT txn_id, CASE WHEN {_vendor_sql('merchant')} <> 'Unknown Vendor'
+ THEN {_vendor_sql('merchant')} WHEN memo = 'F' THEN coalesce(merchant, 'Old') WHEN contains(merchant, 'ZOOM') THEN 'Unknown Vendor'
+ ELSE upper(coalesce(merchant,'')) END AS merchant FROM tidy""",
+        "cache_grown": f"""{_TIDY} SELECT DISTINCT 'vendor' AS kind, {_VKEY} AS key,
+ CASE WHEN memo = 'F' THEN coalesce(merchant, 'Old') ELSE ' ' || upper(coalesce(merchant,'')) || ' ' END AS reply
+FROM tidy WHERE memo = 'F' OR NOT contains(coalesce(merchant,''), 'ZOOM')""",
+        "usage_with_cache": f"""{_TIDY}, k AS (SELECT {_VKEY} AS key, memo = 'F' AS stored, contains(coalesce(merchant,''), 'ZOOM') AS fails
+ FROM tidy GROUP BY merchant, amount, description, memo, category)
+SELECT 'v4.2' AS cleaner_version, (SELECT count(*) FROM tidy) AS rows_processed, count(*) AS ai_requests, round(count(*) / 100, 2) AS ai_cost,
+ count(*) FILTER (WHERE stored OR NOT fails) - count(DISTINCT key) FILTER (WHERE NOT stored AND NOT fails) AS cache_hits FROM k""",
         "dedup_exact": f"""{_TIDY} SELECT min(txn_id) AS txn_id, merchant, amount, description, memo, category
 FROM tidy GROUP BY merchant, amount, description, memo, category""",
         "dedup_near": f"{_D} SELECT txn_id, merchant, amount FROM f WHERE txn_id = kept_id",
@@ -745,7 +884,7 @@ UNION ALL (SELECT 'top_vendors', merchant, CAST(count(*) AS DOUBLE) AS n FROM do
 UNION ALL SELECT 'category_breakdown', category, CAST(count(*) AS DOUBLE) FROM done GROUP BY category)
 SELECT section, name, round(value, 2) AS value FROM v""",
         "usage_run": _clean_sql() + """ SELECT 'v4.2' AS cleaner_version, (SELECT count(*) FROM t) AS rows_processed,
- 3 * count(*) AS ai_requests, round(4 * count(*) / 100, 2) AS ai_cost FROM kept""",
+ 3 * count(*) AS ai_requests, round(4 * count(*) / 100, 2) AS ai_cost, CAST(0 AS BIGINT) AS cache_hits FROM kept""",
         "usage_client": f"""{_LOG} SELECT count(*) AS request_count, round(sum(cents) / 100, 6) AS total_cost,
  round(sum(cents) / 100 / greatest(count(*), 1), 6) AS average_cost_per_request FROM log WHERE NOT cached""",
         "usage_hit_rate": f"""{_LOG} SELECT round(least(0.3, count(DISTINCT CASE WHEN kind <> 'analysis' THEN key END) /
@@ -767,6 +906,24 @@ FROM orders WHERE {shape} IN (0,1,2,3,4,5,12)
 UNION ALL SELECT o_orderkey, 1, 'Unknown Vendor', CASE {shape} WHEN 0 THEN 0.0 WHEN 1 THEN 25.0 ELSE 2.0 END,
  CASE WHEN {shape} = 0 THEN '' ELSE 'No description' END, CASE WHEN {shape} = 12 THEN o_orderstatus END, 'Other', false
 FROM orders WHERE {shape} IN (0,1,12)""",
+        "clean_payloads_own_config": _OWN + """ SELECT payload_id, position, merchant, amount, '' AS description, CAST(NULL AS VARCHAR) AS memo,
+ category, is_outlier FROM done""",
+        "config_rejects": f"""SELECT payload_id, '{fixed.REJECT_CONFIG}' AS reason FROM ({sql.CONFIG_PAYLOADS}) p WHERE cust % 11 = 0""",
+        "usage_by_payload": _OWN + """ SELECT payload_id, 'v4.2' AS cleaner_version, 3 AS rows_processed, requests AS ai_requests,
+ round(requests / 100, 6) AS ai_cost, CAST(0 AS BIGINT) AS cache_hits, 1 AS chunks_processed FROM used""",
+        "insights_by_payload": _OWN + _by_payload_sql("""UNION ALL SELECT payload_id, 'summary', unnest(['ai_requests','ai_cost','cache_hits','rows_processed','chunks_processed']),
+ unnest([requests, requests / 100, 0, 3, 1]::DOUBLE[]) FROM used"""),
+        "stream_insights": f"""WITH done AS (SELECT payload_id, 'Amazon' AS merchant,
+ CASE WHEN i = 0 THEN c / 100 WHEN i = 1 THEN 7.0 ELSE 8.0 END AS amount, 'Office Supplies & Equipment' AS category, false AS is_outlier
+FROM ({sql.STREAM_PAYLOADS}) p, (VALUES (0),(1),(2)) v(i) WHERE i = 0 OR (i = 1 AND payload_id % 2 = 1) OR (i = 2 AND payload_id % 3 <> 0)),
+used AS (SELECT payload_id, count(*) AS n FROM done GROUP BY payload_id)""" + _by_payload_sql("""UNION ALL SELECT payload_id, 'summary',
+ unnest(['ai_requests','ai_cost','cache_hits','rows_processed','chunks_processed']), unnest([2 * n, 0.02 * n, 0, 3, 1]::DOUBLE[]) FROM used"""),
+        "clean_payloads_by_chunk": f"""SELECT payload_id, CAST(i AS BIGINT) AS position,
+ CASE WHEN i = 3 THEN 'Other ' ELSE 'Acme ' END || o_custkey AS merchant, CASE WHEN i = 3 THEN 9.0 ELSE 5.0 END::DOUBLE AS amount,
+ '' AS description, CAST(NULL AS VARCHAR) AS memo, 'Other' AS category, false AS is_outlier
+FROM (SELECT o_orderkey AS payload_id, o_custkey FROM orders) p, (VALUES (0),(2),(3)) v(i)""",
+        "clean_payload_extras": f"""SELECT o_orderkey AS payload_id, CAST(0 AS BIGINT) AS position, {shop} AS merchant,
+ CAST(1 AS DOUBLE) AS amount, 'hi' AS note FROM orders""",
         "stream_clean_batches": f"""SELECT payload_id, CAST(i AS BIGINT) AS position, 'Amazon' AS merchant,
  CASE WHEN i = 0 THEN c / 100 WHEN i = 1 THEN 7.0 ELSE 8.0 END AS amount, '' AS description,
  'Office Supplies & Equipment' AS category, false AS is_outlier

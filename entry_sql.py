@@ -59,7 +59,7 @@ SELECT o_orderkey AS payload_id, CASE o_orderkey % 14
  WHEN 2 THEN '{{"transactions":[{{"merchant":"' || shop || '"}}]}}'
  WHEN 3 THEN '[{{"merchant":"' || shop || '","amount":' || money || '}}]'
  WHEN 4 THEN '{{"merchant":"' || shop || '","amount":' || money || ',"memo":"' || o_orderstatus || '"}}'
- WHEN 5 THEN '{{"data":{{"merchant":["' || shop || '"],"amount":["$1,234.50"]}},"config":{{"enable_ai":false}}}}'
+ WHEN 5 THEN '{{"data":{{"merchant":["' || shop || '"],"amount":["$1,234.50"]}},"config":{{"enable_ai":false}}'
  WHEN 6 THEN '{{"invalid":"' || shop || '"}}'
  WHEN 7 THEN '{{"data":[]}}'
  WHEN 8 THEN '{{"data":[{{"merchant":"' || shop || '"}},{{"amount":1}}]}}'
@@ -112,3 +112,42 @@ REQUEST_LOG = """
 SELECT user_id AS run_id,
  CASE event_type WHEN 'click' THEN 'vendor' WHEN 'view' THEN 'category' ELSE 'analysis' END AS kind,
  props AS key, value < 5 AS cached, ts, event_id FROM events"""
+
+# Payloads that bring options of their own, a different config for every customer.
+# Rows 0 and 1 are near copies; two or three unlike amounts are 1 to 1.5 deviations off.
+CONFIG_PAYLOADS = f"""
+SELECT o_orderkey AS payload_id, o_custkey AS cust, c, name, slack,
+ '{{"data":[{{"merchant":"' || name || '","amount":' || money || '}},{{"merchant":"' || name || '.","amount":' || money ||
+ '}},{{"merchant":" ' || slack || ' ","amount":' || more || '}}],"config":{{"customer":' || CAST(o_custkey AS VARCHAR(20)) ||
+ ',"duplicate_threshold":' || CASE WHEN o_custkey % 2 = 0 THEN '"0.5"' ELSE '1' END ||
+ ',"ai_confidence_threshold":' || CASE WHEN o_custkey % 7 = 0 THEN '0.9' ELSE '0.8' END ||
+ ',"enable_ai":' || CASE WHEN o_custkey % 5 = 0 THEN 'false' ELSE 'true' END ||
+ CASE WHEN o_custkey % 3 = 0 THEN ',"outlier_z_threshold":0.5' ELSE '' END ||
+ CASE WHEN o_custkey % 11 = 0 THEN ',"chunk_size":"none"' ELSE '' END || '}}}}' AS body
+FROM (SELECT *, 'AMAZON MARKETPLACE ' || {_ID} AS name, 'Slack ' || {_ID} AS slack, {_money("c")} AS money,
+  {_money("(c + 10000)")} AS more FROM {CENTS} o) p"""
+
+# Four rows a payload, in two slices: copies in one slice meet, copies across slices do not.
+CHUNK_PAYLOADS = f"""
+SELECT o_orderkey AS payload_id,
+ '{{"data":[{{"merchant":"Acme ' || shop || '","amount":5}},{{"merchant":"ACME ' || shop || '","amount":5}},{{"merchant":"Acme ' || shop ||
+ '","amount":5}},{{"merchant":"Other ' || shop || '","amount":9}}],"config":{{"chunked":true,"chunk_size":2,"enable_ai":false}}}}' AS body
+FROM (SELECT *, CAST(o_custkey AS VARCHAR(20)) AS shop FROM orders) o"""
+
+# Copies that differ in the padding of a further field, and a row of nulls.
+EXTRA_PAYLOADS = f"""
+SELECT o_orderkey AS payload_id,
+ '{{"data":{{"merchant":["' || {_SHOP} || '","' || {_SHOP} || '",null],"amount":[1,1,null],"note":[" hi ","hi",null]}},"config":{{"duplicate_threshold":1,"enable_ai":false}}}}' AS body
+FROM orders o"""
+
+# All rows without an amount: one cell, each name in four spellings.
+HOT_CELL = """
+SELECT txn_id, family, CAST(0 AS DOUBLE) AS amount,
+ CASE txn_id % 4 WHEN 0 THEN name WHEN 1 THEN upper(name) WHEN 2 THEN name || '.' ELSE name || ' X' END AS merchant
+FROM (SELECT o_orderkey AS txn_id, CAST(floor(o_orderkey / 4) AS BIGINT) AS family,
+  md5(CAST(CAST(floor(o_orderkey / 4) AS BIGINT) AS VARCHAR(20))) AS name FROM orders) s"""
+
+# One name; every amount is within a cent of the ones before and after it only.
+CHAIN = """
+SELECT o_orderkey AS txn_id, 'One Shop' AS merchant, CAST(o_orderkey AS DOUBLE) * CAST(0.006 AS DOUBLE) AS amount
+FROM orders o"""

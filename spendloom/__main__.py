@@ -1,13 +1,17 @@
-"""Batch job: spark-submit -m spendloom INPUT OUTPUT [options].
+"""The batch job; ``job.py`` beside the package submits it.
 
 Reads a transaction table, or with --payloads a table of JSON payloads
 (``payload_id, body``), and writes the cleaned rows and their insights below
-OUTPUT.  Rejected payloads go to OUTPUT/rejects.
+OUTPUT.  Payloads bring their own options in ``config``; their insights and
+usage are per payload, and rejected payloads go to OUTPUT/rejects.  A model of
+the user is named as module:function (a ``make_model``); with --cache, stored
+replies are used and the grown cache is written to OUTPUT/cache.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 
 from pyspark.sql import SparkSession
@@ -15,9 +19,12 @@ from pyspark.sql import SparkSession
 from spendloom.config import CleanConfig
 from spendloom.operators.insights import insights
 from spendloom.operators.order import add_txn_id
+from spendloom.plans import payload_configs
 from spendloom.plans.cleaning import run
 from spendloom.session import temporary_tables
-from spendloom.sources import payloads, tables
+from spendloom.sources import tables
+
+CACHE_SCHEMA = "kind string, key string, reply string, seq long"
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -28,6 +35,10 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--output-format", default="parquet")
     parser.add_argument("--config", default="{}", help="options as a JSON object")
     parser.add_argument("--payloads", action="store_true")
+    for kind in ("vendor", "category", "analysis"):
+        parser.add_argument(f"--{kind}-model", help="module:function that makes the model")
+    parser.add_argument("--cache", help="a table of earlier replies (kind, key, reply, seq), or 'new'")
+    parser.add_argument("--order-by", action="append", default=[], help="columns that give rows without txn_id their order")
     options = parser.parse_args(arguments)
     config = CleanConfig.from_dict(json.loads(options.config))
     spark = SparkSession.builder.appName("spendloom").getOrCreate()
@@ -35,21 +46,38 @@ def main(arguments: list[str] | None = None) -> None:
         _work(spark, options, config)
 
 
+def _named(path: str):
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def _work(spark: SparkSession, options: argparse.Namespace, config: CleanConfig) -> None:
+    def save(df, table):
+        target = f"{options.output}/{table}"
+        df.write.mode("overwrite").format(options.output_format).save(target)
+        return spark.read.format(options.output_format).schema(df.schema).load(target)
+
+    named = {k: getattr(options, f"{k}_model") for k in ("vendor", "category", "analysis")}
+    asking = {"models": {k: _named(path) for k, path in named.items() if path}}
+    if options.cache:
+        empty = spark.createDataFrame([], CACHE_SCHEMA)
+        asking["cache"] = empty if options.cache == "new" else spark.read.format(options.format).load(options.cache)
     if options.payloads:
         source = spark.read.format(options.format).load(options.input)
-        payloads.rejects(source).write.mode("overwrite").parquet(f"{options.output}/rejects")
-        rows = payloads.transactions(source)
-        result = run(rows, config, order_by="position", scope=["payload_id"])
+        result = payload_configs.clean_payloads(source, config, **asking)
+        save(result.rejects, "rejects")
+        scope = ["payload_id"]
     else:
         rows = tables.read_transactions(spark, options.input, format=options.format)
-        result = run(rows if "txn_id" in rows.columns else add_txn_id(rows), config)
-
-    target = f"{options.output}/rows"
-    result.rows.write.mode("overwrite").format(options.output_format).save(target)
-    written = spark.read.format(options.output_format).schema(result.rows.schema).load(target)
-    found = insights(written, result.usage.drop("cleaner_version"))
-    found.write.mode("overwrite").format(options.output_format).save(f"{options.output}/insights")
+        if "txn_id" not in rows.columns:
+            rows = add_txn_id(rows, order_by=options.order_by)
+        result = run(rows, config, **asking)
+        scope = []
+    written = save(result.rows, "rows")
+    usage = save(result.usage, "usage")
+    save(insights(written, usage.drop("cleaner_version"), scope=scope), "insights")
+    if result.cache is not None:
+        save(result.cache, "cache")
 
 
 if __name__ == "__main__":

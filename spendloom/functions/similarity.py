@@ -27,8 +27,10 @@ def _udf():
         if first == second:
             return 1.0
         pair = (first, second)
+        if len(first) + len(second) > 400:  # only short names are remembered
+            return SequenceMatcher(None, first, second).ratio()
         if pair not in seen:
-            if len(seen) >= 100_000:
+            if len(seen) >= 50_000:
                 seen.clear()
             seen[pair] = SequenceMatcher(None, first, second).ratio()
         return seen[pair]

@@ -19,7 +19,7 @@ def categorise(
     df: DataFrame,
     suggest: Callable[[Column], tuple[Column, Column]] = keyword_suggestion,
     *,
-    threshold: float = 0.7,
+    threshold: float | Column = 0.7,
 ) -> DataFrame:
     """Take the suggested category if its confidence reaches ``threshold``.
 
@@ -32,7 +32,7 @@ def categorise(
 
 
 def gate_category(
-    df: DataFrame, category: Column, confidence: Column, *, threshold: float = 0.7
+    df: DataFrame, category: Column, confidence: Column, *, threshold: float | Column = 0.7
 ) -> DataFrame:
     old = F.col("category") if "category" in df.columns else F.lit(None).cast("string")
     return df.withColumn("category", F.when(confidence >= threshold, category).otherwise(old))

@@ -114,10 +114,15 @@ def near_duplicate_survivors(
     threshold: float = 0.85,
     order_by: str = "txn_id",
     scope: Sequence[str] = (),
+    own_threshold: str | None = None,
     sizes: NearDupSizes = NearDupSizes(),
 ) -> DataFrame:
-    """``(scope, order_by, amount)`` of the surviving rows, as a narrow table."""
-    rows, removed, _ = _resolve(df, threshold, order_by, tuple(scope), sizes)
+    """``(scope, order_by, amount)`` of the surviving rows, as a narrow table.
+
+    ``own_threshold`` names a column of the scope with the scope's threshold;
+    ``threshold`` must then be the least of them.
+    """
+    rows, removed, _ = _resolve(df, threshold, order_by, tuple(scope), sizes, own_threshold)
     kept = rows.join(removed, [*scope, "_id"], "left_anti")
     return kept.select(*scope, F.col("_id").alias(order_by), F.col("_amount").alias("amount"))
 
@@ -213,7 +218,12 @@ def _rows(df: DataFrame, order_by: str, scope: Sequence[str]) -> DataFrame:
 
 
 def _resolve(
-    df: DataFrame, threshold: float, order_by: str, scope: tuple[str, ...], sizes: NearDupSizes
+    df: DataFrame,
+    threshold: float,
+    order_by: str,
+    scope: tuple[str, ...],
+    sizes: NearDupSizes,
+    own_threshold: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Earliest rows per name and amount, which of them go, and matching pairs."""
     spark = df.sparkSession
@@ -225,7 +235,7 @@ def _resolve(
     )
     id_type = rows.schema["_id"].dataType
     nodes = rows.filter(F.col("_lone").isNull()).drop("_lone")
-    matcher = _Matcher(nodes, threshold, scope, sizes)
+    matcher = _Matcher(nodes, threshold, scope, sizes, own_threshold)
     nodes = matcher.prepare(nodes)
 
     id_fields = [rows.schema[c] for c in scope] + [T.StructField("_id", id_type)]
@@ -305,16 +315,20 @@ def _greedy(pairs: DataFrame, scope: tuple[str, ...], tail_pairs: int) -> DataFr
             early = F.col("_src") <= bound
             # Rows with many pairs can put more pairs below the bound.
             if open_pairs.filter(early).count() <= 2 * tail_pairs:
-                gone = _greedy_in_one_task(open_pairs.filter(early), scope)
+                gone = _greedy_in_order(open_pairs.filter(early), scope)
                 gone = write_shared(gone.withColumnRenamed("_id", "_dst"), "removed")
                 open_pairs = without(open_pairs.filter(~early), gone)
                 n_open = open_pairs.count()
-    settled.append(_greedy_in_one_task(open_pairs, scope))
+    settled.append(_greedy_in_order(open_pairs, scope))
     return reduce(DataFrame.unionByName, settled)
 
 
-def _greedy_in_one_task(pairs: DataFrame, scope: tuple[str, ...]) -> DataFrame:
-    """The same for a few pairs, whose number was counted before: read in order."""
+def _greedy_in_order(pairs: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """The same for a few pairs, whose number was counted before: read in order.
+
+    Scopes are independent, so they are spread over tasks; without a scope one
+    task reads the pairs.
+    """
     keys = list(scope)
     schema = T.StructType(
         [pairs.schema[c] for c in scope] + [T.StructField("_id", pairs.schema["_dst"].dataType)]
@@ -330,8 +344,8 @@ def _greedy_in_one_task(pairs: DataFrame, scope: tuple[str, ...]) -> DataFrame:
         if gone:
             yield pd.DataFrame(list(gone), columns=[*keys, "_id"])
 
-    in_order = pairs.coalesce(1).sortWithinPartitions(*scope, "_src", "_dst")
-    return in_order.mapInPandas(scan, schema)
+    spread = pairs.repartition(*scope) if scope else pairs.coalesce(1)
+    return spread.sortWithinPartitions(*scope, "_src", "_dst").mapInPandas(scan, schema)
 
 
 # --- finding matching pairs ------------------------------------------------
@@ -341,9 +355,15 @@ class _Matcher:
     """Finds the pairs of rows above the threshold and within one cent."""
 
     def __init__(
-        self, nodes: DataFrame, threshold: float, scope: tuple[str, ...], sizes: NearDupSizes
+        self,
+        nodes: DataFrame,
+        threshold: float,
+        scope: tuple[str, ...],
+        sizes: NearDupSizes,
+        own_threshold: str | None = None,
     ) -> None:
         self.threshold = threshold
+        self.own_threshold = own_threshold
         self.scope = scope
         self.sizes = sizes
         # Pieces of two letters need a threshold above 2/3 to bind; below it,
@@ -418,7 +438,7 @@ class _Matcher:
             .select(*self.scope, "_pair.*")
             .repartition(self._tasks(candidates), *self.scope, "_src", "_dst")
             .withColumn("_score", similarity("_src_name", "_dst_name"))
-            .filter(F.col("_score") > self.threshold)
+            .filter(F.col("_score") > (F.col(self.own_threshold) if self.own_threshold else self.threshold))
             .select(*self.scope, "_src", "_dst", "_score")
         )
 
@@ -467,11 +487,10 @@ class _Matcher:
 
     def _joined(self, left: DataFrame, right: DataFrame, conditions: list[Column]) -> DataFrame:
         """Rows ``l`` and ``r`` of the same keys that meet the conditions."""
-        # Keys that are the same for all rows would cost a second shuffle.
+        # The join makes its own exchanges, which adaptive execution may split or coalesce.
         keys = [*self.scope, "_cell"]
         keys += ["_key"] if self.rank is not None else []
         keys += ["_share"] if self.hot is not None else []
-        left, right = (side.repartition(self._tasks(side), *keys) for side in (left, right))
         on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in keys] + conditions
         return left.alias("l").join(right.alias("r").hint("merge"), reduce(Column.__and__, on))
 

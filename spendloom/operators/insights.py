@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ def exact_median(df: DataFrame, column: str = "amount", *, max_values: int = 1_0
     buffer.  Here distinct values are counted by a shuffle, and ranges of values
     are narrowed until at most ``max_values`` remain around the middle.
     """
+    if max_values < 2:
+        raise ValueError("max_values must be at least 2, as two values can be around the middle")
     counts = write_shared(
         df.select(F.col(column).alias("v"))
         .filter(F.col("v").isNotNull())
@@ -71,11 +74,13 @@ def _amount_columns(df: DataFrame, approximate_median: bool = False) -> list[Col
         median = F.percentile_approx("amount", 0.5)
     else:
         median = F.lit(exact_median(df)).cast("double")
+    return [F.count(F.lit(1)).alias("total_rows"), *_plain_amounts(), median.alias("median_amount")]
+
+
+def _plain_amounts() -> list[Column]:
     return [
-        F.count(F.lit(1)).alias("total_rows"),
         F.sum("amount").alias("total_amount"),
         F.avg("amount").alias("average_amount"),
-        median.alias("median_amount"),
         F.min("amount").alias("min_amount"),
         F.max("amount").alias("max_amount"),
         F.stddev_samp("amount").alias("std_amount"),
@@ -117,55 +122,99 @@ def _outlier_columns() -> list[Column]:
     ]
 
 
-def insights(df: DataFrame, counters: DataFrame | None = None) -> DataFrame:
+def insights(
+    df: DataFrame, counters: DataFrame | None = None, *, scope: Sequence[str] = (), n_vendors: int = 10
+) -> DataFrame:
     """Everything known about a cleaned table as ``(section, name, value)`` rows.
 
+    With a ``scope``, the same for each scope, led by the scope's columns.
     ``df`` is read several times, so pass a written table.  ``counters`` is a
-    one-row table of run counters; they replace summary values of that name.
-    The long form keeps categories, whose number is not bounded, out of a
-    single row.
+    table of run counters, one row or one per scope; they replace summary values
+    of that name.  The long form keeps categories, whose number is not bounded,
+    out of a single row.
     """
-    columns = _amount_columns(df) if "amount" in df.columns else [F.count(F.lit(1)).alias("total_rows")]
-    if "merchant" in df.columns:
-        columns.append(F.count_distinct("merchant").alias("unique_vendors"))
-    if "is_outlier" in df.columns:
-        columns += _outlier_columns()
-    summary = df.agg(*columns, completeness(df).alias("data_quality_score"))
+    scope = list(scope)
+    if scope:
+        summary = _scope_summary(df, scope)
+    else:
+        columns = _amount_columns(df) if "amount" in df.columns else [F.count(F.lit(1)).alias("total_rows")]
+        if "merchant" in df.columns:
+            columns.append(F.count_distinct("merchant").alias("unique_vendors"))
+        if "is_outlier" in df.columns:
+            columns += _outlier_columns()
+        summary = df.agg(*columns, completeness(df).alias("data_quality_score"))
+    if counters is not None and scope:
+        # A request of which no row is left has an empty summary.
+        summary = counters.select(*scope).join(summary, scope, "left").na.fill(0, ["total_rows", "data_quality_score"])
     if counters is not None and "is_outlier" in df.columns:
         summary = summary.withColumn("outliers_flagged", F.col("outlier_count"))
     # An empty table has a count and a score, nothing else.
-    always = ("total_rows", "data_quality_score")
-    parts = [
-        _long(
-            summary.select(
-                *[
-                    F.col(c) if c in always else F.when(F.col("total_rows") > 0, F.col(c)).alias(c)
-                    for c in summary.columns
-                ]
-            )
-        )
-    ]
+    always = (*scope, "total_rows", "data_quality_score")
+    summary = summary.select(
+        *[F.col(c) if c in always else F.when(F.col("total_rows") > 0, F.col(c)).alias(c) for c in summary.columns]
+    )
+    parts = [_long(summary, scope)]
     if "merchant" in df.columns:
-        parts.append(_section(top_vendors(df), "top_vendors", "merchant"))
+        top = top_vendors(df, n_vendors) if not scope else _top_by_scope(df, scope, n_vendors)
+        parts.append(_section(top, "top_vendors", "merchant", scope))
     if "category" in df.columns:
-        parts.append(_section(category_breakdown(df), "category_breakdown", "category"))
+        counts = category_breakdown(df) if not scope else _counts(df, "category", scope)
+        parts.append(_section(counts, "category_breakdown", "category", scope))
     if counters is not None:
-        names = counters.columns
+        names = [c for c in counters.columns if c not in scope]
         replaced = (F.col("section") == "summary") & F.col("name").isin(names)
         parts = [p.filter(~replaced) for p in parts]
-        parts.append(_long(counters))
+        parts.append(_long(counters, scope))
     return reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull())
 
 
-def _long(one_row: DataFrame) -> DataFrame:
-    values = one_row.select(*[F.col(c).cast("double").alias(c) for c in one_row.columns])
-    return values.unpivot([], values.columns, "name", "value").select(
-        F.lit("summary").alias("section"), "name", "value"
+def _scope_summary(df: DataFrame, scope: list[str]) -> DataFrame:
+    """One row of summary values per scope.
+
+    Values are counted first, so a scope that repeats a value has it once; the
+    median of a scope is read off its running counts.
+    """
+    columns = [F.count(F.lit(1)).alias("total_rows")]
+    if "is_outlier" in df.columns:
+        columns += _outlier_columns()
+    if "amount" in df.columns:
+        columns += [c for c in _plain_amounts()]
+    summary = df.groupBy(*scope).agg(*columns, completeness(df).alias("data_quality_score"))
+    if "merchant" in df.columns:
+        vendors = _counts(df, "merchant", scope).groupBy(*scope).agg(F.count(F.lit(1)).alias("unique_vendors"))
+        summary = summary.join(vendors, scope, "left").na.fill(0, ["unique_vendors"])
+    if "amount" in df.columns:
+        counts = df.filter("amount IS NOT NULL").groupBy(*scope, "amount").agg(F.count(F.lit(1)).alias("n"))
+        upto = Window.partitionBy(*scope).orderBy("amount")
+        counts = counts.withColumn("end", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*scope)))
+        low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+        begin = F.col("end") - F.col("n")
+        hit = ((begin <= low) & (F.col("end") > low)) | ((begin <= high) & (F.col("end") > high))
+        medians = counts.filter(hit).groupBy(*scope).agg(F.avg("amount").alias("median_amount"))
+        summary = summary.join(medians, scope, "left")
+    return summary
+
+
+def _counts(df: DataFrame, column: str, scope: list[str]) -> DataFrame:
+    return df.filter(F.col(column).isNotNull()).groupBy(*scope, column).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _top_by_scope(df: DataFrame, scope: list[str], n: int) -> DataFrame:
+    order = Window.partitionBy(*scope).orderBy(F.desc("n_rows"), "merchant")
+    return _counts(df, "merchant", scope).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n)
+
+
+def _long(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    names = [c for c in rows.columns if c not in scope]
+    values = rows.select(*scope, *[F.col(c).cast("double").alias(c) for c in names])
+    return values.unpivot(list(scope), names, "name", "value").select(
+        *scope, F.lit("summary").alias("section"), "name", "value"
     )
 
 
-def _section(counts: DataFrame, section: str, name: str) -> DataFrame:
+def _section(counts: DataFrame, section: str, name: str, scope: Sequence[str] = ()) -> DataFrame:
     return counts.select(
+        *scope,
         F.lit(section).alias("section"),
         F.col(name).alias("name"),
         F.col("n_rows").cast("double").alias("value"),

@@ -40,9 +40,22 @@ def requests(df: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def request_keys(df: DataFrame, kind: str) -> DataFrame:
+    """The rows with the key of their request, as a column ``key``."""
+    return _with_inputs(df).withColumn("key", request_key(kind))
+
+
+def newest(cache: DataFrame) -> DataFrame:
+    """One entry per ``kind`` and ``key``: the newest with a reply (highest ``seq``)."""
+    order = F.struct("seq", "reply") if "seq" in cache.columns else F.struct("reply")
+    best = cache.filter(F.col("reply") != "").groupBy("kind", "key").agg(F.max(order).alias("_best"))
+    values = [F.col(c) if c in ("kind", "key") else F.col(f"_best.{c}").alias(c) for c in cache.columns if c in ("kind", "key", "seq", "reply")]
+    return best.select(*values)
+
+
 def cache_hits(asked: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests with a stored reply, as ``kind, key, reply``.  Empty replies do not count."""
-    stored = cache.filter(F.col("reply") != "").select("kind", "key", "reply")
+    stored = newest(cache).select("kind", "key", "reply")
     return asked.join(stored, ["kind", "key"]).select("kind", "key", "reply")
 
 
@@ -70,15 +83,18 @@ def trim_cache(cache: DataFrame, *, size: int = 1000, parts: int = 64) -> DataFr
     )
 
 
-def store_replies(cache: DataFrame, replies: DataFrame, *, size: int = 1000) -> DataFrame:
-    """The cache with the new replies as its newest entries, trimmed to ``size``.
+def store_replies(cache: DataFrame, replies: DataFrame, *, size: int | None = None) -> DataFrame:
+    """The cache (``kind, key, reply, seq``) with the new replies as its newest entries.
 
-    Failed requests and analyses are not stored.
+    One entry per request is kept, so storing replies again changes nothing but
+    their age.  Failed requests and analyses are not stored.  All entries stay
+    unless a ``size`` to trim to is given.
     """
-    newest = F.coalesce(cache.agg(F.max("seq")).scalar(), F.lit(0))
+    last = F.coalesce(cache.agg(F.max("seq")).scalar(), F.lit(0))
     fresh = replies.filter(~F.col("cached") & F.col("reply").isNotNull())
-    fresh = fresh.filter(F.col("kind") != "analysis").withColumn("seq", newest + 1)
-    return trim_cache(cache.unionByName(fresh.select(*cache.columns)), size=size)
+    fresh = fresh.filter(F.col("kind") != "analysis").withColumn("seq", last + 1)
+    kept = newest(cache.unionByName(fresh.select(*cache.columns)))
+    return kept if size is None else trim_cache(kept, size=size)
 
 
 def ask(asked: DataFrame, make_model: MakeModel, kind: str, *, batch: int = 64) -> DataFrame:
@@ -142,7 +158,7 @@ def apply_vendor_replies(df: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def apply_category_replies(
-    df: DataFrame, replies: DataFrame, *, threshold: float = 0.7
+    df: DataFrame, replies: DataFrame, *, threshold: float | Column = 0.7
 ) -> DataFrame:
     """The gate applied to model replies.  ``confidence`` is kept as a column."""
     attached = _attach(df, replies, "category").withColumn(
@@ -163,10 +179,19 @@ def apply_analysis_replies(df: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def resolve_unmatched(
-    df: DataFrame, rules: Callable[[Column], Column], make_model: MakeModel
+    df: DataFrame,
+    rules: Callable[[Column], Column],
+    make_model: MakeModel,
+    cache: DataFrame | None = None,
 ) -> DataFrame:
     """Keyword rules first; only rows they do not know are asked."""
-    replies = replies_for(unmatched_by_rules(df), "vendor", make_model)
+    replies = replies_for(unmatched_by_rules(df), "vendor", make_model, cache)
+    return apply_unmatched_replies(df, rules, replies)
+
+
+def apply_unmatched_replies(
+    df: DataFrame, rules: Callable[[Column], Column], replies: DataFrame
+) -> DataFrame:
     by_rule = rules(F.coalesce("merchant", F.lit("None")))
     vendor = F.when(by_rule != fixed.UNKNOWN_VENDOR, by_rule).otherwise(
         vendor_reply(F.col("_reply"))

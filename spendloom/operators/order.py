@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,28 +14,46 @@ from pyspark.sql import types as T
 from spendloom.session import write_shared
 
 
-def add_txn_id(df: DataFrame, *, column: str = "txn_id") -> DataFrame:
-    """Number the rows in reading order.
+def add_txn_id(df: DataFrame, *, column: str = "txn_id", order_by: Sequence[str] = ()) -> DataFrame:
+    """Number the rows in reading order, or in the order of the given columns.
 
-    The numbers depend on how the input is split, so the result is written
-    once and every later step reads the same ids.
+    Rows read from files are ordered by file, block and place in the file, which
+    do not depend on how the input is split into tasks.  Other tables are
+    numbered as they come; the numbers are written once, so every later step
+    reads the same ids.
     """
+    keys = [F.col(c) for c in order_by]
+    if not keys:
+        try:
+            place = [F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start", "row_index")]
+            df.select(*place).schema
+            keys = place
+        except AnalysisException:
+            pass
+    if keys:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        columns = df.columns
+        df = df.select("*", *[k.alias(f"_at{i}") for i, k in enumerate(keys)])
+        at = [f"_at{i}" for i in range(len(keys))]
+        df = df.repartitionByRange(parts, *at).sortWithinPartitions(*at).select(*columns)
     return write_shared(df.withColumn(column, F.monotonically_increasing_id()), "numbered")
 
 
 def add_chunk(
     df: DataFrame,
     *,
-    chunk_size: int,
+    chunk_size: int | Column,
     order_by: str = "txn_id",
+    scope: Sequence[str] = (),
     column: str = "chunk_id",
     rows_per_part: int = 1_000_000,
 ) -> DataFrame:
-    """Number slices of ``chunk_size`` consecutive rows in ``order_by`` order.
+    """Number slices of ``chunk_size`` consecutive rows in ``order_by`` order, in each scope.
 
     The order is cut into ranges of about ``rows_per_part`` rows.  Rows are
-    numbered inside their range and shifted by the rows of earlier ranges, so
-    no task sorts the whole table.  Any cut points give the same numbers.
+    numbered inside their scope and range and shifted by the scope's rows of
+    earlier ranges, so no task sorts a whole table or a whole large scope.  Any
+    cut points give the same numbers.
     """
     parts = min(20_000, df.count() // rows_per_part)
     cuts = []
@@ -44,21 +63,22 @@ def add_chunk(
         cuts = sorted(set(df.agg(found).first()[0]))
     part = _range_of(cuts)(F.col(order_by)) if cuts else F.lit(0)
     rows = df.withColumn("_part", part)
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 20,000 ranges, whatever the size of the table.
-    shift = (
-        rows.groupBy("_part")
-        .count()
-        .select("_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_shift"))
-    )
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(order_by))
-    position = F.col("_shift") + F.col("_number") - 1
-    chunk = ((position - position % chunk_size) / chunk_size).cast("long")
-    return (
-        rows.withColumn("_number", number)
-        .join(F.broadcast(shift), "_part")
-        .select(*df.columns, chunk.alias(column))
-    )
+    number = F.row_number().over(Window.partitionBy(*scope, "_part").orderBy(order_by))
+    rows = rows.withColumn("_number", number)
+    position = F.col("_number") - 1
+    if cuts:
+        earlier = Window.partitionBy(*scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        shift = (
+            df.withColumn("_part", part)
+            .groupBy(*scope, "_part")
+            .count()
+            .select(*scope, "_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_shift"))
+        )
+        # Without a scope there are at most 20,000 ranges, whatever the size of the table.
+        rows = rows.join(shift if scope else F.broadcast(shift), [*scope, "_part"])
+        position = F.col("_shift") + position
+    chunk = F.floor(position / chunk_size).cast("long")
+    return rows.select(*df.columns, chunk.alias(column))
 
 
 def _range_of(cuts: list) -> Callable[[Column], Column]:

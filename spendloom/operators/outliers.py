@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def flag_outliers(
     df: DataFrame,
     *,
-    threshold: float = 3.0,
+    threshold: float | Column = 3.0,
     scope: Sequence[str] = (),
     stats_from: DataFrame | None = None,
 ) -> DataFrame:
@@ -39,7 +39,7 @@ def flag_outliers(
     )
 
 
-def _is_far(mean: Column, std: Column, threshold: float) -> Column:
+def _is_far(mean: Column, std: Column, threshold: float | Column) -> Column:
     # Spark sorts NaN above every number, so it is excluded by name.
     usable = (std > 0) & ~F.isnan(std)
     far = F.abs((F.col("amount") - mean) / std) > threshold

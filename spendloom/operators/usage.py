@@ -6,10 +6,12 @@ A request log has one row per request: ``run_id, kind, key, cached, ts``, where
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendloom.config import CleanConfig
 from spendloom.functions import fixed
 
 
@@ -21,37 +23,76 @@ def request_cents(kind: Column) -> Column:
 
 
 def run_usage(
-    rows_in: DataFrame, rows_kept: DataFrame, config: CleanConfig, confidence: Column | None = None
+    rows_in: DataFrame,
+    rows_kept: DataFrame,
+    options,
+    confidence: Column | None = None,
+    *,
+    scope: Sequence[str] = (),
+    hits: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: what a run costs when each row asks for each enabled step.
+    """What a run costs when each row asks for each enabled step: one row, or one per scope.
 
     ``rows_in`` is the input, ``rows_kept`` what duplicate removal left.  A
-    category request counts only if its confidence passed the gate.
+    category request counts only if its confidence passed the gate.  ``options``
+    are those of the run (see ``plans.cleaning.Options``), ``hits`` what
+    :func:`count_hits` gives.
     """
     if confidence is None:
         confidence = F.lit(fixed.KEYWORD_CONFIDENCE)
-    rows = F.count(F.lit(1))
     cents = fixed.REQUEST_CENTS
     requests, cost = F.lit(0).cast("long"), F.lit(0).cast("long")
-    steps = [
-        (config.vendor_step, rows, "vendor"),
-        (config.category_step, F.count_if(confidence >= config.ai_confidence_threshold), "category"),
-        (config.analysis_step, rows, "analysis"),
+    for name, kind in (("ai_vendor_enabled", "vendor"), ("ai_category_enabled", "category"), ("ai_analysis_enabled", "analysis")):
+        on = options.step(name)
+        if on is False:
+            continue
+        asks = F.lit(True) if on is True else on
+        if kind == "category":
+            asks = asks & (confidence >= options.value("ai_confidence_threshold"))
+        count = F.count_if(asks)
+        requests, cost = requests + count, cost + count * cents[kind]
+    scope = list(scope)
+    found = rows_kept.groupBy(*scope).agg(requests.alias("ai_requests"), (cost / 100).alias("ai_cost"))
+    size = F.count(F.lit(1))
+    chunked, chunk = options.value("chunked"), options.value("chunk_size")
+    if chunked is False:
+        chunks = []
+    elif chunked is True:
+        chunks = [F.ceil(size / chunk).alias("chunks_processed")]
+    else:
+        chunks = [F.max(F.when(chunked, chunk)).alias("_chunk")]
+    processed = rows_in.groupBy(*scope).agg(size.alias("rows_processed"), *chunks)
+    if "_chunk" in processed.columns:
+        many = F.coalesce(F.ceil(F.col("rows_processed") / F.col("_chunk")), F.lit(1))
+        processed = processed.withColumn("chunks_processed", many).drop("_chunk")
+    if hits is None:
+        hits = found.select(*scope, F.lit(0).cast("long").alias("cache_hits"))
+    if scope:
+        report = processed.join(found, scope, "left").join(hits, scope, "left")
+        report = report.na.fill(0, ["ai_requests", "ai_cost", "cache_hits"])
+    else:
+        report = processed.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(hits))  # one row each
+    report = report.withColumn("cleaner_version", F.lit(fixed.REPORT_VERSION))
+    order = [*scope, "cleaner_version", "rows_processed", "ai_requests", "ai_cost", "cache_hits"]
+    return report.select(*order, *[c for c in report.columns if c == "chunks_processed"])
+
+
+def count_hits(asked: Sequence[tuple[DataFrame, DataFrame]], scope: Sequence[str] = ()) -> DataFrame:
+    """Rows answered without a request of their own, one row or one per scope.
+
+    ``asked`` has for each kind the rows' keys (scope, ``key``) and the replies
+    to them.  A row is a hit if its reply was stored before the run, or another
+    row of its scope asked for it.
+    """
+    scope = list(scope)
+    each = [
+        keys.join(replies.filter("reply IS NOT NULL").select("key", "cached"), "key").select(
+            *scope, F.concat(F.lit(f"{i}|"), "key").alias("key"), "cached"
+        )
+        for i, (keys, replies) in enumerate(asked)
     ]
-    for enabled, count, kind in steps:
-        if enabled:
-            requests, cost = requests + count, cost + count * cents[kind]
-    processed = rows_in.agg(F.count(F.lit(1))).scalar()
-    report = (
-        rows_kept.agg(requests.alias("ai_requests"), (cost / 100).alias("ai_cost"))
-        .withColumn("cleaner_version", F.lit(fixed.REPORT_VERSION))
-        .withColumn("rows_processed", processed)
-        .select("cleaner_version", "rows_processed", "ai_requests", "ai_cost")
-    )
-    if config.chunked:
-        chunks = F.ceil(F.col("rows_processed") / config.chunk_size)
-        report = report.withColumn("chunks_processed", chunks)
-    return report
+    fresh = F.count_distinct(F.when(~F.col("cached"), F.col("key")))
+    return reduce(DataFrame.unionByName, each).groupBy(*scope).agg((F.count(F.lit(1)) - fresh).alias("cache_hits"))
 
 
 def client_usage(log: DataFrame) -> DataFrame:

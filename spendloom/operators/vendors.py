@@ -34,25 +34,21 @@ def standardise_vendors_by_table(df: DataFrame, rules: DataFrame) -> DataFrame:
 
     A merchant can only contain a keyword if it contains its first three
     letters, so keywords are looked up by those letters and no merchant meets
-    every rule.  Distinct merchants are matched, then joined back.
+    every rule.  Only pieces as long as such a start are cut from a merchant,
+    and pieces that start no rule are dropped before the merchants are matched.
+    Distinct merchants are matched, then joined back.
     """
     keyword = F.lower("keyword")
     keyed_rules = rules.filter(F.length("keyword") > 0).select(
         keyword.alias("_keyword"), "vendor", "priority", F.substring(keyword, 1, 3).alias("_start")
     )
+    lengths = sorted(r[0] for r in keyed_rules.select(F.length("_start")).distinct().collect())  # of 1, 2, 3
     names = df.select("merchant").distinct().withColumn("_name", F.lower("merchant"))
-    starts = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length("_name")),
-            lambda i: F.transform(
-                F.array(F.lit(1), F.lit(2), F.lit(3)),
-                lambda n: F.substring(F.col("_name"), i, n),
-            ),
-        )
-    )
+    starts = [_pieces(F.col("_name"), n) for n in lengths] or [F.array().cast("array<string>")]
     best = (
         names.filter(F.length("_name") > 0)
-        .withColumn("_start", F.explode(F.array_distinct(starts)))
+        .withColumn("_start", F.explode(F.array_distinct(F.concat(*starts))))
+        .join(keyed_rules.select("_start").distinct(), "_start", "left_semi")
         .join(keyed_rules, "_start")
         .filter(F.col("_name").contains(F.col("_keyword")))
         .groupBy("merchant")
@@ -64,6 +60,13 @@ def standardise_vendors_by_table(df: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(name: Column, n: int) -> Column:
+    """All pieces of n letters."""
+    places = F.when(F.length(name) >= n, F.sequence(F.lit(1), F.length(name) - n + 1))
+    cut = F.transform(places, lambda i: F.substring(name, i, F.lit(n)))
+    return F.coalesce(cut, F.array().cast("array<string>"))
+
+
 def unmatched_by_rules(df: DataFrame) -> DataFrame:
     """Rows whose merchant no keyword rule knows."""
     known = keyword_vendor(F.coalesce("merchant", F.lit("None")))

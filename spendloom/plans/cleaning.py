@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendloom.config import CleanConfig
@@ -26,35 +26,45 @@ from spendloom.operators.dedup import (
 from spendloom.operators.insights import insights
 from spendloom.operators.order import add_chunk
 from spendloom.operators.outliers import flag_outliers
-from spendloom.operators.usage import run_usage
-from spendloom.operators.vendors import standardise_vendors
+from spendloom.operators.usage import count_hits, run_usage
+from spendloom.operators.vendors import standardise_vendors, unmatched_by_rules
 from spendloom.session import write_shared
 
+#: Marks payload rows whose payload brings amounts.
+HAS_AMOUNT = "_has_amount"
+
 
 @dataclass(frozen=True)
 class CleanRun:
-    """A cleaned table and its one-row usage report."""
+    """A cleaned table, its usage report (one row, or one per scope), and the grown cache, if one was given."""
 
     rows: DataFrame
     usage: DataFrame
+    cache: DataFrame | None = None
 
 
-def clean_transactions(
-    df: DataFrame,
-    config: CleanConfig = CleanConfig(),
-    *,
-    order_by: str = "txn_id",
-    scope: Sequence[str] = (),
-    models: Mapping[str, model_requests.MakeModel] | None = None,
-    cache: DataFrame | None = None,
-) -> DataFrame:
-    """Clean a table of transactions.
+class Options:
+    """The options of a run: of the config, or of a struct column of the rows.
 
-    ``order_by`` is a whole number, unique within ``scope`` and never null.
-    Each scope is cleaned as if it came alone.  ``models`` replaces the keyword
-    rules of the steps it names: vendor, category, analysis.
+    A switch is True or False for a config and a column otherwise.
     """
-    return run(df, config, order_by=order_by, scope=scope, models=models, cache=cache).rows
+
+    def __init__(self, config: CleanConfig, own: str | None) -> None:
+        self.config, self.own = config, own
+
+    def value(self, name: str) -> Column | float | int | bool:
+        return F.col(self.own)[name] if self.own else getattr(self.config, name)
+
+    def step(self, name: str) -> Column | bool:
+        possible = getattr(self.config, name)
+        if not possible or not self.own:
+            return possible and self.config.enable_ai
+        return self.value("enable_ai") & self.value(name)
+
+
+def clean_transactions(df: DataFrame, config: CleanConfig = CleanConfig(), **options) -> DataFrame:
+    """Clean a table of transactions; the options are those of :func:`run`."""
+    return run(df, config, **options).rows
 
 
 def run(
@@ -65,83 +75,146 @@ def run(
     scope: Sequence[str] = (),
     models: Mapping[str, model_requests.MakeModel] | None = None,
     cache: DataFrame | None = None,
+    own_options: str | None = None,
 ) -> CleanRun:
+    """Clean a table of transactions.
+
+    ``order_by`` is a whole number, unique within ``scope`` and never null.
+    Each scope is cleaned as if it came alone.  ``models`` replaces the keyword
+    rules of the steps it names: vendor, category, analysis.  ``cache`` has
+    earlier replies (``kind, key, reply, seq``) and comes back with the new ones.
+
+    ``own_options`` names a struct column with a field for each option of
+    ``config``, the same within a scope, that is used in its place; ``config``
+    then says only which steps are possible at all.  The column is dropped.
+    """
     models = models or {}
-    columns, scope = df.columns, list(scope)
+    scope = list(scope)
+    columns = [c for c in df.columns if c not in (HAS_AMOUNT, own_options)]
+    options = Options(config, own_options)
     rows_in = df
-    if config.chunked:
-        df = add_chunk(df, chunk_size=config.chunk_size, order_by=order_by, column="_chunk")
-        scope.append("_chunk")
-    rows = clean.trim_texts(df, stringify_nulls=config.stringify_nulls, skip=scope)
-    rows = clean.drop_empty_rows(rows, order_by=order_by, scope=scope)
+    inner = list(scope)
+    if own_options or config.chunked:
+        df = add_chunk(
+            df, chunk_size=options.value("chunk_size"), order_by=order_by, scope=scope, column="_chunk"
+        )
+        if own_options:
+            df = df.withColumn("_chunk", F.when(options.value("chunked"), F.col("_chunk")).otherwise(0))
+        inner.append("_chunk")
+    marks = [c for c in (HAS_AMOUNT, own_options) if c in df.columns]
+    rows = clean.trim_texts(df, stringify_nulls=options.value("stringify_nulls"), skip=inner)
+    rows = clean.drop_empty_rows(
+        rows, order_by=order_by, scope=inner, skip=[*marks, *(c for c in ("request_id",) if marks)]
+    )
     rows = clean.parse_amount(rows)
     rows = without_amount_marked(rows)
+    rows, survivors = _without_duplicates(rows, options, order_by, inner)
 
-    if near_duplicates_apply(rows, config.duplicate_threshold):
-        # Copies in all columns agree in merchant and amount too, so the near
-        # step alone keeps the same rows, and only its narrow columns are
-        # shuffled before the survivors are known.
-        options = {"threshold": config.duplicate_threshold, "order_by": order_by, "scope": scope}
-        if "has_amount" in rows.columns:
-            whole, bare = rows.filter("has_amount"), rows.filter("not has_amount")
-            exact = drop_exact_duplicates(bare, order_by=order_by)
-            found = near_duplicate_survivors(whole, **options).unionByName(
-                exact.select(*scope, order_by, "amount")
-            )
-        else:
-            found = near_duplicate_survivors(rows, **options)
-        survivors = write_shared(found, "survivors")
-        kept = survivors.select(*scope, order_by)
-        rows = rows.join(kept, [*scope, order_by], "left_semi")
-    else:
-        rows = drop_exact_duplicates(rows, order_by=order_by)
-        survivors = rows
-
-    config = _possible_steps(config, rows.columns)
+    options = Options(_possible_steps(config, rows.columns, own_options), own_options)
     # Without an amount there is no category request.
     confidence = F.when(~F.isnan("amount"), F.lit(fixed.KEYWORD_CONFIDENCE))
-    asked = survivors
-    if config.vendor_step:
-        rows = _vendor_step(rows, config, models, cache)
-    if config.category_step:
+    asked, replies = survivors, []
+    if (on := options.step("ai_vendor_enabled")) is not False:
+        rows = _only(rows, on, ["merchant"], lambda r: _vendor_step(r, on, options, models, cache, replies))
+    if (on := options.step("ai_category_enabled")) is not False:
         old = F.col("category") if "category" in rows.columns else F.lit(None).cast("string")
-        rows = rows.withColumn("_old_category", old)
+        rows = rows.withColumn("category", old)
+        gate = options.value("ai_confidence_threshold")
         if "category" in models:
-            found = model_requests.replies_for(rows, "category", models["category"], cache)
-            rows = model_requests.apply_category_replies(
-                rows, found, threshold=config.ai_confidence_threshold
-            )
+            to_ask = _where(rows, on)
+            found = model_requests.replies_for(to_ask, "category", models["category"], cache)
+            replies.append((model_requests.request_keys(to_ask, "category"), found))
+            rows = _only(rows, on, ["category"], lambda r: model_requests.apply_category_replies(r, found, threshold=gate), "amount")
             confidence, asked = F.when(~F.isnan("amount"), F.col("confidence")), rows
         else:
-            rows = categorise(rows, threshold=config.ai_confidence_threshold)
-        new = F.when(F.isnan("amount"), F.col("_old_category")).otherwise(F.col("category"))
-        rows = rows.withColumn("category", new).drop("_old_category")
-    usage = run_usage(rows_in, asked, config, confidence)
+            rows = _only(rows, on, ["category"], lambda r: categorise(r, threshold=gate), "amount")
+    hits = count_hits([(k.select(*scope, "key"), r) for k, r in replies], scope) if replies else None
+    usage = run_usage(rows_in, asked, options, confidence, scope=scope, hits=hits)
 
     rows = flag_outliers(
-        rows, threshold=config.outlier_z_threshold, scope=scope, stats_from=survivors
+        rows, threshold=options.value("outlier_z_threshold"), scope=inner, stats_from=survivors
     )
     rows = clean.fill_blanks(rows)
-    if config.analysis_step:
+    if (on := options.step("ai_analysis_enabled")) is not False:
         if "analysis" in models:
-            found = model_requests.replies_for(rows, "analysis", models["analysis"], cache)
-            rows = model_requests.apply_analysis_replies(rows, found)
+            found = model_requests.replies_for(_where(rows, on), "analysis", models["analysis"], cache)
+            rows = _only(rows, on, ["description"], lambda r: model_requests.apply_analysis_replies(r, found))
         else:
-            rows = enrich_description(rows)
+            rows = _only(rows, on, ["description"], enrich_description)
     rows = clean.complete_columns(rows)
-    added = [c for c in rows.columns if c not in columns and c not in ("_chunk", "has_amount")]
-    wanted = [c for c in columns if c != "has_amount"]
-    return CleanRun(rows.select(*wanted, *added), usage)
+    internal = ("_chunk", HAS_AMOUNT, own_options)
+    added = [c for c in rows.columns if c not in columns and c not in internal]
+    for _, found in replies:
+        cache = None if cache is None else model_requests.store_replies(cache, found)
+    return CleanRun(rows.select(*columns, *added), usage, cache)
+
+
+def _without_duplicates(
+    rows: DataFrame, options: Options, order_by: str, scope: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and a narrow table of them (or the rows again)."""
+    config, own = options.config, options.own
+    has_both = {"merchant", "amount"} <= set(rows.columns)
+    if not (has_both if own else near_duplicates_apply(rows, config.duplicate_threshold)):
+        return (kept := drop_exact_duplicates(rows, order_by=order_by)), kept
+    # Copies in all columns agree in merchant and amount too, so the near step
+    # alone keeps the same rows, and only its narrow columns are shuffled before
+    # the survivors are known.
+    near, least, names = F.lit(True), config.duplicate_threshold, list(scope)
+    carried = []
+    if HAS_AMOUNT in rows.columns:
+        near = near & F.col(HAS_AMOUNT)
+    if own:
+        carried = [own]
+        rows = rows.withColumn("_threshold", options.value("duplicate_threshold"))
+        near = near & (F.col("_threshold") < 1)
+        least = rows.agg(F.min("_threshold")).first()[0]
+        least = 1.0 if least is None else min(1.0, least)
+        names.append("_threshold")
+    narrow = near_duplicate_survivors(
+        rows.filter(near), threshold=least, order_by=order_by, scope=names,
+        own_threshold="_threshold" if own else None,
+    ).select(*scope, order_by, "amount")
+    if HAS_AMOUNT in rows.columns or own:
+        exact = drop_exact_duplicates(rows.filter(~near).drop("_threshold"), order_by=order_by)
+        narrow = narrow.unionByName(exact.select(*scope, order_by, "amount"))
+    survivors = write_shared(narrow, "survivors")
+    rows = rows.drop("_threshold").join(survivors.select(*scope, order_by), [*scope, order_by], "left_semi")
+    # The options of a row are looked up by its scope, so they are taken from the rows.
+    return rows, (rows if carried else survivors)
+
+
+def _where(rows: DataFrame, on: Column | bool) -> DataFrame:
+    return rows if on is True else rows.filter(on)
+
+
+def _only(rows: DataFrame, on: Column | bool, changed: Sequence[str], step, needs_amount: str = "") -> DataFrame:
+    """``step`` of the rows; where ``on`` is false, ``changed`` stays and new columns are null.
+
+    ``needs_amount``: rows without an amount stay as well.
+    """
+    if needs_amount:
+        there = ~F.isnan(needs_amount)
+        on = there if on is True else there & on
+    if on is True:
+        return step(rows)
+    kept = {f"_old_{c}": F.col(c) for c in changed}
+    done = step(rows.withColumns(kept).withColumn("_on", F.coalesce(on, F.lit(False))))
+    back = {c: F.when(F.col("_on"), F.col(c)).otherwise(F.col(f"_old_{c}")) for c in changed}
+    # The confidence of a category is kept for the usage report.
+    new = [c for c in done.columns if c not in rows.columns and not c.startswith("_o") and c != "confidence"]
+    back |= {c: F.when(F.col("_on"), F.col(c)) for c in new}
+    return done.withColumns(back).drop("_on", *kept)
 
 
-def _possible_steps(config: CleanConfig, columns: Sequence[str]) -> CleanConfig:
+def _possible_steps(config: CleanConfig, columns: Sequence[str], own: str | None = None) -> CleanConfig:
     """Switch off the steps whose columns the table does not have."""
     columns = set(columns)
     return replace(
         config,
-        ai_vendor_enabled=config.ai_vendor_enabled and "merchant" in columns,
-        ai_category_enabled=config.ai_category_enabled and {"merchant", "amount"} <= columns,
-        ai_analysis_enabled=config.ai_analysis_enabled and {"merchant", "description"} <= columns,
+        ai_vendor_enabled=(bool(own) or config.ai_vendor_enabled) and "merchant" in columns,
+        ai_category_enabled=(bool(own) or config.ai_category_enabled) and {"merchant", "amount"} <= columns,
+        ai_analysis_enabled=(bool(own) or config.ai_analysis_enabled) and {"merchant", "description"} <= columns,
     )
 
 
@@ -150,24 +223,36 @@ def without_amount_marked(rows: DataFrame) -> DataFrame:
 
     They take no part in near duplicates, categories and outliers.
     """
-    if not {"has_amount", "amount"} <= set(rows.columns):
+    if not {HAS_AMOUNT, "amount"} <= set(rows.columns):
         return rows
-    amount = F.when(F.col("has_amount"), F.col("amount")).otherwise(float("nan"))
+    amount = F.when(F.col(HAS_AMOUNT), F.col("amount")).otherwise(float("nan"))
     return rows.withColumn("amount", amount)
 
 
 def _vendor_step(
     rows: DataFrame,
-    config: CleanConfig,
+    on: Column | bool,
+    options: Options,
     models: Mapping[str, model_requests.MakeModel],
     cache: DataFrame | None,
+    replies: list[tuple[DataFrame, DataFrame]],
 ) -> DataFrame:
     if "vendor" not in models:
         return standardise_vendors(rows)
-    if config.use_ai_for_unmatched_only:
-        return model_requests.resolve_unmatched(rows, keyword_vendor, models["vendor"])
-    found = model_requests.replies_for(rows, "vendor", models["vendor"], cache)
-    return model_requests.apply_vendor_replies(rows, found)
+    asked, by_rule_first = _where(rows, on), options.value("use_ai_for_unmatched_only")
+    if by_rule_first is not False:
+        known = unmatched_by_rules(asked)
+        asked = known if by_rule_first is True else known.unionByName(asked.filter(~by_rule_first))
+    found = model_requests.replies_for(asked, "vendor", models["vendor"], cache)
+    replies.append((model_requests.request_keys(asked, "vendor"), found))
+    if by_rule_first is False:
+        return model_requests.apply_vendor_replies(rows, found)
+    if by_rule_first is True:
+        return model_requests.apply_unmatched_replies(rows, keyword_vendor, found)
+    ruled = F.when(by_rule_first, keyword_vendor(F.coalesce("merchant", F.lit("None"))))
+    ruled = F.when(ruled != fixed.UNKNOWN_VENDOR, ruled)
+    done = model_requests.apply_vendor_replies(rows.withColumn("_old_ruled", ruled), found)
+    return done.withColumn("merchant", F.coalesce("_old_ruled", "merchant")).drop("_old_ruled")
 
 
 def clean_and_summarise(
@@ -180,5 +265,5 @@ def clean_and_summarise(
     else:
         result.rows.write.mode("overwrite").parquet(path)
         rows = df.sparkSession.read.schema(result.rows.schema).parquet(path)
-    counters = result.usage.drop("cleaner_version").withColumn("cache_hits", F.lit(0))
-    return rows, insights(rows, counters)
+    scope = options.get("scope", ())
+    return rows, insights(rows, result.usage.drop("cleaner_version"), scope=scope)

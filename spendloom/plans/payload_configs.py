@@ -1,56 +1,103 @@
-"""Cleaning payloads that bring their own options."""
+"""Cleaning payloads that bring their own options, each as a request of its own."""
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict
-from functools import reduce
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendloom.config import CleanConfig
 from spendloom.functions import fixed
+from spendloom.functions.variants import fields_of, strict_json
+from spendloom.operators.insights import insights
 from spendloom.plans.cleaning import run
 from spendloom.session import write_shared
 from spendloom.sources import payloads as source
 
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity)\s*$"
+_WHOLE = r"^\s*[+-]?\d+\s*$"
+OPTIONS = "_options"
 
-def clean_payloads_by_config(
-    payloads: DataFrame, default: CleanConfig = CleanConfig(), *, most_configs: int = 100
-) -> tuple[DataFrame, DataFrame]:
-    """Cleaned rows and rejects; each payload's ``config`` overrides ``default``.
 
-    There is one run per distinct config, so their number is checked first;
-    with more than ``most_configs`` this raises and cleans nothing.  Payloads
-    with options that are not valid are rejected.
+@dataclass(frozen=True)
+class PayloadRun:
+    """Cleaned rows, rejects, and the usage of each payload."""
+
+    rows: DataFrame
+    rejects: DataFrame
+    usage: DataFrame
+    cache: DataFrame | None = None
+
+
+def own_options(body: Column, default: CleanConfig) -> tuple[Column, Column]:
+    """The options of a body as a struct, and whether they are valid.
+
+    The rules are those of :class:`CleanConfig`: numbers may be texts, a switch
+    must be a boolean, and unknown keys are ignored.
     """
-    own = source.config_text().alias("_config")
-    rows = write_shared(
-        payloads.select("payload_id", "body", F.coalesce(own, F.lit("{}")).alias("_config")),
-        "payloads",
-    )
-    texts = [r[0] for r in rows.select("_config").distinct().limit(most_configs + 1).collect()]
-    if len(texts) > most_configs:
-        raise ValueError(f"more than {most_configs} distinct configs")
-    cleaned, invalid = [], []
-    for text in sorted(texts):
-        try:
-            config = CleanConfig.from_dict({**asdict(default), **json.loads(text)})
-        except (TypeError, ValueError):
-            invalid.append(text)
+    config = fields_of(strict_json(body))["config"]
+    found = fields_of(config)
+    values, valid = [], []
+    for f in fields(CleanConfig):
+        if f.name == "extra":
             continue
-        mine = source.transactions(rows.filter(F.col("_config") == text))
-        cleaned.append(run(mine, config, order_by="position", scope=["payload_id"]).rows)
-    if not cleaned:
-        nothing = source.transactions(rows.filter(F.lit(False)))
-        cleaned.append(run(nothing, default, order_by="position", scope=["payload_id"]).rows)
-    bad = F.col("_config").isin(invalid) if invalid else F.lit(False)
-    rejects = source.rejects(rows.filter(~bad)).unionByName(
-        rows.filter(bad).select(
-            "payload_id", source.request_tag().alias("request_id"),
-            F.lit(fixed.REJECT_CONFIG).alias("reason"),
-        )
+        given = F.map_contains_key(found, F.lit(f.name))
+        raw = found[f.name]
+        text, kind = F.try_variant_get(raw, "$", "string"), F.schema_of_variant(raw)
+        standard = F.lit(getattr(default, f.name))
+        if f.type == "bool":
+            value, ok = F.try_variant_get(raw, "$", "boolean"), kind == "BOOLEAN"
+        else:
+            number = F.when(kind == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("int").cast("double"))
+            number = number.otherwise(text.try_cast("double"))
+            pattern = F.lit(_NUMBER if f.type == "float" else _WHOLE)
+            ok = (kind == "BOOLEAN") | (
+                F.when(kind == "STRING", F.regexp_like(F.lower(text), pattern)).otherwise(number.isNotNull()) & number.isNotNull()
+            )
+            ok = ok & ~F.isnan(number)
+            value = number if f.type == "float" else number.cast("int")
+            if f.name == "duplicate_threshold":
+                ok = ok & (number >= 0)
+            if f.name == "chunk_size":
+                ok = ok & (value >= 1)
+        valid.append(F.when(given, F.coalesce(ok, F.lit(False))).otherwise(True))
+        # A given null is not valid, so the standard only stands for what is absent.
+        values.append(F.coalesce(value, standard).alias(f.name))
+    # Null stands for no config; anything else but an object is not valid.
+    no_config = F.try_variant_get(config, "$", "string").isNull() & found.isNull()
+    everything = valid[0]
+    for v in valid[1:]:
+        everything = everything & v
+    return F.struct(*values), F.when(no_config, True).otherwise(found.isNotNull() & everything)
+
+
+def clean_payloads(payloads: DataFrame, default: CleanConfig = CleanConfig(), **models_and_cache) -> PayloadRun:
+    """Clean each payload alone; its ``config`` overrides ``default``.
+
+    All payloads go through one run, with their options beside their rows, so
+    the number of distinct configs does not matter.  Payloads with options that
+    are not valid are rejected.  Each body is parsed once for its rows; the
+    parsed rows are written and every later step reads them.
+    """
+    options, valid = own_options(F.col("body"), default)
+    marked = payloads.select("payload_id", "body", options.alias(OPTIONS), valid.alias("_valid"))
+    read = write_shared(source.read(marked, OPTIONS, "_valid"), "payload-rows")
+    rows = source.rows_of(read.filter("_valid"), OPTIONS)
+    bad = read.filter("NOT _valid AND _read.reason IS NULL").select(
+        "payload_id", "request_id", F.lit(fixed.REJECT_CONFIG).alias("reason")
     )
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cleaned)
-    return union, rejects
+    rejects = source.rejects_of(read).unionByName(bad)
+    result = run(rows, default, order_by="position", scope=["payload_id"], own_options=OPTIONS, **models_and_cache)
+    return PayloadRun(result.rows, rejects, result.usage, result.cache)
+
+
+def clean_payloads_by_config(payloads: DataFrame, default: CleanConfig = CleanConfig()) -> tuple[DataFrame, DataFrame]:
+    """Cleaned rows and rejects."""
+    result = clean_payloads(payloads, default)
+    return result.rows, result.rejects
+
+
+def payload_insights(rows: DataFrame, usage: DataFrame) -> DataFrame:
+    """The insights of each payload, from its written rows and its usage."""
+    return insights(rows, usage.drop("cleaner_version"), scope=["payload_id"])

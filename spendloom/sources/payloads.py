@@ -33,29 +33,32 @@ DEFAULTS = {"amount": "0.0", "description": ""}
 def transactions(payloads: DataFrame) -> DataFrame:
     """Rows of the accepted payloads.
 
-    ``position`` counts the rows of a payload.  ``has_amount`` is false where a
+    ``position`` counts the rows of a payload.  ``_has_amount`` is false where a
     payload of columns brings no amounts at all.  Further fields are in
     ``extra``, as texts.
     """
+    return rows_of(read(payloads))
+
+
+def rejects(payloads: DataFrame) -> DataFrame:
+    """The other payloads with the reason: ``payload_id, request_id, reason``."""
+    return rejects_of(read(payloads))
+
+
+def rows_of(found: DataFrame, *kept: str) -> DataFrame:
+    """The rows of what :func:`read` gives; ``kept`` columns go with them."""
     # The outer form keeps Spark from copying the reading into a filter of its
     # own, which would read every payload twice.
     return (
-        _read(payloads)
-        .select(
-            "payload_id", "request_id", F.posexplode_outer("_read.rows").alias("position", "_row")
-        )
+        found.select("payload_id", "request_id", *kept, F.posexplode_outer("_read.rows").alias("position", "_row"))
         .filter(F.col("position").isNotNull())
-        .select("payload_id", "request_id", F.col("position").cast("long"), "_row.*")
+        .select("payload_id", "request_id", F.col("position").cast("long"), *kept, "_row.*")
     )
 
 
-def rejects(payloads: DataFrame) -> DataFrame:
-    """The other payloads with the reason: ``payload_id, request_id, reason``."""
+def rejects_of(found: DataFrame) -> DataFrame:
     return (
-        _read(payloads)
-        .select(
-            "payload_id", "request_id", F.explode_outer(F.array("_read.reason")).alias("reason")
-        )
+        found.select("payload_id", "request_id", F.explode_outer(F.array("_read.reason")).alias("reason"))
         .filter(F.col("reason").isNotNull())
     )
 
@@ -77,17 +80,19 @@ def request_tag() -> Column:
     return F.concat(F.lit("req-"), F.substring(digest, 1, 8))
 
 
-def _read(payloads: DataFrame) -> DataFrame:
-    read = let(strict_json(F.col("body")), _split_envelope)
+def read(payloads: DataFrame, *kept: str) -> DataFrame:
+    """``payload_id, request_id, _read``: the rows of a payload or the reason of its reject."""
+    found = let(strict_json(F.col("body")), _split_envelope)
     return payloads.select(
         "payload_id",
         request_tag().alias("request_id"),
-        F.coalesce(read, _reject(fixed.REJECT_NOT_JSON)).alias("_read"),
+        F.coalesce(found, _reject(fixed.REJECT_NOT_JSON)).alias("_read"),
+        *kept,
     )
 
 
 _ROW = (
-    "struct<" + ",".join(f"{c}:string" for c in KNOWN) + ",extra:map<string,string>,has_amount:boolean>"
+    "struct<" + ",".join(f"{c}:string" for c in KNOWN) + ",extra:map<string,string>,_has_amount:boolean>"
 )
 
 
@@ -166,7 +171,7 @@ def _read_columns(fields: Column, lists: Column) -> Column:
                 F.map_from_arrays(
                     others, F.transform(others, lambda k: F.get(table[k], i))
                 ).alias("extra"),
-                F.map_contains_key(table, "amount").alias("has_amount"),
+                F.map_contains_key(table, "amount").alias("_has_amount"),
             ),
         )
 
@@ -192,7 +197,7 @@ def _read_records(records: Column) -> Column:
                 F.map_from_arrays(
                     others, F.transform(others, lambda k: value(r, k, names, ""))
                 ).alias("extra"),
-                F.lit(True).alias("has_amount"),
+                F.lit(True).alias("_has_amount"),
             ),
         )
 

@@ -13,16 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spendloom.config import CleanConfig
-from spendloom.plans.cleaning import run
-from spendloom.session import temporary_tables, write_shared
-from spendloom.sources import payloads as payload_source
+from spendloom.plans import payload_configs
+from spendloom.session import temporary_tables
 
 
 def clean_payloads(payloads: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
     """The batch form: every payload of a table cleaned on its own."""
-    return run(
-        payload_source.transactions(payloads), config, order_by="position", scope=["payload_id"]
-    ).rows
+    return payload_configs.clean_payloads(payloads, config).rows
 
 
 def clean_stream(
@@ -35,30 +32,34 @@ def clean_stream(
 ) -> StreamingQuery:
     """Start cleaning a stream with ``payload_id`` and ``body``.
 
-    Writes ``rows``, ``rejects`` and ``usage`` below ``out_dir``, one folder per
-    micro-batch.  A micro-batch that is run again overwrites its own folder.
+    A payload's own ``config`` overrides ``config``.  Writes ``rows``,
+    ``rejects``, ``usage`` and ``insights`` (both per payload) below
+    ``out_dir``, one folder per micro-batch.  A micro-batch that is run again
+    overwrites its own folder.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        def save(df: DataFrame, table: str) -> None:
-            df.write.mode("overwrite").parquet(f"{out_dir}/{table}/batch_id={batch_id}")
+        def save(df: DataFrame, table: str) -> DataFrame:
+            path = f"{out_dir}/{table}/batch_id={batch_id}"
+            df.write.mode("overwrite").parquet(path)
+            return batch.sparkSession.read.schema(df.schema).parquet(path)
 
         with temporary_tables(batch.sparkSession):
-            # Parsed once; the steps below read it several times.
-            rows = write_shared(payload_source.transactions(batch), "stream-rows")
-            result = run(rows, config, order_by="position", scope=["payload_id"])
-            save(result.rows, "rows")
-            save(payload_source.rejects(batch), "rejects")
-            save(result.usage.withColumn("ts", F.current_timestamp()), "usage")
+            result = payload_configs.clean_payloads(batch, config)
+            rows = save(result.rows, "rows")
+            save(result.rejects, "rejects")
+            usage = save(result.usage.withColumn("ts", F.current_timestamp()), "usage")
+            save(payload_configs.payload_insights(rows, usage.drop("ts")), "insights")
 
     writer = payloads.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def usage_totals(usage: DataFrame) -> DataFrame:
-    """Running totals over the micro-batches handled so far."""
+    """Running totals over the payloads handled so far, from the written ``usage``."""
     return usage.agg(
-        F.count(F.lit(1)).alias("batches"),
+        F.count_distinct("batch_id").alias("batches"),
+        F.count(F.lit(1)).alias("payloads"),
         F.coalesce(F.sum("rows_processed"), F.lit(0)).alias("rows_processed"),
         F.coalesce(F.sum("ai_requests"), F.lit(0)).alias("ai_requests"),
         F.coalesce(F.round(F.sum("ai_cost"), 2), F.lit(0.0)).alias("ai_cost"),

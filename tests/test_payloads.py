@@ -1,8 +1,13 @@
+import json
+from dataclasses import asdict
+
 import pytest
 from pyspark.sql import functions as F
 
+from spendloom.config import CleanConfig
 from spendloom.functions import fixed
-from spendloom.plans.payload_configs import clean_payloads_by_config
+from spendloom.plans.cleaning import clean_transactions
+from spendloom.plans.payload_configs import clean_payloads, clean_payloads_by_config, own_options
 from spendloom.sources import payloads
 
 X = {"merchant": "X", "amount": "50", "description": ""}
@@ -23,7 +28,7 @@ ACCEPTED = [
     ('{"data":5,"merchant":"X","amount":50}', [{**X, "extra": {"data": "5"}}]),
     ('{"merchant":"X","amount":50,"config":{"a":1}}', [X]),
     ('{"data":{"merchant":"X","amount":50,"config":1}}', [{**X, "extra": {"config": "1"}}]),
-    ('{"merchant":["X"]}', [{"merchant": "X", "has_amount": False}]),
+    ('{"merchant":["X"]}', [{"merchant": "X", "_has_amount": False}]),
     ('{"merchant":[]}', []),
     ('{"merchant":null,"amount":null}', [{"description": ""}]),
     ('[{"merchant":"X","a b":{"c":[1]}},{"merchant":"Y","memo":null,"z":true}]',
@@ -61,7 +66,7 @@ def read(spark):
 
 @pytest.mark.parametrize("number", range(len(ACCEPTED)))
 def test_accepted(read, number):
-    blank = dict.fromkeys(payloads.KNOWN) | {"extra": {}, "has_amount": True}
+    blank = dict.fromkeys(payloads.KNOWN) | {"extra": {}, "_has_amount": True}
     rows = [r.asDict() for r in read[0] if r.payload_id == number]
     assert [r["position"] for r in rows] == list(range(len(rows)))
     found = [{k: r[k] for k in blank} for r in rows]
@@ -107,12 +112,52 @@ def test_own_configs(spark):
     assert {r.payload_id: r.reason for r in rejects.collect()} == {
         4: fixed.REJECT_CONFIG, 5: fixed.REJECT_CONFIG, 6: fixed.REJECT_EMPTY
     }
-    with pytest.raises(ValueError):
-        clean_payloads_by_config(df, most_configs=2)
     nothing, rejects = clean_payloads_by_config(df.filter("payload_id > 3"))
     assert nothing.count() == 0 and rejects.count() == 3
 
 
+def test_options_of_a_payload_are_read_like_a_config(spark):
+    """Every value is accepted or refused as by CleanConfig, with the same result."""
+    given = [
+        {"duplicate_threshold": v} for v in (0.5, "0.9", 1, -1, "x", None, True, "nan", [1], "1e-1")
+    ] + [{"chunk_size": v} for v in (5, "7", 0, "7.5", 7.9, None)] + [{"enable_ai": v} for v in (True, "true", 1, None)]
+    given += [{}, {"unknown": 5}, {"chunked": True, "chunk_size": 3}]
+    bodies = [(i, json.dumps({"data": [{"merchant": "x"}], "config": c})) for i, c in enumerate(given)]
+    df = spark.createDataFrame(bodies, "payload_id long, body string")
+    options, valid = own_options(F.col("body"), CleanConfig())
+    for row in df.select("payload_id", options.alias("o"), valid.alias("valid")).collect():
+        try:
+            expected = CleanConfig.from_dict(given[row.payload_id])
+        except (TypeError, ValueError):
+            expected = None
+        assert row.valid == (expected is not None), given[row.payload_id]
+        if expected:
+            assert row.o.asDict() == {k: v for k, v in asdict(expected).items() if k != "extra"}
+
+
+def test_a_payload_is_cleaned_as_if_alone(spark):
+    body = '{"data":[{"merchant":"Acme","amount":5},{"merchant":"ACME","amount":5},{"merchant":"Acme","amount":5}],"config":{"chunked":true,"chunk_size":2}}'
+    alone = clean_payloads(spark.createDataFrame([(1, body)], "payload_id long, body string")).rows
+    both = clean_payloads(spark.createDataFrame([(1, body), (2, body)], "payload_id long, body string")).rows
+    assert sorted(r.position for r in alone.collect()) == [0, 2]
+    assert sorted((r.payload_id, r.position) for r in both.collect()) == [(1, 0), (1, 2), (2, 0), (2, 2)]
+
+
+def test_own_column_of_the_old_marker_name(spark):
+    df = spark.createDataFrame([(1, "x", 5.0, False), (2, "y", 6.0, True)], "txn_id long, merchant string, amount double, has_amount boolean")
+    out = {r.txn_id: (r.amount, r.has_amount) for r in clean_transactions(df).collect()}
+    assert out == {1: (5.0, False), 2: (6.0, True)}
+
+
+def test_a_body_is_parsed_once_for_its_rows(spark):
+    """Everything after the parsed rows reads the written table."""
+    df = spark.createDataFrame([(1, '[{"merchant":"x","amount":1}]')], "payload_id long, body string")
+    result = clean_payloads(df)
+    for table in (result.rows, result.rejects, result.usage):
+        assert "try_parse_json" not in table._jdf.queryExecution().toString().lower()
+        assert "parse_json" not in table._jdf.queryExecution().toString().lower()
+
+
 def test_long_payload(spark):
     df = spark.range(1).select(
         F.lit(1).alias("payload_id"),
