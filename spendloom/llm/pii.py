@@ -253,12 +253,15 @@ def replace_personal_data(docs: DataFrame, key: bytes, text_col: str = "text") -
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         surrogates = Surrogates(key)
         for texts, known in batches:
-            found = []
-            for text, tries in zip(texts.to_pylist(), known.to_pylist()):
-                own = Surrogates(key, dict(tries)) if tries else surrogates
-                new, spans = (None, []) if text is None else replace(text, own)
-                found.append({"text": new, "pii": [dict(zip(("kind", "start", "end"), s)) for s in spans]})
-            yield pa.array(found, _ARROW)
+            done = []
+            for part in slices(pa.record_batch([texts, known], ["text", "tries"]), "text"):
+                found = []
+                for text, tries in zip(part.column("text").to_pylist(), part.column("tries").to_pylist()):
+                    own = Surrogates(key, dict(tries)) if tries else surrogates
+                    new, spans = (None, []) if text is None else replace(text, own)
+                    found.append({"text": new, "pii": [dict(zip(("kind", "start", "end"), s)) for s in spans]})
+                done.append(pa.array(found, _ARROW))
+            yield pa.concat_arrays(done) if done else pa.array([], _ARROW)
 
     none = F.lit(None).cast("map<string,int>")
     if tries.isEmpty():  # no two names share a surrogate
