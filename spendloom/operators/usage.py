@@ -71,7 +71,8 @@ def run_usage(
         report = processed.join(found, scope, "left").join(hits, scope, "left")
         report = report.na.fill(0, ["ai_requests", "ai_cost", "cache_hits"])
     else:
-        report = processed.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(hits))  # one row each
+        one_row = [(processed, c) for c in processed.columns] + [(hits, "cache_hits")]
+        report = found.select("*", *[table.select(c).scalar().alias(c) for table, c in one_row])
     report = report.withColumn("cleaner_version", F.lit(fixed.REPORT_VERSION))
     order = [*scope, "cleaner_version", "rows_processed", "ai_requests", "ai_cost", "cache_hits"]
     return report.select(*order, *[c for c in report.columns if c == "chunks_processed"])
