@@ -34,7 +34,7 @@ _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 class Pieces:
     """A SentencePiece BPE model: identity normaliser, dummy prefix, byte fallback."""
 
-    def __init__(self, path: str, most_words: int = 150_000) -> None:
+    def __init__(self, path: str, most_words: int = 250_000) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         if model.normalize("ﬁ  x") != f"{MARK}ﬁ{MARK}{MARK}x":
             raise ValueError("only models that leave a text as it is, with a dummy prefix")
@@ -51,12 +51,14 @@ class Pieces:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece crosses the start of a word")
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        #: Lengths of the pieces by their last two characters, the longest first.
-        self._lengths: dict[str, list[int]] = {}
+        #: Lengths of the longer pieces by their last three characters, the longest first.
+        self._longer: dict[str, list[int]] = {}
         for piece in self.ids:
-            self._lengths.setdefault(piece[-2:], set()).add(len(piece))
-        self._lengths = {end: sorted(n - {1}, reverse=True) for end, n in self._lengths.items()}
-        self._stands: dict[tuple[str, str], bool] = {}
+            if len(piece) > 2:
+                self._longer.setdefault(piece[-3:], set()).add(len(piece))
+        self._longer = {end: sorted(n, reverse=True) for end, n in self._longer.items()}
+        self._lengths: dict[str, list[int]] = {}
+        self._stands: dict[int, bool] = {}
         self._whole: dict[str, bool] = {}
         self._memory: dict[str, bytes] = {}
         self._most = most_words
@@ -76,48 +78,72 @@ class Pieces:
         text = b"".join([of[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
+    def _candidates(self, end: str) -> list[int]:
+        """Lengths of pieces that may end like this (two or three characters)."""
+        found = self._longer.get(end, []) if len(end) > 2 else []
+        found = found + [2] * (end[-2:] in self.ids and len(end) > 1)
+        if len(self._lengths) > 200_000:
+            self._lengths.clear()
+        self._lengths[end] = found
+        return found
+
+    def _stand(self, left: str, piece: str) -> bool:
+        return self.merge(left + piece) == [left, piece]
+
     def _learn(self, words: list[str]) -> None:
         """Encode sorted distinct words, going down and up their trie."""
-        before, last = "", [""]  # last[i] is the last piece of the best path of the first i characters
-        lengths, stands, whole = self._lengths, self._stands, self._whole
+        before, last, last_id = "", [""], [-1]  # the last piece of the best path of the first i characters
+        lengths, stands, whole, ids = self._lengths, self._stands, self._whole, self.ids
         for word in words:
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], last_id[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for n in lengths.get(word[end - 2 : end] if end > 1 else "", ()):
+                tail = word[end - 3 : end] if end > 2 else word[:end]
+                at = lengths.get(tail)
+                if at is None:
+                    at = self._candidates(tail)
+                for n in at:
                     if n > end:
                         continue
                     piece = word[end - n : end]
+                    own = ids.get(piece)
+                    if own is None:
+                        continue
                     ok = whole.get(piece)
                     if ok is None:
-                        ok = whole[piece] = piece in self.ids and self.merge(piece) == [piece]
+                        ok = whole[piece] = self.merge(piece) == [piece]
                     if not ok:
                         continue
                     left = last[end - n]
                     if not left:
                         break
-                    ok = stands.get((left, piece))
-                    if ok is None:
-                        if len(stands) > 200_000:
-                            stands.clear()
-                        ok = stands[left, piece] = self.merge(left + piece) == [left, piece]
+                    left_id = last_id[end - n]
+                    if left_id < 0:  # a character without a piece
+                        ok = self._stand(left, piece)
+                    else:
+                        pair = left_id << 32 | own
+                        ok = stands.get(pair)
+                        if ok is None:
+                            if len(stands) > 500_000:
+                                stands.clear()
+                            ok = stands[pair] = self._stand(left, piece)
                     if ok:
                         break
                 else:
                     piece = word[end - 1]
+                    own = ids.get(piece, -1)
                 last.append(piece)
+                last_id.append(own)
             before = word
             path, at = [], len(word)
             while at:
                 path.append(last[at])
                 at -= len(last[at])
             self._memory[word] = self._ids(reversed(path))
-            if len(whole) > 200_000:
-                whole.clear()
 
     def _ids(self, path: Iterable[str]) -> bytes:
         found = array.array("I")
