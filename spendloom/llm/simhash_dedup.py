@@ -25,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spendloom.llm.common import as_bytes, components, slices
 from spendloom.session import write_shared
@@ -55,12 +54,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component: its smallest id."""
-    found = near_duplicates(docs, id_col, text_col)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay_id"))
-    rows = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id")), "left_semi")
-    first = Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.lit(0))
-    return rows.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    """The rows of ``docs`` that stay, one of each component: its smallest id.
+
+    A null id is larger than any other.  Rows with equal or null ids are told
+    apart by their texts, so each component keeps exactly one row.
+    """
+    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), who(id_col, text_col).alias("who"))
+    prints = marked.select("doc_id", "who", _fingerprint_udf()("text").alias("fingerprint"))
+    prints = write_shared(prints, "fingerprints")
+    distinct = prints.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "who")).alias("first"))
+    distinct = write_shared(distinct, "distinct")
+    roots = components(close_links(distinct.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
+    linked = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    stay = linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.who").alias("_stay"))
+    return keep_rows(docs, stay, id_col, text_col)
+
+
+def who(id_col: str, text_col: str) -> Column:
+    """The identity of a row: a digest of its id and its text; a null text is empty."""
+    known = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("none"))
+    return F.sha2(F.concat(known, F.lit(" "), F.coalesce(F.col(text_col), F.lit(""))), 256)
+
+
+def keep_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each identity in ``stay`` (column _stay)."""
+    rows = docs.withColumn("_who", who(id_col, text_col))
+    return rows.join(stay, F.col("_who") == F.col("_stay"), "left_semi").dropDuplicates(["_who"]).drop("_who")
+
+
+def _fingerprint_udf():
+    @F.arrow_udf("long")
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(b) for b in as_bytes(texts)], np.uint64).view(np.int64))
+
+    return prints
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

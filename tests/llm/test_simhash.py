@@ -77,3 +77,12 @@ def test_one_of_each_group_stays(docs_of):
 
 def test_empty(docs_of):
     assert simhash_dedup.near_duplicates(docs_of([])).count() == 0
+
+
+def test_null_and_equal_ids_with_unlike_texts_stay(docs_of):
+    texts = [" ".join("t%d_%d" % (i, j) for j in range(60)) for i in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3])]
+    found = simhash_dedup.drop_near_duplicates(docs_of(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == sorted(
+        [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])], key=repr
+    )
