@@ -1,0 +1,275 @@
+"""Near copies: SimHash comparison by tiles proposes, exact Jaccard similarity decides.
+
+Two texts are near copies if the sets of their shingles of ``words`` words have
+a Jaccard similarity of ``least`` or more.
+
+1. Each text gets a sketch: the number of its distinct shingles and four 64-bit
+   fingerprints.  Texts with one set of shingles share a node.
+2. Nodes are tiled by size, as sets that are alike have sizes within ``least``
+   of each other; tiles of one size class and the next are compared completely,
+   at a radius wide enough for the similarity.  A pair of tiles gives at most
+   one link per node, so a group of n nodes costs no n^2 rows.
+3. Linked nodes meet again with their texts, large groups in pairs of blocks.
+   A proposed pair is compared shingle by shingle and linked only if it is alike
+   enough; a pair that is connected already needs no comparison.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spendloom.llm.common import as_bytes, components, shuffle_partitions, slices
+from spendloom.llm.simhash_dedup import keep_rows, who
+from spendloom.session import write_shared
+
+WORDS, LEAST = 5, 0.8
+#: Sets with fewer shingles have more fingerprint bits that a tie decides.
+SMALL = 64
+#: Most differing bits of the first fingerprint and of all four, for small and other sets.
+RADII = ((25, 72), (21, 58))
+#: Least and most nodes of a tile, and nodes of a block that meets with its texts.
+TILES, BLOCK = (2048, 65536), 512
+_SKETCH = "doc_id long, who string, same binary, size int, p0 long, p1 long, p2 long, p3 long"
+_PRINTS = ["p0", "p1", "p2", "p3"]
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST
+) -> DataFrame:
+    """The rows of ``docs`` that stay: of texts linked by near copies, the one with the smallest id.
+
+    A null id is larger than any other.  Rows with equal ids and unlike texts
+    are documents of their own; of rows with equal ids and equal texts one
+    stays.  Texts without words are copies of each other.
+    """
+    rows = write_shared(sketches(docs, id_col, text_col, words), "sketches")
+    nodes = rows.groupBy("same").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "who")).alias("first"),
+        F.first(F.struct("size", *_PRINTS)).alias("s"),
+    )
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "first", "s.*")
+    nodes = write_shared(nodes, "nodes")
+    near = components(near_links(nodes, docs, id_col, text_col, words, least))
+    roots = nodes.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stay = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.who").alias("_stay"))
+    return keep_rows(docs, stay, id_col, text_col)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
+    """doc_id, who, and of the set of shingles a digest, its size and fingerprints, for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [sketch(b, words) for b in as_bytes(part.column("text"))]
+                same = pa.array([s for s, _, _ in found], pa.binary())
+                size = pa.array([n for _, n, _ in found], pa.int32())
+                prints = np.array([p for _, _, p in found], np.uint64).reshape(-1, 4).view(np.int64)
+                columns = [part.column("doc_id"), part.column("who"), same, size, *(pa.array(p.copy()) for p in prints.T)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "who", "same", "size", *_PRINTS])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), who(id_col, text_col).alias("who"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, _SKETCH)
+
+
+def shingles(text: bytes, words: int = WORDS) -> set[bytes]:
+    """All runs of ``words`` words, A-Z lower-cased; a shorter text is one shingle."""
+    parts = text.lower().split()
+    if len(parts) <= words:
+        return {b" ".join(parts)} if parts else set()
+    joined = b" ".join(parts)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    return {joined[s:e] for s, e in zip(starts.tolist(), (starts + lengths)[words - 1 :].tolist())}
+
+
+def sketch(text: bytes, words: int = WORDS) -> tuple[bytes, int, np.ndarray]:
+    """Digest of the set of shingles, its size, and its four fingerprints."""
+    digest = xxhash.xxh3_128_digest
+    hashes = sorted(map(digest, shingles(text, words)))
+    data = b"".join(hashes)
+    if not hashes:
+        return hashlib.sha256(data).digest(), 0, np.zeros(4, np.uint64)
+    halves = np.frombuffer(data, "<u8").reshape(-1, 2)
+    more = (halves ^ (halves >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    more ^= more >> np.uint64(29)
+    bits = np.unpackbits(np.hstack([halves, more[:, ::-1] * np.uint64(0xBF58476D1CE4E5B9)]).view(np.uint8), axis=1)
+    whole = len(bits) // 255 * 255  # counts of up to 255 fit a byte
+    ones = bits[:whole].reshape(-1, 255, 256).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    ones += bits[whole:].sum(axis=0, dtype=np.uint8)
+    prints = np.packbits(2 * ones > len(hashes)).view("<u8").astype(np.uint64)
+    return hashlib.sha256(data).digest(), len(hashes), prints
+
+
+def alike(a: set[bytes], b: set[bytes], least: float) -> bool:
+    both = len(a & b)
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+# --- proposals ---------------------------------------------------------------
+
+
+def proposals(nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """Links (a, b) that connect all nodes within the radii of each other."""
+    sized = nodes.filter("size > 0").select("node", "size", *_PRINTS)
+    cell = F.floor(F.log("size") / -math.log(least) + 1e-9).cast("int")
+    cells = sized.withColumn("cell", cell)
+    counts = write_shared(cells.groupBy("cell").agg(F.count("*").alias("many")), "cells")  # one row per size class
+    total = counts.agg(F.sum("many")).first()[0] or 0
+    tile = min(max(TILES[0], total // 24), TILES[1])
+    cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / tile)).cast("int").alias("cut")
+    dealt = cells.join(F.broadcast(counts), "cell").select("cell", cut, "node", "size", *_PRINTS)
+    tiles = dealt.groupBy("cell", "cut").agg(F.collect_list(F.struct("node", "size", *_PRINTS)).alias("nodes"))
+    tiles = write_shared(tiles, "tiles")
+    left = tiles.select(
+        F.col("cell").alias("own"), F.col("cut").alias("left_cut"), F.col("nodes").alias("left"),
+        F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"),
+    )
+    pairs = left.join(tiles, "cell").filter("own <> cell OR left_cut <= cut").select("left", "nodes")
+    pairs = pairs.repartition(max(shuffle_partitions(nodes.sparkSession), 48))
+    return pairs.mapInArrow(_compare(least), "a long, b long").distinct()
+
+
+def _compare(least: float):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right = (_tile(batch.column(c), i) for c in ("left", "nodes"))
+                a, b = _tile_links(left, right, least)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return compare
+
+
+def _tile(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values = column[i].values
+    node, size, *prints = (values.field(f).to_numpy() for f in ("node", "size", *_PRINTS))
+    order = np.argsort(size, kind="stable")
+    return node[order], size[order].astype(np.int64), np.stack(prints)[:, order].view(np.uint64)
+
+
+def _close(size: np.ndarray, other: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs within the radii and with sizes that fit."""
+    i, j = np.nonzero(np.bitwise_count(left[0][:, None] ^ right[0][None, :]) <= RADII[0][0])
+    smaller, larger = np.minimum(size[i], other[j]), np.maximum(size[i], other[j])
+    small = smaller < SMALL
+    first = np.bitwise_count(left[0][i] ^ right[0][j])
+    fits = (smaller >= least * larger - 1e-9) & (first <= np.where(small, RADII[0][0], RADII[1][0]))
+    i, j, small, bits = i[fits], j[fits], small[fits], first[fits].astype(np.int64)
+    for p in (1, 2, 3):
+        bits += np.bitwise_count(left[p][i] ^ right[p][j])
+    near = bits <= np.where(small, RADII[0][1], RADII[1][1])
+    return i[near], j[near]
+
+
+def _tile_links(left: tuple, right: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the close pairs of two tiles."""
+    (node, size, prints), (other, sizes, others) = left, right
+    a = b = np.zeros(0, np.int64)
+    step = 256
+    for at in range(0, len(node), step):
+        own = size[at : at + step]
+        # Both tiles are sorted by size: only a run of the other one fits.
+        low = np.searchsorted(sizes, math.floor(own[0] * least), "left")
+        high = np.searchsorted(sizes, math.ceil(own[-1] / least), "right")
+        for begin in range(low, high, 4096):
+            end = min(begin + 4096, high)
+            i, j = _close(own, sizes[begin:end], prints[:, at : at + step], others[:, begin:end], least)
+            x, y = node[at : at + step][i], other[begin:end][j]
+            unlike = x != y
+            if unlike.any():
+                a, b = _forest(np.append(a, x[unlike]), np.append(b, y[unlike]))
+    return a, b
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        smallest, before = np.minimum(label[a], label[b]), label
+        label = label.copy()
+        np.minimum.at(label, a, smallest)
+        np.minimum.at(label, b, smallest)
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+# --- verification ------------------------------------------------------------
+
+
+def near_links(
+    nodes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST
+) -> DataFrame:
+    """Links (a, b) of nodes with verified similarity that connect all proposed pairs that have it."""
+    groups = components(proposals(nodes, least))
+    both = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
+    many = both.groupBy("root").agg(F.count("*").alias("many"))
+    members = write_shared(nodes.join(both, "node").join(many, "root"), "members")
+    texts = docs.select(who(id_col, text_col).alias("who"), F.col(text_col).alias("text"))
+    members = members.withColumn("who", F.col("first.who"))
+    # Of rows repeated with their id and text, one.
+    texts = texts.join(members.select("who"), "who", "left_semi").dropDuplicates(["who"])
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    found = members.join(texts, "who").select("root", "node", "size", *_PRINTS, "text", own.alias("own"), blocks.alias("blocks"))
+    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    small = F.col("blocks") == 1
+    parts = 4 * shuffle_partitions(docs.sparkSession)
+    found = found.select(
+        F.when(small, F.pmod(F.xxhash64("root"), F.lit(parts))).otherwise(F.col("root")).alias("bucket"), small.alias("small"),
+        F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "root", "node", "size", *_PRINTS, "text",
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        root = table.column("root").to_numpy()
+        order = np.argsort(root, kind="stable")
+        edges = np.flatnonzero(np.diff(root[order])) + 1
+        links = []
+        for at in np.split(order, edges):
+            links += _verified(table.take(pa.array(at)), words, least)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return found.groupBy("bucket", "small", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
+def _verified(table: pa.Table, words: int, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of one group that are alike."""
+    node, size = table.column("node").to_pylist(), table.column("size").to_numpy().astype(np.int64)
+    prints = np.stack([table.column(p).to_numpy() for p in _PRINTS]).view(np.uint64)
+    texts = table.column("text").combine_chunks()
+    sets: dict[int, set[bytes]] = {}
+
+    def set_of(i: int) -> set[bytes]:
+        if i not in sets:
+            sets[i] = shingles((texts[i].as_py() or "").encode("utf-8"), words)
+        return sets[i]
+
+    i, j = _close(size, size, prints, prints, least)
+    i, j = i[i < j], j[i < j]
+    nearest = np.argsort(np.bitwise_count(prints[:, i] ^ prints[:, j]).sum(axis=0), kind="stable")
+    parent, links = list(range(len(node))), []
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in zip(i[nearest].tolist(), j[nearest].tolist()):
+        p, q = top(x), top(y)
+        if p != q and alike(set_of(x), set_of(y), least):
+            parent[max(p, q)] = min(p, q)
+            links.append((node[x], node[y]))
+    return links

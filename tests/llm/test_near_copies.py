@@ -1,0 +1,85 @@
+import random
+
+import corpus_pipeline
+from odd import odd_rows
+from spendloom.llm import near_copies
+
+
+def sets_of(rows):
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        yield {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def groups(rows):
+    """Components of all pairs with a 5-word Jaccard similarity of 0.8 or more, by brute force."""
+    sets = list(sets_of(rows))
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) > 0:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def stays(rows):
+    first = {}
+    for (d, t), r in zip(rows, groups(rows)):
+        first.setdefault(r, []).append((d is None, d or 0))
+    return sorted(min(g) for g in first.values())
+
+
+def edited_rows():
+    random.seed(8)
+    words = ["w%d" % i for i in range(3000)]
+    rows, n = [], 0
+    for size in (6, 12, 40, 150, 400):
+        for _ in range(6):
+            base = [random.choice(words) for _ in range(size)]
+            for edits in (0, 0, 1, 2, 4, 8, 16):
+                text = list(base)
+                for _ in range(edits * size // 150 if size > 40 else min(edits, 2)):
+                    text[random.randrange(size)] = random.choice(words)
+                rows.append((n, " ".join(text)))
+                n += 1
+    return rows
+
+
+def test_near_copies_like_brute_force(docs_of):
+    rows = edited_rows() + [(d and 10_000 + d, t) for d, t in odd_rows()]
+    docs = docs_of(rows)
+    found = near_copies.drop_near_copies(docs)
+    assert found.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in found.collect()) == stays(rows)
+
+
+def test_the_stage_takes_five_words_and_four_fifths(spark, docs_of):
+    random.seed(9)
+    base = ["w%d" % random.randrange(500) for _ in range(200)]
+    near = [*base[:60], "new", *base[61:140], "other", *base[141:]]  # Jaccard 186/206
+    far = ["x%d" % i if i % 20 == 0 else w for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(base[:120]))]
+    found = corpus_pipeline.drop_near_copies(spark, docs_of(rows), "")
+    assert sorted(r.doc_id for r in found.collect()) == [1, 3, 4]
+
+
+def test_large_groups_meet_in_blocks(docs_of):
+    base = ["w%d" % i for i in range(300)]
+    rows = [(i, " ".join([*base[: i % 290], "n%d" % i, *base[i % 290 + 1 :]])) for i in range(1300)]
+    rows += [(5000 + i, " ".join("v%d" % (i * 300 + j) for j in range(300))) for i in range(20)]
+    found = near_copies.drop_near_copies(docs_of(rows))
+    assert sorted(r.doc_id for r in found.collect()) == [0, *range(5000, 5020)]
+
+
+def test_null_and_equal_ids_with_unlike_texts_stay(docs_of):
+    texts = [" ".join("t%d_%d" % (i, j) for j in range(60)) for i in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3])]
+    found = near_copies.drop_near_copies(docs_of(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == sorted(
+        [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])], key=repr
+    )
+
+
+def test_empty(docs_of):
+    assert near_copies.drop_near_copies(docs_of([])).count() == 0
