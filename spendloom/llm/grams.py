@@ -8,13 +8,14 @@ one anchor form a piece; all windows of a document fall into few pieces.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Longer inputs are hashed in parts of so many units.
+#: Longer texts are hashed in parts of so many units.
 PART = 1 << 19
 
 
@@ -83,12 +84,32 @@ class Pieces(NamedTuple):
     whole: np.ndarray
 
 
+def _parts(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of window places, cut only between texts or every ``PART`` units of a text's own.
+
+    So the pieces of a text are the same whatever texts come with it.
+    """
+    at = end = 0
+    for n in counts.tolist():
+        if end > at and end - at + n > PART:
+            yield at, end
+            at = end
+        end += n
+        while end - at > PART:
+            yield at, at + PART
+            at += PART
+    if end > at:
+        yield at, end
+
+
 def pieces(units: np.ndarray, counts: np.ndarray, k: int, q: int) -> Pieces:
     text_of = np.repeat(np.arange(len(counts)), counts)
     found = []
-    for at in range(0, max(0, len(units) - k + 1), PART):
-        part = units[at : at + PART + k - 1]
-        own = text_of[at : at + PART + k - 1]
+    for at, end in _parts(counts):
+        part = units[at : end + k - 1]
+        own = text_of[at : end + k - 1]
+        if len(part) < k:
+            continue
         prefix = Prefix(part)
         n = len(part)
         grams = mix(prefix.of(np.arange(n - q + 1), np.arange(q, n + 1)))

@@ -108,3 +108,16 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
     monkeypatch.setattr(grams, "PART", 64)
     parts = grams.pieces(units, counts, 20, 5)
     assert np.array_equal(np.sort(grams.spread(whole.first, whole.windows)[0]), grams.spread(parts.first, parts.windows)[0])
+
+
+def test_pieces_do_not_depend_on_the_texts_beside_them(monkeypatch):
+    monkeypatch.setattr(grams, "PART", 64)
+    random.seed(7)
+    texts = ["".join(random.choice("ab c") for _ in range(n)).encode() for n in (50, 300, 7, 0, 63, 64, 65, 40, 129)]
+    for units_of, k, q in ((grams.byte_units, 20, 5), (grams.word_units, 3, 2)):
+        alone = [grams.pieces(*units_of([t]), k, q) for t in texts]
+        for start in range(len(texts)):
+            found = grams.pieces(*units_of(texts[start:]), k, q)
+            for i, own in enumerate(alone[start:]):
+                for name in ("windows", "left", "key", "whole"):
+                    assert np.array_equal(getattr(found, name)[found.text == i], getattr(own, name))
