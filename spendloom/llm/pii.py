@@ -11,7 +11,8 @@ Distinct entities must get distinct surrogates.  Where the form allows it, the
 surrogate is a keyed permutation of the values of that form (Feistel rounds over
 its digits and letters), which cannot collide.  Names come from lists and
 syllables, which can: all distinct names of all documents are checked, and those
-that would share a surrogate get the next one that is free.
+that would share a surrogate get the next one that is free, with more syllables
+after every few attempts.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ MIDDLES = {
     "cyrillic": tuple(c + v for c in "бвдклмнрст" for v in "аеиоу"),
     "greek": tuple(c + v for c in "βδκλμνρστ" for v in "αειου"),
 }
+#: Attempts at a name before its family name gets one more syllable, so that a free one always exists.
+ATTEMPTS = 4
 #: Titles that announce a person, with the gender they tell.
 TITLES = {
     "Mr": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Господин": "m", "Κύριος": "m",
@@ -133,11 +136,13 @@ class Surrogates:
     def name(self, name: str, gender: str, attempt: int) -> str:
         """The surrogate of a person's name at an attempt; an untold gender is drawn with the key."""
         script, whole, words = _script(name), person(name), name.split()
-        drawn = self.stream(12, "person", attempt, whole)
+        more = attempt // ATTEMPTS
+        drawn = self.stream(12 + more, "person", attempt, whole)
         gender = gender or "fm"[self.stream(1, "gender", whole)[0] % 2]
         given = GIVEN[script, gender]
         starts, ends, middles = FAMILY_STARTS[script], FAMILY_ENDS[script], MIDDLES[script]
         family = starts[drawn[0] % len(starts)] + middles[drawn[1] % len(middles)] + middles[drawn[2] % len(middles)]
+        family += "".join(middles[d % len(middles)] for d in drawn[12:])
         family += ends[drawn[3] % len(ends)]
         found = [given[drawn[4] % len(given)], *[given[d % len(given)] for d in drawn[5 : 3 + len(words)]], family]
         found = found if len(words) > 1 else [family]

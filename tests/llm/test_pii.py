@@ -91,3 +91,16 @@ def test_collision_check_over_all_documents(docs_of):
         seen.setdefault(names[(r.doc_id * 7 + 1) % len(names)], set()).add(b)
     assert all(len(v) == 1 for v in seen.values())
     assert len({v for s in seen.values() for v in s}) == len(names)
+
+
+def test_more_names_than_the_pool_holds(monkeypatch):
+    monkeypatch.setattr(pii, "FAMILY_STARTS", {"latin": ("Al",)})
+    monkeypatch.setattr(pii, "MIDDLES", {"latin": ("ba", "da")})
+    monkeypatch.setattr(pii, "FAMILY_ENDS", {"latin": ("man",)})
+    surrogates, taken = pii.Surrogates(KEY), set()
+    for i in range(60):  # four names without a further syllable
+        free = (surrogates.name(f"Name{i}", "m", attempt) for attempt in range(200))
+        name = next((n for n in free if n not in taken), None)
+        assert name is not None
+        taken.add(name)
+    assert len(taken) == 60
