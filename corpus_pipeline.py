@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spendloom.llm import exact_dedup, near_copies, packing, pii, toxicity
+from spendloom.llm import exact_dedup, packing, pii, simhash_dedup, toxicity
 from spendloom.llm.entry import PII_KEY
 from spendloom.session import write_shared
 
@@ -22,8 +22,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by 5-word Jaccard similarities of 0.8 or more the one with the smallest id stays."""
-    return near_copies.drop_near_copies(docs)
+    """Of texts linked by fingerprints of 3-word shingles at most 3 bits apart the one with the smallest id stays."""
+    return simhash_dedup.drop_near_duplicates(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
