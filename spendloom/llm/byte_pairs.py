@@ -9,7 +9,8 @@ gives the next rank.  A merge changes only the pairs beside it; the entries that
 it makes untrue stay in their buckets and are skipped when they come up.  So a
 pre-token of n bytes takes at most about 3 n entries, however long it is.
 
-Distinct pre-tokens are remembered, up to a bound, as texts repeat them.
+Distinct pre-tokens are remembered, up to a bound, as texts repeat them; a Python
+worker keeps them from task to task.
 
 Pre-tokens are cut by the regex library, whose Unicode version may be newer than
 that of tiktoken.  Characters that only the newer one calls letters or numbers
@@ -22,6 +23,7 @@ import array
 import base64
 import functools
 import heapq
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -57,59 +59,34 @@ def later_characters() -> str:
     return "".join(c for c in doubtful if all(len(probe.encode_ordinary(first + c)) > 1 for first in "a1"))
 
 
-class RankQueue:
-    """Positions by rank.  The least rank, and its least position, come out first."""
-
-    def __init__(self, ranks: int) -> None:
-        #: Bits in a word: two levels of such words cover all ranks.
-        self._width = max(1, -(-max(1, ranks - 1).bit_length() // 2))
-        self._low = (1 << self._width) - 1
-        self._words = [0] * (1 << self._width)
-        self._top = 0
-        self._buckets: dict[int, list[int]] = {}
-
-    def add(self, rank: int, position: int) -> None:
-        bucket = self._buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self._buckets[rank] = [position]
-        word = rank >> self._width
-        self._words[word] |= 1 << (rank & self._low)
-        self._top |= 1 << word
-
-    def take(self) -> tuple[int, int] | None:
-        top = self._top
-        if not top:
-            return None
-        word = (top & -top).bit_length() - 1
-        bits = self._words[word]
-        rank = word << self._width | (bits & -bits).bit_length() - 1
-        bucket = self._buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self._buckets[rank]
-            self._words[word] = bits = bits & (bits - 1)
-            if not bits:
-                self._top = top & (top - 1)
-        return rank, position
+def _ranges(characters: str) -> str:
+    """Sorted characters as ranges of a character class."""
+    found: list[list[str]] = []
+    for c in characters:
+        if found and ord(found[-1][1]) + 1 == ord(c):
+            found[-1][1] = c
+        else:
+            found.append([c, c])
+    return "".join(f"{a}-{b}" for a, b in found)
 
 
 class BytePairCoder:
     """Ids of texts and texts of ids by the ranks of a vocabulary file."""
 
-    def __init__(self, path: str, pattern: str, most_words: int = 400_000) -> None:
+    def __init__(self, path: str, pattern: str, most_words: int = 800_000) -> None:
         self.ranks = read_ranks(path)
         missing = [b for b in range(256) if bytes([b]) not in self.ranks]
         if missing:
             raise ValueError(f"bytes without a rank: {missing}")
+        self._single = [self.ranks[bytes([b])] for b in range(256)]
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        later = later_characters()
         self._plain = regex.compile(pattern).findall
-        self._later = regex.compile(f"[{later}]").search if later else None
-        known = [(c, f"[{c}--[{later}]]") for c in (r"\p{L}", r"\p{N}")]
+        later = later_characters()
+        self._late = re.compile(f"[{later[0]}-\U0010ffff]").search, re.compile(f"[{_ranges(later)}]").search
+        known = [(c, f"[{c}--[{_ranges(later)}]]") for c in (r"\p{L}", r"\p{N}")]
         self._careful = regex.compile(functools.reduce(lambda p, c: p.replace(*c), known, pattern), regex.V1).findall
-        self._queue = RankQueue(max(self.tokens) + 1)
+        #: Two levels of bitmaps of this many bits cover all ranks.
+        self._width = max(1, -(-max(self.tokens).bit_length() // 2))
         self._known = _Remembered(self._word, most_words)
 
     def encode(self, text: str) -> bytes:
@@ -117,9 +94,10 @@ class BytePairCoder:
         return b"".join(map(self._known.__getitem__, self._split(text)))
 
     def _split(self, text: str) -> list[str]:
-        if text.isascii() or not self._later or not self._later(text):
-            return self._plain(text)
-        return self._careful(text)
+        # The first search is the faster one, and few texts pass it.
+        if not text.isascii() and all(late(text) for late in self._late):
+            return self._careful(text)
+        return self._plain(text)
 
     def decode(self, ids: bytes) -> bytes:
         numbers = array.array("I", ids)
@@ -132,35 +110,64 @@ class BytePairCoder:
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token by merging its bytes."""
-        ranks, queue, n = self.ranks, self._queue, len(piece)
-        # A part starts at its position and ends where the next one starts; 0 marks a part that is gone.
+        rank_of, n, width = self.ranks.get, len(piece), self._width
+        low, push, pop = (1 << width) - 1, heapq.heappush, heapq.heappop
+        # A part starts at its position and ends where the next one starts.
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                queue.add(rank, i)
-        while entry := queue.take():
-            rank, at = entry
-            middle = after[at]
-            if not middle or middle == n:
-                continue
-            end = after[middle]
-            if ranks.get(piece[at:end]) != rank:
+        tokens = [self._single[b] for b in piece]
+        # The rank at which a part merges with the next one; entries of any other rank are stale.
+        ranks = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]
+        ranks.append(-1)
+        buckets: dict[int, list[int]] = {}
+        for at, rank in enumerate(ranks):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(at)
+                else:
+                    buckets[rank] = [at]
+        bits, top = [0] * (1 << width), 0
+        for rank in buckets:
+            bits[rank >> width] |= 1 << (rank & low)
+            top |= 1 << (rank >> width)
+        while top:
+            high = (top & -top).bit_length() - 1
+            held = bits[high]
+            rank = high << width | (held & -held).bit_length() - 1
+            bucket = buckets[rank]
+            at = pop(bucket)
+            if not bucket:
+                del buckets[rank]
+                bits[high] = held = held & (held - 1)
+                if not held:
+                    top &= top - 1
+            if ranks[at] != rank:
                 continue
-            after[at], after[middle] = end, 0
+            middle = after[at]
+            end = after[at] = after[middle]
+            tokens[at], ranks[middle] = rank, -1
             if end < n:
                 before[end] = at
-                joined = ranks.get(piece[at : after[end]])
-                if joined is not None:
-                    queue.add(joined, at)
-            first = before[at]
-            if first >= 0:
-                joined = ranks.get(piece[first:end])
-                if joined is not None:
-                    queue.add(joined, first)
+                ranks[at] = joined = rank_of(piece[at : after[end]], -1)
+                if joined in buckets:
+                    push(buckets[joined], at)
+                elif joined >= 0:
+                    buckets[joined] = [at]
+                    bits[joined >> width] |= 1 << (joined & low)
+                    top |= 1 << (joined >> width)
+            else:
+                ranks[at] = -1
+            if at:
+                first = before[at]
+                ranks[first] = joined = rank_of(piece[first:end], -1)
+                if joined in buckets:
+                    push(buckets[joined], first)
+                elif joined >= 0:
+                    buckets[joined] = [first]
+                    bits[joined >> width] |= 1 << (joined & low)
+                    top |= 1 << (joined >> width)
         found, at = [], 0
         while at < n:
-            found.append(ranks[piece[at : after[at]]])
+            found.append(tokens[at])
             at = after[at]
         return found
 
@@ -180,6 +187,11 @@ class _Remembered(dict):
         return found
 
 
+@functools.lru_cache(1)
+def _coder(path: str, pattern: str) -> BytePairCoder:
+    return BytePairCoder(path, pattern)
+
+
 def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", to: str = "ids") -> DataFrame:
     """Add the ids of each text as a binary column of little-endian unsigned 32-bit numbers.
 
@@ -190,7 +202,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", to
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = BytePairCoder(path, pattern).encode
+        code = _coder(path, pattern).encode
         for batch in batches:
             for part in slices(batch, text_col):
                 found = [code(t or "") for t in part.column(text_col).to_pylist()]
@@ -203,7 +215,7 @@ def decode(df: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", to:
     """Add the bytes that the ids stand for; null ids give no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of = BytePairCoder(path, pattern).decode
+        text_of = _coder(path, pattern).decode
         for batch in batches:
             for part in slices(batch, ids_col):
                 found = [text_of(b or b"") for b in part.column(ids_col).to_pylist()]

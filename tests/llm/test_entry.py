@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
