@@ -17,15 +17,16 @@ all rows is never gathered.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendloom.llm.common import as_bytes, shuffle_partitions
+from spendloom.llm.common import as_bytes, shuffle_partitions, slices
 from spendloom.session import write_shared
 
 _ENTRY = "node int, key long, digest binary, n_bytes long, keep_id long, keep_row long, copies long"
@@ -68,7 +69,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = exact_duplicates(docs, id_col, text_col, keep)
     stay = found.filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest"))
-    marked = docs.withColumn("_digest", digest_udf()(F.col(text_col)))
+    marked = docs.withColumn("_digest", digest_column(F.col(text_col)))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id")) & (F.col("_digest") == F.col("_stay_digest"))
     first = Window.partitionBy(F.col(id_col).cast("long"), "_digest").orderBy(F.lit(0))
     return (
@@ -79,12 +80,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
-def digest_udf():
-    @F.arrow_udf("binary")
-    def digest(texts: pa.Array) -> pa.Array:
-        return pa.array([_digest(b) for b in as_bytes(texts)], pa.binary())
-
-    return digest
+def digest_column(text: Column) -> Column:
+    """The digest of ``_digest`` as an expression."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), 256))
 
 
 def _digest(text: bytes) -> bytes:
@@ -92,7 +91,7 @@ def _digest(text: bytes) -> bytes:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in itertools.chain.from_iterable(slices(b, "text") for b in batches):
         texts = as_bytes(batch.column("text"))
         digests = [_digest(b) for b in texts]
         keys = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 4)[:, 0].astype("int64") if digests else []

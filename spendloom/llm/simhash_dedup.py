@@ -59,9 +59,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A null id is larger than any other.  Rows with equal or null ids are told
     apart by their texts, so each component keeps exactly one row.
     """
-    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), who(id_col, text_col).alias("who"))
-    prints = marked.select("doc_id", "who", _fingerprint_udf()("text").alias("fingerprint"))
-    prints = write_shared(prints, "fingerprints")
+    prints = write_shared(fingerprints(docs, id_col, text_col, who=who(id_col, text_col)), "fingerprints")
     distinct = prints.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "who")).alias("first"))
     distinct = write_shared(distinct, "distinct")
     roots = components(close_links(distinct.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
@@ -82,16 +80,10 @@ def keep_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> D
     return rows.join(stay, F.col("_who") == F.col("_stay"), "left_semi").dropDuplicates(["_who"]).drop("_who")
 
 
-def _fingerprint_udf():
-    @F.arrow_udf("long")
-    def prints(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(b) for b in as_bytes(texts)], np.uint64).view(np.int64))
-
-    return prints
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id and fingerprint (long) of each row, over the whole text.
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, who: Column | None = None
+) -> DataFrame:
+    """doc_id and fingerprint (long) of each row, over the whole text, and the text ``who`` if given.
 
     Words are runs without ASCII white space, A-Z lower-cased.  A shingle is
     ``words`` of them joined by a space, repeats included; a shorter text is
@@ -103,10 +95,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for part in slices(batch, "text"):
                 prints = [fingerprint(b, words) for b in as_bytes(part.column("text"))]
                 prints = np.array(prints, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], ["doc_id", "fingerprint"])
+                columns = {c: part.column(c) for c in kept} | {"fingerprint": pa.array(prints)}
+                yield pa.RecordBatch.from_pydict(columns)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long")
+    extra = [] if who is None else [who.alias("who")]
+    kept = ["doc_id", "who"][: 1 + len(extra)]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
+    return rows.mapInArrow(run, rows.select(*kept, F.lit(0).cast("long").alias("fingerprint")).schema)
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
