@@ -217,6 +217,10 @@ def q_similar_vendor_pairs(spark, sf):
     )
 
 
+def q_similar_vendor_groups(spark, sf):
+    return dedup.similar_name_groups(_spellings(spark, sf), "merchant")
+
+
 def q_dedup_near_hot_cell(spark, sf):
     """No row has an amount, so all names are in one cell."""
     return dedup.drop_near_duplicates(_derive(spark, sf, sql.HOT_CELL).select("txn_id", "merchant", "amount"))
@@ -796,6 +800,8 @@ SELECT a AS rows_in, a - b AS exact_removed, b - k AS near_removed, k AS rows_ou
 SELECT a.m AS first_name, b.m AS second_name,
  round(2.0 * length(a.n) / (length(a.m) + length(b.m)), 6) AS score
 FROM v a JOIN v b ON a.n = b.n AND a.m < b.m""",
+        "similar_vendor_groups": f"""{_D}, v AS (SELECT lower(merchant) AS m, lower(name) AS n, min(txn_id) AS id FROM d GROUP BY ALL)
+SELECT m AS name, first_value(m) OVER (PARTITION BY n ORDER BY id) AS representative FROM v""",
         "text_similarity": f"""{_D} SELECT txn_id,
  round(CAST(2 * length(name) AS DOUBLE) / (length(name) + length(merchant)), 6) AS score FROM d""",
         "vendor_standardize": f"""{_RAW} SELECT txn_id, {_vendor_sql('merchant')} AS merchant,

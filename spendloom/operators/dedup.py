@@ -8,16 +8,15 @@ set in row order, found here with joins:
 
 1. Rows of one merchant and amount are reduced to the earliest of them by a
    grouped minimum, which Spark combines before the shuffle.
-2. Only rows in touching amount cells are compared.  In a cell with many
-   merchants, two rows must also share one of their rarest two-letter pieces;
-   the number of pieces looked at is chosen so that no pair above the threshold
-   can be missed.
-3. Bounds that Spark evaluates itself (length, letters, shared pieces, edit
-   distance) drop pairs before the exact similarity runs in Python.
+2. Only rows in touching amount cells are compared, and in a cell with many
+   merchants only rows that share a piece of their names (``similar_names``).
+3. Bounds on letters, lengths and edits drop pairs before the exact similarity
+   runs, once for each distinct pair of names.
 4. If cells are large, rows are taken in order in batches of growing size.  A
    batch is first compared with the rows kept so far, so a large group of
    similar rows is removed by its first rows and never paired with itself.
-5. Inside a batch the greedy rule is applied to the matching pairs in rounds.
+5. Inside a batch the greedy rule is applied to the matching pairs in rounds,
+   and to connected components in parallel where rounds settle little.
 
 Nothing is capped: every step only skips pairs that cannot match.
 """
@@ -26,38 +25,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendloom.functions.similarity import similarity
 from spendloom.functions.text import compare_name, is_finite
-from spendloom.functions.variants import let
+from spendloom.operators.components import components
+from spendloom.operators.similar_names import Matcher, NearDupSizes
 from spendloom.session import write_shared
 
-_SLOTS = 4096
 # Each batch ends at this many times the rows where the one before it ended.
-_GROWTH = 4.0
-
-
-@dataclass(frozen=True)
-class NearDupSizes:
-    """Sizes that steer the plan.  They change the speed, never the result."""
-
-    # A cell with more merchants than this is split by the pieces of the names.
-    split_cell: int = 100
-    # Rows that share a piece beyond this number are spread over several tasks.
-    hot_piece: int = 2000
-    # Longer names are compared without carrying their text along.
-    long_name: int = 200
-    # Rows of the largest cell in the first batch.
-    first_batch: int = 512
-    # Matching pairs that one task may resolve; more are resolved in rounds.
-    tail_pairs: int = 500_000
+_GROWTH = 8.0
 
 
 def drop_exact_duplicates(df: DataFrame, *, order_by: str = "txn_id") -> DataFrame:
@@ -119,8 +100,8 @@ def near_duplicate_survivors(
 ) -> DataFrame:
     """``(scope, order_by, amount)`` of the surviving rows, as a narrow table.
 
-    ``own_threshold`` names a column of the scope with the scope's threshold;
-    ``threshold`` must then be the least of them.
+    ``own_threshold`` names a column of the scope with the scope's threshold,
+    which is then used instead of ``threshold``.
     """
     rows, removed, _ = _resolve(df, threshold, order_by, tuple(scope), sizes, own_threshold)
     kept = rows.join(removed, [*scope, "_id"], "left_anti")
@@ -181,24 +162,38 @@ def similar_name_pairs(
 ) -> DataFrame:
     """Pairs of distinct lower-cased names above the threshold, in text order."""
     distinct = df.select(compare_name(F.col(name)).alias("_name")).distinct()
-    names = write_shared(
-        distinct.select(
-            F.col("_name").alias("_id"),
-            "_name",
-            F.lit(0.0).alias("_amount"),
-        ),
-        "names",
-    )
-    matcher = _Matcher(names, threshold, (), sizes)
-    names = matcher.prepare(names)
-    pairs = matcher.pairs(names, names)
-    return pairs.select(
+    matcher = Matcher(distinct.select(F.col("_name").alias("_id"), "_name", F.lit(0.0).alias("_amount")), threshold, sizes=sizes)
+    return matcher.pairs(matcher.nodes).select(
         F.col("_src").alias("first_name"),
         F.col("_dst").alias("second_name"),
         F.col("_score").alias("score"),
     )
 
 
+def similar_name_groups(
+    df: DataFrame,
+    name: str,
+    *,
+    threshold: float = 0.85,
+    order_by: str = "txn_id",
+    sizes: NearDupSizes = NearDupSizes(),
+) -> DataFrame:
+    """One row per distinct lower-cased name: the name that stands for it.
+
+    Names are read in the order of their first rows by the greedy rule: a name
+    that nothing stands for stands for itself and for every later name like it.
+    So k spellings give k rows, not k * k pairs.  A null name reads 'none'.
+
+    Returns name, representative.
+    """
+    names = df.groupBy(compare_name(F.col(name)).alias("merchant")).agg(F.min(order_by).alias(order_by))
+    names = write_shared(names.withColumn("amount", F.lit(0.0)), "names")
+    found = near_duplicate_matches(names, threshold=threshold, order_by=order_by, sizes=sizes)
+    kept = names.select(F.col(order_by).alias("kept_id"), F.col("merchant").alias("representative"))
+    found = names.join(found, order_by, "left").withColumn("kept_id", F.coalesce("kept_id", order_by))
+    return found.join(kept, "kept_id").select(F.col("merchant").alias("name"), "representative")
+
+
 # --- the greedy rule -------------------------------------------------------
 
 
@@ -233,34 +228,28 @@ def _resolve(
         .agg(F.min("_id").alias("_id")),
         "earliest-rows",
     )
-    id_type = rows.schema["_id"].dataType
-    nodes = rows.filter(F.col("_lone").isNull()).drop("_lone")
-    matcher = _Matcher(nodes, threshold, scope, sizes, own_threshold)
-    nodes = matcher.prepare(nodes)
-
-    id_fields = [rows.schema[c] for c in scope] + [T.StructField("_id", id_type)]
-    pair_fields = id_fields[:-1] + [T.StructField("_src", id_type), T.StructField("_dst", id_type)]
-    removed = spark.createDataFrame([], T.StructType(id_fields))
-    pairs = spark.createDataFrame([], T.StructType(pair_fields))
-    kept = None
+    matcher = Matcher(rows.filter(F.col("_lone").isNull()).drop("_lone"), own_threshold or threshold, scope, sizes)
+    nodes = matcher.nodes
+    removed = spark.createDataFrame([], T.StructType([nodes.schema[c] for c in (*scope, "_id", "_node")]))
+    pairs = kept = None
     batches = list(_batches(nodes, matcher.largest_cell, sizes))
     for batch in batches:
         if kept is not None:
-            found = matcher.pairs(kept, batch).unionByName(matcher.pairs(batch, kept))
-            found = write_shared(found.select(pairs.columns), "pairs-with-kept")
+            both = kept.withColumn("_fresh", F.lit(False)).unionByName(batch.withColumn("_fresh", F.lit(True)))
+            found = write_shared(matcher.pairs(both, across=True).drop("_score"), "pairs-with-kept")
             pairs = pairs.unionByName(found)
-            gone = found.select(*scope, F.col("_dst").alias("_id")).distinct()
+            gone = _gone(found, scope)
             removed = removed.unionByName(gone)
-            batch = write_shared(batch.join(gone, [*scope, "_id"], "left_anti"), "batch")
-        found = write_shared(matcher.pairs(batch, batch).select(pairs.columns), "pairs")
-        pairs = pairs.unionByName(found)
+            batch = write_shared(batch.join(gone.select("_node"), "_node", "left_anti"), "batch")
+        found = write_shared(matcher.pairs(batch).drop("_score"), "pairs")
+        pairs = found if pairs is None else pairs.unionByName(found)
         gone = _greedy(found, scope, sizes.tail_pairs)
-        staying = batch.join(gone, [*scope, "_id"], "left_anti")
+        staying = batch.join(gone.select("_node"), "_node", "left_anti")
         if len(batches) > 1:
             gone, staying = write_shared(gone, "removed"), write_shared(staying, "kept")
         removed = removed.unionByName(gone)
         kept = staying if kept is None else kept.unionByName(staying)
-    return rows, removed, pairs
+    return rows, removed.select(*scope, "_id"), pairs.select(*scope, "_src", "_dst")
 
 
 def _batches(nodes: DataFrame, largest_cell: int, sizes: NearDupSizes) -> Iterator[DataFrame]:
@@ -283,334 +272,79 @@ def _batches(nodes: DataFrame, largest_cell: int, sizes: NearDupSizes) -> Iterat
         yield part
 
 
-def _greedy(pairs: DataFrame, scope: tuple[str, ...], tail_pairs: int) -> DataFrame:
-    """Ids removed by the greedy rule, from pairs ``_src`` earlier than ``_dst``.
+def _gone(pairs: DataFrame, scope: Sequence[str]) -> DataFrame:
+    return pairs.select(*scope, F.col("_dst").alias("_id"), F.col("_dst_node").alias("_node")).distinct()
+
 
-    Each round settles the rows that no open row precedes: they stay, and what
-    they match goes.  Long chains of rows in order would need as many rounds,
-    so after a round that settles little, the earliest pairs are read in order
-    by one task, up to ``tail_pairs`` of them.
+def _greedy(pairs: DataFrame, scope: tuple[str, ...], tail_pairs: int) -> DataFrame:
+    """Rows removed by the greedy rule (scope, _id, _node), from pairs ``_src`` earlier than ``_dst``.
+
+    A round settles the rows that no open row precedes: they stay, and what
+    they match goes.  Groups of alike rows need one round.  What settles slowly,
+    as long chains of rows do, is divided into connected components, and each
+    component is read in order by itself, all of them in parallel.  Of components
+    with more than ``tail_pairs`` pairs the earliest pairs are read, then the
+    rounds go on.
     """
-    src = [*scope, "_src"]
-    dst = [*scope, "_dst"]
     settled = []
 
-    def without(open_pairs: DataFrame, gone: DataFrame) -> DataFrame:
-        settled.append(gone.withColumnRenamed("_dst", "_id"))
-        rest = open_pairs.join(gone, dst, "left_anti").join(
-            gone.withColumnRenamed("_dst", "_src"), src, "left_anti"
-        )
-        return write_shared(rest, "open-pairs")
+    def settle(open_pairs: DataFrame, gone: DataFrame) -> tuple[DataFrame, int]:
+        gone = write_shared(gone, "removed")
+        settled.append(gone)
+        for end in ("_dst_node", "_src_node"):
+            open_pairs = open_pairs.join(gone.select(F.col("_node").alias(end)), end, "left_anti")
+        open_pairs = write_shared(open_pairs, "open-pairs")
+        return open_pairs, open_pairs.count()
 
     open_pairs, n_open = pairs, pairs.count()
-    while n_open > tail_pairs:
-        later = open_pairs.select(*scope, F.col("_dst").alias("_src")).distinct()
-        first = open_pairs.select(*src).distinct().join(later, src, "left_anti")
-        gone = open_pairs.join(first, src, "left_semi").select(*dst).distinct()
-        open_pairs = without(open_pairs, write_shared(gone, "removed"))
-        before, n_open = n_open, open_pairs.count()
-        if tail_pairs and n_open > max(tail_pairs, 0.8 * before):
-            share = F.percentile_approx("_src", tail_pairs / n_open)
-            bound = open_pairs.agg(share).first()[0]
-            early = F.col("_src") <= bound
-            # Rows with many pairs can put more pairs below the bound.
-            if open_pairs.filter(early).count() <= 2 * tail_pairs:
-                gone = _greedy_in_order(open_pairs.filter(early), scope)
-                gone = write_shared(gone.withColumnRenamed("_id", "_dst"), "removed")
-                open_pairs = without(open_pairs.filter(~early), gone)
-                n_open = open_pairs.count()
-    settled.append(_greedy_in_order(open_pairs, scope))
+    while n_open:
+        before = n_open
+        later = open_pairs.select(F.col("_dst_node").alias("_src_node")).distinct()
+        first = open_pairs.select("_src_node").distinct().join(later, "_src_node", "left_anti")
+        open_pairs, n_open = settle(open_pairs, _gone(open_pairs.join(first, "_src_node", "left_semi"), scope))
+        if not tail_pairs or 2 * n_open <= before:
+            continue
+        # Links of rows that follow each other come together, so chains shrink within a task.
+        links = open_pairs.repartitionByRange("_src").sortWithinPartitions("_src")
+        roots = components(links.select(F.col("_src_node").alias("a"), F.col("_dst_node").alias("b")))
+        roots = roots.select(F.col("node").alias("_src_node"), F.col("root").alias("_root"))
+        whole = open_pairs.join(roots, "_src_node", "left").withColumn("_root", F.coalesce("_root", "_src_node"))
+        whole = write_shared(whole, "components")
+        large = whole.groupBy("_root").count().filter(F.col("count") > tail_pairs)
+        large = write_shared(large, "large-components")
+        gone = write_shared(_in_order(whole.join(large, "_root", "left_anti"), scope), "removed")
+        settled.append(gone)
+        most = large.agg(F.max("count")).first()[0]
+        if most is None:
+            break
+        rest = whole.join(large.select("_root"), "_root", "left_semi")
+        # Any bound is right, as a row's fate follows from the pairs of earlier rows alone.
+        bounds = rest.groupBy("_root").agg(F.percentile_approx("_src", tail_pairs / most).alias("_bound"))
+        rest = rest.join(bounds, "_root")
+        early = F.col("_src") <= F.col("_bound")
+        gone = _in_order(rest.filter(early), scope)
+        open_pairs, n_open = settle(rest.filter(~early).drop("_root", "_bound"), gone)
+    if not settled:
+        return _gone(pairs, scope)
     return reduce(DataFrame.unionByName, settled)
 
 
-def _greedy_in_order(pairs: DataFrame, scope: tuple[str, ...]) -> DataFrame:
-    """The same for a few pairs, whose number was counted before: read in order.
-
-    Scopes are independent, so they are spread over tasks; without a scope one
-    task reads the pairs.
-    """
-    keys = list(scope)
-    schema = T.StructType(
-        [pairs.schema[c] for c in scope] + [T.StructField("_id", pairs.schema["_dst"].dataType)]
-    )
+def _in_order(pairs: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """The rows that go, from whole components (_root) whose pairs are read in order."""
+    schema = _gone(pairs, scope).schema
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gone: dict[tuple, None] = {}
+        root, gone = None, set()
         for frame in frames:
-            groups = list(zip(*(frame[c] for c in keys))) if keys else [()] * len(frame)
-            for group, earlier, later in zip(groups, frame["_src"], frame["_dst"]):
-                if (*group, earlier) not in gone:
-                    gone[(*group, later)] = None
-        if gone:
-            yield pd.DataFrame(list(gone), columns=[*keys, "_id"])
-
-    spread = pairs.repartition(*scope) if scope else pairs.coalesce(1)
-    return spread.sortWithinPartitions(*scope, "_src", "_dst").mapInPandas(scan, schema)
-
-
-# --- finding matching pairs ------------------------------------------------
-
-
-class _Matcher:
-    """Finds the pairs of rows above the threshold and within one cent."""
-
-    def __init__(
-        self,
-        nodes: DataFrame,
-        threshold: float,
-        scope: tuple[str, ...],
-        sizes: NearDupSizes,
-        own_threshold: str | None = None,
-    ) -> None:
-        self.threshold = threshold
-        self.own_threshold = own_threshold
-        self.scope = scope
-        self.sizes = sizes
-        # Pieces of two letters need a threshold above 2/3 to bind; below it,
-        # single letters are used.
-        self.piece = 2 if threshold > 2 / 3 else 1
-        # Names of a and b letters above the threshold have more than
-        # share * (a + b) / 2 + 2 pieces in common, the marked ends included: a
-        # match of m letters has gaps, and each gap breaks at most as many
-        # pieces as it has letters.
-        self._share = 3 * threshold - 2 if self.piece == 2 else threshold
-        cells = nodes.groupBy(*scope, _cell(F.col("_amount")).alias("_cell")).count()
-        self.split = write_shared(cells.filter(F.col("count") > sizes.split_cell), "split-cells")
-        self.largest_cell = self.split.agg(F.max("count")).first()[0] or 0
-        self.rank = self._piece_ranks(nodes) if self.largest_cell else None
-        self.hot = None
-        self.has_long = False
-
-    def prepare(self, nodes: DataFrame) -> DataFrame:
-        """Compute once what every comparison in a split cell needs of a name."""
-        if self.rank is None:
-            return nodes
-        name = F.col("_name")
-        rows = self._with_split(nodes.withColumn("_cell", _cell(F.col("_amount"))))
-        nodes = write_shared(
-            rows.withColumn("_pieces", F.when(F.col("_split"), self._rare_pieces(name)))
-            .withColumn("_bits", F.when(F.col("_split"), _letter_bits(name)))
-            .drop("_cell", "_split"),
-            "prepared",
-        )
-        longest = nodes.agg(F.max(F.length("_name"))).first()[0]
-        self.has_long = longest > self.sizes.long_name
-        if self.largest_cell > self.sizes.hot_piece:
-            met = [*self.scope, "_cell", "_key"]
-            cells = nodes.withColumn("_cell", _cell(F.col("_amount")))
-            counts = self._keyed(cells, longer_side=False).groupBy(*met).count()
-            hot = counts.filter(F.col("count") > self.sizes.hot_piece)
-            shares = F.ceil(F.col("count") / self.sizes.hot_piece).cast("int")
-            self.hot = write_shared(hot.select(*met, shares.alias("_shares")), "hot-pieces")
-        return nodes
-
-    def _with_split(self, rows: DataFrame) -> DataFrame:
-        split = self.split.select(*self.scope, "_cell", F.lit(True).alias("_split"))
-        return rows.join(split, [*self.scope, "_cell"], "left")
-
-    def pairs(self, shorter: DataFrame, longer: DataFrame) -> DataFrame:
-        """Matches of rows of ``shorter`` with longer (or equal) names of ``longer``.
-
-        Pass one table twice for the matches within it, and two tables in both
-        orders for the matches between them.
-        """
-        if not self.has_long:
-            return self._verified(self._candidates(shorter, longer))
-        length = F.length("_name")
-        limit = self.sizes.long_name
-        least = self.threshold / (2 - self.threshold) * limit - 1
-        within = self._candidates(shorter.filter(length <= limit), longer.filter(length <= limit))
-        beyond = self._long_candidates(shorter.filter(length > least), longer.filter(length > limit))
-        return self._verified(within.unionByName(beyond))
-
-    def _verified(self, candidates: DataFrame) -> DataFrame:
-        """The candidates above the threshold.  The earlier row is ``_src``."""
-        names = ["_src", "_src_name", "_dst", "_dst_name"]
-
-        def pair(*columns: str) -> Column:
-            return F.struct(*[F.col(c).alias(n) for c, n in zip(columns, names)])
-
-        in_order = F.when(F.col("_l") < F.col("_r"), pair("_l", "_l_name", "_r", "_r_name"))
-        in_order = in_order.otherwise(pair("_r", "_r_name", "_l", "_l_name"))
-        # Few bytes can be much work here, so the number of tasks is given.
-        return (
-            candidates.select(*self.scope, in_order.alias("_pair"))
-            .select(*self.scope, "_pair.*")
-            .repartition(self._tasks(candidates), *self.scope, "_src", "_dst")
-            .withColumn("_score", similarity("_src_name", "_dst_name"))
-            .filter(F.col("_score") > (F.col(self.own_threshold) if self.own_threshold else self.threshold))
-            .select(*self.scope, "_src", "_dst", "_score")
-        )
-
-    def _candidates(self, shorter: DataFrame, longer: DataFrame) -> DataFrame:
-        """Pairs that pass all bounds, with their names."""
-        left, right = self._sides(shorter, longer)
-        met = self._meet(F.col("l._length"), F.col("r._length"))
-        close = self._few_edits(F.col("l._name"), F.col("r._name"))
-        return self._joined(left, right, [*met, *self._first_meeting(), close]).select(
-            *[F.col(f"l.{c}").alias(c) for c in self.scope],
-            *[F.col(f"{side}.{c}").alias(f"_{side}{c.removeprefix('_id')}")
-              for side in "lr" for c in ("_id", "_name")],
-        )
-
-    def _long_candidates(self, shorter: DataFrame, longer: DataFrame) -> DataFrame:
-        """The same for long names, which have many pieces: their rows carry no text.
-
-        A pair can meet more than once; the names are fetched for the pairs left.
-        """
-        left, right = self._sides(shorter, longer)
-        left, right = (side.drop("_name", "_rare") for side in (left, right))
-        met = self._meet(F.col("l._length"), F.col("r._length"))
-        pairs = (
-            self._joined(left, right, met)
-            .select(
-                *[F.col(f"l.{c}").alias(c) for c in self.scope],
-                F.col("l._id").alias("_l"),
-                F.col("r._id").alias("_r"),
-            )
-            .distinct()
-        )
-        for side, table in (("_l", shorter), ("_r", longer)):
-            names = table.select(
-                *self.scope, F.col("_id").alias(side), F.col("_name").alias(f"{side}_name")
-            )
-            pairs = pairs.join(names, [*self.scope, side])
-        return pairs.filter(self._few_edits(F.col("_l_name"), F.col("_r_name")))
-
-    def _sides(self, shorter: DataFrame, longer: DataFrame) -> tuple[DataFrame, DataFrame]:
-        near = F.col("_amount")
-        reach = F.when(F.abs(near) < 2.0**47, 0.0125 + F.abs(near) * 2.0**-50).otherwise(0.0)
-        around = F.explode(F.sequence(_cell(near - reach), _cell(near + reach)))
-        left = self._keyed(shorter.withColumn("_cell", _cell(near)), longer_side=False)
-        right = self._keyed(longer.withColumn("_cell", around), longer_side=True)
-        return self._shared_out(left, copy=True), self._shared_out(right, copy=False)
-
-    def _joined(self, left: DataFrame, right: DataFrame, conditions: list[Column]) -> DataFrame:
-        """Rows ``l`` and ``r`` of the same keys that meet the conditions."""
-        # The join makes its own exchanges, which adaptive execution may split or coalesce.
-        keys = [*self.scope, "_cell"]
-        keys += ["_key"] if self.rank is not None else []
-        keys += ["_share"] if self.hot is not None else []
-        on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in keys] + conditions
-        return left.alias("l").join(right.alias("r").hint("merge"), reduce(Column.__and__, on))
-
-    @staticmethod
-    def _tasks(df: DataFrame) -> int:
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def _few_edits(self, first: Column, second: Column) -> Column:
-        """Edit distance within the letters that may be left unmatched."""
-        unmatched = (1 - self.threshold) * (F.length(first) + F.length(second)) + 1e-9
-        most = F.ceil(unmatched).cast("int") - 1
-        return F.call_function("levenshtein", first, second, most) >= 0
-
-    def _keyed(self, rows: DataFrame, *, longer_side: bool) -> DataFrame:
-        """One row per key: the cell alone, or the cell and a rare piece."""
-        length = F.length("_name")
-        rows = rows.withColumn("_length", length)
-        if self.rank is None:
-            return rows.withColumn("_key", F.lit(0))
-        rows = self._with_split(rows)
-        share = self._share / (2 - self.threshold) if longer_side else self._share
-        # Fewest pieces in common with any partner above the threshold; one of
-        # them is among the first pieces of both names.
-        common = F.floor(F.lit(share) * length + 2 - 1e-9) + 1
-        taken = (length + 2 - common + 1).cast("int")
-        # A row next to a split cell was not prepared.
-        pieces = F.coalesce("_pieces", self._rare_pieces(F.col("_name")))
-        rare = F.when(F.col("_split"), F.slice(pieces, 1, taken))
-        rows = rows.withColumn("_rare", rare).drop("_pieces")
-        whole_cell = F.array(F.lit(0))
-        return rows.select("*", F.posexplode(F.coalesce("_rare", whole_cell)).alias("_at", "_key"))
-
-    def _shared_out(self, rows: DataFrame, *, copy: bool) -> DataFrame:
-        """Give each row of a hot piece one of its shares, or a copy in every share."""
-        if self.hot is None:
-            return rows.withColumn("_share", F.lit(0))
-        rows = rows.join(self.hot, [*self.scope, "_cell", "_key"], "left")
-        shares = F.coalesce("_shares", F.lit(1))
-        share = F.explode(F.sequence(F.lit(0), shares - 1)) if copy else F.pmod(F.hash("_id"), shares)
-        return rows.withColumn("_share", share).drop("_shares")
-
-    def _meet(self, l_len: Column, r_len: Column) -> list[Column]:
-        """Bounds that need no text, the cheapest and most selective first."""
-        total = l_len + r_len
-        rules = [
-            (l_len < r_len) | ((l_len == r_len) & (F.col("l._id") < F.col("r._id"))),
-            F.abs(F.col("l._amount") - F.col("r._amount")) < 0.01,
-            2 * l_len + 1e-9 > self.threshold * total,
-        ]
-        if self.rank is None:
-            return rules
-        differing = F.bit_count(F.col("l._bits").bitwiseXOR(F.col("r._bits")))
-        letters = F.coalesce(differing < (1 - self.threshold) * total + 1e-9, F.lit(True))
-        # Pieces that can still be shared, counted from this one on.
-        left = F.least(l_len - F.col("l._at"), r_len - F.col("r._at")) + 2
-        enough = left > F.lit(self._share / 2) * total + 2 - 1e-9
-        return [letters, *rules, F.col("l._split").isNull() | enough]
-
-    def _first_meeting(self) -> list[Column]:
-        """A pair shares many pieces; take it at the first one only."""
-        if self.rank is None:
-            return []
-        first = F.get(F.array_intersect("l._rare", "r._rare"), F.lit(0)) == F.col("l._key")
-        return [F.col("l._split").isNull() | first]
-
-    def _rare_pieces(self, name: Column) -> Column:
-        """Pieces from rare to frequent; the n-th copy of a piece is its own."""
-        return _numbered_copies(
-            F.transform(_slots(name, self.piece), lambda s: F.element_at(self.rank, s + 1))
-        )
-
-    def _piece_ranks(self, nodes: DataFrame) -> Column:
-        """Rank of each slot by how often it occurs: at most ``_SLOTS`` numbers."""
-        counts = (
-            nodes.select(F.explode(_slots(F.col("_name"), self.piece)).alias("slot"))
-            .groupBy("slot")
-            .count()
-        )
-        seen = {row["slot"]: row["count"] for row in counts.collect()}
-        order = sorted(range(_SLOTS), key=lambda slot: (seen.get(slot, 0), slot))
-        ranks = [0] * _SLOTS
-        for rank, slot in enumerate(order):
-            ranks[slot] = rank
-        return F.from_json(F.lit(str(ranks)), "array<int>")
-
-
-def _cell(amount: Column) -> Column:
-    """Cells two cents wide, with borders between whole cents."""
-    return F.floor(amount * 50 + 0.25)
-
-
-def _slots(name: Column, piece: int) -> Column:
-    """The pieces of a name with marked ends, each as one of a fixed number of slots."""
-    marked = F.concat(F.lit("\u0001" * piece), name, F.lit("\u0002"))
-    return F.transform(
-        F.sequence(F.lit(1), F.length(name) + 2),
-        lambda i: F.pmod(F.hash(F.substring(marked, i, F.lit(piece))), F.lit(_SLOTS)),
-    )
-
-
-def _numbered_copies(slots: Column) -> Column:
-    """Sorted slots, where the n-th copy of a slot is a number of its own."""
-    return let(
-        F.sort_array(slots),
-        lambda ranks: F.transform(
-            ranks, lambda r, i: r + _SLOTS * (i + 1 - F.array_position(ranks, r)).cast("int")
-        ),
-    )
-
-
-def _letter_bits(name: Column) -> Column:
-    """Letters with their copies as 64 bits.
-
-    A bit in which two names differ stands for at least one letter that has no
-    partner in the other name.
-    """
-    return F.aggregate(
-        _numbered_copies(_slots(name, 1)),
-        F.lit(0).cast("long"),
-        lambda bits, letter: bits.bitwiseOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(letter), F.lit(64)))
-        ),
-    )
+            found = []
+            for at, (of, earlier, later) in enumerate(zip(frame["_root"], frame["_src_node"], frame["_dst_node"])):
+                if of != root:
+                    root, gone = of, set()
+                if earlier not in gone and later not in gone:
+                    gone.add(later)
+                    found.append(at)
+            rows = frame.iloc[found].rename(columns={"_dst": "_id", "_dst_node": "_node"})
+            yield rows[schema.fieldNames()]
+
+    spread = pairs.repartition("_root").sortWithinPartitions("_root", "_src", "_dst")
+    return spread.mapInPandas(scan, schema)

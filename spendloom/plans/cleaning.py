@@ -160,7 +160,7 @@ def _without_duplicates(
     # Copies in all columns agree in merchant and amount too, so the near step
     # alone keeps the same rows, and only its narrow columns are shuffled before
     # the survivors are known.
-    near, least, names = F.lit(True), config.duplicate_threshold, list(scope)
+    near, names = F.lit(True), list(scope)
     carried = []
     if HAS_AMOUNT in rows.columns:
         near = near & F.col(HAS_AMOUNT)
@@ -168,11 +168,9 @@ def _without_duplicates(
         carried = [own]
         rows = rows.withColumn("_threshold", options.value("duplicate_threshold"))
         near = near & (F.col("_threshold") < 1)
-        least = rows.agg(F.min("_threshold")).first()[0]
-        least = 1.0 if least is None else min(1.0, least)
         names.append("_threshold")
     narrow = near_duplicate_survivors(
-        rows.filter(near), threshold=least, order_by=order_by, scope=names,
+        rows.filter(near), threshold=config.duplicate_threshold, order_by=order_by, scope=names,
         own_threshold="_threshold" if own else None,
     ).select(*scope, order_by, "amount")
     if HAS_AMOUNT in rows.columns or own:

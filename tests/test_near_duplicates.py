@@ -11,12 +11,13 @@ from spendloom.operators.dedup import (
     drop_near_duplicates,
     duplicate_report,
     near_duplicate_matches,
+    similar_name_groups,
     similar_name_pairs,
 )
+from spendloom.operators.similar_names import Matcher
 
 SCHEMA = "txn_id long, merchant string, amount double"
 TINY = NearDupSizes(split_cell=2, hot_piece=5, first_batch=40, tail_pairs=10)
-LONG = NearDupSizes(split_cell=2, long_name=9, hot_piece=20)
 ROUNDS = NearDupSizes(split_cell=8, first_batch=1000, tail_pairs=0)
 
 
@@ -66,7 +67,7 @@ def spellings(seed, bases, per_base, edits):
     return [*names, None, "", "nan"]
 
 
-@pytest.mark.parametrize("sizes", [NearDupSizes(), TINY, ROUNDS, LONG], ids=["default", "tiny", "rounds", "long"])
+@pytest.mark.parametrize("sizes", [NearDupSizes(), TINY, ROUNDS], ids=["default", "tiny", "rounds"])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_same_as_greedy_scan(spark, sizes, seed):
     names = spellings(seed, 12, 12, 5)
@@ -131,18 +132,80 @@ def test_plan_has_no_pair_loop(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("sizes", [NearDupSizes(), NearDupSizes(split_cell=2), TINY])
-def test_candidates_are_shuffled_once_per_side(spark, sizes):
-    from spendloom.operators import dedup
+def nodes_of(spark, rows, more=""):
+    return spark.createDataFrame(rows, "_id long, _name string, _amount double" + more).na.fill("none")
 
-    rows = random_rows(5, 200, spellings(5, 9, 9, 3), [0.0, 1.0])
-    nodes = spark.createDataFrame(rows, "_id long, _name string, _amount double").na.fill("none")
-    matcher = dedup._Matcher(nodes, 0.85, (), sizes)
-    nodes = matcher.prepare(nodes)
-    plan = matcher.pairs(nodes, nodes)._jdf.queryExecution().executedPlan().toString()
-    joins = plan.count("SortMergeJoin")
-    # One for each side, and one that spreads the candidates.
-    assert joins == 1 and plan.count("Exchange hashpartitioning") == 3
+
+def test_keys_are_shuffled_once(spark):
+    """One exchange for the keys of both sides, one for distinct pairs; the rest joins rows by number."""
+    matcher = Matcher(nodes_of(spark, random_rows(5, 200, spellings(5, 9, 9, 3), [0.0, 1.0])), 0.85, sizes=NearDupSizes(split_cell=2))
+    plan = matcher._blocks(matcher.nodes.withColumn("_fresh", F.lit(True)), False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def unlike_names(seed, n):
+    """Names of few kinds of letters, some edited a little, with common beginnings and ends."""
+    rng = random.Random(seed)
+    names = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([8, 20, 32, 47, 60]))) for _ in range(n)]
+    for name in names[: n // 3]:
+        edited = list(name)
+        for _ in range(rng.randint(1, 5)):
+            edited[rng.randrange(len(edited))] = rng.choice(["", "0", "x", "ab"])
+        names.append("".join(edited))
+    return names + [x + " X" for x in names[::3]] + ["pos purchase - " + x for x in names[::5]]
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.82, 0.85, 0.93])
+def test_every_pair_above_the_threshold_is_found(spark, threshold):
+    from difflib import SequenceMatcher
+
+    names = sorted(set(unlike_names(11, 120)))
+    rows = [(i, n, 0.0) for i, n in enumerate(names)]
+    expected = {
+        (a, b) for a, _, _ in rows for b, _, _ in rows
+        if a < b and SequenceMatcher(None, names[a], names[b]).ratio() > threshold
+    }
+    assert len(expected) > 20
+    for sizes in (NearDupSizes(split_cell=10), NearDupSizes(split_cell=10, hot_piece=3)):
+        matcher = Matcher(nodes_of(spark, rows), threshold, sizes=sizes)
+        found = [(r._src, r._dst) for r in matcher.pairs(matcher.nodes).collect()]
+        assert set(found) == expected and len(found) == len(expected)
+
+
+def test_a_low_threshold_of_one_scope_leaves_the_others_alone(spark):
+    rows = [(i, n, 0.0, s, 0.85) for s in (1, 2) for i, n in enumerate(unlike_names(s, 60))]
+    more = ", part long, own double"
+    low = [(i, n, 0.0, 3, 0.0) for i, n in enumerate(unlike_names(3, 30))]
+
+    def met(rows):
+        matcher = Matcher(nodes_of(spark, rows, more), "own", ["part", "own"], NearDupSizes(split_cell=10))
+        found = matcher._blocks(matcher.nodes.withColumn("_fresh", F.lit(True)), False)
+        named = found.join(matcher.nodes.select(F.col("_node").alias("_l_node"), "part"), "_l_node")
+        return {r.part: r["count"] for r in named.groupBy("part").count().collect()}
+
+    alone, together = met(rows), met(rows + low)
+    assert together.pop(3) > 0 and together == alone
+
+
+@pytest.mark.parametrize("tail_pairs", [30, 1000])
+def test_components_are_read_in_order(spark, tail_pairs):
+    """Many chains, each of which takes many rounds, and one that is longer than a task may read."""
+    rows = [(1000 * c + i, f"Meter {c}" * 3, round(i * 0.006, 3)) for c in range(12) for i in range(20 if c else 150)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    expected = {r[0] for r in rows} - set(near_duplicate_removers(rows, 0.97))
+    assert survivors(df, threshold=0.97, sizes=NearDupSizes(tail_pairs=tail_pairs)) == expected
+
+
+def test_groups_of_names(spark):
+    rows = random_rows(4, 150, spellings(4, 8, 8, 3), [1.0])
+    first = {}
+    for i, n, _ in sorted(rows):
+        first.setdefault(("None" if n is None else n).lower(), i)
+    removers = near_duplicate_removers([(i, n, 0.0) for n, i in first.items()])
+    name_of = {i: n for n, i in first.items()}
+    found = similar_name_groups(spark.createDataFrame(rows, SCHEMA), "merchant").collect()
+    assert {r.name: r.representative for r in found} == {n: name_of[removers.get(i, i)] for n, i in first.items()}
+    assert len(found) == len(first)
 
 
 def test_exact_duplicates(spark):
