@@ -10,7 +10,6 @@ every step uses up a length or is one of a bounded number of splits.
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -113,19 +112,31 @@ def _slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return rows
 
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Kinds of sequences (lengths, number of sequences) that hold all counted lengths.
 
     First exact complements: from the longest length down, its gap is filled by
     one, two or three lengths that sum to it, looked up in an index of sums; as
     many sequences are made at once as the counts allow.  What is left is packed
-    best-fit, longest first, into the open sequences with the least room.
+    best-fit, longest first, into the open sequences with the least room.  Where
+    lengths are plenty that can end with more sequences than best-fit alone, as
+    it uses up the short lengths early; then the plan of best-fit alone is taken.
     """
-    left = {n: c for n, c in counts.items() if c}
-    plan = []
-    for n in sorted(left, reverse=True):
+    counts = {n: c for n, c in counts.items() if c}
+    filled, left = _fill_exactly(counts, capacity)
+    return min((filled + _best_fit(left, capacity), _best_fit(counts, capacity)), key=lambda plan: sum(n for _, n in plan))
+
+
+def _fill_exactly(counts: dict[int, int], capacity: int) -> tuple[Plan, dict[int, int]]:
+    """Sequences without room, and the counts that are left."""
+    sums, plan = _Sums(counts, capacity), []
+    left = sums.left
+    for n in sorted(counts, reverse=True):
         while left[n]:
-            filling = _complement(capacity - n, n, left)
+            filling = sums.complement(capacity - n, n)
             if filling is None:
                 break
             kind = (n, *filling)
@@ -133,39 +144,57 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
             for x in kind:
                 left[x] -= times
             plan.append((kind, times))
-    return plan + _best_fit({n: c for n, c in left.items() if c}, capacity)
-
-
-def _complement(gap: int, first: int, left: dict[int, int]) -> tuple[int, ...] | None:
-    """One, two or three lengths that sum to the gap, the longest possible first."""
-    if gap == 0:
-        return ()
-
-    def free(x: int, *taken: int) -> bool:
-        return left.get(x, 0) > (x == first) + taken.count(x)
-
-    if free(gap):
-        return (gap,)
-    lengths = sorted((x for x in left if x < gap and free(x)), reverse=True)
-    for x in lengths:
-        if 2 * x < gap:
-            break
-        if free(gap - x, x):
-            return (x, gap - x)
-    pairs = {}
-    for x in lengths:
-        if 3 * x < gap:
-            break
-        rest = gap - x
-        for y in lengths[bisect.bisect_left(lengths, -min(x, rest - 1), key=lambda v: -v) :]:
-            if 2 * y < rest:
-                break
-            if free(y, x) and free(rest - y, x, y):
-                return (x, y, rest - y)
-    return None
+    return plan, {n: c for n, c in left.items() if c}
+
 
+class _Sums:
+    """Which one, two or three of the lengths that are left sum to a gap.
+
+    The pairs are sorted by their sum; pairs whose lengths are used up are passed
+    for good.  Three lengths are one length and a pair for the rest.
+    """
 
-def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.left = dict(counts)
+        lengths = np.array(sorted(counts), np.int64)
+        y, x = (lengths[k] for k in np.triu_indices(len(lengths)))
+        fits = x + y <= capacity
+        x, y = x[fits], y[fits]
+        order = np.lexsort([-x, x + y])
+        self._x, self._y = x[order], y[order]
+        ends = np.searchsorted(self._x + self._y, np.arange(capacity + 2)).tolist()
+        self._next, self._end = ends[:-1], ends[1:]
+        self._lengths = lengths[::-1].tolist()
+
+    def complement(self, gap: int, first: int) -> tuple[int, ...] | None:
+        """The fewest lengths that sum to the gap beside ``first``, the longest of them first."""
+        if gap == 0:
+            return ()
+        if self._free(gap, first):
+            return (gap,)
+        if pair := self._pair(gap, first):
+            return pair
+        for x in self._lengths:
+            if x < gap - 1 and self._free(x, first) and (pair := self._pair(gap - x, first, x)):
+                return (x, *pair)
+        return None
+
+    def _free(self, x: int, *taken: int) -> bool:
+        return self.left.get(x, 0) > taken.count(x)
+
+    def _pair(self, total: int, *taken: int) -> tuple[int, int] | None:
+        left, at, end = self.left, self._next[total], self._end[total]
+        while at < end and not (left[int(self._x[at])] and left[int(self._y[at])]):
+            at += 1
+        self._next[total] = at
+        for k in range(at, end):
+            x, y = int(self._x[k]), int(self._y[k])
+            if self._free(x, *taken) and self._free(y, x, *taken):
+                return x, y
+        return None
+
+
+def _best_fit(left: dict[int, int], capacity: int) -> Plan:
     """Best-fit decreasing over counted lengths; open sequences of a kind are handled at once."""
     open_by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {capacity: []}
     for n in sorted(left, reverse=True):

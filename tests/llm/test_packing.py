@@ -76,3 +76,40 @@ def test_exact_complements_of_one_two_and_three():
     assert packing.plan_sequences({12: 2, 5: 2, 3: 2}, 20) == [((12, 5, 3), 2)]
     assert packing.plan_sequences({11: 1, 4: 1, 3: 1, 2: 1}, 20) == [((11, 4, 3, 2), 1)]
     assert packing.plan_sequences({10: 3}, 20) == [((10, 10), 1), ((10,), 1)]
+
+
+def test_exact_fillings_never_cost_sequences():
+    """The plan is never larger than best-fit alone, holds every piece once and never overflows."""
+    import random
+
+    random.seed(12)
+    better = 0
+    for trial in range(60):
+        capacity = random.choice([12, 40, 200])
+        lengths = random.sample(range(1, capacity + 1), random.randrange(1, min(capacity, 60)))
+        counts = {n: random.choice([1, 2, 3, 50, 1000]) for n in lengths}
+        plan = packing.plan_sequences(counts, capacity)
+        alone = sum(n for _, n in packing._best_fit(counts, capacity))
+        used = {}
+        for kind, times in plan:
+            assert sum(kind) <= capacity and times > 0
+            for n in kind:
+                used[n] = used.get(n, 0) + times
+        assert used == counts
+        better += sum(n for _, n in plan) < alone
+        assert sum(n for _, n in plan) <= alone
+    assert better
+
+
+def test_sums_find_every_exact_filling():
+    import itertools
+
+    for counts in ({1: 1, 2: 1, 5: 2, 9: 1}, {3: 3, 4: 1}, {7: 1}, {2: 2, 6: 1, 1: 1}):
+        pieces = [n for n, c in counts.items() for _ in range(c)]
+        for first in counts:
+            rest = list(pieces)
+            rest.remove(first)
+            for gap in range(1, 20):
+                reachable = any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(rest, k))
+                found = packing._Sums(counts, 20).complement(gap, first)
+                assert (found is not None) == reachable and (found is None or sum(found) == gap)
