@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendloom.llm.bpe import BytePairs
+from spendloom.llm.bpe import byte_pairs
 from spendloom.llm.common import slices
 from spendloom.session import write_shared
 
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = BytePairs(tokenizer).encode
+        encode = byte_pairs(tokenizer).encode
         for batch in batches:
             for part in slices(batch, "text"):
                 out = ([], [], [], [], [])
