@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     end when the table no longer changes; each is written to the shared folder.
     No links give no rows.
     """
-    stars = write_shared(_ordered(links.select("a", "b").mapInArrow(_forests, "a long, b long")), "links")
+    stars = write_shared(_ordered(links.select("a", "b").mapInArrow(_forests(), "a long, b long")), "links")
     state = _state(stars)
     for _ in itertools.count():
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -38,23 +38,28 @@ def components(links: DataFrame) -> DataFrame:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forests():
     """Links of each batch from every node to the smallest one that the batch reaches."""
-    for batch in batches:
-        nodes, at = np.unique(np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
-        a, b = at.reshape(2, -1)
-        label = np.arange(len(nodes))
-        while True:
-            before, least = label, np.minimum(label[a], label[b])
-            label = label.copy()
-            for end in (a, b):
-                np.minimum.at(label, end, least)
-                np.minimum.at(label, before[end], least)
-            label = label[label]
-            if np.array_equal(label, before):
-                break
-        moved = np.flatnonzero(label != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, at = np.unique(np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+            a, b = at.reshape(2, -1)
+            label = np.arange(len(nodes))
+            while True:
+                before, least = label, np.minimum(label[a], label[b])
+                label = label.copy()
+                for end in (a, b):
+                    np.minimum.at(label, end, least)
+                    np.minimum.at(label, before[end], least)
+                label = label[label]
+                if np.array_equal(label, before):
+                    break
+            moved = np.flatnonzero(label != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["a", "b"])
+
+    # All that the workers need is inside, so they need not have this package.
+    return run
 
 
 def _ordered(links: DataFrame) -> DataFrame:

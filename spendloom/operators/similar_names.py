@@ -383,9 +383,42 @@ def _quarter(letters: Column, k: int) -> Column:
     return _bits(F.filter(F.transform(letters, lambda x: F.shiftright(x, 8)), lambda p: F.shiftright(p, 6).bitwiseAND(F.lit(3)) == k))
 
 
+_QUARTERS = ["_bits0", "_bits1", "_bits2", "_bits3"]
+_COMPARED = ["_length", "_node", "_bits", *_QUARTERS, "_amount", "_fresh", "_threshold"]
+
+
 def _compare(across: bool):
     """Rows sorted by block and share, the members first and by length: visitors meet members not shorter."""
 
+    # All that the workers need is inside, so they need not have this package.
+    def meet(visitors: dict, members: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of visitors of one length with members that are as long or longer."""
+        a, t = int(visitors["_length"][0]), float(visitors["_threshold"][0])
+        lengths = members["_length"]
+        longest = (2 * a + 1e-9) / t - a if t > 0 else np.inf
+        first, last = np.searchsorted(lengths, a), np.searchsorted(lengths, longest, "left")
+        if first >= last:
+            return []
+        bits = members["_bits"][first:last]
+        most = np.ceil((1 - t) * (a + lengths[first:last]) + 1e-9) - 1
+        most = np.minimum(most, 255).astype(np.uint8)
+        found, step = [], max(1, (1 << 18) // len(bits))
+        for at in range(0, len(visitors["_bits"]), step):
+            differing = np.bitwise_count(visitors["_bits"][at : at + step, None] ^ bits[None, :])
+            i, j = np.nonzero(differing <= most[None, :])
+            limit = most[j]
+            i, j = i + at, j + first
+            differing = sum(np.bitwise_count(visitors[c][i] ^ members[c][j]) for c in _QUARTERS)
+            i, j = (k[differing <= limit] for k in (i, j))
+            left, right = visitors["_node"][i], members["_node"][j]
+            fits = (lengths[j] > a) | (left < right)
+            fits &= np.abs(visitors["_amount"][i] - members["_amount"][j]) < 0.01
+            if across:
+                fits &= visitors["_fresh"][i] != members["_fresh"][j]
+            if fits.any():
+                found.append((left[fits], right[fits]))
+        return found
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, gathered, members = None, [], None
         for batch in batches:
@@ -395,11 +428,9 @@ def _compare(across: bool):
             block, share, role = columns["_block"], columns["_share"], columns["_role"]
             for c in ("_bits", *_QUARTERS):
                 columns[c] = columns[c].view(np.uint64)
-            marks = [block, share, role, columns["_length"], columns["_threshold"]]
             # The members of a key are taken at once, its visitors length by length.
-            new_key = (block[1:] != block[:-1]) | (share[1:] != share[:-1])
-            new_length = (role[1:] != role[:-1]) | ((role[1:] == 1) & ((marks[3][1:] != marks[3][:-1]) | (marks[4][1:] != marks[4][:-1])))
-            cuts = np.flatnonzero(new_key | new_length) + 1
+            new = [columns[c][1:] != columns[c][:-1] for c in ("_block", "_share", "_role", "_length", "_threshold")]
+            cuts = np.flatnonzero(new[0] | new[1] | new[2] | (role[1:] == 1) & (new[3] | new[4])) + 1
             out = []
             for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
                 at = block[start], share[start]
@@ -411,42 +442,9 @@ def _compare(across: bool):
                 elif gathered:
                     if members is None:
                         members = {c: np.concatenate([g[c] for g in gathered]) for c in _COMPARED}
-                    out += _meet(part, members, across)
+                    out += meet(part, members)
             if out:
                 left, right = (np.concatenate([o[k] for o in out]) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["_l_node", "_r_node"])
 
     return compare
-
-
-_QUARTERS = ["_bits0", "_bits1", "_bits2", "_bits3"]
-_COMPARED = ["_length", "_node", "_bits", *_QUARTERS, "_amount", "_fresh", "_threshold"]
-
-
-def _meet(visitors: dict, members: dict, across: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of visitors of one length with members that are as long or longer."""
-    a, t = int(visitors["_length"][0]), float(visitors["_threshold"][0])
-    lengths = members["_length"]
-    longest = (2 * a + 1e-9) / t - a if t > 0 else np.inf
-    first, last = np.searchsorted(lengths, a), np.searchsorted(lengths, longest, "left")
-    if first >= last:
-        return []
-    bits = members["_bits"][first:last]
-    most = np.ceil((1 - t) * (a + lengths[first:last]) + 1e-9) - 1
-    most = np.minimum(most, 255).astype(np.uint8)
-    found, step = [], max(1, (1 << 18) // len(bits))
-    for at in range(0, len(visitors["_bits"]), step):
-        differing = np.bitwise_count(visitors["_bits"][at : at + step, None] ^ bits[None, :])
-        i, j = np.nonzero(differing <= most[None, :])
-        limit = most[j]
-        i, j = i + at, j + first
-        differing = sum(np.bitwise_count(visitors[c][i] ^ members[c][j]) for c in _QUARTERS)
-        i, j = (k[differing <= limit] for k in (i, j))
-        left, right = visitors["_node"][i], members["_node"][j]
-        fits = (lengths[j] > a) | (left < right)
-        fits &= np.abs(visitors["_amount"][i] - members["_amount"][j]) < 0.01
-        if across:
-            fits &= visitors["_fresh"][i] != members["_fresh"][j]
-        if fits.any():
-            found.append((left[fits], right[fits]))
-    return found
