@@ -5,14 +5,17 @@ card number keeps its length and has a valid check digit, a phone number keeps
 its country code and punctuation, a person's name its gender, script and case.
 A surrogate depends on the key and on the entity alone, however it is written
 (case, punctuation), so an entity has one surrogate in all documents
-(coreference), without a table that tasks share.
+(coreference), without a table that tasks share.  A person is found by a title;
+the whole name and the family name are then replaced throughout the document.
+A family name has one surrogate of its own, so "Dr. Anna Miller" and "Miller"
+still go together.
 
 Distinct entities must get distinct surrogates.  Where the form allows it, the
 surrogate is a keyed permutation of the values of that form (Feistel rounds over
 its digits and letters), which cannot collide.  Names come from lists and
-syllables, which can: all distinct names of all documents are checked, and those
-that would share a surrogate get the next one that is free, with more syllables
-after every few attempts.
+syllables, which can: all distinct names of all documents are checked, first
+family names, then whole names, and those that would share a surrogate get the
+next one that is free, with more syllables after every few attempts.
 """
 
 from __future__ import annotations
@@ -48,7 +51,7 @@ MIDDLES = {
     "cyrillic": tuple(c + v for c in "бвдклмнрст" for v in "аеиоу"),
     "greek": tuple(c + v for c in "βδκλμνρστ" for v in "αειου"),
 }
-#: Attempts at a name before its family name gets one more syllable, so that a free one always exists.
+#: Attempts at a name before it gets one more syllable, so that a free one always exists.
 ATTEMPTS = 4
 #: Titles that announce a person, with the gender they tell.
 TITLES = {
@@ -58,10 +61,18 @@ TITLES = {
 }
 _LETTER = r"[^\W\d_]"
 _NAME = rf"(?-i:[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я]){_LETTER}+"
+_KEY_WORD = r"(?i:passwords?|passwd|passphrase|pwd|secret|token|api[_-]?key|(?:secret|access|private|auth|client)[_-]?key)"
+#: Between an equals sign or a colon and prose stands no letter-only word: there, a value needs a digit and six characters.
+_SECRET = (
+    rf"{_KEY_WORD}=(?P<plain>[^\s\"']+)"
+    rf"|{_KEY_WORD}[\"']?[ \t]*[=:][ \t]*(?:\"(?P<double>[^\s\"]+)\"|'(?P<single>[^\s']+)')"
+    rf"|{_KEY_WORD}[ \t]*[=:][ \t]*(?P<told>(?=[^\s\"'()\[\]]*\d)[^\s\"'()\[\],;]{{6,}})"
+    r"|\b[Bb]earer (?P<bearer>(?=[\w.~+/-]*\d)[\w.~+/-]{8,}=*)"
+)
 _KINDS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\b",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "secret": r"(?<=password=)[^\s\"']+|(?<=token = \")[^\s\"]+(?=\")|(?<=token=)[^\s\"']+|(?<=api_key=)[^\s\"']+",
+    "secret": _SECRET,
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -70,18 +81,58 @@ _KINDS = {
     r"|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?![\w-])|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-])",
     "person": rf"(?<=\b)(?:{'|'.join(TITLES)})\.? (?:{_NAME})(?: {_NAME}){{0,2}}",
 }
+_VALUES = ("plain", "double", "single", "told", "bearer")
 _ENTITY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _KINDS.items()))
 #: No entity is without one of these.
-_SIGN = re.compile(rf"\d|@|password=|token|api_key|\b(?:{'|'.join(TITLES)})\b")
+_SIGN = re.compile(rf"\d|@|AKIA|ASIA|{_KEY_WORD}|\b(?:{'|'.join(TITLES)})\b")
+_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 
 
-def entities(text: str) -> Iterator[tuple[str, int, int]]:
+def entities(text: str) -> list[tuple[str, int, int]]:
     """Kind, start and end of each entity of a text, from left to right, without overlaps."""
     if not _SIGN.search(text):
-        return
+        return []
+    found = []
     for m in _ENTITY.finditer(text):
-        if m.lastgroup != "card" or luhn_valid(m.group()):
-            yield m.lastgroup, m.start(), m.end()
+        if m.lastgroup == "secret":
+            found.append(("secret", *next(m.span(g) for g in _VALUES if m[g] is not None)))
+        elif m.lastgroup != "card" or luhn_valid(m.group()):
+            found.append((m.lastgroup, m.start(), m.end()))
+    names = {person(split_title(text[start:end])[1]) for kind, start, end in found if kind == "person"}
+    return _with_mentions(text, found, names | {name.split()[-1] for name in names}) if names else found
+
+
+def _with_mentions(text: str, found: list[tuple[str, int, int]], names: set[str]) -> list[tuple[str, int, int]]:
+    """The entities and, between them, the longest runs of one to three capitalised words that are ``names``."""
+    words, out, at = [m.span() for m in _WORD.finditer(text)], [], 0
+    for entity in [*found, ("", len(text), len(text))]:
+        while at < len(words) and words[at][0] < entity[1]:
+            start = words[at][0]
+            ends = [(end, n) for n, (_, end) in enumerate(words[at : at + 3], 1) if end <= entity[1]]
+            end, n = next(((e, n) for e, n in reversed(ends) if person(text[start:e]) in names), (start, 1))
+            if end > start:
+                out.append(("person", start, end))
+            at += n
+        while at < len(words) and words[at][0] < entity[2]:
+            at += 1
+        out.append(entity)
+    return out[:-1]
+
+
+def split_title(value: str) -> tuple[str, str]:
+    """Title and name; the title of a mention without one is empty."""
+    first, *rest = value.split(None, 1)
+    return (first, rest[0]) if rest and first.rstrip(".") in TITLES else ("", value)
+
+
+def genders(text: str, found: list[tuple[str, int, int]]) -> dict[str, str]:
+    """The genders that a text's titles tell of its persons."""
+    told: dict[str, str] = {}
+    for kind, start, end in found:
+        if kind == "person":
+            title, name = split_title(text[start:end])
+            told[person(name)] = told.get(person(name)) or TITLES.get(title.rstrip("."), "")
+    return told
 
 
 def luhn_valid(number: str) -> bool:
@@ -100,12 +151,19 @@ class Surrogates:
     def __init__(self, key: bytes, tries: dict[str, int] | None = None) -> None:
         self._key, self._tries, self._memory = key, tries or {}, {}
 
-    def of(self, kind: str, value: str) -> str:
-        found = self._memory.get((kind, value))
+    def of(self, kind: str, value: str, gender: str = "") -> str:
+        """The replacement; ``gender`` is that of a person whose title does not tell it."""
+        found = self._memory.get((kind, value, gender))
         if found is None:
             if len(self._memory) > 50_000:
                 self._memory.clear()
-            found = self._memory[kind, value] = _REPLACE[kind](self, value)
+            if kind == "person":
+                title, name = split_title(value)
+                told = gender or TITLES.get(title.rstrip("."), "")
+                found = f"{title} {self.name(name, told)}".lstrip()
+            else:
+                found = _REPLACE[kind](self, value)
+            self._memory[kind, value, gender] = found
         return found
 
     def stream(self, n: int, *parts: object) -> bytes:
@@ -133,24 +191,30 @@ class Surrogates:
                 letters[i] = own[(own.index(letters[i]) + 256 * high + low) % len(own)]
         return "".join(letters)
 
-    def name(self, name: str, gender: str, attempt: int) -> str:
-        """The surrogate of a person's name at an attempt; an untold gender is drawn with the key."""
-        script, whole, words = _script(name), person(name), name.split()
-        more = attempt // ATTEMPTS
-        drawn = self.stream(12 + more, "person", attempt, whole)
+    def name(self, name: str, gender: str, attempt: int | None = None) -> str:
+        """The surrogate of a person's name; an untold gender is drawn with the key.
+
+        The family name is drawn by itself, the given names by the whole name.
+        ``attempt`` is that of the whole name, by default as the tries say.
+        """
+        script, whole, (*given, family) = _script(name), person(name), name.split()
+        attempt = self._tries.get(whole, 0) if attempt is None else attempt
+        own = self._family(script, family, self._tries.get(family.lower(), 0) if given else attempt)
+        more = attempt // ATTEMPTS * bool(given)
+        drawn = self.stream(len(given) + more, "given", attempt, whole)
         gender = gender or "fm"[self.stream(1, "gender", whole)[0] % 2]
-        given = GIVEN[script, gender]
+        found = []
+        for word, d in zip(given, drawn):
+            free = [g for g in GIVEN[script, gender] if g.lower() != word.lower()]
+            found.append(free[d % len(free)])
+        if more:
+            found[-1] += "".join(MIDDLES[script][d % len(MIDDLES[script])] for d in drawn[len(given) :])
+        return " ".join(f.upper() if w.isupper() and len(w) > 1 else f for f, w in zip([*found, own], [*given, family]))
+
+    def _family(self, script: str, family: str, attempt: int) -> str:
         starts, ends, middles = FAMILY_STARTS[script], FAMILY_ENDS[script], MIDDLES[script]
-        family = starts[drawn[0] % len(starts)] + middles[drawn[1] % len(middles)] + middles[drawn[2] % len(middles)]
-        family += "".join(middles[d % len(middles)] for d in drawn[12:])
-        family += ends[drawn[3] % len(ends)]
-        found = [given[drawn[4] % len(given)], *[given[d % len(given)] for d in drawn[5 : 3 + len(words)]], family]
-        found = found if len(words) > 1 else [family]
-        return " ".join(f.upper() if w.isupper() and len(w) > 1 else f for f, w in zip(found, words))
-
-    def _person(self, value: str) -> str:
-        title, name = value.split(None, 1)
-        return f"{title} {self.name(name, TITLES[title.rstrip('.')], self._tries.get(person(name), 0))}"
+        first, last, *rest = self.stream(4 + attempt // ATTEMPTS, "family", attempt, family.lower())
+        return starts[first % len(starts)] + "".join(middles[d % len(middles)] for d in rest) + ends[last % len(ends)]
 
     def _email(self, value: str) -> str:
         dot = value.rindex(".")
@@ -200,7 +264,6 @@ _REPLACE = {
     "ssn": lambda s, value: s.permute("ssn", value),
     "iban": Surrogates._iban,
     "phone": Surrogates._phone,
-    "person": Surrogates._person,
 }
 
 
@@ -236,10 +299,13 @@ def person(name: str) -> str:
 
 def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with surrogates, and the entities (kind, start, end) of the text as it was."""
-    found = list(entities(text))
+    found = entities(text)
+    told = genders(text, found)
     parts, at = [], 0
     for kind, start, end in found:
-        parts += text[at:start], surrogates.of(kind, text[start:end])
+        value = text[start:end]
+        gender = told[person(split_title(value)[1])] if kind == "person" else ""
+        parts += text[at:start], surrogates.of(kind, value, gender)
         at = end
     return "".join(parts) + text[at:], found
 
@@ -249,7 +315,8 @@ def replace_personal_data(docs: DataFrame, key: bytes, text_col: str = "text") -
 
     pii is an array of (kind, start, end), in code points of the text as it was.
     A null text stays null, with an empty array; texts without entities stay as
-    they are.  Repeated rows are treated alike; an empty table stays empty.
+    they are.  Repeated rows are treated alike; an empty table stays empty.  A
+    column pii of ``docs`` is replaced; columns of any other names are kept.
     """
     tries = write_shared(name_tries(docs, key, text_col), "tries")
     out = "struct<text string, pii array<struct<kind string, start int, end int>>>"
@@ -269,13 +336,15 @@ def replace_personal_data(docs: DataFrame, key: bytes, text_col: str = "text") -
             yield pa.concat_arrays(done) if done else pa.array([], _ARROW)
 
     none = F.lit(None).cast("map<string,int>")
+    names = [c for c in docs.columns if c != "pii"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
+    text = F.col("doc").getField(text_col)
     if tries.isEmpty():  # no two names share a surrogate
-        rows = docs.withColumn("_done", run(F.col(text_col), none))
+        rows = rows.select("doc", run(text, none).alias("done"))
     else:
-        rows = docs.withColumn("_row", F.xxhash64(text_col))
-        rows = rows.join(tries, "_row", "left").withColumn("_done", run(F.col(text_col), F.col("_tries")))
-        rows = rows.drop("_row", "_tries")
-    return rows.withColumns({text_col: F.col("_done.text"), "pii": F.col("_done.pii")}).drop("_done")
+        rows = rows.withColumn("_row", F.xxhash64(text)).join(tries, "_row", "left").select("doc", run(text, F.col("_tries")).alias("done"))
+    kept = [F.col("done.text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in names]
+    return rows.select(*kept, F.col("done.pii").alias("pii"))
 
 
 _ARROW = pa.struct([("text", pa.string()), ("pii", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
@@ -284,38 +353,56 @@ _ARROW = pa.struct([("text", pa.string()), ("pii", pa.list_(pa.struct([("kind",
 def name_tries(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """For texts (by hash) with names that collide: the attempts those names take (_row, _tries).
 
-    Every distinct name is drawn over all documents.  Of the names that draw the
-    same surrogate, the first in order keeps it and the others draw again, until
-    no two are the same; a name that holds its surrogate never gives it up.
+    Every distinct family name is drawn over all documents, then every distinct
+    whole name with the family name it got.
     """
 
     @F.arrow_udf("array<struct<name string, gender string>>")
     def names(texts: pa.Array) -> pa.Array:
         found = []
         for text in texts.to_pylist():
-            values = [text[s:e].split(None, 1) for kind, s, e in entities(text or "") if kind == "person"]
-            found.append([{"name": n, "gender": TITLES[t.rstrip(".")]} for t, n in values])
+            spans = entities(text or "")
+            told = genders(text or "", spans)
+            values = {split_title(text[s:e])[1] for kind, s, e in spans if kind == "person"}
+            found.append([{"name": n, "gender": told[person(n)]} for n in sorted(values)])
         return pa.array(found, pa.list_(pa.struct([("name", pa.string()), ("gender", pa.string())])))
 
-    @F.arrow_udf("string")
-    def draw(name: pa.Array, gender: pa.Array, attempt: pa.Array) -> pa.Array:
-        surrogates = Surrogates(key)
-        rows = zip(name.to_pylist(), gender.to_pylist(), attempt.to_pylist())
-        return pa.array([person(surrogates.name(n, g, a)) for n, g, a in rows], pa.string())
-
     titled = docs.filter(F.col(text_col).rlike(rf"\b({'|'.join(TITLES)})\b"))
     found = titled.select(F.xxhash64(text_col).alias("_row"), F.explode(names(F.col(text_col))).alias("p"))
-    found = write_shared(found.select("_row", F.lower("p.name").alias("person"), "p.name", "p.gender").distinct(), "names")
+    family = F.element_at(F.split("p.name", r"\s+"), -1)
+    found = found.select("_row", F.lower("p.name").alias("person"), F.lower(family).alias("family"), "p.name", "p.gender")
+    found = write_shared(found.distinct(), "names")
+    families = found.groupBy(F.col("family").alias("person")).agg(F.min(F.element_at(F.split("name", r"\s+"), -1)).alias("name"))
+    families = _settle(families.withColumns({"gender": F.lit(""), "of_family": F.lit(0)}), key)
     # A name with two genders draws two surrogates; each must be free.
-    people = found.groupBy("person", "gender").agg(F.min("name").alias("name"), F.lit(0).alias("attempt"))
+    whole = found.filter("person <> family").groupBy("person", "gender", "family").agg(F.min("name").alias("name"))
+    whole = whole.join(families.select(F.col("person").alias("family"), F.col("attempt").alias("of_family")), "family", "left")
+    whole = _settle(whole.drop("family").fillna(0, ["of_family"]), key)
+    used = found.select("_row", "person").union(found.select("_row", "family")).distinct()
+    rows = used.join(families.union(whole), "person")
+    return rows.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("person", "attempt"))).alias("_tries"))
+
+
+def _settle(people: DataFrame, key: bytes) -> DataFrame:
+    """The attempts (person, attempt) of the people who do not keep their first surrogate.
+
+    Of the names that draw the same one, the first in order keeps it and the
+    others draw again, until no two are the same; a name that holds its
+    surrogate never gives it up.
+    """
+
+    @F.arrow_udf("string")
+    def draw(name: pa.Array, gender: pa.Array, attempt: pa.Array, of_family: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (name, gender, attempt, of_family)))
+        found = [Surrogates(key, {n.split()[-1].lower(): f}).name(n, g, a) for n, g, a, f in rows]
+        return pa.array([person(f) for f in found], pa.string())
+
+    people = people.withColumn("attempt", F.lit(0))
     while True:
-        people = write_shared(people.withColumn("surrogate", draw("name", "gender", "attempt")), "people")
+        people = write_shared(people.withColumn("surrogate", draw("name", "gender", "attempt", "of_family")), "people")
         holder = people.groupBy("surrogate").agg(F.min(F.struct("attempt", "person")).alias("first"))
         lost = people.join(holder, "surrogate").withColumn("lost", F.col("person") != F.col("first.person"))
         if lost.filter("lost").isEmpty():
-            break
+            return people.filter("attempt > 0").groupBy("person").agg(F.max("attempt").alias("attempt"))
         again = lost.groupBy("person").agg(F.max("lost").alias("lost"))
         people = people.join(again, "person").withColumn("attempt", F.col("attempt") + F.col("lost").cast("int")).drop("lost", "surrogate")
-    moved = people.filter("attempt > 0").groupBy("person").agg(F.max("attempt").alias("attempt"))
-    rows = found.select("_row", "person").distinct().join(moved, "person")
-    return rows.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("person", "attempt"))).alias("_tries"))
