@@ -83,17 +83,22 @@ _KINDS = {
 }
 _VALUES = ("plain", "double", "single", "told", "bearer")
 _ENTITY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _KINDS.items()))
+_NO_SECRET = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _KINDS.items() if kind != "secret"))
 #: No entity is without one of these.
-_SIGN = re.compile(rf"\d|@|AKIA|ASIA|{_KEY_WORD}|\b(?:{'|'.join(TITLES)})\b")
+_SIGN = re.compile(rf"\d|@|AKIA|ASIA|\b(?:{'|'.join(TITLES)})\b")
+#: No secret is without one of these, in lower case.
+_SECRET_SIGNS = ("passw", "passphrase", "pwd", "secret", "token", "key", "bearer")
 _WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 
 
 def entities(text: str) -> list[tuple[str, int, int]]:
     """Kind, start and end of each entity of a text, from left to right, without overlaps."""
-    if not _SIGN.search(text):
+    lower = text.lower()
+    secret = any(sign in lower for sign in _SECRET_SIGNS)
+    if not secret and not _SIGN.search(text):
         return []
     found = []
-    for m in _ENTITY.finditer(text):
+    for m in (_ENTITY if secret else _NO_SECRET).finditer(text):
         if m.lastgroup == "secret":
             found.append(("secret", *next(m.span(g) for g in _VALUES if m[g] is not None)))
         elif m.lastgroup != "card" or luhn_valid(m.group()):
