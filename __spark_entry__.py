@@ -23,6 +23,7 @@ from spendloom.operators import (
     categories,
     clean,
     dedup,
+    insight_buffers,
     insights,
     model_requests,
     order,
@@ -441,6 +442,27 @@ def q_unique_vendors(spark, sf):
     return insights.unique_vendors(_tidy(spark, sf))
 
 
+def q_insights_merged(spark, sf):
+    """Buffers of batches, merged twice, against what a second reading of the table counts."""
+    rows = _tidy(spark, sf).select("merchant", "amount", (F.col("txn_id") % 16).alias("batch"))
+    parts = write_shared(insight_buffers.buffers(rows, ["batch"]), "buffers")
+    halves = insight_buffers.merge(parts.withColumn("half", F.col("batch") % 2), ["half"])
+    merged = write_shared(insight_buffers.summary(insight_buffers.merge(halves)), "summary")
+    median, vendors_found = merged.select("median_amount", "unique_vendors").first()
+    again = rows.agg(
+        (F.count_if(F.col("amount") <= median) / F.count("amount") >= 0.495).alias("high"),
+        (F.abs(F.lit(vendors_found) / F.count_distinct("merchant") - 1) <= 0.03).alias("vendors"),
+        (F.count_if(F.col("amount") < median) / F.count("amount") <= 0.505).alias("under"),
+    )
+    near = again.select(F.struct((F.col("high") & F.col("under")).alias("m"), F.col("vendors").alias("v"))).scalar()
+    return merged.select(
+        "total_rows",
+        *[F.round(c, 2).alias(c) for c in ("total_amount", "average_amount", "min_amount", "max_amount", "std_amount")],
+        near["m"].alias("median_is_near"),
+        near["v"].alias("vendors_are_near"),
+    )
+
+
 def q_category_breakdown(spark, sf):
     return insights.category_breakdown(_named(spark, sf))
 
@@ -552,6 +574,16 @@ def q_stream_insights(spark, sf):
     return found.withColumn("value", F.round("value", 4))
 
 
+def q_stream_usage_totals(spark, sf):
+    """The running totals after all micro-batches of a stream."""
+    source = _derive(spark, sf, sql.STREAM_PAYLOADS).select("payload_id", "body")
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source.repartitionByRange(3, "payload_id").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    payload_stream.clean_stream(stream, f"{root}/out", f"{root}/progress").awaitTermination()
+    return payload_stream.running_totals(spark, f"{root}/out")
+
+
 def q_clean_payloads(spark, sf):
     return payload_configs.clean_payloads(_derive(spark, sf, sql.PAYLOADS)).rows.select(*_PAYLOAD_ROW)
 
@@ -862,6 +894,9 @@ SELECT count(*) FILTER (WHERE abs((amount - m) / s) > 1.5) AS outlier_count,
  round(max(amount),2) AS max_amount, round(stddev_samp(amount),2) AS std_amount FROM tidy""",
         "top_vendors": f"""{_RAW} SELECT {_vendor_sql('merchant')} AS merchant, count(*) AS n_rows FROM t
 GROUP BY 1 ORDER BY n_rows DESC, merchant LIMIT 10""",
+        "insights_merged": f"""{_TIDY} SELECT count(*) AS total_rows, round(sum(amount),2) AS total_amount,
+ round(avg(amount),2) AS average_amount, round(min(amount),2) AS min_amount, round(max(amount),2) AS max_amount,
+ round(stddev_samp(amount),2) AS std_amount, true AS median_is_near, true AS vendors_are_near FROM tidy""",
         "unique_vendors": f"{_TIDY} SELECT count(DISTINCT merchant) AS unique_vendors FROM tidy",
         "category_breakdown": f"""{_RAW}, v AS (SELECT {_vendor_sql('merchant')} AS merchant FROM t)
 SELECT {_category_sql('merchant')} AS category, count(*) AS n_rows FROM v GROUP BY 1""",
@@ -924,6 +959,10 @@ FROM orders WHERE {shape} IN (0,1,12)""",
 FROM ({sql.STREAM_PAYLOADS}) p, (VALUES (0),(1),(2)) v(i) WHERE i = 0 OR (i = 1 AND payload_id % 2 = 1) OR (i = 2 AND payload_id % 3 <> 0)),
 used AS (SELECT payload_id, count(*) AS n FROM done GROUP BY payload_id)""" + _by_payload_sql("""UNION ALL SELECT payload_id, 'summary',
  unnest(['ai_requests','ai_cost','cache_hits','rows_processed','chunks_processed']), unnest([2 * n, 0.02 * n, 0, 3, 1]::DOUBLE[]) FROM used"""),
+        "stream_usage_totals": f"""WITH used AS (SELECT payload_id, 1 + (payload_id % 2 = 1)::INT + (payload_id % 3 <> 0)::INT AS n
+FROM ({sql.STREAM_PAYLOADS}) p)
+SELECT CAST(3 AS BIGINT) AS batches, count(*) AS payloads, CAST(3 * count(*) AS BIGINT) AS rows_processed,
+ CAST(sum(2 * n) AS BIGINT) AS ai_requests, round(sum(2 * n) / 100, 2) AS ai_cost FROM used""",
         "clean_payloads_by_chunk": f"""SELECT payload_id, CAST(i AS BIGINT) AS position,
  CASE WHEN i = 3 THEN 'Other ' ELSE 'Acme ' END || o_custkey AS merchant, CASE WHEN i = 3 THEN 9.0 ELSE 5.0 END::DOUBLE AS amount,
  '' AS description, CAST(NULL AS VARCHAR) AS memo, 'Other' AS category, false AS is_outlier

@@ -16,12 +16,27 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def strict_json(text: Column) -> Column:
     """The variant of a JSON text, or null if it is not one JSON value.
 
-    Spark's parser stops after the first value, so the text is read once as
-    the item of a list and once as a field: whatever follows breaks one of them.
+    Spark's parser stops after the first value, so the text is read as the item
+    of a list or as a field.  Text behind an object or list is hidden from the
+    list only if ``]`` follows the value, or gives a second item; it is hidden
+    from the field only if ``}`` or a comma and a name follow.  A text without
+    such a place is parsed once.  Others, and single values, are read both ways:
+    whatever follows breaks one of them.
     """
     as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     as_field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(as_field.isNotNull(), F.try_variant_get(as_item, "$[0]", "variant"))
+    is_object, is_list = text.rlike(r"^\s*\{"), text.rlike(r"^\s*\[")
+    seen_in_list = (is_object & ~text.rlike(r"\}\s*\]")) | (is_list & ~text.rlike(r"\]\s*\]"))
+    seen_in_field = is_object & ~text.rlike(r'\}\s*(?:\}|,\s*")')
+
+    def only_item(items: Column) -> Column:
+        return F.when(F.try_variant_get(items, "$[1]", "variant").isNull(), F.try_variant_get(items, "$[0]", "variant"))
+
+    return (
+        F.when(seen_in_list, let(as_item, only_item))
+        .when(seen_in_field, F.try_variant_get(as_field, "$.v", "variant"))
+        .when(as_field.isNotNull(), let(as_item, only_item))
+    )
 
 
 def fields_of(value: Column) -> Column:

@@ -8,31 +8,43 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendloom.operators.insight_buffers import HLL_LOG, around_median
 from spendloom.operators.quality import completeness
 from spendloom.session import write_shared
 
 
-def exact_median(df: DataFrame, column: str = "amount", *, max_values: int = 1_000_000):
+def exact_median(
+    df: DataFrame, column: str = "amount", *, max_values: int = 1_000_000, around: Sequence | None = None
+):
     """The interpolated median, or None without values.
 
     The built-in exact median keeps all distinct values of the table in one
-    buffer.  Here distinct values are counted by a shuffle, and ranges of values
-    are narrowed until at most ``max_values`` remain around the middle.
+    buffer.  Here a sketch tells two values that it is between (``around``, if
+    they are known already); the values below are only counted, those between
+    are counted one by one.  Ranges of values are narrowed further until at most
+    ``max_values`` remain around the middle.  If the median is not between, all
+    values are counted.
     """
     if max_values < 2:
         raise ValueError("max_values must be at least 2, as two values can be around the middle")
+    if around is None:
+        around = df.agg(around_median(column)).first()[0] or ()
+    values, v = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull()), F.col("v")
+    side = F.when(v < around[0], -1).when(v > around[1], 1).otherwise(0) if around else F.lit(0)
     counts = write_shared(
-        df.select(F.col(column).alias("v"))
-        .filter(F.col("v").isNotNull())
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("n")),
+        values.groupBy(side.alias("side"), F.when(side == 0, v).alias("v")).agg(F.count(F.lit(1)).alias("n")),
         "value-counts",
     )
-    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    sides = {r[0]: r[1:] for r in counts.groupBy("side").agg(F.sum("n"), F.count(F.lit(1))).collect()}  # at most 3 rows
+    total = sum(n for n, _ in sides.values())
     if not total:
         return None
     middle = ((total - 1) // 2, total // 2)
-    below, pieces = 0, 64
+    below = sides.get(-1, (0, 0))[0]
+    inside, distinct = sides.get(0, (0, 0))
+    if not below <= middle[0] <= middle[1] < below + inside:
+        return exact_median(df, column, max_values=max_values, around=())
+    counts, pieces = counts.filter("side = 0"), 64
     while distinct > max_values:
         shares = [k / pieces for k in range(1, pieces)]
         cuts = sorted(set(counts.agg(F.percentile_approx("v", shares)).first()[0]))
@@ -66,15 +78,17 @@ def exact_median(df: DataFrame, column: str = "amount", *, max_values: int = 1_0
 
 def amount_summary(df: DataFrame, *, approximate_median: bool = False) -> DataFrame:
     """One row: count, total, mean, median, extremes and sample deviation."""
-    return df.agg(*_amount_columns(df, approximate_median))
+    columns = [F.count(F.lit(1)).alias("total_rows"), *_plain_amounts()]
+    if approximate_median:
+        return df.agg(*columns, F.percentile_approx("amount", 0.5).alias("median_amount"))
+    return _with_median(df, columns)
 
 
-def _amount_columns(df: DataFrame, approximate_median: bool = False) -> list[Column]:
-    if approximate_median:
-        median = F.percentile_approx("amount", 0.5)
-    else:
-        median = F.lit(exact_median(df)).cast("double")
-    return [F.count(F.lit(1)).alias("total_rows"), *_plain_amounts(), median.alias("median_amount")]
+def _with_median(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """The aggregates and the exact median, in two passes over ``df``."""
+    found = write_shared(df.agg(*columns, around_median("amount").alias("_around")), "summary")
+    median = exact_median(df, around=found.first()["_around"] or ())
+    return found.withColumn("median_amount", F.lit(median).cast("double")).drop("_around")
 
 
 def _plain_amounts() -> list[Column]:
@@ -98,7 +112,10 @@ def top_vendors(df: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def unique_vendors(df: DataFrame) -> DataFrame:
+def unique_vendors(df: DataFrame, *, approximate: bool = False) -> DataFrame:
+    """The number of merchants; ``approximate`` needs no shuffle of the names and is within 3 %."""
+    if approximate:
+        return df.agg(F.hll_sketch_estimate(F.hll_sketch_agg("merchant", HLL_LOG)).alias("unique_vendors"))
     return df.agg(F.count_distinct("merchant").alias("unique_vendors"))
 
 
@@ -137,12 +154,15 @@ def insights(
     if scope:
         summary = _scope_summary(df, scope)
     else:
-        columns = _amount_columns(df) if "amount" in df.columns else [F.count(F.lit(1)).alias("total_rows")]
+        columns = [F.count(F.lit(1)).alias("total_rows")]
+        if "amount" in df.columns:
+            columns += _plain_amounts()
         if "merchant" in df.columns:
             columns.append(F.count_distinct("merchant").alias("unique_vendors"))
         if "is_outlier" in df.columns:
             columns += _outlier_columns()
-        summary = df.agg(*columns, completeness(df).alias("data_quality_score"))
+        columns.append(completeness(df).alias("data_quality_score"))
+        summary = _with_median(df, columns) if "amount" in df.columns else df.agg(*columns)
     if counters is not None and scope:
         # A request of which no row is left has an empty summary.
         summary = counters.select(*scope).join(summary, scope, "left").na.fill(0, ["total_rows", "data_quality_score"])

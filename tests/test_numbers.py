@@ -1,12 +1,13 @@
 """Outliers, slices, insights, completeness and usage."""
 
+import math
 import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from spendloom.operators import insights, order, quality, usage
+from spendloom.operators import insight_buffers, insights, order, quality, usage
 from spendloom.operators.outliers import flag_outliers
 
 
@@ -70,6 +71,39 @@ def test_exact_median(spark, seed, max_values):
     assert insights.exact_median(amounts(spark, values), max_values=max_values) == pytest.approx(statistics.median(values))
 
 
+def test_exact_median_outside_the_expected_place(spark):
+    values = [float(i % 97) for i in range(1000)]
+    for around in ((-5.0, -1.0), (200.0, 300.0), (10.0, 20.0), (), None):
+        assert insights.exact_median(amounts(spark, values), around=around) == statistics.median(values)
+    odd = [float("nan")] * 6 + [1.0, 2.0, 3.0]
+    assert math.isnan(insights.exact_median(amounts(spark, odd)))
+    assert insights.exact_median(amounts(spark, [float("nan"), 1.0, 2.0])) == 2.0
+
+
+def test_buffers_of_batches_merge(spark):
+    rng = random.Random(5)
+    rows = [(i % 7, f"m{rng.randrange(900)}", None if i % 11 == 0 else 1e7 + round(rng.gauss(0, 3), 2)) for i in range(9000)]
+    rows += [(8, None, None), (9, "only", 1e7)]
+    df = spark.createDataFrame(rows, "batch int, merchant string, amount double")
+    parts = insight_buffers.buffers(df, ["batch"])
+    halves = insight_buffers.merge(parts.withColumn("half", F.col("batch") % 2), ["half"])
+    found = insight_buffers.summary(insight_buffers.merge(halves)).first()
+    known = sorted(v for *_, v in rows if v is not None)
+    assert found.total_rows == len(rows) and (found.min_amount, found.max_amount) == (known[0], known[-1])
+    assert found.total_amount == pytest.approx(math.fsum(known)) and found.average_amount == pytest.approx(statistics.mean(known))
+    assert found.std_amount == pytest.approx(statistics.stdev(known), rel=1e-6)
+    assert known[int(0.495 * len(known))] <= found.median_amount <= known[int(0.505 * len(known))]
+    names = len({m for _, m, _ in rows if m})
+    assert abs(found.unique_vendors / names - 1) <= 0.03
+    assert abs(insights.unique_vendors(df, approximate=True).first()[0] / names - 1) <= 0.03
+    each = {r.batch: r for r in insight_buffers.summary(parts, ["batch"]).collect()}
+    assert each[8].total_rows == 1 and each[8].median_amount is None and each[8].total_amount is None
+    assert each[9].std_amount is None and each[9].median_amount == 1e7
+    none = insight_buffers.summary(insight_buffers.merge(insight_buffers.buffers(df.filter("false")))).first()
+    assert (none.total_rows, none.unique_vendors, none.median_amount) == (0, 0, None)
+    assert insight_buffers.summary(insight_buffers.merge(parts.filter("false"))).first().total_rows == 0
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "txn_id long, merchant string, amount double, category string, is_outlier boolean")
     assert insights.exact_median(df) is None

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spendloom.config import CleanConfig
 from spendloom.functions import fixed
+from spendloom.functions.variants import strict_json
 from spendloom.plans.cleaning import clean_transactions
 from spendloom.plans.payload_configs import clean_payloads, clean_payloads_by_config, own_options
 from spendloom.sources import payloads
@@ -158,6 +159,26 @@ def test_a_body_is_parsed_once_for_its_rows(spark):
         assert "parse_json" not in table._jdf.queryExecution().toString().lower()
 
 
+def test_nothing_hides_behind_a_value(spark):
+    """Against Python's parser, for texts whose parts end and go on in every way."""
+    values = ['{"a":1}', '[1]', '[{"a":[2]}]', '{"a":{"b":[{}]}}', '{}', '[]', '5', '"}]"', "null", '{"a":"} ]"}', '[[1],[2]]', '{"b":[{"c":1}]}']
+    tails = ["", " ", "\n", ",", "]", "}", ",5", ",null", ', {"a":2}', "] x", "} x", "]]", ']} , "v":1', '} , "w":2', ',"w":2', ' ] , [1', " x", "][", ',"v":{"a":1}']
+    texts = [lead + v + t for lead in ("", " \t") for v in values for t in tails] + ["", " ", "{", "[", "x"]
+
+    def valid(text):
+        try:
+            return json.loads(text) is not ...
+        except ValueError:
+            return False
+
+    df = spark.createDataFrame([(t,) for t in texts], "body string")
+    found = df.select("body", F.to_json(strict_json(F.col("body"))).alias("v"), strict_json(F.col("body")).isNotNull().alias("ok")).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert r.ok == valid(r.body), r.body
+        assert not r.ok or json.loads(r.v) == json.loads(r.body), r.body
+
+
 def test_long_payload(spark):
     df = spark.range(1).select(
         F.lit(1).alias("payload_id"),

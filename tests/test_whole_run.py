@@ -196,6 +196,19 @@ def test_stream_is_the_batch_form(spark, tmp_path):
     assert spark.read.parquet(f"{out}/rejects").count() == 2
     totals = payload_stream.usage_totals(spark.read.parquet(f"{out}/usage")).first()
     assert (totals.batches, totals.rows_processed) == (2, 16)
+    assert payload_stream.running_totals(spark, out).first() == totals
+
+
+def test_a_batch_that_is_run_again_counts_once(spark, tmp_path):
+    df = spark.createDataFrame(PAYLOADS, "payload_id long, body string")
+    out = str(tmp_path / "out")
+    for batch_id, rows in ((0, df), (1, df.filter("payload_id < 3")), (1, df.filter("payload_id < 3")), (2, df.filter("payload_id = 4"))):
+        payload_stream.clean_batch(rows, batch_id, out)
+    found = payload_stream.running_totals(spark, out).first()
+    assert found == payload_stream.usage_totals(spark.read.parquet(f"{out}/usage")).first()
+    assert (found.batches, found.payloads, found.rows_processed) == (2, 6, 12)
+    payload_stream.clean_batch(df.filter("payload_id = 2"), 7, out)  # the batch before left no totals
+    assert payload_stream.running_totals(spark, out).first().payloads == 7
 
 
 @pytest.mark.parametrize(
