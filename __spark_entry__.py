@@ -32,6 +32,7 @@ from spendloom.operators import (
     usage,
     vendors,
 )
+from spendloom.operators.reply_log import ReplyLog
 from spendloom.plans import cleaning, payload_configs
 from spendloom.session import shared_dir, write_shared
 from spendloom.sources import payloads, tables
@@ -374,6 +375,28 @@ def _worn_cache(spark, sf):
     return cache.unionByName(cache.withColumns({"reply": F.lit("Old"), "seq": F.col("seq") - 1000000}))
 
 
+def _reply_log(spark, sf):
+    """A log of two runs: the replies of each of the orders in status F, the newer one after an older."""
+    log = ReplyLog(spark, f"{shared_dir(spark)}/reply-log-{uuid.uuid4().hex}", buckets=8)
+    replies = _worn_cache(spark, sf).withColumn("cached", F.lit(False))
+    log.append(replies.filter("reply <> 'Old'"), seq=2)
+    log.append(replies.filter("reply = 'Old'"), seq=1)
+    return log
+
+
+def q_cache_log_lookup(spark, sf):
+    """Each request with the reply the log has for it, if any."""
+    asked, log = model_requests.requests(_tidy(spark, sf), "vendor"), _reply_log(spark, sf)
+    missing = log.misses(asked).select("kind", "key", F.lit(None).cast("string").alias("reply"))
+    return log.hits(asked).unionByName(missing)
+
+
+def q_cache_log_compact(spark, sf):
+    log = _reply_log(spark, sf)
+    log.compact()
+    return log.table().select("kind", "key", "reply")
+
+
 def q_resolve_with_cache(spark, sf):
     config = CleanConfig(ai_category_enabled=False, duplicate_threshold=1.0)
     rows = _tidy(spark, sf)
@@ -881,6 +904,9 @@ FROM tidy""",
         "cache_hits": f"{_CACHE} SELECT kind, key, reply FROM cache JOIN asked USING (kind, key) WHERE reply <> ''",
         "cache_misses": f"""{_CACHE} SELECT kind, key FROM asked
 WHERE key NOT IN (SELECT key FROM cache WHERE reply <> '')""",
+        "cache_log_lookup": f"""{_CACHE} SELECT kind, key, CASE WHEN reply = '' THEN 'Old' ELSE reply END AS reply
+FROM asked LEFT JOIN cache USING (kind, key)""",
+        "cache_log_compact": f"{_CACHE} SELECT kind, key, CASE WHEN reply = '' THEN 'Old' ELSE reply END AS reply FROM cache",
         "cache_trim_fifo": f"""{_RAW}, e AS (SELECT CASE WHEN memo = 'O' THEN 'vendor' ELSE 'category' END AS kind,
  md5(CAST(txn_id AS VARCHAR)) AS key, memo AS reply, txn_id AS seq FROM t)
 SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY kind ORDER BY seq DESC) <= 1000""",

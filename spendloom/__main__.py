@@ -5,7 +5,8 @@ Reads a transaction table, or with --payloads a table of JSON payloads
 OUTPUT.  Payloads bring their own options in ``config``; their insights and
 usage are per payload, and rejected payloads go to OUTPUT/rejects.  A model of
 the user is named as module:function (a ``make_model``); with --cache, stored
-replies are used and the grown cache is written to OUTPUT/cache.
+replies are used and the grown cache is written to OUTPUT/cache; with --cache-log
+they are read from a log in a folder and the new ones are appended to it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import SparkSession
 from spendloom.config import CleanConfig
 from spendloom.operators.insights import insights
 from spendloom.operators.order import add_txn_id
+from spendloom.operators.reply_log import ReplyLog
 from spendloom.plans import payload_configs
 from spendloom.plans.cleaning import run
 from spendloom.session import temporary_tables
@@ -38,6 +40,7 @@ def main(arguments: list[str] | None = None) -> None:
     for kind in ("vendor", "category", "analysis"):
         parser.add_argument(f"--{kind}-model", help="module:function that makes the model")
     parser.add_argument("--cache", help="a table of earlier replies (kind, key, reply, seq), or 'new'")
+    parser.add_argument("--cache-log", help="the folder of a log of replies, made if it is missing")
     parser.add_argument("--order-by", action="append", default=[], help="columns that give rows without txn_id their order")
     options = parser.parse_args(arguments)
     config = CleanConfig.from_dict(json.loads(options.config))
@@ -62,6 +65,8 @@ def _work(spark: SparkSession, options: argparse.Namespace, config: CleanConfig)
     if options.cache:
         empty = spark.createDataFrame([], CACHE_SCHEMA)
         asking["cache"] = empty if options.cache == "new" else spark.read.format(options.format).load(options.cache)
+    if options.cache_log:
+        asking["cache"] = ReplyLog(spark, options.cache_log)
     if options.payloads:
         source = spark.read.format(options.format).load(options.input)
         result = payload_configs.clean_payloads(source, config, **asking)
@@ -76,7 +81,7 @@ def _work(spark: SparkSession, options: argparse.Namespace, config: CleanConfig)
     written = save(result.rows, "rows")
     usage = save(result.usage, "usage")
     save(insights(written, usage.drop("cleaner_version"), scope=scope), "insights")
-    if result.cache is not None:
+    if result.cache is not None and not options.cache_log:
         save(result.cache, "cache")
 
 

@@ -17,6 +17,7 @@ from spendloom.functions import fixed
 from spendloom.functions.prompts import PROMPTS, request_key
 from spendloom.functions.replies import analysis_reply, category_reply, vendor_reply
 from spendloom.operators.categories import apply_analysis, gate_category
+from spendloom.operators.reply_log import ReplyLog
 from spendloom.operators.vendors import unmatched_by_rules
 from spendloom.session import write_shared
 
@@ -53,13 +54,17 @@ def newest(cache: DataFrame) -> DataFrame:
     return best.select(*values)
 
 
-def cache_hits(asked: DataFrame, cache: DataFrame) -> DataFrame:
+def cache_hits(asked: DataFrame, cache: DataFrame | ReplyLog) -> DataFrame:
     """Requests with a stored reply, as ``kind, key, reply``.  Empty replies do not count."""
+    if isinstance(cache, ReplyLog):
+        return cache.hits(asked)
     stored = newest(cache).select("kind", "key", "reply")
     return asked.join(stored, ["kind", "key"]).select("kind", "key", "reply")
 
 
-def cache_misses(asked: DataFrame, cache: DataFrame) -> DataFrame:
+def cache_misses(asked: DataFrame, cache: DataFrame | ReplyLog) -> DataFrame:
+    if isinstance(cache, ReplyLog):
+        return cache.misses(asked)
     stored = cache.filter(F.col("reply") != "").select("kind", "key")
     return asked.join(stored, ["kind", "key"], "left_anti")
 
@@ -83,13 +88,18 @@ def trim_cache(cache: DataFrame, *, size: int = 1000, parts: int = 64) -> DataFr
     )
 
 
-def store_replies(cache: DataFrame, replies: DataFrame, *, size: int | None = None) -> DataFrame:
+def store_replies(cache: DataFrame | ReplyLog, replies: DataFrame, *, size: int | None = None) -> DataFrame:
     """The cache (``kind, key, reply, seq``) with the new replies as its newest entries.
 
     One entry per request is kept, so storing replies again changes nothing but
     their age.  Failed requests and analyses are not stored.  All entries stay
-    unless a ``size`` to trim to is given.
+    unless a ``size`` to trim to is given.  A log gets the new replies appended
+    and keeps its older ones.
     """
+    if isinstance(cache, ReplyLog):
+        cache.append(replies)
+        kept = newest(cache.table())
+        return kept if size is None else trim_cache(kept, size=size)
     last = F.coalesce(cache.agg(F.max("seq")).scalar(), F.lit(0))
     fresh = replies.filter(~F.col("cached") & F.col("reply").isNotNull())
     fresh = fresh.filter(F.col("kind") != "analysis").withColumn("seq", last + 1)
@@ -133,7 +143,7 @@ def ask(asked: DataFrame, make_model: MakeModel, kind: str, *, batch: int = 64)
 
 
 def replies_for(
-    df: DataFrame, kind: str, make_model: MakeModel, cache: DataFrame | None = None
+    df: DataFrame, kind: str, make_model: MakeModel, cache: DataFrame | ReplyLog | None = None
 ) -> DataFrame:
     """``kind, key, reply, error, cached`` for every distinct request of ``df``."""
     asked = requests(df, kind)
@@ -182,7 +192,7 @@ def resolve_unmatched(
     df: DataFrame,
     rules: Callable[[Column], Column],
     make_model: MakeModel,
-    cache: DataFrame | None = None,
+    cache: DataFrame | ReplyLog | None = None,
 ) -> DataFrame:
     """Keyword rules first; only rows they do not know are asked."""
     replies = replies_for(unmatched_by_rules(df), "vendor", make_model, cache)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from itertools import accumulate
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spendloom.session import write_shared
 
@@ -46,45 +44,33 @@ def add_chunk(
     order_by: str = "txn_id",
     scope: Sequence[str] = (),
     column: str = "chunk_id",
-    rows_per_part: int = 1_000_000,
+    parts: int | None = None,
 ) -> DataFrame:
     """Number slices of ``chunk_size`` consecutive rows in ``order_by`` order, in each scope.
 
-    The order is cut into ranges of about ``rows_per_part`` rows.  Rows are
-    numbered inside their scope and range and shifted by the scope's rows of
-    earlier ranges, so no task sorts a whole table or a whole large scope.  Any
-    cut points give the same numbers.
+    A prefix sum over ranges: rows are dealt by range of scope and order,
+    sorted and numbered inside their range, and written.  A row's position in
+    its scope is its place in the range plus the scope's rows of earlier ranges.
+    Only the counts of the ranges are summed up, so no task sorts a whole table
+    or a whole scope, and any cut points give the same numbers.  ``parts`` is
+    the number of ranges (default: the session's shuffle partitions).
     """
-    parts = min(20_000, df.count() // rows_per_part)
-    cuts = []
-    if parts > 1:
-        shares = [k / parts for k in range(1, parts)]
-        found = F.percentile_approx(order_by, shares, max(10_000, 50 * parts))
-        cuts = sorted(set(df.agg(found).first()[0]))
-    part = _range_of(cuts)(F.col(order_by)) if cuts else F.lit(0)
-    rows = df.withColumn("_part", part)
-    number = F.row_number().over(Window.partitionBy(*scope, "_part").orderBy(order_by))
-    rows = rows.withColumn("_number", number)
-    position = F.col("_number") - 1
-    if cuts:
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *scope, order_by).sortWithinPartitions(*scope, order_by)
+    # The upper bits of these ids are the range, the lower 33 count its rows.
+    placed = write_shared(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    counts = placed.groupBy(*scope, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    if scope:
         earlier = Window.partitionBy(*scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        shift = (
-            df.withColumn("_part", part)
-            .groupBy(*scope, "_part")
-            .count()
-            .select(*scope, "_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_shift"))
-        )
-        # Without a scope there are at most 20,000 ranges, whatever the size of the table.
-        rows = rows.join(shift if scope else F.broadcast(shift), [*scope, "_part"])
-        position = F.col("_shift") + position
-    chunk = F.floor(position / chunk_size).cast("long")
-    return rows.select(*df.columns, chunk.alias(column))
-
-
-def _range_of(cuts: list) -> Callable[[Column], Column]:
-    bounds = np.array(cuts)
-
-    def find(values: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, values.to_numpy(), side="left"))
-
-    return F.pandas_udf(find, T.IntegerType())
+        shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
+        shifts = counts.select(*scope, "_part", shift.alias("_shift"))
+    else:
+        # One row per range, whatever the size of the table.
+        rows = sorted(counts.select("_part", "_n", "_first").collect())
+        before = accumulate((r._n for r in rows), initial=0)
+        pairs = [(r._part, n - r._first) for r, n in zip(rows, before)]
+        shifts = F.broadcast(spark.createDataFrame(pairs, "_part long, _shift long"))
+    chunk = F.floor((F.col("_at") + F.col("_shift")) / chunk_size).cast("long")
+    return placed.join(shifts, [*scope, "_part"]).select(*df.columns, chunk.alias(column))

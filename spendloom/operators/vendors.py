@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spendloom.functions import fixed
 from spendloom.functions.rules import keyword_vendor
@@ -29,42 +32,86 @@ def standardise_vendors(
     return df.withColumn("merchant", resolve(F.coalesce("merchant", F.lit("None"))))
 
 
-def standardise_vendors_by_table(df: DataFrame, rules: DataFrame) -> DataFrame:
+def standardise_vendors_by_table(
+    df: DataFrame,
+    rules: DataFrame,
+    *,
+    shard_bytes: int = 16 << 20,
+    names_per_task: int = 500_000,
+) -> DataFrame:
     """The same with rules ``(keyword, vendor, priority)`` from a table of any size.
 
-    A merchant can only contain a keyword if it contains its first three
-    letters, so keywords are looked up by those letters and no merchant meets
-    every rule.  Only pieces as long as such a start are cut from a merchant,
-    and pieces that start no rule are dropped before the merchants are matched.
-    Distinct merchants are matched, then joined back.
+    The rule with the least priority wins, then the first keyword, then the
+    first vendor.  Distinct merchants are read once by an automaton of the
+    keywords, which costs their length and not the number of rules, and are then
+    joined back.  Rules of at most ``shard_bytes`` go to all tasks; more are
+    dealt into shards of about that size, which meet slices of the merchants in
+    a shuffle, so no task and no driver holds the whole table.
     """
-    keyword = F.lower("keyword")
-    keyed_rules = rules.filter(F.length("keyword") > 0).select(
-        keyword.alias("_keyword"), "vendor", "priority", F.substring(keyword, 1, 3).alias("_start")
-    )
-    lengths = sorted(r[0] for r in keyed_rules.select(F.length("_start")).distinct().collect())  # of 1, 2, 3
-    names = df.select("merchant").distinct().withColumn("_name", F.lower("merchant"))
-    starts = [_pieces(F.col("_name"), n) for n in lengths] or [F.array().cast("array<string>")]
-    best = (
-        names.filter(F.length("_name") > 0)
-        .withColumn("_start", F.explode(F.array_distinct(F.concat(*starts))))
-        .join(keyed_rules.select("_start").distinct(), "_start", "left_semi")
-        .join(keyed_rules, "_start")
-        .filter(F.col("_name").contains(F.col("_keyword")))
-        .groupBy("merchant")
-        .agg(F.min_by("vendor", F.struct("priority", "_keyword")).alias("_vendor"))
-    )
+    rules = rules.filter(F.length("keyword") > 0).select(F.lower("keyword").alias("keyword"), "vendor", "priority")
+    names = df.select("merchant").distinct().withColumn("_name", F.lower("merchant")).filter(F.length("_name") > 0)
+    size = F.sum(F.octet_length("keyword") + F.coalesce(F.octet_length("vendor"), F.lit(0)) + 64)
+    shards = -(-(rules.agg(size).first()[0] or 0) // shard_bytes)
+    best = _by_one_shard(names, rules) if shards <= 1 else _by_shards(names, rules, shards, names_per_task)
     vendor = F.coalesce("_vendor", F.lit(fixed.UNKNOWN_VENDOR))
     return df.join(best, "merchant", "left").select(
         *[vendor.alias(c) if c == "merchant" else F.col(c) for c in df.columns]
     )
 
 
-def _pieces(name: Column, n: int) -> Column:
-    """All pieces of n letters."""
-    places = F.when(F.length(name) >= n, F.sequence(F.lit(1), F.length(name) - n + 1))
-    cut = F.transform(places, lambda i: F.substring(name, i, F.lit(n)))
-    return F.coalesce(cut, F.array().cast("array<string>"))
+def _by_one_shard(names: DataFrame, rules: DataFrame) -> DataFrame:
+    shared = names.sparkSession.sparkContext.broadcast(rules.toArrow().to_pylist())
+
+    def match(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        best_rule = None
+        for column in columns:
+            best_rule = best_rule or _automaton(shared.value)
+            found = [best_rule(name) for name in column.to_pylist()]
+            yield pa.array([rule and rule["vendor"] for rule in found], pa.string())
+
+    return names.select("merchant", F.arrow_udf(match, "string")("_name").alias("_vendor"))
+
+
+def _by_shards(names: DataFrame, rules: DataFrame, shards: int, names_per_task: int) -> DataFrame:
+    """Each slice of merchants meets each shard of rules; the best of all shards is kept."""
+    slices = -(-names.count() // names_per_task) or 1
+    rules = rules.groupBy("keyword").agg(F.min(F.struct("priority", "vendor")).alias("_least"))
+    rules = rules.select("keyword", "_least.*", F.pmod(F.xxhash64("keyword"), F.lit(shards)).cast("int").alias("_shard"))
+    rules = rules.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    names = names.withColumn("_slice", F.pmod(F.xxhash64("merchant"), F.lit(slices)).cast("int"))
+    names = names.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    result = T.StructType([T.StructField("merchant", T.StringType()), *(rules.schema[c] for c in ("priority", "keyword", "vendor"))])
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in result])
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        best_rule = _automaton(right.select(["keyword", "vendor", "priority"]).to_pylist())
+        found = ((m, best_rule(n)) for m, n in zip(left["merchant"].to_pylist(), left["_name"].to_pylist()))
+        return pa.Table.from_pylist([{"merchant": m, **rule} for m, rule in found if rule], schema)
+
+    keys = "_shard", "_slice"
+    matched = names.groupBy(*keys).cogroup(rules.groupBy(*keys)).applyInArrow(match, result)
+    return matched.groupBy("merchant").agg(F.min_by("vendor", F.struct("priority", "keyword")).alias("_vendor"))
+
+
+def _automaton(rules: list[dict]) -> Callable[[str], dict | None]:
+    """Reads a name once and tells the best rule whose keyword is inside."""
+    from ahocorasick import Automaton
+
+    def order(rule: dict) -> tuple:  # nulls first, as in Spark
+        return tuple((rule[c] is not None, rule[c]) for c in ("priority", "keyword", "vendor"))
+
+    keywords = Automaton()
+    rules = sorted(rules, key=order)
+    for rank, rule in enumerate(rules):
+        if rule["keyword"] not in keywords:
+            keywords.add_word(rule["keyword"], rank)
+    keywords.make_automaton()
+
+    def best(name: str) -> dict | None:
+        rank = min((rank for _, rank in keywords.iter(name)), default=None)
+        return None if rank is None else rules[rank]
+
+    return best if rules else lambda name: None
 
 
 def unmatched_by_rules(df: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from spendloom.operators.dedup import (
 )
 from spendloom.operators.insights import insights
 from spendloom.operators.order import add_chunk
+from spendloom.operators.reply_log import ReplyLog
 from spendloom.operators.outliers import flag_outliers
 from spendloom.operators.usage import count_hits, run_usage
 from spendloom.operators.vendors import standardise_vendors, unmatched_by_rules
@@ -74,7 +75,7 @@ def run(
     order_by: str = "txn_id",
     scope: Sequence[str] = (),
     models: Mapping[str, model_requests.MakeModel] | None = None,
-    cache: DataFrame | None = None,
+    cache: DataFrame | ReplyLog | None = None,
     own_options: str | None = None,
 ) -> CleanRun:
     """Clean a table of transactions.
@@ -82,7 +83,8 @@ def run(
     ``order_by`` is a whole number, unique within ``scope`` and never null.
     Each scope is cleaned as if it came alone.  ``models`` replaces the keyword
     rules of the steps it names: vendor, category, analysis.  ``cache`` has
-    earlier replies (``kind, key, reply, seq``) and comes back with the new ones.
+    earlier replies (``kind, key, reply, seq``) and comes back with the new ones;
+    a ``ReplyLog`` gets them appended.
 
     ``own_options`` names a struct column with a field for each option of
     ``config``, the same within a scope, that is used in its place; ``config``
@@ -232,7 +234,7 @@ def _vendor_step(
     on: Column | bool,
     options: Options,
     models: Mapping[str, model_requests.MakeModel],
-    cache: DataFrame | None,
+    cache: DataFrame | ReplyLog | None,
     replies: list[tuple[DataFrame, DataFrame]],
 ) -> DataFrame:
     if "vendor" not in models:

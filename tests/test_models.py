@@ -5,6 +5,7 @@ from spendloom.config import CleanConfig
 from spendloom.functions.replies import analysis_reply, category_reply
 from spendloom.functions.rules import keyword_vendor
 from spendloom.operators import model_requests as m
+from spendloom.operators.reply_log import ReplyLog
 from spendloom.plans.cleaning import clean_transactions, run
 
 REPLIES = [
@@ -99,6 +100,67 @@ def test_store(spark, rows):
     assert m.store_replies(cache.filter("false"), replies).count() == 3
 
 
+@pytest.fixture
+def log(spark, tmp_path):
+    return ReplyLog(spark, str(tmp_path / "log"), buckets=4)
+
+
+def replies_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "kind string, key string, reply string, cached boolean")
+
+
+def test_reply_log(spark, log):
+    first = [("vendor", "a", "A1", False), ("vendor", "b", "", False), ("category", "a", "C", False), ("vendor", "c", "C1", True)]
+    log.append(replies_of(spark, *first), seq=1)
+    second = [("vendor", "a", "A2", False), ("vendor", "d", None, False), ("analysis", "e", "E", False), ("vendor", "b", "", False)]
+    log.append(replies_of(spark, *second), seq=2)
+    asked = spark.createDataFrame([(k, key, "p") for k, key in [("vendor", "a"), ("vendor", "b"), ("vendor", "c"), ("category", "a")]], "kind string, key string, prompt string")
+    expected = [("category", "a", "C"), ("vendor", "a", "A2")]
+    for _ in range(2):
+        assert sorted(map(tuple, log.hits(asked).collect())) == expected
+        assert sorted((r.key, r.prompt) for r in log.misses(asked).collect()) == [("b", "p"), ("c", "p")]
+        log.compact(buckets=3)  # another number of buckets; the answers stay
+    assert sorted((r.kind, r.key, r.reply) for r in log.table().collect()) == expected
+
+
+def test_reply_log_is_found_again(spark, log, tmp_path):
+    log.append(replies_of(spark, ("vendor", "a", "A", False)))
+    log.compact()
+    # A compaction that was lost: its files are there, but they do not count.
+    half = tmp_path / "log" / "generation=2-buckets=4"
+    half.mkdir()
+    (half / "part").write_text("no parquet")
+    again = ReplyLog(spark, str(tmp_path / "log"))
+    assert [r.reply for r in again.table().collect()] == ["A"]
+    again.append(replies_of(spark, ("vendor", "a", "B", False)))
+    again.compact()
+    assert [r.reply for r in again.table().collect()] == ["B"]
+    # Only the newest generation and the one before it are left.
+    assert sorted(p.name for p in (tmp_path / "log").iterdir()) == ["generation=1-buckets=4", "generation=2-buckets=4"]
+
+
+def test_reply_log_is_not_shuffled(spark, log, rows):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = m.requests(rows, "vendor")
+        alone = asked._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        for found in (log.hits(asked), log.misses(asked)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and plan.count("Exchange") == alone + 1  # the requests meet the buckets
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_run_with_a_log(spark, log, rows):
+    first = m.replies_for(rows, "vendor", upper_model(), log)
+    assert {r.cached for r in first.collect()} == {False}
+    m.store_replies(log, first)
+    again = m.replies_for(rows, "vendor", upper_model(), log)
+    assert {(r.reply, r.cached) for r in again.collect()} == {("AAA", True), ("BBB", True), ("GOOGLE X", True), (None, False)}
+    assert m.store_replies(log, again).count() == 3
+
+
 @pytest.mark.parametrize("size", [1, 7, 1500])
 def test_trim_cache(spark, size):
     cache = spark.range(4000).select(

@@ -44,14 +44,32 @@ def test_outlier_plan_moves_no_rows(spark):
     assert "Window" not in plan and "Join" not in plan
 
 
-@pytest.mark.parametrize("rows_per_part", [5, 20, 10**6])
-def test_chunks(spark, rows_per_part):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_chunks(spark, parts):
     ids = random.Random(1).sample(range(10**6), 103)
     df = spark.createDataFrame([(i,) for i in ids], "txn_id long").repartition(3)
-    out = order.add_chunk(df, chunk_size=10, rows_per_part=rows_per_part).collect()
+    out = order.add_chunk(df, chunk_size=10, parts=parts).collect()
     assert {r.txn_id: r.chunk_id for r in out} == {i: n // 10 for n, i in enumerate(sorted(ids))}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_chunks_of_scopes(spark, parts):
+    """One scope holds most rows; it spans several ranges, others share one."""
+    rows = [(0 if i % 5 else i % 35, i) for i in random.Random(2).sample(range(10**6), 400)]
+    df = spark.createDataFrame(rows, "scope long, txn_id long").repartition(3)
+    out = order.add_chunk(df, chunk_size=7, scope=["scope"], parts=parts)
+    places = {s: sorted(i for t, i in rows if t == s) for s, _ in rows}
+    assert out.columns == ["scope", "txn_id", "chunk_id"]
+    assert sorted(map(tuple, out.collect())) == sorted((s, i, places[s].index(i) // 7) for s, i in rows)
+
+
+def test_chunks_need_no_unpartitioned_window(spark):
+    df = spark.range(100).select(F.col("id").alias("txn_id"))
+    out = order.add_chunk(df, chunk_size=7)
+    assert "Window" not in out._jdf.queryExecution().toString()
+    assert order.add_chunk(df.limit(0), chunk_size=7).count() == 0
+
+
 def test_ids_for_rows_without(spark):
     out = order.add_txn_id(spark.range(50).select(F.lit("a").alias("merchant")).repartition(4))
     assert out.select("txn_id").distinct().count() == 50

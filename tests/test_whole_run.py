@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +138,43 @@ def test_rule_table(spark):
     }
 
 
+@pytest.mark.parametrize("shard_bytes, names_per_task", [(16 << 20, 10), (300, 10), (100, 10**6)])
+def test_rule_table_like_brute_force(spark, shard_bytes, names_per_task):
+    """In one shard and in many; keywords repeat, overlap and tie in priority."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abÄ ") for _ in range(rng.randint(1, n)))
+    table = [(word(4), f"v{i}", rng.choice([1, 2, 3, None])) for i in range(60)]
+    names = [word(9).upper() for _ in range(150)]
+    lower = {k: (k or "").lower() for k, _, _ in table}
+    order = lambda r: (r[2] is not None, r[2] or 0, lower[r[0]], r[1])
+
+    def best(name):
+        return min((r for r in table if lower[r[0]] in name.lower()), key=order, default=(0, "Unknown Vendor"))[1]
+
+    df = spark.createDataFrame(list(enumerate(names)), "txn_id long, merchant string")
+    rule_table = spark.createDataFrame(table, "keyword string, vendor string, priority int")
+    out = vendors.standardise_vendors_by_table(df, rule_table, shard_bytes=shard_bytes, names_per_task=names_per_task)
+    assert {r.txn_id: r.merchant for r in out.collect()} == {i: best(n) for i, n in enumerate(names)}
+
+
+def test_many_rules(spark):
+    """100,000 rules, each of which names one merchant."""
+    rules_table = spark.range(100_000).select(
+        F.concat(F.lit("Shop "), F.md5(F.col("id").cast("string"))).alias("keyword"),
+        F.concat(F.lit("V"), "id").alias("vendor"),
+        F.lit(1).alias("priority"),
+    )
+    df = spark.range(500).select("id", F.concat(F.lit("pay SHOP "), F.md5(F.col("id").cast("string")), F.lit("!")).alias("merchant"))
+    for shard_bytes in (16 << 20, 4 << 20):
+        out = vendors.standardise_vendors_by_table(df, rules_table, shard_bytes=shard_bytes)
+        assert out.filter(F.col("merchant") == F.concat(F.lit("V"), "id")).count() == 500
+
+
+def test_no_rules(spark, demo):
+    none = spark.createDataFrame([], "keyword string, vendor string, priority int")
+    assert {r.merchant for r in vendors.standardise_vendors_by_table(demo, none).collect()} == {"Unknown Vendor"}
+
+
 @pytest.mark.parametrize(
     "name, vendor, category",
     [
