@@ -1,5 +1,8 @@
 import itertools
 import random
+import time
+
+import pytest
 
 from spendloom.llm import html_text
 
@@ -42,3 +45,54 @@ def test_minimum_cut_like_brute_force():
 def test_smoothness_joins_a_weak_block_to_its_neighbours():
     labels = html_text.minimum_cut([3.0, -0.2, 3.0, -5.0], [(0, 1, 0.3), (1, 2, 0.3), (2, 3, 0.3)])
     assert labels == [True, True, True, False]
+
+
+WORDS = "word " * 39 + "word"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<div id="main-content" class="has-sidebar"><h1>Title</h1><p>{WORDS}</p></div>', "Title\n" + WORDS),
+        (f'<div class="article-comment-analysis"><p>{WORDS}</p></div>', WORDS),
+        (f'<p class="lead text-side">{WORDS}</p>', WORDS),
+        (f'<article><div class="entry-header"><h1>The title</h1></div><p>{WORDS}</p></article>', "The title\n" + WORDS),
+        (f'<article><p>{WORDS}</p><div class="article-comments"><p>{WORDS}</p></div><div class="comment-body">{WORDS}</div></article>', WORDS),
+        (f'<article><p>{WORDS}</p><ul class="post-tags"><li>{WORDS}</li></ul><div class="site-notice">{WORDS}</div></article>', WORDS),
+    ],
+)
+def test_class_names(page, text):
+    assert html_text.main_text(page) == text
+
+
+#: Pages without telling names, in which single blocks say little: the page, its text, and blocks that the cut decides.
+UNDECIDED = [
+    # A short line between paragraphs.
+    (f"<div><p>{WORDS}</p><div>Stop here</div><p>{WORDS}</p></div>", f"{WORDS}\nStop here\n{WORDS}", 1),
+    # A line among links.
+    ("<div><div><a>One</a></div><p>All rights reserved</p><div><a>Two</a></div></div>", "", 1),
+    # The same line with a paragraph on one side and links on the other, in either order.
+    (f"<div><p>{WORDS}</p><div>See this</div><p>{WORDS}</p><div><a>One</a></div><p>Some more</p><div><a>Two</a></div></div>", f"{WORDS}\nSee this\n{WORDS}", 2),
+    # Table cells of a text.
+    (f"<div><p>{WORDS}</p><table><tr><td>Red</td><td>Blue</td></tr></table><p>{WORDS}</p></div>", None, None),
+]
+
+
+def test_the_cut_decides():
+    flipped = 0
+    for page, text, flips in UNDECIDED:
+        found = html_text.blocks(page)
+        scores = [html_text.score(b) for b in found]
+        labels = html_text.minimum_cut(scores, html_text.smoothness(found))
+        changed = sum((s > 0) != label for s, label in zip(scores, labels))
+        if text is not None:
+            assert html_text.main_text(page) == text and changed == flips
+        flipped += changed > 0
+    assert flipped >= 3
+
+
+def test_long_pages_cost_their_length():
+    page = "<nav>" + "<li><a>x y</a></li>" * 50 + "</nav><article>" + "<p>text of some words</p>" * 20_000 + "</article>"
+    start = time.time()
+    assert html_text.main_text(page).count("\n") == 19_999
+    assert time.time() - start < 20  # in proportion: below a second; each block against each: minutes
