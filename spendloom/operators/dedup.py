@@ -281,7 +281,8 @@ def _greedy(pairs: DataFrame, scope: tuple[str, ...], tail_pairs: int) -> DataFr
 
     A round settles the rows that no open row precedes: they stay, and what
     they match goes.  Groups of alike rows need one round.  What settles slowly,
-    as long chains of rows do, is divided into connected components, and each
+    as long chains of rows do, is read in ranges (``_by_ranges``).  If that leaves
+    too much open, it is divided into connected components, and each
     component is read in order by itself, all of them in parallel.  Of components
     with more than ``tail_pairs`` pairs the earliest pairs are read, then the
     rounds go on.
@@ -304,6 +305,10 @@ def _greedy(pairs: DataFrame, scope: tuple[str, ...], tail_pairs: int) -> DataFr
         open_pairs, n_open = settle(open_pairs, _gone(open_pairs.join(first, "_src_node", "left_semi"), scope))
         if not tail_pairs or 2 * n_open <= before:
             continue
+        by_ranges = _by_ranges(open_pairs, scope, n_open, tail_pairs)
+        if by_ranges is not None:
+            settled.append(by_ranges)
+            break
         # Links of rows that follow each other come together, so chains shrink within a task.
         links = open_pairs.repartitionByRange("_src").sortWithinPartitions("_src")
         roots = components(links.select(F.col("_src_node").alias("a"), F.col("_dst_node").alias("b")))
@@ -329,6 +334,123 @@ def _greedy(pairs: DataFrame, scope: tuple[str, ...], tail_pairs: int) -> DataFr
     return reduce(DataFrame.unionByName, settled)
 
 
+def _by_ranges(pairs: DataFrame, scope: tuple[str, ...], n_pairs: int, tail_pairs: int) -> DataFrame | None:
+    """The rows that go, or None if ranges settle too little.
+
+    A row stays if none of its earlier partners stays.  All ranges of rows are
+    read in order at once.  What a range does not know is the fate of rows of
+    earlier ranges; a row that follows such a fate, or its opposite, is written
+    with that row, and a row that needs several of them with all of them.  Only
+    the rows that others are written with, and those that need several, are left
+    for the next reading in fewer ranges.  A chain that crosses all ranges leaves
+    one row in each.
+    """
+    place = [*scope, "_dst", "_dst_node"]
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_pairs // tail_pairs))
+    rows = pairs.select(*place, "_src", "_src_node", F.lit(False).alias("_same"), F.lit(_SEVERAL).alias("_state"))
+
+    def solve(rows: DataFrame, n: int, parts: int) -> DataFrame | None:
+        found = write_shared(_read_range(rows, scope, parts), "range-fates")
+        known = found.filter(F.col("_state") <= _STAYS).select(*place, (F.col("_state") == _STAYS).alias("_stays"))
+        if parts == 1:
+            return known
+        follows, several = found.filter(F.col("_state") == _FOLLOWS), found.filter(F.col("_state") == _SEVERAL)
+        asked = follows.unionByName(several).select(F.col("_src_node").alias("_dst_node")).distinct()
+        left = several.unionByName(found.filter(F.col("_state") < _SEVERAL).join(asked, "_dst_node", "left_semi"))
+        left = write_shared(left.select(*rows.columns), "open-fates")
+        n_left = left.count()
+        if n_left > tail_pairs and 2 * n_left > n:
+            return None
+        fewer = 1 if n_left <= tail_pairs else max(-(-parts * n_left // n), -(-n_left // tail_pairs))
+        fates = solve(left, n_left, fewer)
+        if fates is None:
+            return None
+        fates = write_shared(fates.select("_dst_node", "_stays"), "fates")
+        # A row that is asked for and has no earlier partner stays.
+        stays = F.coalesce("_stays", F.lit(True)) == F.col("_same")
+        follows = follows.join(fates.select(F.col("_dst_node").alias("_src_node"), "_stays"), "_src_node", "left")
+        several = several.select(*place).distinct().join(fates, "_dst_node")
+        return known.unionByName(follows.select(*place, stays.alias("_stays"))).unionByName(several)
+
+    fates = solve(rows, n_pairs, parts)
+    if fates is None:
+        return None
+    return fates.filter(~F.col("_stays")).select(*scope, F.col("_dst").alias("_id"), F.col("_dst_node").alias("_node"))
+
+
+#: What a range tells of a row: it goes, it stays, it follows the fate of another row or of several.
+_GOES, _STAYS, _FOLLOWS, _SEVERAL = range(4)
+
+
+def _read_range(rows: DataFrame, scope: tuple[str, ...], parts: int) -> DataFrame:
+    """Each range in order: one line for a row whose fate is known or follows another's, else one per condition.
+
+    A line of ``rows`` is a condition of the row _dst_node: that _src_node stays
+    (_same) or that it does not; or the row's fate, if _state tells it.
+    """
+    schema = rows.schema
+    # Inside the workers there need not be this package.
+    goes, stays, one, several = _GOES, _STAYS, _FOLLOWS, _SEVERAL
+    names, scope, whole = schema.fieldNames(), list(scope), parts == 1
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fates, begin, last, conditions, out = {}, None, None, {}, []
+
+        def finish() -> None:
+            of_scope, dst, node = last
+            if conditions is None:
+                fates[node] = False
+                out.append((*of_scope, dst, node, dst, node, False, goes))
+            elif not conditions:
+                fates[node] = True
+                out.append((*of_scope, dst, node, dst, node, False, stays))
+            elif len(conditions) == 1:
+                ((src_node, (src, same)),) = conditions.items()
+                fates[node] = src, src_node, same
+                out.append((*of_scope, dst, node, src, src_node, same, one))
+            else:
+                fates[node] = dst, node, True
+                out.extend((*of_scope, dst, node, src, n, same, several) for n, (src, same) in conditions.items())
+
+        for frame in frames:
+            scopes = zip(*(frame[c].tolist() for c in scope)) if scope else [()] * len(frame)
+            columns = (frame[c].tolist() for c in ("_dst", "_dst_node", "_src", "_src_node", "_same", "_state"))
+            for of_scope, dst, node, src, src_node, same, state in zip(scopes, *columns):
+                if begin is None:
+                    begin = of_scope, dst
+                if last is None or last[2] != node:
+                    if last is not None:
+                        finish()
+                    last, conditions = (of_scope, dst, node), {}
+                if conditions is None or state == stays:
+                    continue
+                if state == goes:
+                    conditions = None
+                    continue
+                fate = fates.get(src_node)
+                if fate is None:
+                    # A row of this range that was not read has no earlier partner.
+                    here = whole or of_scope != begin[0] or src >= begin[1]
+                    fate = True if here else (src, src_node, True)
+                if isinstance(fate, bool):
+                    if fate != same:
+                        conditions = None
+                    continue
+                at, of, alike = fate
+                alike = alike == same
+                if conditions.setdefault(of, (at, alike))[1] != alike:
+                    conditions = None
+            yield pd.DataFrame(out, columns=names)
+            out.clear()
+        if last is not None:
+            finish()
+            yield pd.DataFrame(out, columns=names)
+
+    place = [*scope, "_dst", "_dst_node"]
+    spread = rows.repartition(1) if whole else rows.repartitionByRange(parts, *place)
+    return spread.sortWithinPartitions(*place).mapInPandas(scan, schema)
+
+
 def _in_order(pairs: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     """The rows that go, from whole components (_root) whose pairs are read in order."""
     schema = _gone(pairs, scope).schema

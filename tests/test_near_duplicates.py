@@ -237,3 +237,37 @@ def test_similar_names(spark, sizes):
     found = similar_name_pairs(df, "name", sizes=sizes).collect()
     assert {(r.first_name, r.second_name): r.score for r in found} == expected
     assert len(found) == len(expected) > 20
+
+
+@pytest.mark.parametrize("more", [0, 12])
+def test_long_chain_is_read_in_ranges(spark, monkeypatch, more):
+    """A chain through all ranges, alone or among rows that match several, needs no labels of components."""
+    from spendloom.operators import dedup
+
+    monkeypatch.setattr(dedup, "components", lambda links: pytest.fail("components of a chain"))
+    rng = random.Random(more)
+    rows = [(i, "Meter reading", round(i * 0.006, 3)) for i in range(500)]
+    rows += [(500 + i, rng.choice(["Meter reading", "Meter reading."]), rng.randrange(500) * 0.006 + 0.002) for i in range(more)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("part", F.col("txn_id") % 1)
+    expected = {r[0] for r in rows} - set(near_duplicate_removers(rows))
+    assert survivors(df, scope=["part"], sizes=NearDupSizes(tail_pairs=150)) == expected
+
+
+def test_ranges_agree_with_reading_in_order(spark):
+    """Random earlier partners of every kind, in two scopes with the same ids, read in several levels of ranges."""
+    from spendloom.operators import dedup
+
+    rng = random.Random(3)
+    partners, node = {}, lambda s, i: 1000 * (i % 7) + 2 * i + s
+    for s in (0, 1):
+        for i in range(1, 400):
+            for j in {max(0, i - rng.choice([1, 1, 1, 1, 2, 5])) for _ in range(rng.choice([1, 1, 1, 2]))}:
+                partners.setdefault((s, i), set()).add(j)
+    pairs = [(s, j, i, node(s, j), node(s, i)) for (s, i), js in partners.items() for j in js]
+    df = spark.createDataFrame(pairs, "part long, _src long, _dst long, _src_node long, _dst_node long")
+    stays = {}
+    for s, i in sorted((s, i) for s in (0, 1) for i in range(400)):
+        stays[s, i] = not any(stays[s, j] for j in partners.get((s, i), ()))
+    gone = dedup._by_ranges(df, ("part",), len(pairs), 400).collect()
+    assert {(r.part, r._id) for r in gone} == {k for k, v in stays.items() if not v}
+    assert len(gone) == len({r._node for r in gone})
