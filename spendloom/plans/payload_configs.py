@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import Field, dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendloom.config import CleanConfig
 from spendloom.functions import fixed
-from spendloom.functions.variants import fields_of, strict_json
+from spendloom.functions.variants import fields_of, let, strict_json
 from spendloom.operators.insights import insights
 from spendloom.plans.cleaning import run
 from spendloom.session import write_shared
@@ -36,16 +37,43 @@ def own_options(body: Column, default: CleanConfig) -> tuple[Column, Column]:
     The rules are those of :class:`CleanConfig`: numbers may be texts, a switch
     must be a boolean, and unknown keys are ignored.
     """
-    config = fields_of(strict_json(body))["config"]
-    found = fields_of(config)
-    values, valid = [], []
-    for f in fields(CleanConfig):
-        if f.name == "extra":
-            continue
-        given = F.map_contains_key(found, F.lit(f.name))
-        raw = found[f.name]
+    found = let(strict_json(body), lambda value: options_of(value, default))
+    return found["options"], found["valid"]
+
+
+def options_of(body: Column, default: CleanConfig) -> Column:
+    """A struct of the options and ``valid``, from a parsed body.
+
+    An expression under ``let`` is evaluated once per row; an option that is
+    not given costs a look into the keys.
+    """
+
+    def read(config: Column) -> Column:
+        # Null stands for no config; anything else but an object is not valid.
+        no_config = F.try_variant_get(config, "$", "string").isNull()
+        return F.when(no_config, usual).otherwise(let(fields_of(config), of_fields))
+
+    def of_fields(found: Column) -> Column:
+        given = F.struct(*[_option(found, f, default).alias(f.name) for f in known])
+        checked = let(given, chosen)
+        return F.when(found.isNotNull(), checked).otherwise(F.struct(usual["options"].alias("options"), F.lit(False).alias("valid")))
+
+    def chosen(each: Column) -> Column:
+        values = F.struct(*[each[f.name]["value"].alias(f.name) for f in known])
+        return F.struct(values.alias("options"), reduce(Column.__and__, [each[f.name]["ok"] for f in known]).alias("valid"))
+
+    known = [f for f in fields(CleanConfig) if f.name != "extra"]
+    standard = F.struct(*[F.lit(getattr(default, f.name)).alias(f.name) for f in known])
+    usual = F.struct(standard.alias("options"), F.lit(True).alias("valid"))
+    return let(F.get(F.map_values(F.map_filter(fields_of(body), lambda k, _: k == "config")), F.lit(0)), read)
+
+
+def _option(found: Column, f: Field, default: CleanConfig) -> Column:
+    """The value of an option and whether it is valid; a given null is not."""
+    standard = F.lit(getattr(default, f.name))
+
+    def read(raw: Column) -> Column:
         text, kind = F.try_variant_get(raw, "$", "string"), F.schema_of_variant(raw)
-        standard = F.lit(getattr(default, f.name))
         if f.type == "bool":
             value, ok = F.try_variant_get(raw, "$", "boolean"), kind == "BOOLEAN"
         else:
@@ -61,15 +89,10 @@ def own_options(body: Column, default: CleanConfig) -> tuple[Column, Column]:
                 ok = ok & (number >= 0)
             if f.name == "chunk_size":
                 ok = ok & (value >= 1)
-        valid.append(F.when(given, F.coalesce(ok, F.lit(False))).otherwise(True))
-        # A given null is not valid, so the standard only stands for what is absent.
-        values.append(F.coalesce(value, standard).alias(f.name))
-    # Null stands for no config; anything else but an object is not valid.
-    no_config = F.try_variant_get(config, "$", "string").isNull() & found.isNull()
-    everything = valid[0]
-    for v in valid[1:]:
-        everything = everything & v
-    return F.struct(*values), F.when(no_config, True).otherwise(found.isNotNull() & everything)
+        return F.struct(F.coalesce(value, standard).alias("value"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+    absent = F.struct(standard.alias("value"), F.lit(True).alias("ok"))
+    return F.when(F.map_contains_key(found, f.name), let(found[f.name], read)).otherwise(absent)
 
 
 def clean_payloads(payloads: DataFrame, default: CleanConfig = CleanConfig(), **models_and_cache) -> PayloadRun:
@@ -77,12 +100,15 @@ def clean_payloads(payloads: DataFrame, default: CleanConfig = CleanConfig(), **
 
     All payloads go through one run, with their options beside their rows, so
     the number of distinct configs does not matter.  Payloads with options that
-    are not valid are rejected.  Each body is parsed once for its rows; the
-    parsed rows are written and every later step reads them.
+    are not valid are rejected.  Each body is parsed once for its rows and its
+    options, in as many tasks as a shuffle has; the parsed rows are written and every later step reads them.
     """
-    options, valid = own_options(F.col("body"), default)
-    marked = payloads.select("payload_id", "body", options.alias(OPTIONS), valid.alias("_valid"))
-    read = write_shared(source.read(marked, OPTIONS, "_valid"), "payload-rows")
+    # Few bytes are much work here, so the number of tasks is given.
+    tasks = int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = payloads.select("payload_id", "body").repartition(tasks, "payload_id")
+    read = source.read(spread, beside=lambda body: options_of(body, default))
+    read = read.select("*", F.col("_beside.options").alias(OPTIONS), F.col("_beside.valid").alias("_valid"))
+    read = write_shared(read.drop("_beside"), "payload-rows")
     rows = source.rows_of(read.filter("_valid"), OPTIONS)
     bad = read.filter("NOT _valid AND _read.reason IS NULL").select(
         "payload_id", "request_id", F.lit(fixed.REJECT_CONFIG).alias("reason")

@@ -11,6 +11,8 @@ shuffle.  A payload is taken or rejected as a whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,15 +82,21 @@ def request_tag() -> Column:
     return F.concat(F.lit("req-"), F.substring(digest, 1, 8))
 
 
-def read(payloads: DataFrame, *kept: str) -> DataFrame:
-    """``payload_id, request_id, _read``: the rows of a payload or the reason of its reject."""
-    found = let(strict_json(F.col("body")), _split_envelope)
-    return payloads.select(
-        "payload_id",
-        request_tag().alias("request_id"),
-        F.coalesce(found, _reject(fixed.REJECT_NOT_JSON)).alias("_read"),
-        *kept,
+def read(payloads: DataFrame, *, beside: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``payload_id, request_id, _read``: the rows of a payload or the reason of its reject.
+
+    ``beside`` makes a further column ``_beside`` of the parsed body, so that one
+    parsing serves both.
+    """
+
+    def of_body(body: Column) -> Column:
+        found = F.coalesce(_split_envelope(body), _reject(fixed.REJECT_NOT_JSON)).alias("_read")
+        return F.struct(found, *([beside(body).alias("_beside")] if beside else []))
+
+    found = payloads.select(
+        "payload_id", request_tag().alias("request_id"), let(strict_json(F.col("body")), of_body).alias("_found")
     )
+    return found.select("payload_id", "request_id", "_found.*")
 
 
 _ROW = (

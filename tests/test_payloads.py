@@ -186,3 +186,19 @@ def test_long_payload(spark):
     )
     out = payloads.transactions(df)
     assert out.agg(F.count("*"), F.count_distinct("merchant"), F.max("position")).first() == (20000, 20000, 19999)
+
+
+def test_reading_is_spread_and_options_share_the_parsing(spark, monkeypatch):
+    """A table that comes as one task is read by as many as a shuffle has, and each body is parsed once."""
+    from spendloom.plans import payload_configs
+
+    written = {}
+    write = payload_configs.write_shared
+    monkeypatch.setattr(payload_configs, "write_shared", lambda df, label: written.update({label: df}) or write(df, label))
+    body = F.format_string('{"data":[{"merchant":"x","amount":%d}],"config":{"enable_ai":false}}', "id")
+    df = spark.range(200).coalesce(1).select(F.col("id").alias("payload_id"), body.alias("body"))
+    clean_payloads(df)
+    read = written["payload-rows"]
+    assert read.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = read._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("parse_json") <= 8
