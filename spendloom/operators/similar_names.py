@@ -413,12 +413,13 @@ def _compare(across: bool):
             left, right = visitors["_node"][i], members["_node"][j]
             fits = (lengths[j] > a) | (left < right)
             fits &= np.abs(visitors["_amount"][i] - members["_amount"][j]) < 0.01
-            if across:
-                fits &= visitors["_fresh"][i] != members["_fresh"][j]
             if fits.any():
                 found.append((left[fits], right[fits]))
         return found
 
+    def chosen(rows: dict, which: np.ndarray) -> dict:
+        return {c: values[which] for c, values in rows.items()}
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, gathered, members = None, [], None
         for batch in batches:
@@ -442,7 +443,12 @@ def _compare(across: bool):
                 elif gathered:
                     if members is None:
                         members = {c: np.concatenate([g[c] for g in gathered]) for c in _COMPARED}
-                    out += meet(part, members)
+                        # Fresh rows only meet the others, so the sides are parted before they are compared.
+                        members = [chosen(members, ~members["_fresh"]), chosen(members, members["_fresh"])] if across else [members]
+                    visitors = [chosen(part, part["_fresh"]), chosen(part, ~part["_fresh"])] if across else [part]
+                    for come, there in zip(visitors, members):
+                        if len(come["_node"]) and len(there["_node"]):
+                            out += meet(come, there)
             if out:
                 left, right = (np.concatenate([o[k] for o in out]) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["_l_node", "_r_node"])

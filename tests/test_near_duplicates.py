@@ -271,3 +271,25 @@ def test_ranges_agree_with_reading_in_order(spark):
     gone = dedup._by_ranges(df, ("part",), len(pairs), 400).collect()
     assert {(r.part, r._id) for r in gone} == {k for k, v in stays.items() if not v}
     assert len(gone) == len({r._node for r in gone})
+
+
+def test_fresh_rows_are_not_compared_with_each_other(monkeypatch):
+    """Across batches a key with f fresh and k kept rows costs f * k comparisons each way, not (f + k) squared."""
+    import numpy as np
+    import pyarrow as pa
+
+    from spendloom.operators import similar_names
+
+    n, n_kept = 500, 20
+    columns = {
+        "_length": np.full(2 * n, 8, "int32"), "_node": np.tile(np.arange(n), 2), "_amount": np.zeros(2 * n),
+        "_fresh": np.tile(np.arange(n) >= n_kept, 2), "_threshold": np.full(2 * n, 0.85), "_block": np.zeros(2 * n, "int64"),
+        "_share": np.zeros(2 * n, "int32"), "_role": np.repeat(np.array([0, 1], "int8"), n),
+    }
+    columns |= {c: np.zeros(2 * n, "int64") for c in ("_bits", "_bits0", "_bits1", "_bits2", "_bits3")}
+    counted, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda bits: counted.append(bits.size) or count(bits))
+    found = list(similar_names._compare(True)(iter([pa.RecordBatch.from_pydict(columns)])))
+    pairs = {(a, b) for batch in found for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+    assert pairs == {(a, b) for a in range(n_kept) for b in range(n_kept, n)}
+    assert sum(counted) <= 5 * 2 * n_kept * (n - n_kept)
