@@ -14,7 +14,18 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strict_json(text: Column) -> Column:
-    """The variant of a JSON text, or null if it is not one JSON value.
+    """The variant of a JSON text, or null if it is not one JSON value."""
+    return F.try_variant_get(only_item(text), ITEM, "variant")
+
+
+#: Where :func:`only_item` has the value.
+ITEM = "$[0]"
+
+
+def only_item(text: Column) -> Column:
+    """A list with the variant of a JSON text, or null if the text is not one JSON value.
+
+    The value is read by paths below :data:`ITEM`, as taking it out copies it.
 
     Spark's parser stops after the first value, so the text is read as the item
     of a list or as a field.  Text behind an object or list is hidden from the
@@ -27,21 +38,16 @@ def strict_json(text: Column) -> Column:
     as_field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     is_object, is_list = text.rlike(r"^\s*\{"), text.rlike(r"^\s*\[")
     seen_in_list = (is_object & ~text.rlike(r"\}\s*\]")) | (is_list & ~text.rlike(r"\]\s*\]"))
-    seen_in_field = is_object & ~text.rlike(r'\}\s*(?:\}|,\s*")')
 
-    def only_item(items: Column) -> Column:
-        return F.when(F.try_variant_get(items, "$[1]", "variant").isNull(), F.try_variant_get(items, "$[0]", "variant"))
+    def alone(items: Column) -> Column:
+        return F.when(F.try_variant_get(items, "$[1]", "variant").isNull(), items)
 
-    return (
-        F.when(seen_in_list, let(as_item, only_item))
-        .when(seen_in_field, F.try_variant_get(as_field, "$.v", "variant"))
-        .when(as_field.isNotNull(), let(as_item, only_item))
-    )
+    return F.when(seen_in_list | as_field.isNotNull(), let(as_item, alone))
 
 
-def fields_of(value: Column) -> Column:
+def fields_of(value: Column, path: str = "$") -> Column:
     """Fields of an object as a map of variants; null for anything else."""
-    return F.try_variant_get(value, "$", "map<string,variant>")
+    return F.try_variant_get(value, path, "map<string,variant>")
 
 
 def items_of(value: Column) -> Column:
@@ -49,14 +55,14 @@ def items_of(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def text_of(value: Column) -> Column:
+def text_of(value: Column, path: str = "$") -> Column:
     """A scalar as plain text, a list or object as JSON, JSON null as null."""
-    return F.try_variant_get(value, "$", "string")
+    return F.try_variant_get(value, path, "string")
 
 
-def texts_of_fields(value: Column) -> Column:
-    """Fields of an object as texts; null for anything else."""
-    return F.try_variant_get(value, "$", "map<string,string>")
+def records_of(value: Column, path: str = "$") -> Column:
+    """Items of a list as the texts of their fields, an item that is no object as null; null for anything else."""
+    return F.try_variant_get(value, path, "array<map<string,string>>")
 
 
 def texts_of_items(value: Column) -> Column:

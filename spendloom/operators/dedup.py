@@ -28,7 +28,8 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +109,71 @@ def near_duplicate_survivors(
     return kept.select(*scope, F.col("_id").alias(order_by), F.col("_amount").alias("amount"))
 
 
+def drop_duplicates_side_by_side(
+    df: DataFrame, *, near: Column, threshold: str, order_by: str, scope: Sequence[str]
+) -> DataFrame:
+    """Both rules where the rows of a scope follow each other in one partition, in order, as a payload's do.
+
+    Where ``near`` (the same within a scope), rows follow the greedy rule with
+    the threshold of that column; elsewhere exact copies go.  Whether a row
+    stays depends only on the rows of its scope before it, so the rows are read
+    once as they come, without a shuffle.  Each row meets the kept rows of its
+    scope: for scopes of few rows.
+    """
+    schema, scope = df.schema, list(scope)
+    others = [
+        (F.col(f.name) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name
+        for f in schema.fields
+        if f.name != order_by
+    ]
+    judged = df.withColumns(
+        {
+            "_name": F.when(near, compare_name(F.col("merchant"))),
+            "_amount": F.col("amount").cast("double"),
+            "_copy": F.when(~near, F.to_json(F.struct(*others))),
+        }
+    )
+    read = [*scope, "_name", "_amount", "_copy", threshold]
+    columns = schema.fieldNames()
+
+    # All that the workers need is inside, so they need not have this package.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from difflib import SequenceMatcher
+        from math import isfinite
+
+        def alike(first: str, second: str, least: float) -> bool:
+            if first == second:
+                return True
+            both, shorter = len(first) + len(second), min(len(first), len(second))
+            if 2.0 * shorter / both <= least:
+                return False
+            # A name inside the other is matched as a whole; from 200 letters on, frequent ones do not count.
+            if len(second) < 200 and (first in second or second in first):
+                return True
+            matcher = SequenceMatcher(None, first, second)
+            return matcher.quick_ratio() > least and matcher.ratio() > least
+
+        at, kept, copies = None, [], set()
+        for batch in batches:
+            stays = []
+            for *of, name, amount, copy, least in zip(*(batch.column(c).to_pylist() for c in read)):
+                if of != at:
+                    at, kept, copies = of, [], set()
+                if name is None:
+                    stays.append(copy not in copies)
+                    copies.add(copy)
+                elif not isfinite(amount):
+                    stays.append(True)
+                else:
+                    new = not any(abs(amount - a) < 0.01 and alike(n, name, least) for n, a in kept)
+                    stays.append(new)
+                    if new:
+                        kept.append((name, amount))
+            yield batch.select(columns).filter(pa.array(stays, pa.bool_()))
+
+    return judged.mapInArrow(scan, schema)
+
+
 def near_duplicate_matches(
     df: DataFrame,
     *,

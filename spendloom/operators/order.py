@@ -45,6 +45,7 @@ def add_chunk(
     scope: Sequence[str] = (),
     column: str = "chunk_id",
     parts: int | None = None,
+    numbered: bool = False,
 ) -> DataFrame:
     """Number slices of ``chunk_size`` consecutive rows in ``order_by`` order, in each scope.
 
@@ -54,7 +55,12 @@ def add_chunk(
     Only the counts of the ranges are summed up, so no task sorts a whole table
     or a whole scope, and any cut points give the same numbers.  ``parts`` is
     the number of ranges (default: the session's shuffle partitions).
+
+    ``numbered``: ``order_by`` already counts the rows of each scope from 0
+    without a gap, as the positions in a payload do, so it is the position.
     """
+    if numbered:
+        return df.withColumn(column, F.floor(F.col(order_by) / chunk_size).cast("long"))
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *scope, order_by).sortWithinPartitions(*scope, order_by)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,7 @@ def flag_outliers(
     threshold: float | Column = 3.0,
     scope: Sequence[str] = (),
     stats_from: DataFrame | None = None,
+    small_scopes: bool = False,
 ) -> DataFrame:
     """Add ``is_outlier``: further than ``threshold`` deviations from the mean.
 
@@ -23,6 +24,8 @@ def flag_outliers(
 
     Mean and deviation are aggregated first and come back as a scalar, or per
     scope as a join; a window would move a whole scope into one task.
+    ``small_scopes``: each scope was one row once, as a payload was, so it fits
+    a task, and a window over ``df`` saves the join.
     """
     if "amount" not in df.columns:
         return df
@@ -31,6 +34,11 @@ def flag_outliers(
     if not scope:
         stats = source.agg(F.struct(mean.alias("mean"), deviation.alias("std"))).scalar()
         return df.withColumn("is_outlier", _is_far(stats["mean"], stats["std"], threshold))
+    if small_scopes:
+        whole = Window.partitionBy(*scope)
+        flag = _is_far(F.col("_mean"), F.col("_std"), threshold)
+        df = df.drop("is_outlier").withColumns({"_mean": mean.over(whole), "_std": deviation.over(whole)})
+        return df.withColumn("is_outlier", flag).drop("_mean", "_std")
     stats = source.groupBy(*scope).agg(mean.alias("_mean"), deviation.alias("_std"))
     flag = _is_far(F.col("_mean"), F.col("_std"), threshold)
     return (

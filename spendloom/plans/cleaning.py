@@ -19,6 +19,7 @@ from spendloom.functions.rules import keyword_vendor
 from spendloom.operators import clean, model_requests
 from spendloom.operators.categories import categorise, enrich_description
 from spendloom.operators.dedup import (
+    drop_duplicates_side_by_side,
     drop_exact_duplicates,
     near_duplicate_survivors,
     near_duplicates_apply,
@@ -33,6 +34,8 @@ from spendloom.session import write_shared
 
 #: Marks payload rows whose payload brings amounts.
 HAS_AMOUNT = "_has_amount"
+#: Up to this many rows a payload is searched for duplicates where it is read.
+FEW_ROWS = 32
 
 
 @dataclass(frozen=True)
@@ -77,6 +80,7 @@ def run(
     models: Mapping[str, model_requests.MakeModel] | None = None,
     cache: DataFrame | ReplyLog | None = None,
     own_options: str | None = None,
+    scope_rows: str | None = None,
 ) -> CleanRun:
     """Clean a table of transactions.
 
@@ -89,28 +93,36 @@ def run(
     ``own_options`` names a struct column with a field for each option of
     ``config``, the same within a scope, that is used in its place; ``config``
     then says only which steps are possible at all.  The column is dropped.
+
+    ``scope_rows``, beside ``own_options``, names a column with the number of
+    rows of the scope, which is dropped too.  The rows of a scope then follow
+    each other in one partition, and ``order_by`` counts them from 0.
     """
     models = models or {}
     scope = list(scope)
-    columns = [c for c in df.columns if c not in (HAS_AMOUNT, own_options)]
+    columns = [c for c in df.columns if c not in (HAS_AMOUNT, own_options, scope_rows)]
     options = Options(config, own_options)
     rows_in = df
     inner = list(scope)
     if own_options or config.chunked:
         df = add_chunk(
-            df, chunk_size=options.value("chunk_size"), order_by=order_by, scope=scope, column="_chunk"
+            df, chunk_size=options.value("chunk_size"), order_by=order_by, scope=scope, column="_chunk",
+            numbered=scope_rows is not None,
         )
         if own_options:
             df = df.withColumn("_chunk", F.when(options.value("chunked"), F.col("_chunk")).otherwise(0))
         inner.append("_chunk")
-    marks = [c for c in (HAS_AMOUNT, own_options) if c in df.columns]
+    marks = [c for c in (HAS_AMOUNT, own_options, scope_rows) if c in df.columns]
     rows = clean.trim_texts(df, stringify_nulls=options.value("stringify_nulls"), skip=inner)
     rows = clean.drop_empty_rows(
         rows, order_by=order_by, scope=inner, skip=[*marks, *(c for c in ("request_id",) if marks)]
     )
     rows = clean.parse_amount(rows)
     rows = without_amount_marked(rows)
-    rows, survivors = _without_duplicates(rows, options, order_by, inner)
+    if scope_rows:
+        rows = survivors = _without_duplicates_in_place(rows, options, order_by, inner, scope_rows)
+    else:
+        rows, survivors = _without_duplicates(rows, options, order_by, inner)
 
     options = Options(_possible_steps(config, rows.columns, own_options), own_options)
     # Without an amount there is no category request.
@@ -134,7 +146,8 @@ def run(
     usage = run_usage(rows_in, asked, options, confidence, scope=scope, hits=hits)
 
     rows = flag_outliers(
-        rows, threshold=options.value("outlier_z_threshold"), scope=inner, stats_from=survivors
+        rows, threshold=options.value("outlier_z_threshold"), scope=inner, stats_from=survivors,
+        small_scopes=scope_rows is not None,
     )
     rows = clean.fill_blanks(rows)
     if (on := options.step("ai_analysis_enabled")) is not False:
@@ -144,7 +157,7 @@ def run(
         else:
             rows = _only(rows, on, ["description"], enrich_description)
     rows = clean.complete_columns(rows)
-    internal = ("_chunk", HAS_AMOUNT, own_options)
+    internal = ("_chunk", HAS_AMOUNT, own_options, scope_rows)
     added = [c for c in rows.columns if c not in columns and c not in internal]
     for _, found in replies:
         cache = None if cache is None else model_requests.store_replies(cache, found)
@@ -184,6 +197,26 @@ def _without_duplicates(
     return rows, (rows if carried else survivors)
 
 
+def _without_duplicates_in_place(
+    rows: DataFrame, options: Options, order_by: str, scope: list[str], scope_rows: str
+) -> DataFrame:
+    """The rows that stay, written.
+
+    Scopes of few rows are judged where they lie; those of more rows take the
+    way of a table of any size, if there are any.
+    """
+    few, many = rows.filter(F.col(scope_rows) <= FEW_ROWS), rows.filter(F.col(scope_rows) > FEW_ROWS)
+    near = F.col("_threshold") < 1
+    if HAS_AMOUNT in rows.columns:
+        near = near & F.col(HAS_AMOUNT)
+    few = few.withColumn("_threshold", options.value("duplicate_threshold"))
+    kept = drop_duplicates_side_by_side(few, near=near, threshold="_threshold", order_by=order_by, scope=scope)
+    kept = kept.drop("_threshold")
+    if not many.isEmpty():
+        kept = kept.unionByName(_without_duplicates(many, options, order_by, scope)[0])
+    return write_shared(kept, "kept-rows")
+
+
 def _where(rows: DataFrame, on: Column | bool) -> DataFrame:
     return rows if on is True else rows.filter(on)
 

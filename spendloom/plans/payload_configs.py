@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spendloom.config import CleanConfig
 from spendloom.functions import fixed
-from spendloom.functions.variants import fields_of, let, strict_json
+from spendloom.functions.variants import ITEM, let, only_item, text_of
 from spendloom.operators.insights import insights
 from spendloom.plans.cleaning import run
 from spendloom.session import write_shared
@@ -19,6 +19,7 @@ from spendloom.sources import payloads as source
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity)\s*$"
 _WHOLE = r"^\s*[+-]?\d+\s*$"
 OPTIONS = "_options"
+ROWS = "_n_rows"
 
 
 @dataclass(frozen=True)
@@ -37,62 +38,65 @@ def own_options(body: Column, default: CleanConfig) -> tuple[Column, Column]:
     The rules are those of :class:`CleanConfig`: numbers may be texts, a switch
     must be a boolean, and unknown keys are ignored.
     """
-    found = let(strict_json(body), lambda value: options_of(value, default))
+    found = let(only_item(body), lambda value: options_of(value, default))
     return found["options"], found["valid"]
 
 
 def options_of(body: Column, default: CleanConfig) -> Column:
-    """A struct of the options and ``valid``, from a parsed body.
+    """A struct of the options and ``valid``, from a body parsed by ``variants.only_item``.
 
-    An expression under ``let`` is evaluated once per row; an option that is
-    not given costs a look into the keys.
+    The options that are given are taken out at once, each as a variant, and
+    the rest of the body is not copied.
     """
 
-    def read(config: Column) -> Column:
-        # Null stands for no config; anything else but an object is not valid.
-        no_config = F.try_variant_get(config, "$", "string").isNull()
-        return F.when(no_config, usual).otherwise(let(fields_of(config), of_fields))
-
-    def of_fields(found: Column) -> Column:
-        given = F.struct(*[_option(found, f, default).alias(f.name) for f in known])
-        checked = let(given, chosen)
-        return F.when(found.isNotNull(), checked).otherwise(F.struct(usual["options"].alias("options"), F.lit(False).alias("valid")))
-
     def chosen(each: Column) -> Column:
         values = F.struct(*[each[f.name]["value"].alias(f.name) for f in known])
         return F.struct(values.alias("options"), reduce(Column.__and__, [each[f.name]["ok"] for f in known]).alias("valid"))
 
+    def read(given: Column) -> Column:
+        checked = F.struct(*[_option(given[f.name], f, default).alias(f.name) for f in known])
+        # Null stands for no config; anything else but an object is not valid.
+        return (
+            F.when(given.isNotNull(), let(checked, chosen))
+            .when(text_of(body, config).isNull(), F.struct(usual.alias("options"), F.lit(True).alias("valid")))
+            .otherwise(F.struct(usual.alias("options"), F.lit(False).alias("valid")))
+        )
+
+    config = f"{ITEM}.config"
     known = [f for f in fields(CleanConfig) if f.name != "extra"]
-    standard = F.struct(*[F.lit(getattr(default, f.name)).alias(f.name) for f in known])
-    usual = F.struct(standard.alias("options"), F.lit(True).alias("valid"))
-    return let(F.get(F.map_values(F.map_filter(fields_of(body), lambda k, _: k == "config")), F.lit(0)), read)
+    usual = F.struct(*[F.lit(getattr(default, f.name)).alias(f.name) for f in known])
+    # A null here is an option that is not given; a given null is a variant.
+    return let(F.try_variant_get(body, config, f"struct<{','.join(f'{f.name}:variant' for f in known)}>"), read)
 
 
-def _option(found: Column, f: Field, default: CleanConfig) -> Column:
+def _option(given: Column, f: Field, default: CleanConfig) -> Column:
     """The value of an option and whether it is valid; a given null is not."""
     standard = F.lit(getattr(default, f.name))
 
     def read(raw: Column) -> Column:
-        text, kind = F.try_variant_get(raw, "$", "string"), F.schema_of_variant(raw)
+        return let(F.schema_of_variant(raw), lambda kind: of_kind(raw, kind))
+
+    def of_kind(raw: Column, kind: Column) -> Column:
         if f.type == "bool":
-            value, ok = F.try_variant_get(raw, "$", "boolean"), kind == "BOOLEAN"
-        else:
-            number = F.when(kind == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("int").cast("double"))
-            number = number.otherwise(text.try_cast("double"))
-            pattern = F.lit(_NUMBER if f.type == "float" else _WHOLE)
-            ok = (kind == "BOOLEAN") | (
-                F.when(kind == "STRING", F.regexp_like(F.lower(text), pattern)).otherwise(number.isNotNull()) & number.isNotNull()
-            )
-            ok = ok & ~F.isnan(number)
-            value = number if f.type == "float" else number.cast("int")
-            if f.name == "duplicate_threshold":
-                ok = ok & (number >= 0)
-            if f.name == "chunk_size":
-                ok = ok & (value >= 1)
+            return judged(F.try_variant_get(raw, "$", "boolean"), kind == "BOOLEAN")
+        number = F.when(kind == "STRING", text_of(raw).try_cast("double")).otherwise(F.try_variant_get(raw, "$", "double"))
+        return let(number, lambda n: of_number(n, raw, kind))
+
+    def of_number(number: Column, raw: Column, kind: Column) -> Column:
+        pattern = F.lit(_NUMBER if f.type == "float" else _WHOLE)
+        ok = number.isNotNull() & ~F.isnan(number) & ((kind != "STRING") | F.regexp_like(F.lower(text_of(raw)), pattern))
+        value = number if f.type == "float" else number.cast("int")
+        if f.name == "duplicate_threshold":
+            ok = ok & (number >= 0)
+        if f.name == "chunk_size":
+            ok = ok & (value >= 1)
+        return judged(value, ok)
+
+    def judged(value: Column, ok: Column) -> Column:
         return F.struct(F.coalesce(value, standard).alias("value"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
     absent = F.struct(standard.alias("value"), F.lit(True).alias("ok"))
-    return F.when(F.map_contains_key(found, f.name), let(found[f.name], read)).otherwise(absent)
+    return F.when(given.isNull(), absent).otherwise(let(given, read))
 
 
 def clean_payloads(payloads: DataFrame, default: CleanConfig = CleanConfig(), **models_and_cache) -> PayloadRun:
@@ -108,13 +112,13 @@ def clean_payloads(payloads: DataFrame, default: CleanConfig = CleanConfig(), **
     spread = payloads.select("payload_id", "body").repartition(tasks, "payload_id")
     read = source.read(spread, beside=lambda body: options_of(body, default))
     read = read.select("*", F.col("_beside.options").alias(OPTIONS), F.col("_beside.valid").alias("_valid"))
-    read = write_shared(read.drop("_beside"), "payload-rows")
-    rows = source.rows_of(read.filter("_valid"), OPTIONS)
+    read = write_shared(read.drop("_beside").withColumn(ROWS, F.size("_read.rows")), "payload-rows")
+    rows = source.rows_of(read.filter("_valid"), OPTIONS, ROWS)
     bad = read.filter("NOT _valid AND _read.reason IS NULL").select(
         "payload_id", "request_id", F.lit(fixed.REJECT_CONFIG).alias("reason")
     )
     rejects = source.rejects_of(read).unionByName(bad)
-    result = run(rows, default, order_by="position", scope=["payload_id"], own_options=OPTIONS, **models_and_cache)
+    result = run(rows, default, order_by="position", scope=["payload_id"], own_options=OPTIONS, scope_rows=ROWS, **models_and_cache)
     return PayloadRun(result.rows, rejects, result.usage, result.cache)
 
 

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from spendloom.functions import fixed
 from spendloom.functions.variants import (
+    ITEM,
     fields_of,
-    items_of,
     let,
-    strict_json,
+    only_item,
+    records_of,
     text_of,
-    texts_of_fields,
     texts_of_items,
 )
 
@@ -73,7 +73,7 @@ def configs(payloads: DataFrame) -> DataFrame:
 
 def config_text() -> Column:
     """The ``config`` of a body, null without one."""
-    return text_of(fields_of(strict_json(F.col("body")))["config"])
+    return text_of(only_item(F.col("body")), f"{ITEM}.config")
 
 
 def request_tag() -> Column:
@@ -85,8 +85,8 @@ def request_tag() -> Column:
 def read(payloads: DataFrame, *, beside: Callable[[Column], Column] | None = None) -> DataFrame:
     """``payload_id, request_id, _read``: the rows of a payload or the reason of its reject.
 
-    ``beside`` makes a further column ``_beside`` of the parsed body, so that one
-    parsing serves both.
+    ``beside`` makes a further column ``_beside`` of the parsed body (as
+    ``variants.only_item`` gives it), so that one parsing serves both.
     """
 
     def of_body(body: Column) -> Column:
@@ -94,7 +94,7 @@ def read(payloads: DataFrame, *, beside: Callable[[Column], Column] | None = Non
         return F.struct(found, *([beside(body).alias("_beside")] if beside else []))
 
     found = payloads.select(
-        "payload_id", request_tag().alias("request_id"), let(strict_json(F.col("body")), of_body).alias("_found")
+        "payload_id", request_tag().alias("request_id"), let(only_item(F.col("body")), of_body).alias("_found")
     )
     return found.select("payload_id", "request_id", "_found.*")
 
@@ -118,23 +118,18 @@ def _split_envelope(body: Column) -> Column:
     """Null for a body that is no JSON, else what was read."""
 
     def of_object(fields: Column) -> Column:
-        data = fields["data"]
-        inner = fields_of(data)
         rest = F.map_filter(fields, lambda k, _: k != "config")
+        return let(F.coalesce(fields_of(body, f"{ITEM}.data"), rest), _read_object)
+
+    def read_any(records: Column) -> Column:
         return (
-            F.when(items_of(data).isNotNull(), let(items_of(data), _read_list))
-            .otherwise(let(F.coalesce(inner, rest), _read_object))
+            F.when(records.isNotNull(), _read_records(records))
+            .when(fields_of(body, ITEM).isNotNull(), let(fields_of(body, ITEM), of_object))
+            .when(body.isNotNull(), _reject(fixed.REJECT_TYPE))
         )
 
-    return (
-        F.when(items_of(body).isNotNull(), let(items_of(body), _read_list))
-        .when(fields_of(body).isNotNull(), let(fields_of(body), of_object))
-        .when(body.isNotNull(), _reject(fixed.REJECT_TYPE))
-    )
-
-
-def _read_list(items: Column) -> Column:
-    return let(F.transform(items, texts_of_fields), _read_records)
+    # A list is read as records at once; variants in between would each be a copy.
+    return let(F.coalesce(records_of(body, ITEM), records_of(body, f"{ITEM}.data")), read_any)
 
 
 def _read_object(fields: Column) -> Column:
@@ -152,8 +147,8 @@ def _read_fields(fields: Column, lists: Column) -> Column:
     is_list = {name: lists[name].isNotNull() for name in ("merchant", "data", "transactions")}
     return (
         F.when(is_list["merchant"] & (F.size(sizes) <= 1), _read_columns(fields, lists))
-        .when(is_list["data"], _read_list(items_of(fields["data"])))
-        .when(is_list["transactions"], _read_list(items_of(fields["transactions"])))
+        .when(is_list["data"], let(records_of(fields["data"]), _read_records))
+        .when(is_list["transactions"], let(records_of(fields["transactions"]), _read_records))
         .when(
             F.map_contains_key(fields, "merchant") & ~is_list["merchant"],
             let(F.array(F.transform_values(fields, lambda _, v: text_of(v))), _read_records),
@@ -189,21 +184,24 @@ def _read_columns(fields: Column, lists: Column) -> Column:
 def _read_records(records: Column) -> Column:
     """Records to rows.  A key that only other records have reads as ''."""
 
-    def value(record: Column, key: Column, names: Column, default: str | None) -> Column:
-        return (
-            F.when(F.map_contains_key(record, key), record[key])
-            .when(F.array_contains(names, key), F.lit(""))
-            .otherwise(F.lit(default))
-        )
+    def value(record: Column, key: Column) -> Column:
+        return F.coalesce(record[key], F.when(~F.map_contains_key(record, key), F.lit("")))
 
     def rows(names: Column) -> Column:
         others = F.array_except(names, F.array(*map(F.lit, KNOWN)))
+        # Told once for a payload, not for each record.
+        given = F.struct(others.alias("others"), *[F.array_contains(names, c).alias(c) for c in KNOWN])
+        return let(given, of_given)
+
+    def of_given(given: Column) -> Column:
+        others = given["others"]
+        no_others = F.size(others) == 0
         return F.transform(
             records,
             lambda r: F.struct(
-                *[value(r, F.lit(c), names, DEFAULTS.get(c)).alias(c) for c in KNOWN],
-                F.map_from_arrays(
-                    others, F.transform(others, lambda k: value(r, k, names, ""))
+                *[F.when(given[c], value(r, F.lit(c))).otherwise(F.lit(DEFAULTS.get(c))).alias(c) for c in KNOWN],
+                F.when(no_others, F.create_map().cast("map<string,string>")).otherwise(
+                    F.map_from_arrays(others, F.transform(others, lambda k: value(r, k)))
                 ).alias("extra"),
                 F.lit(True).alias("_has_amount"),
             ),
