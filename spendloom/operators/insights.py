@@ -140,7 +140,8 @@ def _outlier_columns() -> list[Column]:
 
 
 def insights(
-    df: DataFrame, counters: DataFrame | None = None, *, scope: Sequence[str] = (), n_vendors: int = 10
+    df: DataFrame, counters: DataFrame | None = None, *, scope: Sequence[str] = (), n_vendors: int = 10,
+    small_scopes: bool = False,
 ) -> DataFrame:
     """Everything known about a cleaned table as ``(section, name, value)`` rows.
 
@@ -148,9 +149,12 @@ def insights(
     ``df`` is read several times, so pass a written table.  ``counters`` is a
     table of run counters, one row or one per scope; they replace summary values
     of that name.  The long form keeps categories, whose number is not bounded,
-    out of a single row.
+    out of a single row.  ``small_scopes``: each scope was one row once, as a
+    payload was, so its rows go to one task and every count is made there.
     """
     scope = list(scope)
+    if scope and small_scopes:
+        df = df.repartition(*scope)
     if scope:
         summary = _scope_summary(df, scope)
     else:

@@ -130,4 +130,4 @@ def clean_payloads_by_config(payloads: DataFrame, default: CleanConfig = CleanCo
 
 def payload_insights(rows: DataFrame, usage: DataFrame) -> DataFrame:
     """The insights of each payload, from its written rows and its usage."""
-    return insights(rows, usage.drop("cleaner_version"), scope=["payload_id"])
+    return insights(rows, usage.drop("cleaner_version"), scope=["payload_id"], small_scopes=True)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendloom.operators import order
+from spendloom.operators.insights import insights
 from spendloom.plans import cleaning
 from spendloom.plans.payload_configs import clean_payloads, payload_insights
 from spendloom.session import write_shared
@@ -75,3 +76,13 @@ def test_positions_need_no_ranges(spark):
     options = {"chunk_size": 3, "order_by": "at", "scope": ["p"]}
     assert values(order.add_chunk(rows, numbered=True, **options)) == values(order.add_chunk(rows, **options))
     assert "Exchange" not in order.add_chunk(rows, numbered=True, **options)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_a_small_scope_share_its_exchange(both):
+    """As many exchanges as counts, and the same insights."""
+    rows, usage, _ = both[0]
+    usage = usage.drop("cleaner_version")
+    plain, small = (insights(rows, usage, scope=["payload_id"], small_scopes=s) for s in (False, True))
+    assert values(plain) == values(small)
+    shuffles = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (plain, small)]
+    assert shuffles[1] < shuffles[0]
