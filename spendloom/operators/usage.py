@@ -65,12 +65,13 @@ def run_usage(
     if "_chunk" in processed.columns:
         many = F.coalesce(F.ceil(F.col("rows_processed") / F.col("_chunk")), F.lit(1))
         processed = processed.withColumn("chunks_processed", many).drop("_chunk")
-    if hits is None:
-        hits = found.select(*scope, F.lit(0).cast("long").alias("cache_hits"))
+    none = F.lit(0).cast("long").alias("cache_hits")
     if scope:
-        report = processed.join(found, scope, "left").join(hits, scope, "left")
+        report = processed.join(found, scope, "left")
+        report = report.select("*", none) if hits is None else report.join(hits, scope, "left")
         report = report.na.fill(0, ["ai_requests", "ai_cost", "cache_hits"])
     else:
+        hits = found.select(none) if hits is None else hits
         one_row = [(processed, c) for c in processed.columns] + [(hits, "cache_hits")]
         report = found.select("*", *[table.select(c).scalar().alias(c) for table, c in one_row])
     report = report.withColumn("cleaner_version", F.lit(fixed.REPORT_VERSION))

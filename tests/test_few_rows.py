@@ -78,6 +78,11 @@ def test_positions_need_no_ranges(spark):
     assert "Exchange" not in order.add_chunk(rows, numbered=True, **options)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_usage_is_joined_once(both):
+    plan = both[0][1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 def test_counts_of_a_small_scope_share_its_exchange(both):
     """As many exchanges as counts, and the same insights."""
     rows, usage, _ = both[0]
