@@ -90,6 +90,42 @@ def test_suffix_order_is_sorted():
         assert x[:n] == y[:n] and (n == min(len(x), len(y)) or x[n] != y[n])
 
 
+def test_suffixes_of_other_anchors_are_not_compared(monkeypatch):
+    random.seed(6)
+    data = np.frombuffer("".join(random.choice("ab") for _ in range(2000)).encode(), np.uint8)
+    start = np.array([random.randrange(1900) for _ in range(600)])
+    group = np.array([random.randrange(250) for _ in start], np.uint64) << np.uint64(50)
+    size = np.full(600, 90)
+    asked = []
+    starting = grams.Prefix.starting
+    monkeypatch.setattr(grams.Prefix, "starting", lambda self, at: asked.append(len(at)) or starting(self, at))
+    order, common = suffix_dedup.suffix_order(data, start, size, group)
+    found = [(group[i], data[start[i] : start[i] + 90].tobytes()) for i in order]
+    assert found == sorted(found) and sorted(order.tolist()) == list(range(600))
+    assert [n < 0 for n in common] == [a != b for (a, _), (b, _) in zip(found, found[1:])]
+    assert sum(asked) < 2 * 600 * 7  # all 600 in one order ask over 40 times each
+
+
+@pytest.mark.parametrize(
+    ("run", "units", "size", "at_least"), [(suffix_dedup, "byte_units", "length", 100), (debruijn_dedup, "word_units", "words", 13)]
+)
+def test_documents_without_answers_are_not_cut_again(docs_of, tmp_path, monkeypatch, run, units, size, at_least):
+    words = [f"{i:05d}" for i in range(4000)]
+    rows = [(d, " ".join(words[100 * d : 100 * d + 100])) for d in range(40)] + [(40, " ".join(words[30:60])), (41, None)]
+    cut, log = getattr(run, units), tmp_path / "cut"
+
+    def logged(texts):
+        with log.open("a") as file:
+            file.write("x" * len(texts))
+        return cut(texts)
+
+    monkeypatch.setattr(run, units, logged)
+    found = {r.doc_id: r for r in run.remove_repeats(docs_of(rows), **{size: at_least}).collect()}
+    assert len(found) == 42 and found[40].n_removed > 0 and found[1].n_removed == 0
+    assert found[1].kept_sha256 == hashlib.sha256(rows[1][1].encode()).hexdigest()
+    assert 42 < len(log.read_text()) <= 42 + 3 * 2
+
+
 def test_a_hash_collision_is_cut_to_the_bytes_that_agree():
     data = np.frombuffer(b"abcdeXabcdfY", np.uint8)
     assert suffix_dedup._verified(data, np.array([0]), np.array([6]), np.array([5])).tolist() == [4]
