@@ -27,6 +27,9 @@ def _udf():
         if first == second:
             return 1.0
         pair = (first, second)
+        # A name inside the other is matched as a whole; from 200 letters on, frequent ones do not count.
+        if len(second) < 200 and (first in second or second in first):
+            return 2.0 * min(len(first), len(second)) / (len(first) + len(second))
         if len(first) + len(second) > 400:  # only short names are remembered
             return SequenceMatcher(None, first, second).ratio()
         if pair not in seen:

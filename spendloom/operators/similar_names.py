@@ -13,7 +13,9 @@ How long the pieces are is decided for each cell, and for short and long names
 apart, by counting what each choice would cost there: long pieces are rare, but
 more of them must be looked at; short ones can leave out the frequent parts of
 names, as pieces are ordered from rare to frequent.  Thresholds may differ by
-scope; each scope's bounds and choices follow from its own.
+scope; each scope's bounds and choices follow from its own.  A very large cell
+whose names have rare segments, which is counted first, needs no pieces for its
+short names: they are looked up by these segments (``name_index``).
 
 The rows of a key are compared in a task by 64 bits that stand for the letters
 of a name, and by 256 if these agree enough: a bit in which two names differ stands for a letter without partner.
@@ -34,15 +36,18 @@ from pyspark.sql import functions as F
 
 from spendloom.functions.similarity import similarity
 from spendloom.functions.variants import let
+from spendloom.operators.name_index import LEAST_THRESHOLD, MOST_LETTERS, index_pairs, segment_hashes
 from spendloom.session import write_shared
 
 _SLOTS = 4096
 #: Names up to this length may use pieces that longer names could not.
-_SHORT = 48
+_SHORT = MOST_LETTERS
 #: Lengths of pieces to choose from, for short and for long names.
 _CHOICES = ((1, 2, 3, 4), (1, 2, 3))
 #: What a key costs next to the comparison of two rows.
 _KEY_COST = 200
+#: Segments are rare if a name shares them with at most this many names of its length.
+_MOST_MET = 500
 
 
 @dataclass(frozen=True)
@@ -57,6 +62,12 @@ class NearDupSizes:
     first_batch: int = 1024
     # Matching pairs of one component that one task may read in order.
     tail_pairs: int = 2_000_000
+    # A cell with more names than this may be searched by segments of the names.
+    index_cell: int = 20_000
+    # Names of such a cell that one task compares with as many others.
+    tile: int = 400_000
+    # Pairs of names of two lengths that are compared without an index.
+    few_pairs: int = 1 << 20
 
 
 class Matcher:
@@ -82,6 +93,7 @@ class Matcher:
         if self.largest_cell:
             self._plan()
             self.nodes = write_shared(self._keyed(), "keyed-nodes")
+            self.any_small = not self.nodes.filter("_blocks IS NULL").isEmpty()
 
     def pairs(self, rows: DataFrame, *, across: bool = False) -> DataFrame:
         """Matches among ``rows`` of ``nodes``: scope, _src, _dst (the later row), their nodes and _score.
@@ -98,10 +110,15 @@ class Matcher:
         if not self.largest_cell:
             around = F.explode(_around(F.col("_amount"))).alias("_cell")
             return self._small(rows.select("_cell", *shared), rows.select(around, *shared), across)
+        met = self._blocks(rows, across)
+        if self.any_indexed:
+            met = met.unionByName(self._looked_up(rows, across))
+        met = self._named(met, rows)
+        if not self.any_small:
+            return met
         shorter = rows.filter("_blocks IS NULL").select("_cell", *shared)
         longer = rows.select(F.explode("_small_cells").alias("_cell"), *shared)
-        met = self._blocks(rows, across)
-        return self._small(shorter, longer, across).unionByName(self._named(met, rows))
+        return self._small(shorter, longer, across).unionByName(met)
 
     # --- small cells ---
 
@@ -152,13 +169,14 @@ class Matcher:
     def _plan(self) -> None:
         """Choose the length of pieces for each large cell, and find the keys with many rows."""
         met = [*self.scope, "_cell"]
-        rows = self.nodes.select(*met, "_name", "_length")
-        rows = rows.join(self.split, met, "left_semi")
+        cells = self._by_segments()
+        rows = self.nodes.select(*met, "_name", "_length").join(cells, met)
+        rows = rows.filter(F.col("_group").isNull() | self._meets_long())
         ranks = _piece_ranks(rows, self._lengths())
         self._pieces = {q: _pieces(q, ranks[q]) for q in self._lengths()}
         options = [
             F.when(
-                self._usable(q, bool(long)) & ((F.col("_length") > _SHORT) == bool(long)),
+                self._usable(q, bool(long)) & (F.col("_length") > _SHORT if long else (F.col("_length") <= _SHORT) & F.col("_group").isNull()),
                 F.struct(
                     F.lit(long).alias("_class"),
                     F.lit(q).alias("_q"),
@@ -177,14 +195,37 @@ class Matcher:
             *[F.min_by("_q", F.when(F.col("_class") == c, F.col("_cost"))).alias(f"_q{c}") for c in (0, 1)]
         )
         usual = F.when(self._usable(2, True), 2).otherwise(1)
-        plan = self.split.select(*met).join(chosen, met, "left")
-        self.plan = write_shared(plan.select(*met, *[F.coalesce(f"_q{c}", usual).alias(f"_q{c}") for c in (0, 1)]), "plan")
-        used = counts.join(self.plan, met).filter(F.col("_q") == F.when(F.col("_class") == 0, F.col("_q0")).otherwise(F.col("_q1")))
+        plan = cells.join(chosen, met, "left")
+        pieces = [F.coalesce(f"_q{c}", usual) for c in (0, 1)]
+        short = F.when(F.col("_group").isNull(), pieces[0]).otherwise(0)
+        self.plan = write_shared(plan.select(*met, "_group", short.alias("_q0"), pieces[1].alias("_q1")), "plan")
+        used = counts.join(self.plan.drop("_group"), met).filter(F.col("_q") == F.when(F.col("_class") == 0, F.col("_q0")).otherwise(F.col("_q1")))
         shares = F.ceil(F.col("count") / self.sizes.hot_piece).cast("int").alias("_shares")
         block = self._block(F.col("_class"), F.col("_key")).alias("_block")
         self.hot = write_shared(used.filter(F.col("count") > self.sizes.hot_piece).select(block, shares), "hot-keys")
         self.any_hot = not self.hot.isEmpty()
 
+    def _by_segments(self) -> DataFrame:
+        """The large cells, those whose short names are found by their segments with a _group of their own."""
+        met = [*self.scope, "_cell"]
+        none = F.lit(None).cast("long").alias("_group")
+        self.any_indexed = False
+        if self.largest_cell <= self.sizes.index_cell or (self.known or LEAST_THRESHOLD) < LEAST_THRESHOLD:
+            return self.split.select(*met, none)
+        large = self.split.filter((F.col("count") > self.sizes.index_cell) & (self.threshold >= LEAST_THRESHOLD))
+        rows = self.nodes.filter(F.col("_length") <= _SHORT).join(large.select(*met, "count"), met)
+        hashes = F.explode(segment_hashes(F.col("_name"), F.col("_length"), self.threshold)).alias("_segment")
+        meet = rows.select(*met, F.col("count").alias("_rows"), "_length", hashes).groupBy(*met, "_rows", "_length", "_segment").count()
+        meet = meet.groupBy(*met, "_rows").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("_meet"))
+        rare = meet.filter(F.col("_meet") <= F.col("_rows").cast("double") * _MOST_MET)
+        rare = write_shared(rare.select(*met, F.monotonically_increasing_id().alias("_group")), "cells-by-segments")
+        self.any_indexed = not rare.isEmpty()
+        return self.split.select(*met).join(rare, met, "left") if self.any_indexed else self.split.select(*met, none)
+
+    def _meets_long(self) -> Column:
+        """Whether a name can be similar to one of more than the letters of short names."""
+        return (F.col("_length") > _SHORT) | ((2 - self.threshold) * F.col("_length") + 1e-6 > self.threshold * _SHORT)
+
     def _block(self, of_class: Column, key: Column) -> Column:
         """The key of rows that meet.  Blocks that fall together by chance only add pairs, which are checked."""
         return F.xxhash64(*self.scope, "_cell", of_class, key)
@@ -193,23 +234,27 @@ class Matcher:
         """The nodes with their letter bits, their blocks as the shorter name and as the longer one.
 
         _blocks is null in a small cell.  As the longer name a row also meets
-        the cells around its own; _small_cells are the small ones of them.
+        the cells around its own; _small_cells are the small ones of them, and
+        _groups those in which a short name is looked up by its segments.
         """
         met = [*self.scope, "_cell"]
         nodes = self.nodes.join(self.plan, met, "left")
         nodes = nodes.withColumn("_blocks", self._keys(longer_side=False)).drop("_q0", "_q1")
-        nodes = nodes.withColumn("_letters", _letters(F.col("_name")))
-        nodes = nodes.withColumn("_bits", _bits(F.col("_letters")))
-        for k in range(4):
-            nodes = nodes.withColumn(f"_bits{k}", _quarter(F.col("_letters"), k))
-        nodes = nodes.drop("_letters")
         around = self.nodes.select(*self.scope, "_node", "_name", "_length", F.explode(_around(F.col("_amount"))).alias("_cell"))
         around = around.join(self.plan, met, "left").withColumn("_met", self._keys(longer_side=True))
         around = around.groupBy("_node").agg(
             F.flatten(F.collect_list("_met")).alias("_longer_blocks"),
             F.collect_list(F.when(F.col("_met").isNull(), F.col("_cell"))).alias("_small_cells"),
+            F.collect_list(F.when(F.col("_length") <= _SHORT, F.col("_group"))).alias("_groups"),
         )
-        return nodes.join(around, "_node")
+        nodes = nodes.withColumnRenamed("_group", "_home").join(around, "_node")
+        # Only rows with keys are compared by their bits.
+        keyed = (F.size("_blocks") > 0) | (F.size("_longer_blocks") > 0)
+        nodes = nodes.withColumn("_letters", F.when(keyed, _letters(F.col("_name"))))
+        nodes = nodes.withColumn("_bits", _bits(F.col("_letters")))
+        for k in range(4):
+            nodes = nodes.withColumn(f"_bits{k}", _quarter(F.col("_letters"), k))
+        return nodes.drop("_letters")
 
     def _keys(self, *, longer_side: bool) -> Column:
         """The blocks of a row in its cell by the plan of the cell; null in a small cell."""
@@ -217,10 +262,10 @@ class Matcher:
         if longer_side:
             belongs = length <= _SHORT, length > _SHORT
         else:
-            belongs = length <= _SHORT, (2 - self.threshold) * length + 1e-6 > self.threshold * _SHORT
+            belongs = length <= _SHORT, self._meets_long()
         classes = []
         for long in (0, 1):
-            keys = F.when(~belongs[long], F.array().cast("array<long>"))
+            keys = F.when(~belongs[long] | (F.col(f"_q{long}") == 0), F.array().cast("array<long>"))
             for q in self._lengths(long):
                 taken = F.slice(self._pieces[q], 1, self._taken(q, longer_side=longer_side, long=bool(long)))
                 keys = keys.when(F.col(f"_q{long}") == q, taken)
@@ -249,6 +294,14 @@ class Matcher:
         both = both.sortWithinPartitions("_block", "_share", "_role", "_length")
         return both.mapInArrow(_compare(across), "_l_node long, _r_node long").distinct()
 
+    def _looked_up(self, rows: DataFrame, across: bool) -> DataFrame:
+        """Nodes of rows in cells that are searched by segments."""
+        home = F.coalesce(F.col("_group") == F.col("_home"), F.lit(False)).alias("_home")
+        carried = ["_home", "_node", "_name", "_amount", "_fresh", self.threshold.alias("_threshold")]
+        rows = rows.select(F.explode("_groups").alias("_group"), *carried)
+        rows = rows.select("_group", home, *[c for c in rows.columns if c not in ("_group", "_home")])
+        return index_pairs(rows, across=across, tile=self.sizes.tile, few_pairs=self.sizes.few_pairs)
+
     def _named(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
         """The pairs with their rows; pairs of different scopes and with too many edits go."""
         for side in "lr":
